@@ -152,3 +152,115 @@ def page_links(pages: str = "pages", scope: str = "same") -> str:
       FROM ({lexical_links(pages)})
     ) WHERE {cond}
     """
+
+
+# --- derived tables (same rules as sitegraph.sources.derived) -------------------
+
+def _n(pages: str = "pages") -> str:
+    return f"(SELECT count(*) FROM {pages})"
+
+
+def pages_rich(pages: str = "pages") -> str:
+    from sitegraph.sources.derived import RICH_PREFIXES
+    k = len(RICH_PREFIXES)
+    case = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(RICH_PREFIXES))
+    return (f"SELECT page_id, url, replace(CASE page_id % {k} {case} END, '{{host}}', "
+            f"regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || html AS html FROM {pages}")
+
+
+def edges(pages: str = "pages") -> str:
+    from sitegraph.sources.derived import EDGE_RULES
+    arms = " UNION ALL ".join(
+        f"SELECT page_id AS src, {i} AS rule, ({a} * page_id + {b}) % {_n(pages)} AS dst FROM {pages}"
+        for i, (a, b) in enumerate(EDGE_RULES))
+    return (f"SELECT e.src, e.dst, e.rule, s.url AS src_url, d.url AS dst_url FROM ({arms}) e "
+            f"JOIN {pages} s ON s.page_id = e.src JOIN {pages} d ON d.page_id = e.dst")
+
+
+def pages_linked(pages: str = "pages") -> str:
+    return (f"SELECT p.page_id, p.url, '<html><body><nav>' || '<a href=\"' || e0.dst_url || '\">go</a>' "
+            f"|| '<a href=\"' || e1.dst_url || '\">go</a>' || '</nav></body></html>' AS html "
+            f"FROM {pages} p JOIN ({edges(pages)}) e0 ON e0.src = p.page_id AND e0.rule = 0 "
+            f"JOIN ({edges(pages)}) e1 ON e1.src = p.page_id AND e1.rule = 1")
+
+
+def archive(pages: str = "pages") -> str:
+    from sitegraph.sources.derived import AGE_FACTOR, AGE_SPREAD_MIN, AS_OF
+    items = ", ".join(parts("url", "a_"))
+    return f"""
+    SELECT save_path AS page_key, save_path, arg_max(host, (fetched_at, page_id)) AS host,
+           arg_max(body, (fetched_at, page_id)) AS body, max(fetched_at) AS fetched_at
+    FROM (
+      SELECT page_id, {items}, {save_path_expr('a_', "'HTML'")} AS save_path, a_host AS host, html AS body,
+             TIMESTAMP '{AS_OF}' - to_minutes((page_id * {AGE_FACTOR}) % {AGE_SPREAD_MIN}) AS fetched_at
+      FROM {pages} WHERE starts_with(url, 'https://')
+    ) GROUP BY save_path
+    """
+
+
+def requests(pages: str = "pages", events: str = "events") -> str:
+    return (f"SELECT e.event_id AS request_id, p.url, CASE WHEN e.event_type = 'error' THEN 'NO' ELSE 'HTML' END "
+            f"AS link_type, e.ts::TIMESTAMP AS ts FROM {events} e JOIN {pages} p "
+            f"ON p.page_id = e.event_id % {_n(pages)}")
+
+
+def responses(pages: str = "pages") -> str:
+    from sitegraph.sources.derived import AS_OF, REASONS, STATUS_BY_DIGIT
+    st = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(STATUS_BY_DIGIT))
+    rs = " ".join(f"WHEN {c} THEN '{t}'" for c, t in REASONS.items())
+    n = _n(pages)
+    return f"""
+    SELECT b.page_id AS response_id, b.url AS request_url,
+           TIMESTAMP '{AS_OF}' - to_minutes(b.page_id) AS ts,
+           encode('HTTP/1.1 ' || b.status || ' ' || (CASE b.status {rs} END)
+             || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+             || CASE WHEN t.url IS NOT NULL THEN 'Location: ' || t.url || chr(13) || chr(10) ELSE '' END
+             || chr(13) || chr(10)
+             || CASE WHEN b.status = 200 THEN b.html ELSE '<html>moved</html>' END) AS raw
+    FROM (
+      SELECT page_id, url, html, CASE page_id % 10 {st} END AS status,
+             CASE WHEN page_id % 10 = 6 THEN (page_id + 1) % {n}
+                  WHEN page_id % 10 = 7 AND page_id % 40 = 7 THEN NULL
+                  WHEN page_id % 10 = 7 AND page_id % 20 = 17 THEN (page_id - 1 + {n}) % {n}
+                  WHEN page_id % 10 = 7 THEN (page_id + 3) % {n} END AS target
+      FROM {pages}
+    ) b LEFT JOIN {pages} t ON t.page_id = b.target
+    """
+
+
+# --- helpers for the URL-function oracles -------------------------------------------
+
+def url_inputs(pages: str = "pages") -> str:
+    """Every page URL and every raw link of the rich pages, with their page."""
+    return (f"SELECT page_id, url AS s FROM {pages} UNION ALL "
+            f"SELECT page_id, raw_link AS s FROM ({lexical_links('(' + pages_rich(pages) + ')')})")
+
+
+def parsed_responses(pages: str = "pages") -> str:
+    """(response_id, request_url, head, body, status, outcome, location)."""
+    crlf2 = "chr(13) || chr(10) || chr(13) || chr(10)"
+    res = ", ".join(resolve("loc_raw", "request_url", "loc_resolved", "l_"))
+    return f"""
+    SELECT response_id, request_url, head, body, status, outcome,
+           CASE WHEN outcome = 'redirect' AND loc_raw IS NOT NULL THEN loc_resolved END AS location
+    FROM (
+      SELECT *, {res} FROM (
+        SELECT *, CASE WHEN status IS NULL OR status = 0 THEN 'parse_error' WHEN status = 200 THEN 'ok'
+                       WHEN status IN (301, 302) THEN 'redirect' WHEN status = 429 THEN 'throttled'
+                       ELSE 'error' END AS outcome,
+               CASE WHEN strpos(head, 'Location: ') > 0 THEN regexp_extract(head, 'Location: ([^\\r\\n ]*)', 1)
+                    WHEN strpos(head, 'location: ') > 0 THEN regexp_extract(head, 'location: ([^\\r\\n ]*)', 1)
+                    END AS loc_raw
+        FROM (
+          SELECT *, TRY_CAST(nullif(regexp_extract(head,
+                    '^HTTP/\\s*[-+]?[0-9]+\\.\\s*[-+]?[0-9]+\\s*([-+]?[0-9]+)', 1), '') AS INTEGER) AS status
+          FROM (
+            SELECT response_id, request_url,
+                   CASE WHEN strpos(txt, {crlf2}) > 0 THEN substr(txt, 1, strpos(txt, {crlf2}) - 1) ELSE txt END AS head,
+                   CASE WHEN strpos(txt, {crlf2}) > 0 THEN substr(txt, strpos(txt, {crlf2}) + 4) ELSE '' END AS body
+            FROM (SELECT response_id, request_url, decode(raw) AS txt FROM ({responses(pages)}))
+          )
+        )
+      )
+    )
+    """

@@ -10,15 +10,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitegraph.checks import duck as D
+from sitegraph.functions import urls as U
+from sitegraph.operators import aggs as A
+from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
+from sitegraph.operators import redirects as R
+from sitegraph.sources import derived as X
+from sitegraph.sources import http as HT
 from sitegraph.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+TTL_MIN = 1000          # cache TTL of the archiving run, minutes
+PERIOD_MS = 1000        # pause after each network fetch, ms
+MAX_HOPS = 10
+
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: Query) -> Query:
@@ -29,15 +40,377 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-# --- links -----------------------------------------------------------------
+def pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+def rich(spark, sf):
+    return X.pages_rich(pages(spark, sf))
+
+
+def url_inputs(spark, sf):
+    """Page URLs and raw links of the rich pages, column ``s``."""
+    p = pages(spark, sf).select("page_id", F.col("url").alias("s"))
+    l = L.extract_links(rich(spark, sf)).select("page_id", F.col("raw_link").alias("s"))
+    return p.unionByName(l)
+
+
+def rich_links(spark, sf, scope="none"):
+    return L.page_links(rich(spark, sf), scope=scope)
+
+
+# --- sources -------------------------------------------------------------------------
+
+@register("src1_read_pages", "SELECT page_id, url, length(html) AS n_chars FROM pages")
+def src1_read_pages(spark, sf):
+    return pages(spark, sf).select("page_id", "url", F.length("html").alias("n_chars"))
+
+
+# --- URL columns -----------------------------------------------------------------------
+
+_UI = D.url_inputs("pages")
+
+
+@register("url1_url_parts", f"""
+    SELECT page_id, s, u_proto AS protocol, u_host AS host, u_path AS path
+    FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI}))""")
+def url1_url_parts(spark, sf):
+    u = url_inputs(spark, sf)
+    return u.select("page_id", "s", U.url_protocol("s").alias("protocol"),
+                    U.url_host("s").alias("host"), U.url_path("s").alias("path"))
+
+
+@register("url2_link_form", f"""
+    SELECT page_id, s, CASE WHEN starts_with(s, 'http') THEN 'http' WHEN starts_with(s, '/') THEN 'absolute'
+                            ELSE 'relative' END AS form FROM ({_UI})""")
+def url2_link_form(spark, sf):
+    return url_inputs(spark, sf).select("page_id", "s", U.link_form("s").alias("form"))
+
+
+@register("url3_is_file_url", f"""
+    SELECT page_id, s, CASE WHEN suffix(s, '/') THEN false WHEN u_path = '' THEN false
+        ELSE regexp_matches(regexp_extract(s, '(?s)[^/]*\\z', 0), '\\.[A-Za-z]') END AS is_file
+    FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI}))""")
+def url3_is_file_url(spark, sf):
+    return url_inputs(spark, sf).select("page_id", "s", U.is_file_url("s", "HTML").alias("is_file"))
+
+
+@register("url4_host_path", f"""
+    SELECT page_id, s, {D.host_path_expr('u_')} AS host_path
+    FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI}))""")
+def url4_host_path(spark, sf):
+    return url_inputs(spark, sf).select("page_id", "s", U.host_path("s").alias("host_path"))
+
+
+@register("url5_dirname", f"""
+    SELECT page_id, s, CASE WHEN u_path <> '' THEN {D.dirname('s')} ELSE s END AS url_dirname
+    FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI}))""")
+def url5_dirname(spark, sf):
+    return url_inputs(spark, sf).select("page_id", "s", U.url_dirname("s").alias("url_dirname"))
+
+
+@register("url6_dir_count", f"""
+    SELECT page_id, s, {D.dir_count('hp')} AS dir_count FROM (
+      SELECT *, {D.host_path_expr('u_')} AS hp FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI})))""")
+def url6_dir_count(spark, sf):
+    u = url_inputs(spark, sf).withColumn("hp", U.host_path("s"))
+    return u.select("page_id", "s", U.dir_count("hp").alias("dir_count"))
+
+
+@register("url7_normalize_path", f"""
+    SELECT page_id, s, {D.normalize('hp')} AS normalized FROM (
+      SELECT *, u_host || u_path || '/' || s AS hp FROM (SELECT *, {', '.join(D.parts('s', 'u_'))} FROM ({_UI})))""")
+def url7_normalize_path(spark, sf):
+    u = url_inputs(spark, sf).withColumn("hp", F.concat(U.url_host("s"), U.url_path("s"), F.lit("/"), F.col("s")))
+    return u.select("page_id", "s", U.normalize_path("hp").alias("normalized"))
+
+
+_RICH_LINKS = D.lexical_links("(" + D.pages_rich("pages") + ")")
+
+
+@register("url8_resolve_link", f"""
+    SELECT page_id, pos, raw_link, url FROM (
+      SELECT *, {', '.join(D.resolve('raw_link', 'src_url', 'url', 'r_'))} FROM ({_RICH_LINKS}))""")
+def url8_resolve_link(spark, sf):
+    l = L.resolve_links(L.extract_links(rich(spark, sf)))
+    return l.select("page_id", "pos", "raw_link", "url")
+
+
+@register("url10_relative_path", f"""
+    SELECT page_id, pos, {D.relative_path('hint_dir', 'target')} AS rel FROM (
+      SELECT *, {D.dirname('hint')} AS hint_dir, {D.host_path_expr('t_')} AS target FROM (
+        SELECT *, {', '.join(D.parts('url', 't_'))} FROM (
+          SELECT *, {', '.join(D.resolve('raw_link', 'hint', 'url', 'r_'))} FROM (
+            SELECT *, './' || {D.save_path_expr('p_', "'HTML'")} AS hint FROM (
+              SELECT *, {', '.join(D.parts('src_url', 'p_'))} FROM ({_RICH_LINKS}))))))""")
+def url10_relative_path(spark, sf):
+    l = L.extract_links(rich(spark, sf)).withColumn("hint", F.concat(F.lit("./"), U.save_path("src_url", "HTML")))
+    l = l.withColumn("target", U.host_path(U.resolve_link("raw_link", "hint")))
+    return l.select("page_id", "pos", U.relative_path(U.dirname("hint"), "target").alias("rel"))
+
+
+@register("url12_save_path", f"""
+    SELECT page_id, pos, link_type, {D.save_path_expr('u_', 'link_type')} AS save_path FROM (
+      SELECT *, {', '.join(D.parts('url', 'u_'))} FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')}))""")
+def url12_save_path(spark, sf):
+    l = rich_links(spark, sf)
+    return l.select("page_id", "pos", "link_type", U.save_path("url", F.col("link_type")).alias("save_path"))
+
+
+@register("url14_page_key", f"""
+    SELECT page_id, {D.save_path_expr('u_', "'HTML'")} AS page_key FROM (
+      SELECT *, {', '.join(D.parts('url', 'u_'))} FROM pages)""")
+def url14_page_key(spark, sf):
+    return pages(spark, sf).select("page_id", U.page_key("url").alias("page_key"))
+
+
+# --- links -----------------------------------------------------------------------------
 
 @register("lnk1_extract_links", D.lexical_links("pages"))
 def lnk1_extract_links(spark, sf):
-    return L.extract_links(table(spark, sf, "pages"))
+    return L.extract_links(pages(spark, sf))
+
+
+@register("lnk1_extract_links_rich", _RICH_LINKS)
+def lnk1_extract_links_rich(spark, sf):
+    return L.extract_links(rich(spark, sf))
+
+
+@register("lnk3_classify_links", f"""
+    SELECT page_id, pos, tag, raw_link, type_attr, t_type AS link_type FROM (
+      SELECT *, {', '.join(D.link_type('tag', 'raw_link', 'type_attr', 't_'))} FROM ({_RICH_LINKS}))""")
+def lnk3_classify_links(spark, sf):
+    return L.classify_links(L.extract_links(rich(spark, sf))).drop("src_url")
+
+
+@register("lnk4_split_pages_resources", f"""
+    SELECT page_id, pos, link_type, CASE WHEN link_type IN ('HTML', 'IFRAME') THEN 'page' ELSE 'resource' END AS kind
+    FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')})""")
+def lnk4_split_pages_resources(spark, sf):
+    pg, res = L.split_pages_resources(rich_links(spark, sf))
+    return pg.select("page_id", "pos", "link_type", F.lit("page").alias("kind")).unionByName(
+        res.select("page_id", "pos", "link_type", F.lit("resource").alias("kind")))
+
+
+@register("flt1_scope_same", f"""
+    SELECT page_id, pos, url, link_type FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'same')})""")
+def flt1_scope_same(spark, sf):
+    return rich_links(spark, sf, "same").select("page_id", "pos", "url", "link_type")
+
+
+@register("flt1_scope_subdomain", f"""
+    SELECT page_id, pos, url, link_type FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'subdomain')})""")
+def flt1_scope_subdomain(spark, sf):
+    return rich_links(spark, sf, "subdomain").select("page_id", "pos", "url", "link_type")
 
 
+# --- manifests, sets ---------------------------------------------------------------------------
+
 @register("agg1_manifest_counts", f"""
-    SELECT link_type, url, count(*) AS n FROM ({D.page_links('pages', 'same')}) GROUP BY link_type, url
-""")
+    SELECT link_type, url, count(*) AS n FROM ({D.page_links('pages', 'same')}) GROUP BY link_type, url""")
 def agg1_manifest_counts(spark, sf):
-    return L.manifest_counts(L.page_links(table(spark, sf, "pages"), scope="same"))
+    return L.manifest_counts(L.page_links(pages(spark, sf), scope="same"))
+
+
+@register("agg1_manifest_counts_rich", f"""
+    SELECT link_type, url, count(*) AS n FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')})
+    GROUP BY link_type, url""")
+def agg1_manifest_counts_rich(spark, sf):
+    return L.manifest_counts(rich_links(spark, sf))
+
+
+@register("agg2_url_set", f"""
+    SELECT DISTINCT url FROM (SELECT url FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'same')})
+                              UNION ALL SELECT url FROM pages)""")
+def agg2_url_set(spark, sf):
+    return A.url_set(rich_links(spark, sf, "same"), pages(spark, sf))
+
+
+_REQ_KEYED = f"""
+    SELECT *, {D.save_path_expr('q_', 'link_type')} AS save_path FROM (
+      SELECT *, {', '.join(D.parts('url', 'q_'))} FROM ({D.requests('pages', 'events')}))"""
+
+
+@register("agg3_first_request_per_key", f"""
+    SELECT save_path, arg_min(request_id, (ts, request_id)) AS request_id, arg_min(url, (ts, request_id)) AS url,
+           min(ts) AS ts, count(*) AS n_requests
+    FROM ({_REQ_KEYED}) GROUP BY save_path""")
+def agg3_first_request_per_key(spark, sf):
+    r = X.requests(spark, sf).withColumn("save_path", U.save_path("url", F.col("link_type")))
+    f = A.first_per_key(r.select("save_path", "request_id", "url", "ts"), "save_path", ["ts", "request_id"],
+                        count_as="n_requests")
+    return f.select("save_path", "request_id", "url", "ts", "n_requests")
+
+
+@register("set1_union_levels", f"""
+    SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT dst_url AS url FROM ({D.edges('pages')})
+      UNION ALL SELECT url FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')}))""")
+def set1_union_levels(spark, sf):
+    p = pages(spark, sf)
+    return A.union_levels(p.select("url"), X.edges(p).select(F.col("dst_url").alias("url")),
+                          rich_links(spark, sf).select("url"))
+
+
+@register("set2_unseen", f"""
+    SELECT DISTINCT url FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')}) l
+    WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.url)""")
+def set2_unseen(spark, sf):
+    links = rich_links(spark, sf).select("url").distinct()
+    return J.unseen(links, pages(spark, sf).select("url"), "url")
+
+
+@register("set2_seen", f"""
+    SELECT DISTINCT dst_url AS url FROM ({D.edges('pages')}) e
+    WHERE EXISTS (SELECT 1 FROM pages p WHERE p.url = e.dst_url)""")
+def set2_seen(spark, sf):
+    e = X.edges(pages(spark, sf)).select(F.col("dst_url").alias("url")).distinct()
+    return J.seen(e, pages(spark, sf).select("url"), "url")
+
+
+@register("srt1_sort_urls", f"""
+    SELECT DISTINCT u_proto AS scheme, u_host AS netloc, u_path AS path FROM (
+      SELECT *, {', '.join(D.parts('url', 'u_'))} FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')}))
+    ORDER BY scheme, netloc, path""")
+def srt1_sort_urls(spark, sf):
+    u = rich_links(spark, sf).select(U.url_protocol("url").alias("scheme"), U.url_host("url").alias("netloc"),
+                                     U.url_path("url").alias("path")).distinct()
+    return A.sort_urls(u)
+
+
+# --- joins -------------------------------------------------------------------------------
+
+@register("jn1_expand", f"""
+    SELECT e.src, e.dst_url, p.page_id AS dst_page_id FROM (
+      SELECT *, {D.save_path_expr('d_', "'HTML'")} AS page_key FROM (
+        SELECT *, {', '.join(D.parts('dst_url', 'd_'))} FROM ({D.edges('pages')}))) e
+    JOIN (SELECT page_key, min(page_id) AS page_id FROM (
+            SELECT page_id, {D.save_path_expr('p_', "'HTML'")} AS page_key FROM (
+              SELECT *, {', '.join(D.parts('url', 'p_'))} FROM pages)) GROUP BY page_key) p
+    ON p.page_key = e.page_key""")
+def jn1_expand(spark, sf):
+    p = pages(spark, sf)
+    frontier = X.edges(p).withColumn("page_key", U.page_key("dst_url")).select("src", "dst_url", "page_key")
+    keyed = J.pages_by_key(p.select("page_id", "url"))
+    return J.expand(frontier, keyed).select("src", "dst_url", F.col("page_id").alias("dst_page_id"))
+
+
+@register("jn2_cache_lookup", f"""
+    SELECT r.request_id, r.save_path,
+           CASE WHEN a.save_path IS NULL THEN 'miss'
+                WHEN {TTL_MIN} * 60 >= (epoch_us(r.ts) // 1000000) - (epoch_us(a.fetched_at) // 1000000) THEN 'hit'
+                ELSE 'stale' END AS cache_status,
+           (epoch_us(r.ts) // 1000000) - (epoch_us(a.fetched_at) // 1000000) AS age_s
+    FROM ({_REQ_KEYED}) r LEFT JOIN ({D.archive('pages')}) a ON a.save_path = r.save_path""")
+def jn2_cache_lookup(spark, sf):
+    p = pages(spark, sf)
+    look = J.cache_lookup(X.requests(spark, sf, p), X.archive(p), ttl_min=TTL_MIN)
+    return look.select("request_id", "save_path", "cache_status", "age_s")
+
+
+_LINKED_MANIFEST = D.page_links("(" + D.pages_linked("pages") + ")", "none")
+
+
+def _fresh_sql():
+    return (f"SELECT save_path FROM ({D.archive('pages')}) WHERE {TTL_MIN} * 60 >= "
+            f"(epoch_us(TIMESTAMP '{X.AS_OF}') // 1000000) - (epoch_us(fetched_at) // 1000000)")
+
+
+@register("jn3_fetch_list", f"""
+    SELECT save_path, min({{'u': url, 't': link_type}}).u AS url, min({{'u': url, 't': link_type}}).t AS link_type
+    FROM (SELECT *, {D.save_path_expr('m_', 'link_type')} AS save_path FROM (
+            SELECT *, {', '.join(D.parts('url', 'm_'))} FROM ({_LINKED_MANIFEST})))
+    WHERE save_path NOT IN ({_fresh_sql()})
+    GROUP BY save_path""")
+def jn3_fetch_list(spark, sf):
+    p = pages(spark, sf)
+    man = L.page_links(X.pages_linked(p), scope="none")
+    return J.fetch_list(man, X.archive(p), TTL_MIN, X.AS_OF).select("save_path", "url", "link_type")
+
+
+@register("jn3_cached_list", f"""
+    SELECT DISTINCT save_path FROM (SELECT *, {D.save_path_expr('m_', 'link_type')} AS save_path FROM (
+            SELECT *, {', '.join(D.parts('url', 'm_'))} FROM ({_LINKED_MANIFEST})))
+    WHERE save_path IN ({_fresh_sql()})""")
+def jn3_cached_list(spark, sf):
+    p = pages(spark, sf)
+    man = L.page_links(X.pages_linked(p), scope="none")
+    return J.cached_list(man, X.archive(p), TTL_MIN, X.AS_OF)
+
+
+# --- pacing / retries ----------------------------------------------------------------------
+
+@register("win1_pacing_plan", f"""
+    SELECT request_id, host, is_fetch,
+           ({PERIOD_MS} * coalesce(sum(is_fetch::INT) OVER (PARTITION BY host ORDER BY ts, request_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset_ms
+    FROM (
+      SELECT r.request_id, r.ts, r.q_host AS host,
+             NOT (a.save_path IS NOT NULL AND {TTL_MIN} * 60 >= (epoch_us(r.ts) // 1000000) - (epoch_us(a.fetched_at) // 1000000))
+               AS is_fetch
+      FROM ({_REQ_KEYED}) r LEFT JOIN ({D.archive('pages')}) a ON a.save_path = r.save_path)""")
+def win1_pacing_plan(spark, sf):
+    p = pages(spark, sf)
+    look = J.cache_lookup(X.requests(spark, sf, p), X.archive(p), ttl_min=TTL_MIN)
+    look = A.with_fetch_flag(look).withColumn("host", U.url_host("url"))
+    plan = A.pacing_plan(look, PERIOD_MS)
+    return plan.select("request_id", "host", "is_fetch", "offset_ms")
+
+
+_PARSED = D.parsed_responses("pages")
+
+
+@register("win2_retry_plan", f"""
+    SELECT q.request_id, r.outcome, r.outcome = 'throttled' AS retry,
+           CASE WHEN r.outcome = 'throttled' THEN q.ts + to_milliseconds({3 * PERIOD_MS}) END AS retry_at
+    FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url""")
+def win2_retry_plan(spark, sf):
+    p = pages(spark, sf)
+    parsed = HT.parse_responses(X.responses(p)).select("request_url", "outcome")
+    att = X.requests(spark, sf, p).join(parsed, F.col("url") == F.col("request_url"))
+    return A.retry_plan(att, PERIOD_MS).select("request_id", "outcome", "retry", "retry_at")
+
+
+# --- responses ---------------------------------------------------------------------------
+
+@register("src5_assemble_responses", f"SELECT response_id, head, body FROM ({_PARSED})")
+def src5_assemble_responses(spark, sf):
+    resp = X.responses(pages(spark, sf))
+    raw = HT.assemble_responses(X.chunks(resp))
+    return HT.split_head_body(raw).select("response_id", "head", "body")
+
+
+@register("url15_location", f"SELECT request_url, location FROM ({_PARSED})")
+def url15_location(spark, sf):
+    return HT.parse_responses(X.responses(pages(spark, sf))).select("request_url", "location")
+
+
+@register("url16_status_outcome", f"SELECT response_id, status, outcome FROM ({_PARSED})")
+def url16_status_outcome(spark, sf):
+    return HT.parse_responses(X.responses(pages(spark, sf))).select("response_id", "status", "outcome")
+
+
+@register("snk4_failures", f"SELECT request_url, status, head, body FROM ({_PARSED}) WHERE outcome = 'error'")
+def snk4_failures(spark, sf):
+    from sitegraph.sinks.writers import failures
+    return failures(HT.parse_responses(X.responses(pages(spark, sf)))).select("request_url", "status", "head", "body")
+
+
+@register("jn4_resolve_redirects", f"""
+    WITH RECURSIVE r AS ({_PARSED}),
+    chain(url, cur, hops, seen) AS (
+      SELECT request_url, request_url, 0, [request_url] FROM r
+      UNION ALL
+      SELECT c.url, x.location, c.hops + 1, list_append(c.seen, x.location)
+      FROM chain c JOIN r x ON x.request_url = c.cur
+      WHERE x.outcome = 'redirect' AND x.location IS NOT NULL AND NOT list_contains(c.seen, x.location)
+        AND c.hops < {MAX_HOPS}),
+    last AS (SELECT url, arg_max(cur, hops) AS cur, max(hops) AS hops, arg_max(seen, hops) AS seen
+             FROM chain GROUP BY url)
+    SELECT l.url, l.cur AS effective_url, l.hops,
+           CASE WHEN x.outcome IS NULL THEN 'unknown' WHEN x.outcome <> 'redirect' THEN x.outcome
+                WHEN x.location IS NULL THEN 'error' WHEN list_contains(l.seen, x.location) THEN 'loop'
+                ELSE 'too_many_hops' END AS outcome
+    FROM last l LEFT JOIN r x ON x.request_url = l.cur""")
+def jn4_resolve_redirects(spark, sf):
+    parsed = HT.parse_responses(X.responses(pages(spark, sf)))
+    return R.resolve_redirects(parsed, MAX_HOPS)
