@@ -264,3 +264,69 @@ def parsed_responses(pages: str = "pages") -> str:
       )
     )
     """
+
+
+# --- crawl oracles ---------------------------------------------------------------------
+
+def keyed_link_table(pages: str) -> str:
+    """(page_key, raw_link, link_type) of the distinct pages (lowest page_id per key)."""
+    keyed = (f"SELECT page_key, arg_min(page_id, page_id) AS page_id, arg_min(url, page_id) AS url, "
+             f"arg_min(html, page_id) AS html FROM (SELECT *, {save_path_expr('k_', chr(39) + 'HTML' + chr(39))} "
+             f"AS page_key FROM (SELECT *, {', '.join(parts('url', 'k_'))} FROM {pages})) GROUP BY page_key")
+    return f"""
+    SELECT k.page_key, l.pos, l.raw_link, t_type AS link_type FROM (
+      SELECT *, {', '.join(link_type('tag', 'raw_link', 'type_attr', 't_'))} FROM ({lexical_links('(' + keyed + ')')})
+    ) l JOIN ({keyed}) k ON k.page_id = l.page_id
+    """
+
+
+def _scope_cond(scope: str, dst_host: str, base_host: str) -> str:
+    return {"none": "true", "same": f"{dst_host} = {base_host}",
+            "subdomain": f"suffix({dst_host}, {base_host})"}[scope]
+
+
+def crawl_levels(pages: str, depth: int, scope: str) -> str:
+    """CRL1 oracle: min level of every (seed, url) reachable in ``depth`` hops."""
+    lt = keyed_link_table(pages)
+    step = f"""
+      SELECT seed, dst AS url, level + 1 AS level, link_type = 'HTML' AS is_html FROM (
+        SELECT *, {', '.join(resolve('raw_link', 'url', 'dst', 'r_') + parts('dst', 'd_') + parts('url', 'b_'))}
+        FROM (SELECT w.seed, w.url, w.level, l.raw_link, l.link_type
+              FROM (SELECT *, {save_path_expr('w_', chr(39) + 'HTML' + chr(39))} AS pk
+                    FROM (SELECT *, {', '.join(parts('url', 'w_'))} FROM walk WHERE is_html AND level < {depth})) w
+              JOIN lt l ON l.page_key = w.pk))
+      WHERE {_scope_cond(scope, 'd_host', 'b_host')}"""
+    return f"""
+    WITH RECURSIVE lt AS ({lt}),
+    walk(seed, url, level, is_html) AS (
+      SELECT url, url, 0, true FROM {pages}
+      UNION
+      {step}
+    )
+    SELECT seed, url, min(level) AS level FROM walk GROUP BY seed, url
+    """
+
+
+def crawl_lines(pages: str, depth: int, scope: str) -> str:
+    """CRL2 oracle: walks enumerated (UNION ALL), lines counted per level."""
+    lt = keyed_link_table(pages)
+
+    def expand(where: str) -> str:
+        return f"""
+        SELECT * FROM (
+          SELECT *, {', '.join(resolve('raw_link', 'url', 'dst', 'r_') + parts('dst', 'd_') + parts('url', 'b_'))}
+          FROM (SELECT w.seed, w.url, w.level, l.raw_link, l.link_type
+                FROM (SELECT *, {save_path_expr('w_', chr(39) + 'HTML' + chr(39))} AS pk
+                      FROM (SELECT *, {', '.join(parts('url', 'w_'))} FROM walk {where})) w
+                JOIN lt l ON l.page_key = w.pk))
+        WHERE {_scope_cond(scope, 'd_host', 'b_host')}"""
+    return f"""
+    WITH RECURSIVE lt AS ({lt}),
+    walk(seed, url, level) AS (
+      SELECT url, url, 0 FROM {pages}
+      UNION ALL
+      SELECT seed, dst, level + 1 FROM ({expand(f'WHERE level < {depth - 1}')}) WHERE link_type = 'HTML'
+    )
+    SELECT seed, level + 1 AS level, link_type, dst AS url, count(*) AS n
+    FROM ({expand(f'WHERE level < {depth}')}) GROUP BY seed, level, link_type, dst
+    """

@@ -414,3 +414,40 @@ def snk4_failures(spark, sf):
 def jn4_resolve_redirects(spark, sf):
     parsed = HT.parse_responses(X.responses(pages(spark, sf)))
     return R.resolve_redirects(parsed, MAX_HOPS)
+
+
+# --- crawl -------------------------------------------------------------------------------
+
+CRAWL_DEPTH = 3
+
+
+def _linked(spark, sf):
+    return X.pages_linked(pages(spark, sf))
+
+
+@register("crl1_crawl_linked", D.crawl_levels("(" + D.pages_linked("pages") + ")", CRAWL_DEPTH, "none"))
+def crl1_crawl_linked(spark, sf):
+    from sitegraph.plans.crawl import crawl
+    pl = _linked(spark, sf)
+    return crawl(pl.select("url"), pl, CRAWL_DEPTH, scope="none")
+
+
+@register("crl1_crawl_pages_same", D.crawl_levels("pages", 2, "same"))
+def crl1_crawl_pages_same(spark, sf):
+    from sitegraph.plans.crawl import crawl
+    p = pages(spark, sf)
+    return crawl(p.select("url"), p, 2, scope="same")
+
+
+@register("crl2_crawl_manifest_linked", D.crawl_lines("(" + D.pages_linked("pages") + ")", CRAWL_DEPTH, "none"))
+def crl2_crawl_manifest_linked(spark, sf):
+    from sitegraph.plans.crawl import crawl_manifest
+    pl = _linked(spark, sf)
+    return crawl_manifest(pl.select("url"), pl, CRAWL_DEPTH, scope="none")
+
+
+@register("crl2_crawl_manifest_rich", D.crawl_lines("(" + D.pages_rich("pages") + ")", 2, "same"))
+def crl2_crawl_manifest_rich(spark, sf):
+    from sitegraph.plans.crawl import crawl_manifest
+    r = rich(spark, sf)
+    return crawl_manifest(r.select("url"), r, 2, scope="same")
