@@ -92,35 +92,75 @@ DOM_TYPES = {"iframe": "IFRAME", "a": "HTML", "img": "IMAGE", "script": "SCRIPT"
 # Entities decoded in attribute values.
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
-# Comments, and bodies of script and style elements, hold no tags.
-_DOM_STRIP = r"(?is)<!--.*?-->|(<script\b[^>]*>).*?</script\s*>|(<style\b[^>]*>).*?</style\s*>"
-# A start tag with its attributes; quoted values may hold '>'.
-DOM_TOKEN = r"(?i)<(iframe|a|img|script|link)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# One scan of the page: comments and script/style elements are consumed
+# whole (their bodies hold no tags), the link-bearing start tags are tokens.
+DOM_SCAN = (r"(?is)<!--.*?-->"
+            r"|<(?:script|style)\b" + _ATTRS + r">.*?</(?:script|style)\s*>"
+            r"|<(?:iframe|a|img|script|link)(?=[\s/>])" + _ATTRS + r">")
+_START_TAG = r"(?is)^<\w+" + _ATTRS + r">"
+# An attribute list walked up to the *last* occurrence of a name (a repeated
+# attribute keeps its last value).
+_ATTR_WALK = r"""(?is)^(<\w+(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?|\s*/)*\s+"""
+_VALUE = r"""\s*=\s*)("[^"]*"|'[^']*'|[^\s>"']*)"""
+
+
+def dom_scan(html) -> Column:
+    h = F.col(html) if isinstance(html, str) else html
+    return F.regexp_extract_all(h, F.lit(DOM_SCAN), 0)
 
 
-def dom_clean(html) -> Column:
-    """Remove comments and script/style bodies, keeping the opening tags."""
+def dom_gaps(html) -> Column:
     h = F.col(html) if isinstance(html, str) else html
-    return F.regexp_replace(h, _DOM_STRIP, "$1$2")
+    return F.split(h, DOM_SCAN, -1)
 
 
-def dom_tokens(html) -> Column:
-    return F.regexp_extract_all(dom_clean(html), F.lit(DOM_TOKEN), 0)
+def dom_start_tag(token: Column) -> Column:
+    """The start tag of a token ('' for comments)."""
+    return F.when(token.startswith("<!--"), F.lit("")).otherwise(F.regexp_extract(token, _START_TAG, 0))
 
 
-def dom_attr(token: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` (any quoting), entities decoded; NULL if absent."""
-    pat = (r"(?is)^<\w+(?:\s+(?:[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?|/))*?\s+"
-           + name + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)")
-    raw = F.regexp_extract(token, pat, 1)
-    present = token.rlike(pat)
-    val = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
-    for ent, ch in ENTITIES:
-        val = F.replace(val, F.lit(ent), F.lit(ch))
-    return F.when(present, val)
+def dom_tag_name(token: Column) -> Column:
+    return F.when(token.startswith("<!--"), F.lit("")).otherwise(F.lower(F.regexp_extract(token, r"^<(\w+)", 1)))
+
+
+def _attr_pattern(name: str) -> str:
+    return _ATTR_WALK + name + _VALUE
 
 
-def dom_has_attr(token: Column, name: str) -> Column:
-    pat = (r"(?is)^<\w+(?:\s+(?:[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?|/))*?\s+"
-           + name + r"(?:\s*=|[\s/>])")
-    return token.rlike(pat)
+def dom_attr_span(start_tag: Column, name: str) -> tuple[Column, Column]:
+    """(text before the value, raw value with its quotes) of the last ``name`` attribute."""
+    pat = _attr_pattern(name)
+    return F.regexp_extract(start_tag, pat, 1), F.regexp_extract(start_tag, pat, 2)
+
+
+def dom_attr(start_tag: Column, name: str) -> Column:
+    """Value of the last attribute ``name`` (any quoting), entities decoded; NULL if absent."""
+    pat = _attr_pattern(name)
+    raw = F.regexp_extract(start_tag, pat, 2)
+    unq = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
+    for ent, ch in ENTITIES:
+        unq = F.replace(unq, F.lit(ent), F.lit(ch))
+    return F.when(start_tag.rlike(pat), unq)
+
+
+def dom_link(token: Column) -> Column:
+    """struct(tag, raw_link, type_attr) of a scan token; raw_link NULL when
+    the token holds no link of the DOM tag set."""
+    from sitegraph.functions.urls import bind
+
+    def from_tag(tag, st):
+        attr = F.when(tag.isin("a", "link"), dom_attr(st, "href")) \
+            .when(tag.isin("iframe", "img", "script"), dom_attr(st, "src"))
+
+        def decide(a, ty):
+            rel = dom_attr(st, "rel")
+            css_ok = (F.coalesce(ty == "text/css", F.lit(False)) | F.coalesce(a.endswith(".css"), F.lit(False))
+                      | F.coalesce(F.trim(rel) == "icon", F.lit(False)))
+            ok = a.isNotNull() & (a != "") & tag.isin("iframe", "a", "img", "script", "link") \
+                & ((tag != "link") | css_ok)
+            return F.struct(tag.alias("tag"), F.when(ok, a).alias("raw_link"), ty.alias("type_attr"))
+        return bind(F.struct(attr.alias("a"), dom_attr(st, "type").alias("t")), lambda x: decide(x["a"], x["t"]))
+
+    return bind(F.struct(dom_tag_name(token).alias("tag"), dom_start_tag(token).alias("st")),
+                lambda x: from_tag(x["tag"], x["st"]))

@@ -171,14 +171,21 @@ def resolve_link(link, page_url) -> Column:
     protocol put in front.
     """
     link = _c(link)
-    page = F.regexp_replace(_c(page_url), r"^\./", "")
-    base = F.when(is_file_url(page, "HTML"), url_dirname(page)).otherwise(page)
-    base_hp = F.concat(url_host(base), url_path(base))
-    rel_full = F.concat(base_hp, F.when(base_hp.endswith("/"), F.lit("")).otherwise(F.lit("/")), link)
-    abs_full = F.concat(url_host(page), link)
-    full = F.when(link.startswith("/"), abs_full).otherwise(rel_full)
-    proto = F.when(link.startswith("/"), url_protocol(page)).otherwise(url_protocol(base))
-    return F.when(link.startswith("http"), link).otherwise(F.concat(proto, normalize_path(full)))
+
+    def with_page(page):
+        base = F.when(is_file_url(page, "HTML"), url_dirname(page)).otherwise(page)
+
+        def with_base(b):
+            hp = F.concat(url_host(b), url_path(b))
+            rel_full = bind(hp, lambda x: F.concat(x, F.when(x.endswith("/"), F.lit("")).otherwise(F.lit("/")), link))
+            abs_full = F.concat(url_host(page), link)
+            full = F.when(link.startswith("/"), abs_full).otherwise(rel_full)
+            proto = F.when(link.startswith("/"), url_protocol(page)).otherwise(url_protocol(b))
+            return F.concat(proto, normalize_path(full))
+        return bind(base, with_base)
+
+    return F.when(link.startswith("http"), link).otherwise(
+        bind(F.regexp_replace(_c(page_url), r"^\./", ""), with_page))
 
 
 def relative_path(path_from, path_to) -> Column:
@@ -269,3 +276,13 @@ def location_url(headers, request_url) -> Column:
     """URL15: Location header resolved against the request URL (URL8)."""
     v = location_value(headers)
     return F.when(v.isNotNull(), resolve_link(v, request_url))
+
+
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Large URL rules refer to the same sub-expression many times; binding it
+    keeps the expression tree linear in size instead of exponential (Catalyst
+    would otherwise analyse every copy).
+    """
+    return F.transform(F.array(value), fn).getItem(0)

@@ -33,35 +33,26 @@ def extract_links_dom(pages: DataFrame, url_col: str = "url", html_col: str = "h
                       keep: tuple[str, ...] = ("page_id",), pages_only: bool = False) -> DataFrame:
     """LNK2: DOM tag set (iframe, a, img, script, stylesheet/icon link).
 
+    Comments and script/style bodies are skipped; names are case-insensitive;
+    values may use any quoting; a repeated attribute keeps its last value.
     Rows are ordered per page by tag group (iframe, a, img, script, link),
-    then by document order: ``pos`` numbers them in that order.
-    ``pages_only`` keeps iframe and a only (the page crawler's view).
+    then document order, and ``pos`` numbers them in that order (computed in
+    the page's own row, no shuffle).  ``pages_only`` keeps iframe and a only.
     """
     keep = tuple(k for k in keep if k in pages.columns)
-    toks = pages.select(*keep, F.col(url_col).alias("src_url"),
-                        F.posexplode(H.dom_tokens(html_col)).alias("doc_pos", "token"))
-    toks = toks.withColumn("tag", F.lower(F.regexp_extract("token", r"^<(\w+)", 1)))
-    attr = F.when(F.col("tag").isin("a", "link"), H.dom_attr(F.col("token"), "href")) \
-        .otherwise(H.dom_attr(F.col("token"), "src"))
-    rel = H.dom_attr(F.col("token"), "rel")
-    ty = H.dom_attr(F.col("token"), "type")
-    out = toks.select(*keep, "src_url", "doc_pos", "tag", attr.alias("raw_link"),
-                      ty.alias("type_attr"), rel.alias("rel"))
-    # a link tag counts when it is CSS by type or by suffix, or its rel is exactly "icon".
-    css_ok = (F.coalesce(F.col("type_attr") == "text/css", F.lit(False))
-              | F.col("raw_link").endswith(".css")
-              | F.coalesce(F.lower(F.trim(F.col("rel"))) == "icon", F.lit(False)))
-    out = out.filter((F.col("raw_link").isNotNull()) & (F.col("raw_link") != "")
-                     & ((F.col("tag") != "link") | css_ok))
+    groups = ("iframe", "a", "img", "script", "link")
     if pages_only:
-        out = out.filter(F.col("tag").isin("iframe", "a"))
-    group = F.when(F.col("tag") == "iframe", 0).when(F.col("tag") == "a", 1) \
-        .when(F.col("tag") == "img", 2).when(F.col("tag") == "script", 3).otherwise(4)
-    # order number inside the page without a shuffle: group * 2^40 + document position
-    out = out.withColumn("pos", group.cast("bigint") * F.lit(1 << 40) + F.col("doc_pos"))
-    lt = F.when(F.col("tag") == "iframe", "IFRAME").when(F.col("tag") == "a", "HTML") \
-        .when(F.col("tag") == "img", "IMAGE").when(F.col("tag") == "script", "SCRIPT").otherwise("STYLE")
-    return out.withColumn("link_type", lt).drop("doc_pos", "rel")
+        groups = groups[:2]
+    recs = F.filter(F.transform(H.dom_scan(html_col), H.dom_link), lambda r: r["raw_link"].isNotNull())
+    def of_tag(g):
+        return lambda r: r["tag"] == g
+    ordered = F.flatten(F.array(*[F.filter(recs, of_tag(g)) for g in groups]))
+    out = pages.select(*keep, F.col(url_col).alias("src_url"), F.posexplode(ordered).alias("pos", "rec"))
+    lt = F.col("rec.tag")
+    link_type = F.when(lt == "iframe", "IFRAME").when(lt == "a", "HTML").when(lt == "img", "IMAGE") \
+        .when(lt == "script", "SCRIPT").otherwise("STYLE")
+    return out.select(*keep, "src_url", "pos", "rec.tag", "rec.raw_link", "rec.type_attr",
+                      link_type.alias("link_type"))
 
 
 def classify_links(links: DataFrame) -> DataFrame:
