@@ -330,3 +330,187 @@ def crawl_lines(pages: str, depth: int, scope: str) -> str:
     SELECT seed, level + 1 AS level, link_type, dst AS url, count(*) AS n
     FROM ({expand(f'WHERE level < {depth}')}) GROUP BY seed, level, link_type, dst
     """
+
+
+# --- RFC mode (URL9, URL11, URL13) ------------------------------------------------------
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def split_rfc(u: str, p: str) -> list[str]:
+    from sitegraph.functions.rfc import USES_PARAMS
+    return [
+        f"regexp_replace(regexp_replace({u}, '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g') AS {p}u",
+        f"lower(regexp_extract({p}u, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS {p}scheme",
+        f"CASE WHEN {p}scheme <> '' THEN regexp_replace({p}u, '^[A-Za-z][A-Za-z0-9+.\\-]*:', '') ELSE {p}u END AS {p}rest",
+        f"starts_with({p}rest, '//') AS {p}hasnet",
+        f"CASE WHEN {p}hasnet THEN regexp_extract({p}rest, '^//([^/?#]*)', 1) ELSE '' END AS {p}netloc",
+        f"CASE WHEN {p}hasnet THEN regexp_replace({p}rest, '^//[^/?#]*', '') ELSE {p}rest END AS {p}rest2",
+        f"regexp_replace(regexp_replace({p}rest2, '(?s)#.*$', ''), '(?s)\\?.*$', '') AS {p}pathfull",
+        f"{p}scheme IN {_in(USES_PARAMS)} AND strpos(regexp_extract({p}pathfull, '(?s)[^/]*$', 0), ';') > 0 "
+        f"AS {p}hasparams",
+        f"length(regexp_extract({p}pathfull, '(?s)^(.*/)?[^/;]*;', 0)) AS {p}cut",
+        f"CASE WHEN {p}hasparams THEN substr({p}pathfull, 1, {p}cut - 1) ELSE {p}pathfull END AS {p}path",
+        f"CASE WHEN {p}hasparams THEN substr({p}pathfull, {p}cut + 1) ELSE '' END AS {p}params",
+    ]
+
+
+def resolve_rfc(link: str, page: str, r: str) -> list[str]:
+    """URL9 select items: {r}scheme, {r}netloc, {r}path, {r}url."""
+    from sitegraph.functions.rfc import USES_NETLOC, USES_RELATIVE
+    h, b = r + "h_", r + "b_"
+    return [
+        *split_rfc(link, h), *split_rfc(page, b),
+        f"CASE WHEN {h}scheme <> '' THEN {h}scheme ELSE {b}scheme END AS {r}eff",
+        f"{h}netloc <> '' OR {r}eff <> {b}scheme OR {r}eff NOT IN {_in(USES_RELATIVE)} AS {r}own",
+        f"CASE WHEN {r}eff IN {_in(USES_NETLOC)} THEN {b}netloc ELSE {h}netloc END AS {r}net",
+        f"string_split({b}path, '/') AS {r}bparts",
+        f"CASE WHEN {r}bparts[-1] <> '' THEN {r}bparts[1:len({r}bparts) - 1] ELSE {r}bparts END AS {r}bdir",
+        f"list_concat({r}bdir, string_split({h}path, '/')) AS {r}rel0",
+        f"list_filter({r}rel0, lambda s, i: s <> '' OR i = 1 OR i = len({r}rel0)) AS {r}rel",
+        f"CASE WHEN starts_with({h}path, '/') THEN string_split({h}path, '/') ELSE {r}rel END AS {r}segs",
+        f"list_reduce({r}segs, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] WHEN s = '.' THEN acc "
+        f"ELSE list_append(acc, s) END, []::VARCHAR[]) AS {r}stack0",
+        f"CASE WHEN {r}segs[-1] IN ('.', '..') THEN list_append({r}stack0, '') ELSE {r}stack0 END AS {r}stack",
+        f"CASE WHEN array_to_string({r}stack, '/') = '' THEN '/' ELSE array_to_string({r}stack, '/') END AS {r}joined",
+        f"CASE WHEN {h}path = '' AND {h}params = '' THEN {b}path ELSE {r}joined END AS {r}path0",
+        f"CASE WHEN {r}net <> '' AND {r}path0 <> '' AND NOT starts_with({r}path0, '/') THEN '/' || {r}path0 "
+        f"ELSE {r}path0 END AS {r}path1",
+        f"CASE WHEN {r}own THEN {h}scheme ELSE {r}eff END AS {r}scheme",
+        f"CASE WHEN {r}own THEN {h}netloc ELSE {r}net END AS {r}netloc",
+        f"CASE WHEN {r}own THEN {h}path ELSE {r}path1 END AS {r}path",
+        *unsplit(f"{r}scheme", f"{r}netloc", f"{r}path", f"{r}url"),
+    ]
+
+
+def unsplit(s: str, n: str, p: str, out: str) -> list[str]:
+    from sitegraph.functions.rfc import USES_NETLOC
+    return [
+        f"CASE WHEN {n} <> '' AND {p} <> '' AND NOT starts_with({p}, '/') THEN '/' || {p} ELSE {p} END AS {out}_p",
+        f"CASE WHEN {n} <> '' THEN '//' || {n} || {out}_p WHEN starts_with({p}, '//') THEN '//' || {p} "
+        f"WHEN {s} <> '' AND {s} IN {_in(USES_NETLOC)} AND ({p} = '' OR starts_with({p}, '/')) THEN '//' || {p} "
+        f"ELSE {p} END AS {out}_body",
+        f"CASE WHEN {s} <> '' THEN {s} || ':' || {out}_body ELSE {out}_body END AS {out}",
+    ]
+
+
+def local_path(u: str, p: str) -> list[str]:
+    """URL13 select items; final alias ``{p}local``."""
+    return [
+        *split_rfc(u, p + "s_"),
+        f"regexp_replace({p}s_path, '^/+', '') AS {p}stripped",
+        f"CASE WHEN {p}s_netloc = '' THEN {p}stripped WHEN suffix({p}s_netloc, '/') THEN {p}s_netloc || {p}stripped "
+        f"ELSE {p}s_netloc || '/' || {p}stripped END AS {p}joined",
+        f"CASE WHEN strpos(regexp_extract({p}s_path, '(?s)(/[^/]*|^[^/]*)$', 0), '.') > 0 THEN {p}joined "
+        f"WHEN {p}joined = '' THEN 'index.html' WHEN suffix({p}joined, '/') THEN {p}joined || 'index.html' "
+        f"ELSE {p}joined || '/index.html' END AS {p}local",
+    ]
+
+
+def _norm_segs(x: str) -> str:
+    return (f"list_reduce(list_filter(string_split({x}, '/'), lambda s: s <> '' AND s <> '.'), "
+            f"lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] ELSE list_append(acc, s) END, "
+            f"[]::VARCHAR[])")
+
+
+def relative_path_min(frm: str, to: str, p: str) -> list[str]:
+    """URL11 select items; final alias ``{p}rel``."""
+    return [
+        f"regexp_replace({frm}, '/+$', '') AS {p}t",
+        f"CASE WHEN strpos({p}t, '/') > 0 THEN regexp_extract({p}t, '(?s)^(.*)/', 1) END AS {p}dir",
+        f"{_norm_segs(p + 'dir')} AS {p}s",
+        f"{_norm_segs(to)} AS {p}q",
+        f"least(len({p}s), len({p}q)) AS {p}m",
+        f"coalesce(list_position(list_transform(range(1, {p}m + 1), lambda i: {p}s[i] = {p}q[i]), false) - 1, {p}m)"
+        f" AS {p}k",
+        f"array_to_string(list_concat(list_transform(range(len({p}s) - {p}k), lambda x: '..'), "
+        f"{p}q[{p}k + 1:]), '/') AS {p}r0",
+        f"CASE WHEN {p}dir IS NULL THEN NULL WHEN {p}r0 = '' THEN '.' ELSE {p}r0 END AS {p}rel",
+    ]
+
+
+# --- DOM mode (LNK2), for double-quoted markup --------------------------------------------
+
+def dom_links(pages: str) -> str:
+    """LNK2 oracle: comments and script/style bodies removed, then start tags
+    of iframe/a/img/script/link; last double-quoted value of an attribute."""
+    def attr(name):
+        return f"regexp_extract(t, '(?is)^.*\\s{name}\\s*=\\s*\"([^\"]*)\"', 1)"
+
+    def has(name):
+        return f"regexp_matches(t, '(?is)\\s{name}\\s*=')"
+    link = (f"CASE WHEN lower(regexp_extract(t, '^<(\\w+)', 1)) IN ('a', 'link') AND {has('href')} THEN {attr('href')} "
+            f"WHEN lower(regexp_extract(t, '^<(\\w+)', 1)) IN ('iframe', 'img', 'script') AND {has('src')} "
+            f"THEN {attr('src')} END")
+    ty = f"CASE WHEN {has('type')} THEN {attr('type')} END"
+    rec = (f"{{'tag': lower(regexp_extract(t, '^<(\\w+)', 1)), 'raw_link': {link}, 'type_attr': {ty}, "
+           f"'rel': CASE WHEN {has('rel')} THEN {attr('rel')} END}}")
+    groups = ", ".join(f"list_filter(ok, lambda r: r.tag = '{g}')" for g in ("iframe", "a", "img", "script", "link"))
+    return f"""
+    SELECT page_id, src_url, pos - 1 AS pos, rec.tag AS tag, rec.raw_link AS raw_link, rec.type_attr AS type_attr,
+           CASE rec.tag WHEN 'iframe' THEN 'IFRAME' WHEN 'a' THEN 'HTML' WHEN 'img' THEN 'IMAGE'
+                        WHEN 'script' THEN 'SCRIPT' ELSE 'STYLE' END AS link_type
+    FROM (
+      SELECT page_id, src_url, unnest(ordered) AS rec, generate_subscripts(ordered, 1) AS pos FROM (
+        SELECT page_id, src_url, list_concat({groups}) AS ordered FROM (
+          SELECT page_id, src_url, list_filter(recs, lambda r: r.raw_link IS NOT NULL AND r.raw_link <> ''
+                   AND (r.tag <> 'link' OR coalesce(r.type_attr = 'text/css', false) OR suffix(r.raw_link, '.css')
+                        OR coalesce(trim(r.rel) = 'icon', false))) AS ok
+          FROM (
+            SELECT page_id, url AS src_url,
+                   list_transform(regexp_extract_all(
+                     regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                                    '(?is)(<(?:script|style)\\b[^>]*>).*?</(?:script|style)\\s*>', '\\1', 'g'),
+                     '(?i)<(?:iframe|a|img|script|link)(?:\\s[^>]*)?/?>', 0), lambda t: {rec}) AS recs
+            FROM {pages}))))
+    """
+
+
+def rewrite_lexical(pages: str, hint_expr: str) -> str:
+    """RW1 oracle: tokens are <a|link|img|script …> tags; the last non-empty
+    link value of a tag is replaced; gaps are kept byte for byte."""
+    tok_re = "<(?:a|link|img|script)[^>]*>"
+    items = (resolve("link", "hint", "resolved", "r_") + parts("resolved", "f_")
+             + [f"{host_path_expr('f_')} AS target",
+                f"{dirname('hint')} AS hint_dir",
+                f"{relative_path('hint_dir', 'target')} AS newval",
+                "CASE WHEN tag IN ('a', 'link') THEN regexp_extract(t, '(?s)^(.*href=\")[^\"]+\"', 1) "
+                "ELSE regexp_extract(t, '(?s)^(.*src=\")[^\"]+\"', 1) END AS pre"])
+    return f"""
+    WITH base AS (
+      SELECT page_id, html, {hint_expr} AS hint,
+             regexp_split_to_array(html, '{tok_re}') AS gaps,
+             regexp_extract_all(html, '{tok_re}') AS toks FROM {pages}),
+    tokens AS (
+      SELECT page_id, hint, i, t, regexp_extract(t, '^<(a|link|img|script)', 1) AS tag FROM (
+        SELECT page_id, hint, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM base)),
+    linked AS (
+      SELECT *, list_filter(vals, lambda v, j: names[j] <> 'type' AND v <> '')[-1] AS link FROM (
+        SELECT *,
+          CASE WHEN tag IN ('a', 'link') THEN regexp_extract_all(t, '(href|type)="([^"]*)"', 1)
+               ELSE regexp_extract_all(t, '(src|type)="([^"]*)"', 1) END AS names,
+          CASE WHEN tag IN ('a', 'link') THEN regexp_extract_all(t, '(href|type)="([^"]*)"', 2)
+               ELSE regexp_extract_all(t, '(src|type)="([^"]*)"', 2) END AS vals
+        FROM tokens)),
+    rewritten AS (
+      SELECT page_id, i, CASE WHEN link IS NULL OR starts_with(link, '../') THEN t
+                              ELSE pre || newval || substr(t, length(pre) + length(link) + 1) END AS nt
+      FROM ({chain('linked', items)})),
+    pieces AS (
+      SELECT b.page_id, g.i, g.gap || coalesce(r.nt, '') AS piece FROM (
+        SELECT page_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i FROM base) g
+      JOIN base b ON b.page_id = g.page_id
+      LEFT JOIN rewritten r ON r.page_id = g.page_id AND r.i = g.i)
+    SELECT page_id, string_agg(piece, '' ORDER BY i) AS html FROM pieces GROUP BY page_id
+    """
+
+
+def chain(src: str, items: list[str]) -> str:
+    """``SELECT *, item`` nested once per item: later items see earlier
+    aliases as plain columns, so no expression is ever copied (DuckDB expands
+    same-level alias references by substitution, which explodes on long chains)."""
+    q = src if src.lstrip().upper().startswith("SELECT") else f"SELECT * FROM {src}"
+    for it in items:
+        q = f"SELECT *, {it} FROM ({q})"
+    return q

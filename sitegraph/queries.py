@@ -451,3 +451,80 @@ def crl2_crawl_manifest_rich(spark, sf):
     from sitegraph.plans.crawl import crawl_manifest
     r = rich(spark, sf)
     return crawl_manifest(r.select("url"), r, 2, scope="same")
+
+
+# --- DOM mode, RFC resolution, rewriting -----------------------------------------------------
+
+from sitegraph.functions import rfc as RFC  # noqa: E402
+from sitegraph.operators import rewrite as RW  # noqa: E402
+
+_RICH = "(" + D.pages_rich("pages") + ")"
+_DOM = D.dom_links(_RICH)
+
+
+def rich_dom(spark, sf):
+    return L.extract_links_dom(rich(spark, sf))
+
+
+@register("lnk2_extract_links_dom", f"SELECT page_id, pos, tag, raw_link, type_attr, link_type FROM ({_DOM})")
+def lnk2_extract_links_dom(spark, sf):
+    return rich_dom(spark, sf).select("page_id", "pos", "tag", "raw_link", "type_attr", "link_type")
+
+
+@register("url9_resolve_link_rfc", f"""
+    SELECT page_id, pos, x_scheme AS scheme, x_netloc AS netloc, x_path AS path, x_url AS url FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_'))})""")
+def url9_resolve_link_rfc(spark, sf):
+    d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url"))
+    return d.select("page_id", "pos", "r.scheme", "r.netloc", "r.path",
+                    RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url"))
+
+
+@register("url13_local_path", f"""
+    SELECT page_id, url, lp_local AS local_path FROM (
+      {D.chain(f"SELECT page_id, url FROM pages UNION ALL SELECT page_id, x_url AS url FROM ("
+               + D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_')) + ")", D.local_path('url', 'lp_'))})""")
+def url13_local_path(spark, sf):
+    d = rich_dom(spark, sf).select("page_id", RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url"))
+    u = pages(spark, sf).select("page_id", "url").unionByName(d)
+    return u.select("page_id", "url", RFC.local_path("url").alias("local_path"))
+
+
+@register("url11_relative_path_min", f"""
+    SELECT page_id, pos, rp_rel AS rel FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_') + D.local_path('src_url', 'pg_')
+               + D.local_path('x_url', 'tg_') + D.relative_path_min('pg_local', 'tg_local', 'rp_'))})""")
+def url11_relative_path_min(spark, sf):
+    d = rich_dom(spark, sf).withColumn("target", RFC.resolve_link_rfc_url("raw_link", "src_url"))
+    d = d.withColumn("pg", RFC.local_path("src_url")).withColumn("tg", RFC.local_path("target"))
+    return d.select("page_id", "pos", RFC.relative_path_min("pg", "tg").alias("rel"))
+
+
+_HINT_SQL = f"'./' || {D.save_path_expr('h_', chr(39) + 'HTML' + chr(39))}"
+
+
+@register("rw1_rewrite_links", D.rewrite_lexical(
+    f"(SELECT *, {', '.join(D.parts('url', 'h_'))} FROM ({D.pages_rich('pages')}))", _HINT_SQL))
+def rw1_rewrite_links(spark, sf):
+    return RW.rewrite_links(rich(spark, sf)).select("page_id", "html")
+
+
+@register("rw1_rewrite_links_pages", D.rewrite_lexical(
+    f"(SELECT *, {', '.join(D.parts('url', 'h_'))} FROM pages)", _HINT_SQL))
+def rw1_rewrite_links_pages(spark, sf):
+    return RW.rewrite_links(pages(spark, sf)).select("page_id", "html")
+
+
+@register("rw2_rewrite_links_dom")
+def rw2_rewrite_links_dom(spark, sf):
+    return RW.rewrite_links_dom(rich(spark, sf)).select("page_id", "html")
+
+
+@register("jn5_page_bundle", f"""
+    SELECT d.page_id, d.pos, d.link_type, d.lp_local AS local_path, a.save_path IS NOT NULL AS found FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_') + D.local_path('x_url', 'lp_'))}) d
+    LEFT JOIN ({D.archive('pages')}) a ON a.save_path = d.lp_local""")
+def jn5_page_bundle(spark, sf):
+    from sitegraph.plans.archive import page_bundle
+    p = pages(spark, sf)
+    return page_bundle(X.pages_rich(p), X.archive(p)).select("page_id", "pos", "link_type", "local_path", "found")
