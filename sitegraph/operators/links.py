@@ -95,14 +95,45 @@ def split_pages_resources(links: DataFrame, type_col: str = "link_type") -> tupl
     return links.filter(is_page), links.filter(~is_page)
 
 
+def resolved_link_array(links, base_url, scope: str = "none", dot_boundary: bool = False,
+                        with_type: bool = True):
+    """Resolve, scope-filter and type an array of link structs inside one
+    expression.  Kept per page on purpose: as separate project/filter steps
+    the optimizer would copy the resolution into the filter and compute it
+    twice.  Each element keeps its original position ``pos``."""
+    base_url = F.col(base_url) if isinstance(base_url, str) else base_url
+
+    def enrich(r, i):
+        fields = [i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
+                  r["type_attr"].alias("type_attr"), U.resolve_link(r["raw_link"], base_url).alias("url")]
+        if with_type:
+            fields.append(U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
+        return F.struct(*fields)
+
+    arr = F.transform(links, enrich)
+    if scope == "none":
+        return arr
+    return U.bind(U.url_host(base_url), lambda ph: F.filter(arr, lambda x: _host_ok(U.url_host(x["url"]), ph,
+                                                                                    scope, dot_boundary)))
+
+
+def _host_ok(h, ph, scope, dot_boundary):
+    if scope == "same":
+        return h == ph
+    if scope == "subdomain":
+        return ((h == ph) | h.endswith(F.concat(F.lit("."), ph))) if dot_boundary else h.endswith(ph)
+    raise ValueError(f"unknown scope {scope!r}")
+
+
 def page_links(pages: DataFrame, scope: str = "same", url_col: str = "url",
                html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """LNK1 -> URL8 -> FLT1 -> LNK3 over every page: what the crawler prints
-    for a page at depth one, one row per link occurrence."""
-    links = extract_links(pages, url_col, html_col, keep)
-    links = resolve_links(links)
-    links = scope_filter(links, scope)
-    return classify_links(links)
+    for a page at depth one, one row per link occurrence.  All per-link work
+    happens inside the page's row (one generator, no shuffle)."""
+    keep = tuple(k for k in keep if k in pages.columns)
+    arr = resolved_link_array(H.lexical_links(html_col), F.col(url_col), scope)
+    out = pages.select(*keep, F.col(url_col).alias("src_url"), F.explode(arr).alias("l"))
+    return out.select(*keep, "src_url", "l.pos", "l.tag", "l.raw_link", "l.type_attr", "l.url", "l.link_type")
 
 
 def manifest(links: DataFrame) -> DataFrame:

@@ -29,9 +29,13 @@ def resolve_redirects(parsed: DataFrame, max_hops: int = 10, url_col: str = "req
                       F.col("location").alias("r_location")).dropDuplicates(["cur"])
     state = parsed.select(F.col(url_col).alias("url")).distinct() \
         .select("url", F.col("url").alias("cur"), F.lit(0).alias("hops"), F.array("url").alias("seen"))
+    from pyspark import StorageLevel
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [r]
     done = []
     for i in range(max_hops + 1):
-        step = state.join(r, "cur", "left")
+        step = state.join(r, "cur", "left").persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(step)
         moving = (F.col("r_outcome") == "redirect") & F.col("r_location").isNotNull() \
             & ~F.array_contains("seen", F.col("r_location")) & (F.col("hops") < max_hops)
         final_outcome = (F.when(F.col("r_outcome").isNull(), F.lit("unknown"))
@@ -52,4 +56,8 @@ def resolve_redirects(parsed: DataFrame, max_hops: int = 10, url_col: str = "req
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    ensure_checkpoint_dir(spark)
+    out = out.checkpoint(eager=True)
+    for h in held:
+        h.unpersist()
     return out

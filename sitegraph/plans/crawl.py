@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegraph.functions import html as H
 from sitegraph.functions import urls as U
 from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
@@ -20,33 +21,52 @@ from sitegraph.session import ensure_checkpoint_dir
 
 
 def page_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_key, pos, tag, raw_link, type_attr, link_type): the links of each
-    distinct page, extracted once.  Resolution waits for the URL the page is
-    reached by, as the reference resolves against the effective URL."""
+    """(page_key, links array<struct<pos, tag, raw_link, type_attr, link_type>>):
+    the links of each distinct page, extracted once.  Resolution waits for
+    the URL the page is reached by, as the reference resolves against the
+    effective URL.  One row per page keeps the level joins narrow."""
     keyed = J.pages_by_key(pages.select("page_id", url_col, html_col), url_col)
-    links = L.extract_links(keyed, url_col, html_col, keep=("page_key",))
-    return L.classify_links(links).drop("src_url")
+
+    def typed(r, i):
+        return F.struct(i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
+                        r["type_attr"].alias("type_attr"),
+                        U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
+    return keyed.select("page_key", F.transform(H.lexical_links(html_col), typed).alias("links"))
 
 
 def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base: str) -> DataFrame:
     """Links found on the frontier pages, resolved against the frontier URL
-    and filtered by scope.  Each distinct frontier URL is expanded once and
-    the result joined back to the seeds that reached it."""
-    bases = frontier.select("url", "page_key", "seed").dropDuplicates(["url", "seed"]) \
-        if scope_base == "seed" else frontier.select("url", "page_key").distinct()
+    and filtered by scope, as rows (seed, url, [visits], dst, link_type).
+    Each distinct frontier URL is expanded once and the result joined back
+    to the seeds that reached it."""
+    by_seed = scope_base == "seed"
+    keys = ["url", "seed"] if by_seed else ["url"]
+    bases = frontier.select(*keys, "page_key").dropDuplicates(keys)
     found = bases.join(link_table, "page_key")
-    found = found.withColumn("dst", U.resolve_link("raw_link", "url"))
+    scope_ref = F.col("seed") if by_seed else F.col("url")
+
+    def resolved(l):
+        return F.struct(l["link_type"].alias("link_type"), U.resolve_link(l["raw_link"], F.col("url")).alias("dst"))
+    arr = F.transform("links", resolved)
     if scope != "none":
-        base = "seed" if scope_base == "seed" else "url"
-        found = found.filter(U.in_scope("dst", base, scope))
-    keys = ["url", "seed"] if scope_base == "seed" else ["url"]
-    cols = ["url", "dst", "link_type"] + (["seed"] if scope_base == "seed" else [])
-    return frontier.select("seed", "url", *( ["visits"] if "visits" in frontier.columns else [])) \
-        .join(found.select(*cols), keys)
+        arr = U.bind(U.url_host(scope_ref),
+                     lambda ph: F.filter(arr, lambda x: L._host_ok(U.url_host(x["dst"]), ph, scope, False)))
+    found = found.select(*keys, F.explode(arr).alias("x")).select(*keys, "x.dst", "x.link_type")
+    extra = ["visits"] if "visits" in frontier.columns else []
+    return frontier.select("seed", "url", *extra).join(found, keys)
+
+
+def _cut(df: DataFrame, level: int, every: int) -> DataFrame:
+    """Materialise a level: a reliable checkpoint every ``every`` levels (the
+    lineage never grows past that), a persisted copy otherwise."""
+    if every and level % every == 0:
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
-          scope_base: str = "page", link_table: DataFrame | None = None) -> DataFrame:
+          scope_base: str = "page", link_table: DataFrame | None = None,
+          checkpoint_every: int = 2) -> DataFrame:
     """CRL1: every URL within ``depth`` hops of each seed, with its level.
 
     ``seeds`` has a ``url`` column.  Pages reached through an HTML link (or
@@ -58,24 +78,26 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     if depth <= 0:
         return spark.createDataFrame([], "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
-    table = (link_table if link_table is not None else page_link_table(pages)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    table = (link_table if link_table is not None else page_link_table(pages)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
-    frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key")) \
-        .checkpoint(eager=True)
+    frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"))
+    frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(frontier)
     expanded = frontier.select("seed", "url")
     found_all = [frontier.select("seed", "url", F.lit(0).alias("level"))]
     for level in range(1, depth + 1):
         hits = _expand(frontier, table, scope, scope_base)
-        step = hits.select("seed", F.col("dst").alias("url"), F.lit(level).alias("level"),
-                           (F.col("link_type") == "HTML").alias("is_html"))
-        step = step.groupBy("seed", "url", "level").agg(F.max("is_html").alias("is_html")) \
-            .checkpoint(eager=True)
+        step = hits.groupBy("seed", F.col("dst").alias("url")) \
+            .agg(F.max(F.col("link_type") == "HTML").alias("is_html")).withColumn("level", F.lit(level))
+        step = _cut(step, level, checkpoint_every)
+        held.append(step)
         found_all.append(step.select("seed", "url", "level"))
         if level == depth:
             break
         nxt = step.filter("is_html").select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
-        frontier = nxt.withColumn("page_key", U.page_key("url")).checkpoint(eager=True)
+        frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
+        held.append(frontier)
         if frontier.isEmpty():
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
@@ -83,12 +105,14 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     for f in found_all[1:]:
         out = out.unionByName(f)
     out = out.groupBy("seed", "url").agg(F.min("level").alias("level")).checkpoint(eager=True)
-    table.unpersist()
+    for h in held:
+        h.unpersist()
     return out
 
 
 def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
-                   scope_base: str = "page", link_table: DataFrame | None = None) -> DataFrame:
+                   scope_base: str = "page", link_table: DataFrame | None = None,
+                   checkpoint_every: int = 2) -> DataFrame:
     """CRL2: the manifest the reference prints, multiplicities included.
 
     It keeps no visited set, so a page is expanded once per walk reaching
@@ -100,25 +124,30 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     if depth <= 0:
         return spark.createDataFrame([], "seed string, level int, link_type string, url string, n bigint")
     ensure_checkpoint_dir(spark)
-    table = (link_table if link_table is not None else page_link_table(pages)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    table = (link_table if link_table is not None else page_link_table(pages)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"),
-                        F.lit(1).cast("bigint").alias("visits")).checkpoint(eager=True)
+                        F.lit(1).cast("bigint").alias("visits")).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(frontier)
     lines = []
     for level in range(1, depth + 1):
         hits = _expand(frontier, table, scope, scope_base)
-        step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type") \
-            .agg(F.sum("visits").alias("n")).checkpoint(eager=True)
+        step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type").agg(F.sum("visits").alias("n"))
+        step = _cut(step, level, checkpoint_every)
+        held.append(step)
         lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url", "n"))
         if level == depth:
             break
         nxt = step.filter(F.col("link_type") == "HTML").groupBy("seed", "url").agg(F.sum("n").alias("visits"))
-        frontier = nxt.withColumn("page_key", U.page_key("url")).checkpoint(eager=True)
+        frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
+        held.append(frontier)
         if frontier.isEmpty():
             break
     out = lines[0]
     for l in lines[1:]:
         out = out.unionByName(l)
-    table.unpersist()
+    out = out.checkpoint(eager=True)
+    for h in held:
+        h.unpersist()
     return out

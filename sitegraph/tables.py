@@ -4,6 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables whose rows carry whole documents; per-row regex work dominates.
+DOCUMENT_TABLES = frozenset({"pages"})
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in DOCUMENT_TABLES:
+        df = spread(df)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one task per core.
+
+    A small file with one row group is a single scan split, so all pages
+    would be parsed by one core.  When the scan has fewer splits than the
+    cluster has cores, rows are dealt round-robin over the cores; a large
+    input (many splits) is returned untouched, so no shuffle is added at
+    scale.  Filters and column pruning still reach the scan below.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
