@@ -528,3 +528,92 @@ def jn5_page_bundle(spark, sf):
     from sitegraph.plans.archive import page_bundle
     p = pages(spark, sf)
     return page_bundle(X.pages_rich(p), X.archive(p)).select("page_id", "pos", "link_type", "local_path", "found")
+
+
+# --- text sources and sinks ---------------------------------------------------------------
+
+from sitegraph.sinks import writers as W  # noqa: E402
+from sitegraph.sources import readers as RD  # noqa: E402
+
+_MAN_LINES = (f"SELECT concat_ws(chr(9), link_type, url) AS value FROM ({D.page_links('pages', 'same')}) "
+              f"UNION ALL SELECT 'NO' AS value FROM pages")
+
+
+def _manifest_lines(spark, sf):
+    p = pages(spark, sf)
+    return X.manifest_lines(L.page_links(p, "same"), p)
+
+
+@register("src3_read_manifest", f"""
+    SELECT f[1] AS link_type, f[2] AS url FROM (
+      SELECT string_split_regex(regexp_replace(value, '^[ \\t]+|[ \\t]+$', '', 'g'), '[ \\t]+') AS f
+      FROM ({_MAN_LINES})) WHERE f[2] IS NOT NULL AND f[2] <> ''""")
+def src3_read_manifest(spark, sf):
+    return RD.parse_manifest_lines(_manifest_lines(spark, sf))
+
+
+@register("src4_read_seeds", "SELECT url FROM (SELECT unnest([url, '']) AS url FROM pages) WHERE url <> ''")
+def src4_read_seeds(spark, sf):
+    return RD.parse_seed_lines(X.seed_lines(pages(spark, sf)))
+
+
+@register("snk1_manifest_text", f"""
+    SELECT link_type || chr(9) || url AS value FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')})""")
+def snk1_manifest_text(spark, sf):
+    return W.manifest_text(rich_links(spark, sf))
+
+
+@register("snk2_url_list", f"""
+    SELECT DISTINCT x_url AS value FROM ({D.chain(D.dom_links(_RICH), D.resolve_rfc('raw_link', 'src_url', 'x_'))})
+    WHERE link_type IN ('HTML', 'IFRAME')""")
+def snk2_url_list(spark, sf):
+    d = rich_dom(spark, sf).filter(F.col("link_type").isin("HTML", "IFRAME"))
+    return W.url_list(d.select(RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url")))
+
+
+# --- streaming -------------------------------------------------------------------------------
+
+from sitegraph.streaming import streams as ST  # noqa: E402
+
+
+def _pages_stream(spark, sf):
+    schema = pages(spark, sf).schema
+    return ST.read_stream(spark, sf, schema, file_glob="pages.parquet")
+
+
+@register("str1_stream_manifest", f"SELECT link_type, url FROM ({D.page_links('pages', 'same')})")
+def str1_stream_manifest(spark, sf):
+    out = ST.run_available_now(ST.stream_manifest(_pages_stream(spark, sf)), "str1")
+    return spark.read.parquet(out)
+
+
+@register("str2_stream_url_set", f"SELECT DISTINCT url FROM ({D.page_links('pages', 'none')})")
+def str2_stream_url_set(spark, sf):
+    links = ST.stream_manifest(_pages_stream(spark, sf), scope="none")
+    return spark.read.parquet(ST.run_available_now(ST.stream_url_set(links), "str2"))
+
+
+@register("str3_stream_fetch_list")
+def str3_stream_fetch_list(spark, sf):
+    p = pages(spark, sf)
+    n = p.count()
+    ev = ST.read_stream(spark, sf, table(spark, sf, "events").schema, file_glob="events.parquet")
+    ev = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+                   (F.col("event_id") % n).alias("page_id"))
+    lt = F.when(F.col("event_type") == "error", F.lit("NO")).otherwise(F.lit("HTML"))
+    req = ev.join(p.select("page_id", "url"), "page_id").select(
+        F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts")
+    out = ST.run_available_now(ST.stream_fetch_list(req, TTL_MIN), "str3")
+    return spark.read.parquet(out).select("request_id", "save_path", "ts")
+
+
+@register("str4_stream_archive", D.archive("pages"))
+def str4_stream_archive(spark, sf):
+    s = _pages_stream(spark, sf).filter(F.col("url").startswith("https://"))
+    fetched = F.to_timestamp(F.lit(X.AS_OF)) - F.make_dt_interval(
+        mins=(F.col("page_id") * X.AGE_FACTOR) % X.AGE_SPREAD_MIN)
+    rows = s.select(U.save_path("url", "HTML").alias("page_key"), U.save_path("url", "HTML").alias("save_path"),
+                    U.url_host("url").alias("host"), F.col("html").alias("body"), fetched.alias("fetched_at"))
+    table_path = ST.stream_folder(spark, "str4-table")
+    ST.stream_archive(rows, table_path)
+    return spark.read.parquet(table_path).select("page_key", "save_path", "host", "body", "fetched_at")
