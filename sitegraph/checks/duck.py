@@ -514,3 +514,32 @@ def chain(src: str, items: list[str]) -> str:
     for it in items:
         q = f"SELECT *, {it} FROM ({q})"
     return q
+
+
+def crawl_rfc_levels(pages: str, depth: int, host_preserve: bool = False, host_regex: str | None = None,
+                     path_regex: str | None = None) -> str:
+    """Oracle of the page-crawler mode (DOM iframe/a links, RFC join, FLT2)."""
+    keyed = chain(f"SELECT page_id, url, html FROM {pages}", split_rfc("url", "k_") + ["k_netloc || k_path AS pk"])
+    keyed = (f"SELECT pk AS page_key, arg_min(page_id, page_id) AS page_id FROM ({keyed}) GROUP BY pk")
+    links = (f"SELECT k.page_key, d.raw_link FROM ({dom_links(pages)}) d JOIN ({keyed}) k ON k.page_id = d.page_id "
+             f"WHERE d.link_type IN ('HTML', 'IFRAME')")
+    conds = ["true"]
+    if host_preserve:
+        conds.append("x_netloc = w_netloc")
+    elif host_regex is not None:
+        conds.append(f"regexp_matches(x_netloc, '{host_regex}')")
+    if path_regex is not None:
+        conds.append(f"regexp_matches(CASE WHEN x_path = '' THEN '/' ELSE x_path END, '{path_regex}')")
+    walk_keyed = chain("SELECT * FROM walk WHERE level < " + str(depth), split_rfc("url", "w_")
+                       + ["w_netloc || w_path AS pk"])
+    step = chain(f"SELECT w.seed, w.url, w.level, w.w_netloc, l.raw_link FROM ({walk_keyed}) w "
+                 f"JOIN lt l ON l.page_key = w.pk", resolve_rfc("raw_link", "url", "x_"))
+    return f"""
+    WITH RECURSIVE lt AS ({links}),
+    walk(seed, url, level) AS (
+      SELECT url, url, 0 FROM {pages}
+      UNION
+      SELECT seed, x_url, level + 1 FROM ({step}) WHERE {' AND '.join(conds)}
+    )
+    SELECT seed, url, min(level) AS level FROM walk GROUP BY seed, url
+    """

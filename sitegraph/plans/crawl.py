@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
+from sitegraph.functions import rfc as RFC
 from sitegraph.functions import urls as U
 from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
@@ -151,3 +152,79 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     for h in held:
         h.unpersist()
     return out
+
+
+# --- page-crawler mode: DOM page links, RFC join, regex scope --------------------------------
+
+def rfc_key(url) -> F.Column:
+    """Identity of a page in this mode: network location + path."""
+    return U.bind(RFC.split_url(url), lambda p: F.concat(p["netloc"], p["path"]))
+
+
+def rfc_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_key, links array<struct<raw_link>>): iframe then a links of each page."""
+    p = pages.select("page_id", url_col, html_col).withColumn("page_key", rfc_key(url_col))
+    keyed = p.groupBy("page_key").agg(F.min_by(F.struct(html_col), F.col("page_id")).alias("p"))
+    recs = F.filter(F.transform(H.dom_scan(F.col("p." + html_col)), H.dom_link),
+                    lambda r: r["raw_link"].isNotNull())
+    ordered = F.concat(F.filter(recs, lambda r: r["tag"] == "iframe"), F.filter(recs, lambda r: r["tag"] == "a"))
+    return keyed.select("page_key", ordered.alias("links"))
+
+
+def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: bool = False,
+              host_regex: str | None = None, path_regex: str | None = None,
+              checkpoint_every: int = 2) -> DataFrame:
+    """CRL1 as the page crawler does it: iframe/a links, RFC 3986 join with
+    params/query/fragment dropped, FLT2 scope (host of the page being
+    expanded, or a host regex; a path regex), pages identified by
+    netloc+path.  Output (seed, url, level); the seed is level 0."""
+    spark = seeds.sparkSession
+    if depth <= 0:
+        return spark.createDataFrame([], "seed string, url string, level int")
+    ensure_checkpoint_dir(spark)
+    table = rfc_link_table(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [table]
+    s = seeds.select(F.col("url").alias("seed")).distinct()
+    frontier = s.select("seed", F.col("seed").alias("url"), rfc_key("seed").alias("page_key")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(frontier)
+    expanded = frontier.select("seed", "url")
+    found_all = [frontier.select("seed", "url", F.lit(0).alias("level"))]
+
+    def ok(x, base_netloc):
+        cond = F.lit(True)
+        if host_preserve:
+            cond = cond & (x["netloc"] == base_netloc)
+        elif host_regex is not None:
+            cond = cond & x["netloc"].rlike(host_regex)
+        if path_regex is not None:
+            cond = cond & F.when(x["path"] == "", F.lit("/")).otherwise(x["path"]).rlike(path_regex)
+        return cond
+
+    for level in range(1, depth + 1):
+        bases = frontier.select("url", "page_key").dropDuplicates(["url"])
+        found = bases.join(table, "page_key")
+        arr = F.transform("links", lambda l: RFC.resolve_link_rfc(l["raw_link"], F.col("url")))
+        arr = U.bind(RFC.split_url(F.col("url"))["netloc"], lambda bn: F.filter(arr, lambda x: ok(x, bn)))
+        arr = F.transform(arr, lambda x: RFC.unsplit(x["scheme"], x["netloc"], x["path"]))
+        found = found.select("url", F.explode(arr).alias("dst"))
+        step = frontier.select("seed", "url").join(found, "url") \
+            .select("seed", F.col("dst").alias("url")).distinct().withColumn("level", F.lit(level))
+        step = _cut(step, level, checkpoint_every)
+        held.append(step)
+        found_all.append(step)
+        if level == depth:
+            break
+        nxt = step.select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
+        frontier = _cut(nxt.withColumn("page_key", rfc_key("url")), level, checkpoint_every)
+        held.append(frontier)
+        if frontier.isEmpty():
+            break
+        expanded = expanded.unionByName(frontier.select("seed", "url"))
+    out = found_all[0]
+    for f in found_all[1:]:
+        out = out.unionByName(f)
+    out = out.groupBy("seed", "url").agg(F.min("level").alias("level")).checkpoint(eager=True)
+    for h in held:
+        h.unpersist()
+    return out

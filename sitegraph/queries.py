@@ -617,3 +617,60 @@ def str4_stream_archive(spark, sf):
     table_path = ST.stream_folder(spark, "str4-table")
     ST.stream_archive(rows, table_path)
     return spark.read.parquet(table_path).select("page_key", "save_path", "host", "body", "fetched_at")
+
+
+# --- page-crawler mode, regex scope, SQL functions ---------------------------------------------
+
+_LINKED = "(" + D.pages_linked("pages") + ")"
+PATH_RE = "^/(en|de)/"
+HOST_RE = "example[.](com|org)$"
+
+
+@register("crl1_crawl_rfc_linked", D.crawl_rfc_levels(_LINKED, CRAWL_DEPTH))
+def crl1_crawl_rfc_linked(spark, sf):
+    from sitegraph.plans.crawl import crawl_rfc
+    pl = _linked(spark, sf)
+    return crawl_rfc(pl.select("url"), pl, CRAWL_DEPTH)
+
+
+@register("crl1_crawl_rfc_path_regex", D.crawl_rfc_levels(_LINKED, CRAWL_DEPTH, path_regex=PATH_RE))
+def crl1_crawl_rfc_path_regex(spark, sf):
+    from sitegraph.plans.crawl import crawl_rfc
+    pl = _linked(spark, sf)
+    return crawl_rfc(pl.select("url"), pl, CRAWL_DEPTH, path_regex=PATH_RE)
+
+
+@register("flt2_scope_filter_regex", f"""
+    SELECT page_id, pos, x_netloc AS netloc, x_path AS path FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_'))})
+    WHERE regexp_matches(x_netloc, '{HOST_RE}') AND regexp_matches(CASE WHEN x_path = '' THEN '/' ELSE x_path END,
+                                                                  '{PATH_RE}')""")
+def flt2_scope_filter_regex(spark, sf):
+    d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url"))
+    d = d.select("page_id", "pos", "r.netloc", "r.path")
+    return L.scope_filter_regex(d, host_regex=HOST_RE, path_regex=PATH_RE, host_col="netloc", path_col="path")
+
+
+@register("flt2_scope_host_preserve", f"""
+    SELECT page_id, pos, x_netloc AS netloc, x_path AS path FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_') + D.split_rfc('src_url', 's_'))})
+    WHERE x_netloc = s_netloc""")
+def flt2_scope_host_preserve(spark, sf):
+    d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url")) \
+        .withColumn("src_netloc", RFC.split_url("src_url")["netloc"])
+    d = d.select("page_id", "pos", "r.netloc", "r.path", "src_netloc")
+    return L.scope_filter_regex(d, host_preserve=True).drop("src_netloc")
+
+
+@register("udf4_sql_functions", f"""
+    SELECT page_id, pos, url, link_type, {D.save_path_expr('u_', 'link_type')} AS save_path FROM (
+      {D.chain(D.page_links(_RICH, 'none'), D.parts('url', 'u_'))})""")
+def udf4_sql_functions(spark, sf):
+    from sitegraph.functions import sql_udfs
+    sql_udfs.register(spark)
+    L.extract_links(rich(spark, sf)).createOrReplaceTempView("sg_rich_links")
+    return spark.sql("""
+        SELECT page_id, pos, sg_resolve_link(raw_link, src_url) AS url,
+               sg_link_type(tag, raw_link, type_attr) AS link_type,
+               sg_save_path(sg_resolve_link(raw_link, src_url), sg_link_type(tag, raw_link, type_attr)) AS save_path
+        FROM sg_rich_links""")
