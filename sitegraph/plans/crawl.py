@@ -21,18 +21,26 @@ from sitegraph.operators import links as L
 from sitegraph.session import ensure_checkpoint_dir
 
 
+def _co_partition(table: DataFrame) -> DataFrame:
+    """Hash-partition the link table by page_key once and keep it: every
+    level's join then exchanges only the (small) frontier side."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(n, "page_key").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def page_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_key, links array<struct<pos, tag, raw_link, type_attr, link_type>>):
     the links of each distinct page, extracted once.  Resolution waits for
     the URL the page is reached by, as the reference resolves against the
-    effective URL.  One row per page keeps the level joins narrow."""
-    keyed = J.pages_by_key(pages.select("page_id", url_col, html_col), url_col)
-
+    effective URL.  Links are extracted before the per-key dedupe (lowest
+    page_id wins), so only link arrays -- not HTML -- are shuffled."""
     def typed(r, i):
         return F.struct(i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
                         r["type_attr"].alias("type_attr"),
                         U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
-    return keyed.select("page_key", F.transform(H.lexical_links(html_col), typed).alias("links"))
+    per_page = pages.select("page_id", U.page_key(url_col).alias("page_key"),
+                            F.transform(H.lexical_links(html_col), typed).alias("links"))
+    return per_page.groupBy("page_key").agg(F.min_by("links", "page_id").alias("links"))
 
 
 def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base: str) -> DataFrame:
@@ -67,19 +75,23 @@ def _cut(df: DataFrame, level: int, every: int) -> DataFrame:
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
           scope_base: str = "page", link_table: DataFrame | None = None,
-          checkpoint_every: int = 2) -> DataFrame:
+          checkpoint_every: int = 2, on_links=None) -> DataFrame:
     """CRL1: every URL within ``depth`` hops of each seed, with its level.
 
     ``seeds`` has a ``url`` column.  Pages reached through an HTML link (or
     seeds) at a level below ``depth`` are expanded; every in-scope link they
     hold is reported.  Output: (seed, url, level) with the smallest level;
     the seed itself is level 0.  ``depth`` 0 gives nothing.
+
+    ``on_links`` (UDF2) is a DataFrame -> DataFrame function applied to each
+    level's found links (columns seed, url, dst, link_type) before they are
+    reported and followed: the user's replacement for the per-link callback.
     """
     spark = seeds.sparkSession
     if depth <= 0:
         return spark.createDataFrame([], "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
-    table = (link_table if link_table is not None else page_link_table(pages)).persist(StorageLevel.MEMORY_AND_DISK)
+    table = _co_partition(link_table if link_table is not None else page_link_table(pages))
     held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"))
@@ -89,6 +101,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     found_all = [frontier.select("seed", "url", F.lit(0).alias("level"))]
     for level in range(1, depth + 1):
         hits = _expand(frontier, table, scope, scope_base)
+        if on_links is not None:
+            hits = on_links(hits)
         step = hits.groupBy("seed", F.col("dst").alias("url")) \
             .agg(F.max(F.col("link_type") == "HTML").alias("is_html")).withColumn("level", F.lit(level))
         step = _cut(step, level, checkpoint_every)
@@ -125,7 +139,7 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     if depth <= 0:
         return spark.createDataFrame([], "seed string, level int, link_type string, url string, n bigint")
     ensure_checkpoint_dir(spark)
-    table = (link_table if link_table is not None else page_link_table(pages)).persist(StorageLevel.MEMORY_AND_DISK)
+    table = _co_partition(link_table if link_table is not None else page_link_table(pages))
     held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"),
@@ -162,13 +176,12 @@ def rfc_key(url) -> F.Column:
 
 
 def rfc_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_key, links array<struct<raw_link>>): iframe then a links of each page."""
-    p = pages.select("page_id", url_col, html_col).withColumn("page_key", rfc_key(url_col))
-    keyed = p.groupBy("page_key").agg(F.min_by(F.struct(html_col), F.col("page_id")).alias("p"))
-    recs = F.filter(F.transform(H.dom_scan(F.col("p." + html_col)), H.dom_link),
-                    lambda r: r["raw_link"].isNotNull())
+    """(page_key, links array<struct<tag, raw_link, type_attr>>): iframe then a
+    links of each page (lowest page_id per key), extracted before the dedupe."""
+    recs = F.filter(F.transform(H.dom_scan(html_col), H.dom_link), lambda r: r["raw_link"].isNotNull())
     ordered = F.concat(F.filter(recs, lambda r: r["tag"] == "iframe"), F.filter(recs, lambda r: r["tag"] == "a"))
-    return keyed.select("page_key", ordered.alias("links"))
+    per_page = pages.select("page_id", rfc_key(url_col).alias("page_key"), ordered.alias("links"))
+    return per_page.groupBy("page_key").agg(F.min_by("links", "page_id").alias("links"))
 
 
 def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: bool = False,
@@ -182,7 +195,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
     if depth <= 0:
         return spark.createDataFrame([], "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
-    table = rfc_link_table(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    table = _co_partition(rfc_link_table(pages))
     held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), rfc_key("seed").alias("page_key")) \

@@ -674,3 +674,21 @@ def udf4_sql_functions(spark, sf):
                sg_link_type(tag, raw_link, type_attr) AS link_type,
                sg_save_path(sg_resolve_link(raw_link, src_url), sg_link_type(tag, raw_link, type_attr)) AS save_path
         FROM sg_rich_links""")
+
+
+# --- archiving jobs (rows-only checks) ------------------------------------------------------
+
+@register("pip1_archive_site")
+def pip1_archive_site(spark, sf):
+    from sitegraph.plans.archive import archive_site
+    p = pages(spark, sf)
+    corpus = X.pages_linked(p)
+    return archive_site(corpus.select("url"), corpus, X.archive(p), depth=1, scope="none",
+                        ttl_min=TTL_MIN, as_of=X.AS_OF)
+
+
+@register("pip2_archive_pages")
+def pip2_archive_pages(spark, sf):
+    from sitegraph.plans.archive import archive_pages
+    p = pages(spark, sf)
+    return archive_pages(X.pages_rich(p), X.archive(p))

@@ -84,7 +84,8 @@ def upsert_newest(batch: DataFrame, table_path: str, key: str = "save_path", ts:
     best = best.select(key, "_b.*", ts).select(*cols)
     # materialise before overwriting the partitions it was read from
     best = best.checkpoint(eager=True)
-    best.repartition(partition).write.mode("overwrite").partitionBy(partition).parquet(table_path)
+    from sitegraph.sinks.writers import host_spread
+    host_spread(best, partition, key).write.mode("overwrite").partitionBy(partition).parquet(table_path)
 
 
 def stream_archive(rows_stream: DataFrame, table_path: str, name: str = "archive"):
