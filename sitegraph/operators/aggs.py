@@ -73,7 +73,7 @@ def retry_plan(attempts: DataFrame, period_ms: int, outcome_col: str = "outcome"
     """WIN2: a throttled first attempt gets exactly one more attempt three
     periods later; other outcomes get none."""
     retry = F.col(outcome_col) == "throttled"
-    at = F.col(ts_col).cast("timestamp") + F.make_dt_interval(secs=F.lit(3 * period_ms / 1000.0))
+    at = F.col(ts_col) + F.make_dt_interval(secs=F.lit(3 * period_ms / 1000.0))
     return attempts.withColumn("retry", retry).withColumn("retry_at", F.when(retry, at))
 
 

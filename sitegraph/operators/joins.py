@@ -31,7 +31,9 @@ def expand(frontier: DataFrame, pages: DataFrame, key: str = "page_key") -> Data
 
 
 def _seconds(c: Column) -> Column:
-    return F.unix_seconds(c.cast("timestamp"))
+    """Whole seconds since the epoch of a wall-clock time (time-zone free,
+    like the file clock it models)."""
+    return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c.cast("timestamp_ntz"))
 
 
 def cache_lookup(requests: DataFrame, archive: DataFrame, ttl_min: int | None = None,
@@ -41,7 +43,7 @@ def cache_lookup(requests: DataFrame, archive: DataFrame, ttl_min: int | None =
     ``ttl*60 >= as_of - fetched_at`` (whole seconds); ``stale`` if older;
     ``miss`` if absent.  ``ttl_min=None`` means existence only.
     ``as_of`` defaults to the request's ``ts``."""
-    as_of_c = F.col("ts") if as_of is None else (F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of)
+    as_of_c = F.col("ts") if as_of is None else (F.to_timestamp_ntz(F.lit(as_of)) if isinstance(as_of, str) else as_of)
     req = requests.withColumn("save_path", U.save_path(url_col, F.col(type_col))) \
         .withColumn("_as_of", as_of_c)
     arc = archive.select(F.col("save_path").alias("_sp"), F.col("fetched_at").alias("_fetched_at"))
@@ -57,7 +59,7 @@ def cache_lookup(requests: DataFrame, archive: DataFrame, ttl_min: int | None =
 def fresh_copies(archive: DataFrame, ttl_min: int | None, as_of: str) -> DataFrame:
     if ttl_min is None:
         return archive
-    age = _seconds(F.to_timestamp(F.lit(as_of))) - _seconds(F.col("fetched_at"))
+    age = _seconds(F.to_timestamp_ntz(F.lit(as_of))) - _seconds(F.col("fetched_at"))
     return archive.filter(F.lit(ttl_min * 60) >= age)
 
 

@@ -41,7 +41,7 @@ def archive_site(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth:
     fetched = todo.join(keyed.select(F.col("page_key").alias("save_path"), "html"), "save_path")
     rows = fetched.select(F.col("save_path").alias("page_key"), "save_path", U.url_host("url").alias("host"),
                           RW.rewrite_html(F.col("html"), F.concat(F.lit("./"), F.col("save_path"))).alias("body"),
-                          F.to_timestamp(F.lit(as_of)).alias("fetched_at"))
+                          F.to_timestamp_ntz(F.lit(as_of)).alias("fetched_at"))
     return rows
 
 

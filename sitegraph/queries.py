@@ -598,19 +598,20 @@ def str3_stream_fetch_list(spark, sf):
     p = pages(spark, sf)
     n = p.count()
     ev = ST.read_stream(spark, sf, table(spark, sf, "events").schema, file_glob="events.parquet")
-    ev = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+    ev = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts_w"),
+                   F.col("ts").cast("timestamp_ntz").alias("ts"),
                    (F.col("event_id") % n).alias("page_id"))
     lt = F.when(F.col("event_type") == "error", F.lit("NO")).otherwise(F.lit("HTML"))
     req = ev.join(p.select("page_id", "url"), "page_id").select(
-        F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts")
-    out = ST.run_available_now(ST.stream_fetch_list(req, TTL_MIN), "str3")
+        F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts", "ts_w")
+    out = ST.run_available_now(ST.stream_fetch_list(req, TTL_MIN, ts_col="ts_w"), "str3")
     return spark.read.parquet(out).select("request_id", "save_path", "ts")
 
 
 @register("str4_stream_archive", D.archive("pages"))
 def str4_stream_archive(spark, sf):
     s = _pages_stream(spark, sf).filter(F.col("url").startswith("https://"))
-    fetched = F.to_timestamp(F.lit(X.AS_OF)) - F.make_dt_interval(
+    fetched = F.to_timestamp_ntz(F.lit(X.AS_OF)) - F.make_dt_interval(
         mins=(F.col("page_id") * X.AGE_FACTOR) % X.AGE_SPREAD_MIN)
     rows = s.select(U.save_path("url", "HTML").alias("page_key"), U.save_path("url", "HTML").alias("save_path"),
                     U.url_host("url").alias("host"), F.col("html").alias("body"), fetched.alias("fetched_at"))

@@ -88,7 +88,7 @@ def pages_linked(pages: DataFrame, n: int | None = None) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Previously saved copies: the https pages, one row per save path, the
     newest copy winning; ``fetched_at`` spreads over AGE_SPREAD_MIN minutes."""
-    fetched = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(
+    fetched = F.to_timestamp_ntz(F.lit(AS_OF)) - F.make_dt_interval(
         mins=(F.col("page_id") * AGE_FACTOR) % AGE_SPREAD_MIN)
     a = pages.filter(F.col("url").startswith("https://")).select(
         "page_id", U.save_path("url", "HTML").alias("save_path"),
@@ -105,7 +105,7 @@ def requests(spark: SparkSession, sf: str, pages: DataFrame | None = None, n: in
     pages = pages if pages is not None else table(spark, sf, "pages")
     n = n if n is not None else _page_count(pages)
     ev = table(spark, sf, "events").select(
-        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"),
         (F.col("event_id") % n).alias("page_id"))
     lt = F.when(F.col("event_type") == "error", F.lit("NO")).otherwise(F.lit("HTML"))
     return ev.join(pages.select("page_id", "url"), "page_id").select(
@@ -138,7 +138,7 @@ def responses(pages: DataFrame, n: int | None = None) -> DataFrame:
                            F.concat(F.lit("Location: "), F.col("location"), F.lit("\r\n"))).otherwise(F.lit("")),
                     F.lit("\r\n"))
     body = F.when(F.col("status") == 200, F.col("html")).otherwise(F.lit("<html>moved</html>"))
-    ts = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(mins=pid)
+    ts = F.to_timestamp_ntz(F.lit(AS_OF)) - F.make_dt_interval(mins=pid)
     return r.select(F.col("page_id").alias("response_id"), F.col("url").alias("request_url"),
                     ts.alias("ts"), F.encode(F.concat(head, body), "UTF-8").alias("raw"))
 

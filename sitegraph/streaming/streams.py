@@ -55,12 +55,12 @@ def stream_url_set(links_stream: DataFrame, key: str = "url") -> DataFrame:
     return links_stream.select(key).dropDuplicates([key])
 
 
-def stream_fetch_list(requests_stream: DataFrame, ttl_min: int) -> DataFrame:
+def stream_fetch_list(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts") -> DataFrame:
     """STR3: a save path is fetched again only once its copy may be older
     than the TTL.  Approximation: no repeat inside the watermark delay (TTL);
     the exact rule needs the time of the last fetch per key as state."""
     r = requests_stream.withColumn("save_path", U.save_path("url", F.col("link_type")))
-    return r.withWatermark("ts", f"{ttl_min} minutes").dropDuplicatesWithinWatermark(["save_path"])
+    return r.withWatermark(ts_col, f"{ttl_min} minutes").dropDuplicatesWithinWatermark(["save_path"])
 
 
 def upsert_newest(batch: DataFrame, table_path: str, key: str = "save_path", ts: str = "fetched_at",
