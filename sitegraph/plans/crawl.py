@@ -22,10 +22,10 @@ from sitegraph.session import ensure_checkpoint_dir
 
 
 def _co_partition(table: DataFrame) -> DataFrame:
-    """Hash-partition the link table by page_key once and keep it: every
-    level's join then exchanges only the (small) frontier side."""
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.repartition(n, "page_key").persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep the link table as it comes out of the per-key dedupe: already
+    hash-partitioned by page_key (and sized by AQE), so every level's join
+    exchanges only the frontier side."""
+    return table.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def page_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
