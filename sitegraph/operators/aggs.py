@@ -83,3 +83,17 @@ def with_fetch_flag(lookups: DataFrame, status_col: str = "cache_status") -> Dat
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def retry_attempts(attempts: DataFrame, period_ms: int, outcome_col: str = "outcome",
+                   ts_col: str = "ts", id_col: str = "request_id") -> DataFrame:
+    """WIN2 as an attempts table: (request_id, attempt, attempt_at, outcome).  Attempt
+    1 is the request; a throttled attempt 1 is followed by attempt 2 three
+    periods later (same captured response, so it is throttled again and not
+    retried).  Numbered with ``posexplode`` inside the row, no window."""
+    first = F.struct(F.col(ts_col).alias("attempt_at"), F.col(outcome_col).alias("outcome"))
+    second = F.struct((F.col(ts_col) + F.make_dt_interval(secs=F.lit(3 * period_ms / 1000.0))).alias("attempt_at"),
+                      F.col(outcome_col).alias("outcome"))
+    arr = F.when(F.col(outcome_col) == "throttled", F.array(first, second)).otherwise(F.array(first))
+    out = attempts.select(id_col, F.posexplode(arr).alias("attempt", "a"))
+    return out.select(id_col, (F.col("attempt") + 1).alias("attempt"), "a.attempt_at", "a.outcome")

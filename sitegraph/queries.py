@@ -593,21 +593,39 @@ def str2_stream_url_set(spark, sf):
     return spark.read.parquet(ST.run_available_now(ST.stream_url_set(links), "str2"))
 
 
-@register("str3_stream_fetch_list")
-def str3_stream_fetch_list(spark, sf):
+def _requests_stream(spark, sf):
     p = pages(spark, sf)
     n = p.count()
     ev = ST.read_stream(spark, sf, table(spark, sf, "events").schema, file_glob="events.parquet")
     ev = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts_w"),
-                   F.col("ts").cast("timestamp_ntz").alias("ts"),
-                   (F.col("event_id") % n).alias("page_id"))
+                   F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") % n).alias("page_id"))
     lt = F.when(F.col("event_type") == "error", F.lit("NO")).otherwise(F.lit("HTML"))
-    req = ev.join(p.select("page_id", "url"), "page_id").select(
+    return ev.join(p.select("page_id", "url"), "page_id").select(
         F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts", "ts_w")
-    out = ST.run_available_now(ST.stream_fetch_list(req, TTL_MIN, ts_col="ts_w"), "str3")
+
+
+@register("str3_stream_fetch_list")
+def str3_stream_fetch_list(spark, sf):
+    out = ST.run_available_now(ST.stream_fetch_list(_requests_stream(spark, sf), TTL_MIN, ts_col="ts_w"), "str3")
     return spark.read.parquet(out).select("request_id", "save_path", "ts")
 
 
+@register("str3_stream_fetch_events", f"""
+    WITH RECURSIVE r AS (
+      SELECT save_path, request_id, (epoch_us(ts) // 1000000) AS ts_s, epoch_us(ts) AS ts_us FROM ({_REQ_KEYED})),
+    chain(save_path, request_id, ts_s) AS (
+      SELECT save_path, arg_min(request_id, (ts_us, request_id)), arg_min(ts_s, (ts_us, request_id))
+      FROM r GROUP BY save_path
+      UNION ALL
+      SELECT c.save_path, arg_min(x.request_id, (x.ts_us, x.request_id)), arg_min(x.ts_s, (x.ts_us, x.request_id))
+      FROM chain c JOIN r x ON x.save_path = c.save_path AND x.ts_s - c.ts_s > {TTL_MIN} * 60
+      GROUP BY c.save_path)
+    SELECT save_path, request_id, ts_s FROM chain""")
+def str3_stream_fetch_events(spark, sf):
+    out = ST.run_available_now(ST.stream_fetch_events(_requests_stream(spark, sf), TTL_MIN), "str3x")
+    return spark.read.parquet(out)
+
+
 @register("str4_stream_archive", D.archive("pages"))
 def str4_stream_archive(spark, sf):
     s = _pages_stream(spark, sf).filter(F.col("url").startswith("https://"))
@@ -693,3 +711,25 @@ def pip2_archive_pages(spark, sf):
     from sitegraph.plans.archive import archive_pages
     p = pages(spark, sf)
     return archive_pages(X.pages_rich(p), X.archive(p))
+
+
+@register("win2_retry_attempts", f"""
+    SELECT request_id, attempt, attempt_at, outcome FROM (
+      SELECT q.request_id, 1 AS attempt, q.ts AS attempt_at, r.outcome
+      FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url
+      UNION ALL
+      SELECT q.request_id, 2 AS attempt, q.ts + to_milliseconds({3 * PERIOD_MS}) AS attempt_at, r.outcome
+      FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url
+      WHERE r.outcome = 'throttled')""")
+def win2_retry_attempts(spark, sf):
+    p = pages(spark, sf)
+    parsed = HT.parse_responses(X.responses(p)).select("request_url", "outcome")
+    att = X.requests(spark, sf, p).join(parsed, F.col("url") == F.col("request_url"))
+    return A.retry_attempts(att, PERIOD_MS).withColumn("attempt", F.col("attempt").cast("int"))
+
+
+@register("snk3_write_archive", f"SELECT page_key, save_path, host, body, fetched_at FROM ({D.archive('pages')})")
+def snk3_write_archive(spark, sf):
+    root = ST.stream_folder(spark, "snk3-archive")
+    W.write_archive(X.archive(pages(spark, sf)), root)
+    return spark.read.parquet(root).select("page_key", "save_path", "host", "body", "fetched_at")

@@ -97,3 +97,47 @@ def stream_archive(rows_stream: DataFrame, table_path: str, name: str = "archive
          .foreachBatch(lambda df, _id: upsert_newest(df, table_path)).start())
     q.awaitTermination()
     return table_path
+
+
+def _epoch(c, unit: str):
+    return F.timestamp_diff(unit, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c.cast("timestamp_ntz"))
+
+
+def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts") -> DataFrame:
+    """STR3, exact: the requests that trigger a network fetch when a copy is
+    reused while ``ttl*60 >= now - fetched`` (whole seconds), i.e. a key is
+    fetched again only once its last copy is older than the TTL.
+
+    The time of the last fetch per save path is the operator state
+    (``applyInPandasWithState``); each group holds one key's rows of one
+    micro-batch, so its size is bounded by the trigger, not by the stream.
+    Output: (save_path, request_id, ts_s) of the fetching requests.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ttl_s = int(ttl_min) * 60
+    r = requests_stream.withColumn("save_path", U.save_path("url", F.col("link_type"))) \
+        .select("save_path", "request_id", _epoch(F.col(ts_col), "SECOND").alias("ts_s"),
+                _epoch(F.col(ts_col), "MICROSECOND").alias("ts_us"))
+
+    def greedy(key, pdfs, state):
+        last = state.get[0] if state.exists else None
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts_us", "request_id"], kind="stable")
+        ts = pdf["ts_s"].to_numpy()
+        keep = np.zeros(len(ts), dtype=bool)
+        for i, t in enumerate(ts):
+            if last is None or t - last > ttl_s:
+                keep[i] = True
+                last = int(t)
+        state.update((int(last),))
+        yield pd.DataFrame({"save_path": key[0], "request_id": pdf["request_id"].to_numpy()[keep],
+                            "ts_s": ts[keep]})
+
+    return r.groupBy("save_path").applyInPandasWithState(
+        greedy, "save_path string, request_id long, ts_s long", "last_fetch long", "append",
+        GroupStateTimeout.NoTimeout)
