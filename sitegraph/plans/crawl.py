@@ -91,8 +91,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     if depth <= 0:
         return spark.createDataFrame([], "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
-    table = _co_partition(link_table if link_table is not None else page_link_table(pages))
-    held = [table]
+    table = link_table if link_table is not None else _co_partition(page_link_table(pages))
+    held = [] if link_table is not None else [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"))
     frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)
@@ -139,8 +139,8 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     if depth <= 0:
         return spark.createDataFrame([], "seed string, level int, link_type string, url string, n bigint")
     ensure_checkpoint_dir(spark)
-    table = _co_partition(link_table if link_table is not None else page_link_table(pages))
-    held = [table]
+    table = link_table if link_table is not None else _co_partition(page_link_table(pages))
+    held = [] if link_table is not None else [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"),
                         F.lit(1).cast("bigint").alias("visits")).persist(StorageLevel.MEMORY_AND_DISK)
