@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 # Fixed values of the lexical scanner.
 MAX_TAG = 1023          # characters examined after '<'
 HREF_TAGS = ("a", "link")
-SRC_TAGS = ("img", "script")
 # ---------------------------------------------------------------------------
 
 _Q = "{0,%d}+" % MAX_TAG
@@ -85,10 +84,6 @@ def lexical_links(html) -> Column:
 
 # --- DOM mode ---------------------------------------------------------------
 
-# Fixed values of the DOM tag set: tag -> link attribute, in emission order.
-DOM_TAGS = (("iframe", "src"), ("a", "href"), ("img", "src"), ("script", "src"), ("link", "href"))
-# Link types of the DOM tag set.
-DOM_TYPES = {"iframe": "IFRAME", "a": "HTML", "img": "IMAGE", "script": "SCRIPT", "link": "STYLE"}
 # Entities decoded in attribute values.
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
@@ -128,12 +123,6 @@ def _attr_pattern(name: str) -> str:
     return _ATTR_WALK + name + _VALUE
 
 
-def dom_attr_span(start_tag: Column, name: str) -> tuple[Column, Column]:
-    """(text before the value, raw value with its quotes) of the last ``name`` attribute."""
-    pat = _attr_pattern(name)
-    return F.regexp_extract(start_tag, pat, 1), F.regexp_extract(start_tag, pat, 2)
-
-
 def dom_attr(start_tag: Column, name: str) -> Column:
     """Value of the last attribute ``name`` (any quoting), entities decoded; NULL if absent."""
     pat = _attr_pattern(name)

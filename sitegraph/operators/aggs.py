@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,10 +81,6 @@ def with_fetch_flag(lookups: DataFrame, status_col: str = "cache_status") -> Dat
     return lookups.withColumn("is_fetch", F.col(status_col) != "hit")
 
 
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def retry_attempts(attempts: DataFrame, period_ms: int, outcome_col: str = "outcome",
                    ts_col: str = "ts", id_col: str = "request_id") -> DataFrame:
     """WIN2 as an attempts table: (request_id, attempt, attempt_at, outcome).  Attempt

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from sitegraph.functions import html as H
 from sitegraph.functions import rfc as RFC
 from sitegraph.functions import urls as U
-from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
 from sitegraph.session import ensure_checkpoint_dir
 
