@@ -282,15 +282,17 @@ def keyed_link_table(pages: str) -> str:
 
 def _scope_cond(scope: str, dst_host: str, base_host: str) -> str:
     return {"none": "true", "same": f"{dst_host} = {base_host}",
-            "subdomain": f"suffix({dst_host}, {base_host})"}[scope]
+            "subdomain": f"suffix({dst_host}, {base_host})",
+            "subdomain_dot": f"({dst_host} = {base_host} OR suffix({dst_host}, '.' || {base_host}))"}[scope]
 
 
-def crawl_levels(pages: str, depth: int, scope: str) -> str:
+def crawl_levels(pages: str, depth: int, scope: str, scope_base: str = "page") -> str:
     """CRL1 oracle: min level of every (seed, url) reachable in ``depth`` hops."""
     lt = keyed_link_table(pages)
+    base_col = "seed" if scope_base == "seed" else "url"
     step = f"""
       SELECT seed, dst AS url, level + 1 AS level, link_type = 'HTML' AS is_html FROM (
-        SELECT *, {', '.join(resolve('raw_link', 'url', 'dst', 'r_') + parts('dst', 'd_') + parts('url', 'b_'))}
+        SELECT *, {', '.join(resolve('raw_link', 'url', 'dst', 'r_') + parts('dst', 'd_') + parts(base_col, 'b_'))}
         FROM (SELECT w.seed, w.url, w.level, l.raw_link, l.link_type
               FROM (SELECT *, {save_path_expr('w_', chr(39) + 'HTML' + chr(39))} AS pk
                     FROM (SELECT *, {', '.join(parts('url', 'w_'))} FROM walk WHERE is_html AND level < {depth})) w

@@ -733,3 +733,48 @@ def snk3_write_archive(spark, sf):
     root = ST.stream_folder(spark, "snk3-archive")
     W.write_archive(X.archive(pages(spark, sf)), root)
     return spark.read.parquet(root).select("page_key", "save_path", "host", "body", "fetched_at")
+
+
+# --- parameter variants ------------------------------------------------------------------
+
+@register("jn3_fetch_list_force", f"""
+    SELECT save_path, min({{'u': url, 't': link_type}}).u AS url, min({{'u': url, 't': link_type}}).t AS link_type
+    FROM (SELECT *, {D.save_path_expr('m_', 'link_type')} AS save_path FROM (
+            SELECT *, {', '.join(D.parts('url', 'm_'))} FROM ({_LINKED_MANIFEST})))
+    GROUP BY save_path""")
+def jn3_fetch_list_force(spark, sf):
+    p = pages(spark, sf)
+    man = L.page_links(X.pages_linked(p), scope="none")
+    return J.fetch_list(man, X.archive(p), TTL_MIN, X.AS_OF, force=True).select("save_path", "url", "link_type")
+
+
+@register("win1_pacing_plan_global", f"""
+    SELECT request_id, is_fetch,
+           ({PERIOD_MS} * coalesce(sum(is_fetch::INT) OVER (ORDER BY ts, request_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset_ms
+    FROM (
+      SELECT r.request_id, r.ts,
+             NOT (a.save_path IS NOT NULL AND {TTL_MIN} * 60 >= (epoch_us(r.ts) // 1000000)
+                  - (epoch_us(a.fetched_at) // 1000000)) AS is_fetch
+      FROM ({_REQ_KEYED}) r LEFT JOIN ({D.archive('pages')}) a ON a.save_path = r.save_path)""")
+def win1_pacing_plan_global(spark, sf):
+    p = pages(spark, sf)
+    look = A.with_fetch_flag(J.cache_lookup(X.requests(spark, sf, p), X.archive(p), ttl_min=TTL_MIN))
+    return A.pacing_plan(look, PERIOD_MS, group_col=None).select("request_id", "is_fetch", "offset_ms")
+
+
+@register("flt1_scope_subdomain_dot", f"""
+    SELECT page_id, pos, url, link_type FROM (
+      SELECT *, {', '.join(D.parts('url', 'u_') + D.parts('src_url', 's_'))}
+      FROM ({D.page_links('(' + D.pages_rich('pages') + ')', 'none')}))
+    WHERE u_host = s_host OR suffix(u_host, '.' || s_host)""")
+def flt1_scope_subdomain_dot(spark, sf):
+    l = L.scope_filter(rich_links(spark, sf), "subdomain", dot_boundary=True)
+    return l.select("page_id", "pos", "url", "link_type")
+
+
+@register("crl1_crawl_seed_scope", D.crawl_levels("(" + D.pages_rich("pages") + ")", 2, "subdomain", "seed"))
+def crl1_crawl_seed_scope(spark, sf):
+    from sitegraph.plans.crawl import crawl
+    r = rich(spark, sf)
+    return crawl(r.select("url"), r, 2, scope="subdomain", scope_base="seed")
