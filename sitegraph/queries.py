@@ -638,6 +638,7 @@ def str4_stream_archive(spark, sf):
     return spark.read.parquet(table_path).select("page_key", "save_path", "host", "body", "fetched_at")
 
 
+
 # --- page-crawler mode, regex scope, SQL functions ---------------------------------------------
 
 _LINKED = "(" + D.pages_linked("pages") + ")"

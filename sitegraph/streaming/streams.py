@@ -63,29 +63,35 @@ def stream_fetch_list(requests_stream: DataFrame, ttl_min: int, ts_col: str = "t
     return r.withWatermark(ts_col, f"{ttl_min} minutes").dropDuplicatesWithinWatermark(["save_path"])
 
 
+UPSERT_BUCKETS = 64
+
+
 def upsert_newest(batch: DataFrame, table_path: str, key: str = "save_path", ts: str = "fetched_at",
-                  partition: str = "host") -> None:
-    """Merge a batch into a parquet table partitioned by ``partition``:
-    per key the newest ``ts`` wins.  Only the partitions the batch touches are
-    read and rewritten (dynamic partition overwrite)."""
+                  partition: str = "host", buckets: int = UPSERT_BUCKETS) -> None:
+    """Merge a batch into a parquet table partitioned by (``partition``,
+    ``key_bucket``): per key the newest ``ts`` wins.  Only the buckets the
+    batch touches are read (dynamic partition pruning through the semi join)
+    and rewritten (dynamic partition overwrite), so a host holding a third
+    of the archive costs 1/``buckets`` of it per micro-batch, not all of it."""
     spark = batch.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    batch = batch.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     cols = batch.columns
-    others = [c for c in cols if c not in (key, ts, partition)]
+    parts = [partition, "key_bucket"]
+    others = [c for c in cols if c not in (key, ts, *parts)]
     try:
         old = spark.read.parquet(table_path)
-        touched = batch.select(partition).distinct()
-        old = old.join(touched, partition, "left_semi").select(*cols)
+        touched = batch.select(*parts).distinct()
+        old = old.join(touched, parts, "left_semi").select(*cols)
         merged = old.unionByName(batch)
     except Exception:  # noqa: BLE001 - first batch: no table yet
         merged = batch
     best = merged.groupBy(key).agg(
-        F.max_by(F.struct(*others, partition), F.struct(ts, *others)).alias("_b"), F.max(ts).alias(ts))
+        F.max_by(F.struct(*others, *parts), F.struct(ts, *others)).alias("_b"), F.max(ts).alias(ts))
     best = best.select(key, "_b.*", ts).select(*cols)
     # materialise before overwriting the partitions it was read from
     best = best.checkpoint(eager=True)
-    from sitegraph.sinks.writers import host_spread
-    host_spread(best, partition, key).write.mode("overwrite").partitionBy(partition).parquet(table_path)
+    best.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(table_path)
 
 
 def stream_archive(rows_stream: DataFrame, table_path: str, name: str = "archive"):

@@ -52,3 +52,20 @@ def test_archive_round_trip(spark):
             f.write(body)
     got = sorted((r.save_path, r.host, bytes(r.body)) for r in RD.read_archive(spark, tree).collect())
     assert got == [("a.org/x/index.html", "a.org", b"<p>1</p>"), ("b.org/s.css", "b.org", b"p{}")]
+
+
+def test_stream_upsert_newest_wins(spark):
+    from datetime import datetime
+    from sitegraph.streaming import streams as ST
+    root = os.path.join(_tmp(), "up")
+    b1 = spark.createDataFrame([("a.org/x", "a.org", "v1", datetime(2024, 1, 1)),
+                                ("a.org/y", "a.org", "y1", datetime(2024, 1, 1))],
+                               "save_path string, host string, body string, fetched_at timestamp_ntz")
+    b2 = spark.createDataFrame([("a.org/x", "a.org", "v2", datetime(2024, 1, 2)),
+                                ("a.org/y", "a.org", "old", datetime(2023, 1, 1)),
+                                ("b.org/z", "b.org", "z1", datetime(2024, 1, 3))],
+                               "save_path string, host string, body string, fetched_at timestamp_ntz")
+    ST.upsert_newest(b1, root)
+    ST.upsert_newest(b2, root)
+    got = sorted((r.save_path, r.body) for r in spark.read.parquet(root).collect())
+    assert got == [("a.org/x", "v2"), ("a.org/y", "y1"), ("b.org/z", "z1")]
