@@ -143,11 +143,13 @@ def responses(pages: DataFrame, n: int | None = None) -> DataFrame:
                     ts.alias("ts"), F.encode(F.concat(head, body), "UTF-8").alias("raw"))
 
 
-def chunks(resp: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """Responses cut into ``size``-byte pieces (response_id, seq, chunk)."""
-    nchunks = F.greatest(F.ceil(F.octet_length("raw") / size), F.lit(1)).cast("int")
-    c = resp.select("response_id", "raw", F.explode(F.sequence(F.lit(0), nchunks - 1)).alias("seq"))
-    return c.select("response_id", "seq", F.substring("raw", F.col("seq") * size + 1, size).alias("chunk"))
+def chunks(resp: DataFrame, size=CHUNK_BYTES) -> DataFrame:
+    """Responses cut into ``size``-byte pieces (response_id, seq, chunk);
+    ``size`` may be a number or a column (one size per response)."""
+    sz = size if isinstance(size, F.Column) else F.lit(int(size))
+    nchunks = F.greatest(F.ceil(F.octet_length("raw") / sz), F.lit(1)).cast("int")
+    c = resp.select("response_id", "raw", sz.alias("_sz"), F.explode(F.sequence(F.lit(0), nchunks - 1)).alias("seq"))
+    return c.select("response_id", "seq", F.substring("raw", F.col("seq") * F.col("_sz") + 1, F.col("_sz")).alias("chunk"))
 
 
 def manifest_lines(links: DataFrame, pages: DataFrame) -> DataFrame:
