@@ -124,13 +124,19 @@ def _attr_pattern(name: str) -> str:
 
 
 def dom_attr(start_tag: Column, name: str) -> Column:
-    """Value of the last attribute ``name`` (any quoting), entities decoded; NULL if absent."""
-    pat = _attr_pattern(name)
-    raw = F.regexp_extract(start_tag, pat, 2)
-    unq = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
-    for ent, ch in ENTITIES:
-        unq = F.replace(unq, F.lit(ent), F.lit(ch))
-    return F.when(start_tag.rlike(pat), unq)
+    """Value of the last attribute ``name`` (any quoting), entities decoded; NULL if absent.
+
+    One pass of the attribute-walking regex: the whole match is empty iff the
+    attribute is absent, and the value is the quoted or bare word that ends it."""
+    from sitegraph.functions.urls import bind
+
+    def decode(whole):
+        raw = F.regexp_extract(whole, r"""=\s*("[^"]*"|'[^']*'|[^\s>"']*)$""", 1)
+        unq = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
+        for ent, ch in ENTITIES:
+            unq = F.replace(unq, F.lit(ent), F.lit(ch))
+        return F.when(whole != "", unq)
+    return bind(F.regexp_extract(start_tag, _attr_pattern(name), 0), decode)
 
 
 def dom_link(token: Column) -> Column:

@@ -477,7 +477,7 @@ def lnk2_extract_links_dom(spark, sf):
 def url9_resolve_link_rfc(spark, sf):
     d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url"))
     return d.select("page_id", "pos", "r.scheme", "r.netloc", "r.path",
-                    RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url"))
+                    RFC.unsplit(F.col("r.scheme"), F.col("r.netloc"), F.col("r.path")).alias("url"))
 
 
 @register("url13_local_path", f"""
