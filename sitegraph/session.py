@@ -52,11 +52,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is.  Only a local-mode session (tests, bench) without the setting
     gets a fresh scratch folder of its own.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the directory
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set") from None
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()

@@ -24,7 +24,11 @@ def spread(df: DataFrame) -> DataFrame:
     input (many splits) is returned untouched, so no shuffle is added at
     scale.  Filters and column pruning still reach the scan below.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as it is
+        return df
+    if splits < par:
         return df.repartition(par)
     return df
