@@ -545,3 +545,48 @@ def crawl_rfc_levels(pages: str, depth: int, host_preserve: bool = False, host_r
     )
     SELECT seed, url, min(level) AS level FROM walk GROUP BY seed, url
     """
+
+
+def rewrite_dom(pages: str) -> str:
+    """RW2 oracle for double-quoted markup: comments and script/style
+    elements are kept whole; in iframe/a/img/script/link start tags the last
+    href/src value becomes the shortest relative path between the local paths
+    of the page and of its target."""
+    scan = ("(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
+            "|<(?:iframe|a|img|script|link)(?:\\s[^>]*)?/?>")
+    items = (resolve_rfc("value", "url", "x_") + local_path("url", "pg_") + local_path("x_url", "tg_")
+             + relative_path_min("pg_local", "tg_local", "rp_"))
+    return f"""
+    WITH base AS (
+      SELECT page_id, url, regexp_split_to_array(html, '{scan}') AS gaps, regexp_extract_all(html, '{scan}') AS toks
+      FROM {pages}),
+    tokens AS (
+      SELECT page_id, url, i, t, lower(regexp_extract(t, '^<(\\w+)', 1)) AS tag,
+             regexp_extract(t, '(?is)^<\\w+[^>]*>', 0) AS st
+      FROM (SELECT page_id, url, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM base)),
+    valued AS (
+      SELECT *,
+        CASE WHEN starts_with(t, '<!--') THEN NULL
+             WHEN tag IN ('a', 'link') AND regexp_matches(st, '(?is)\\shref\\s*=') THEN regexp_extract(st, '(?is)^.*\\shref\\s*=\\s*"([^"]*)"', 1)
+             WHEN tag IN ('iframe', 'img', 'script') AND regexp_matches(st, '(?is)\\ssrc\\s*=') THEN regexp_extract(st, '(?is)^.*\\ssrc\\s*=\\s*"([^"]*)"', 1)
+             END AS value,
+        CASE WHEN regexp_matches(st, '(?is)\\stype\\s*=') THEN regexp_extract(st, '(?is)^.*\\stype\\s*=\\s*"([^"]*)"', 1) END AS ty,
+        CASE WHEN regexp_matches(st, '(?is)\\srel\\s*=') THEN regexp_extract(st, '(?is)^.*\\srel\\s*=\\s*"([^"]*)"', 1) END AS rel,
+        CASE WHEN tag IN ('a', 'link') THEN regexp_extract(st, '(?is)^(.*\\shref\\s*=\\s*)"[^"]*"', 1)
+             ELSE regexp_extract(st, '(?is)^(.*\\ssrc\\s*=\\s*)"[^"]*"', 1) END AS pre
+      FROM tokens),
+    kept AS (
+      SELECT * FROM valued WHERE value IS NOT NULL AND value <> ''
+        AND tag IN ('iframe', 'a', 'img', 'script', 'link')
+        AND (tag <> 'link' OR coalesce(ty = 'text/css', false) OR suffix(value, '.css') OR coalesce(trim(rel) = 'icon', false))),
+    rewritten AS (
+      SELECT page_id, i, pre || '"' || replace(replace(rp_rel, '&', '&amp;'), '"', '&quot;') || '"'
+             || substr(t, length(pre) + length(value) + 3) AS nt
+      FROM ({chain('kept', items)}) WHERE rp_rel IS NOT NULL),
+    pieces AS (
+      SELECT g.page_id, g.i, g.gap || coalesce(r.nt, tk.t, '') AS piece FROM (
+        SELECT page_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i FROM base) g
+      LEFT JOIN rewritten r ON r.page_id = g.page_id AND r.i = g.i
+      LEFT JOIN tokens tk ON tk.page_id = g.page_id AND tk.i = g.i)
+    SELECT page_id, string_agg(piece, '' ORDER BY i) AS html FROM pieces GROUP BY page_id
+    """

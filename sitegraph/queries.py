@@ -515,7 +515,7 @@ def rw1_rewrite_links_pages(spark, sf):
     return RW.rewrite_links(pages(spark, sf)).select("page_id", "html")
 
 
-@register("rw2_rewrite_links_dom")
+@register("rw2_rewrite_links_dom", D.rewrite_dom(_RICH))
 def rw2_rewrite_links_dom(spark, sf):
     return RW.rewrite_links_dom(rich(spark, sf)).select("page_id", "html")
 
@@ -604,10 +604,13 @@ def _requests_stream(spark, sf):
         F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts", "ts_w")
 
 
-@register("str3_stream_fetch_list")
+@register("str3_stream_fetch_list", f"SELECT DISTINCT save_path FROM ({_REQ_KEYED})")
 def str3_stream_fetch_list(spark, sf):
+    """Watermark approximation: which request of a key survives inside the
+    watermark depends on arrival order, so the checked result is the set of
+    keys fetched (each at least once)."""
     out = ST.run_available_now(ST.stream_fetch_list(_requests_stream(spark, sf), TTL_MIN, ts_col="ts_w"), "str3")
-    return spark.read.parquet(out).select("request_id", "save_path", "ts")
+    return spark.read.parquet(out).select("save_path").distinct()
 
 
 @register("str3_stream_fetch_events", f"""
@@ -698,7 +701,27 @@ def udf4_sql_functions(spark, sf):
 
 # --- archiving jobs (rows-only checks) ------------------------------------------------------
 
-@register("pip1_archive_site")
+def _pip1_sql():
+    corpus = _LINKED
+    man = (f"SELECT link_type, url FROM ({D.crawl_lines(corpus, 1, 'none')}) "
+           f"UNION ALL SELECT 'HTML' AS link_type, url FROM {corpus}")
+    todo = f"""
+      SELECT save_path, min({{'u': url, 't': link_type}}).u AS url FROM (
+        {D.chain('(' + man + ')', D.parts('url', 'm_') + [D.save_path_expr('m_', 'link_type') + ' AS save_path'])})
+      WHERE save_path NOT IN ({_fresh_sql()}) GROUP BY save_path"""
+    keyed = f"""
+      SELECT page_key, arg_min(html, page_id) AS html, min(page_id) AS page_id FROM (
+        {D.chain(corpus, D.parts('url', 'k_') + [D.save_path_expr('k_', "'HTML'") + ' AS page_key'])})
+      GROUP BY page_key"""
+    fetched = f"SELECT k.page_id, k.html, t.save_path, t.url FROM ({todo}) t JOIN ({keyed}) k ON k.page_key = t.save_path"
+    rw = D.rewrite_lexical(f"({fetched})", "'./' || save_path")
+    return f"""
+      SELECT f.save_path AS page_key, f.save_path, f.h_host AS host, r.html AS body,
+             TIMESTAMP '{X.AS_OF}' AS fetched_at
+      FROM ({D.chain('(' + fetched + ')', D.parts('url', 'h_'))}) f JOIN ({rw}) r ON r.page_id = f.page_id"""
+
+
+@register("pip1_archive_site", _pip1_sql())
 def pip1_archive_site(spark, sf):
     from sitegraph.plans.archive import archive_site
     p = pages(spark, sf)
@@ -707,7 +730,11 @@ def pip1_archive_site(spark, sf):
                         ttl_min=TTL_MIN, as_of=X.AS_OF)
 
 
-@register("pip2_archive_pages")
+@register("pip2_archive_pages", f"""
+    SELECT lp.lp_local AS local_path, lp.url, rw.html AS body
+    FROM ({D.chain(_RICH, D.local_path('url', 'lp_'))}) lp
+    JOIN ({D.rewrite_dom(_RICH)}) rw ON rw.page_id = lp.page_id
+    WHERE lp.lp_local NOT IN (SELECT save_path FROM ({D.archive('pages')}))""")
 def pip2_archive_pages(spark, sf):
     from sitegraph.plans.archive import archive_pages
     p = pages(spark, sf)
