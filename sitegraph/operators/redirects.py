@@ -51,7 +51,7 @@ def resolve_redirects(parsed: DataFrame, max_hops: int = 10, url_col: str = "req
         if (i + 1) % checkpoint_every == 0:
             ensure_checkpoint_dir(spark)
             state = state.checkpoint(eager=True)
-        if state.isEmpty():
+        if state.count() == 0:      # fills the cache of the persisted hop
             break
     out = done[0]
     for d in done[1:]:

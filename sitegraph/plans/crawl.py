@@ -20,6 +20,9 @@ from sitegraph.operators import links as L
 from sitegraph.session import ensure_checkpoint_dir
 
 
+WALKS = "decimal(38,0)"
+
+
 def _co_partition(table: DataFrame) -> DataFrame:
     """Keep the link table as it comes out of the per-key dedupe: already
     hash-partitioned by page_key (and sized by AQE), so every level's join
@@ -64,14 +67,22 @@ def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base:
     return frontier.select("seed", "url", *extra).join(found, keys)
 
 
-def _cut(df: DataFrame, level: int, every: int) -> DataFrame:
+def _cut(df: DataFrame, level: int, every: int, last: bool = False) -> DataFrame:
     """Materialise a level: a reliable checkpoint every ``every`` levels (the
-    lineage never grows past that), a persisted copy otherwise."""
-    if every and level % every == 0:
+    lineage never grows past that), a persisted copy otherwise.  The last
+    level is only persisted: the final result is checkpointed anyway."""
+    if every and level % every == 0 and not last:
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _empty(df: DataFrame) -> bool:
+    """Fill the whole cache of a persisted level (``isEmpty`` would compute
+    only the first partitions and leave the rest to be recomputed later) and
+    say whether it holds any row."""
+    return df.count() == 0
+
+
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
           scope_base: str = "page", link_table: DataFrame | None = None,
           checkpoint_every: int = 2, on_links=None) -> DataFrame:
@@ -104,7 +115,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
             hits = on_links(hits)
         step = hits.groupBy("seed", F.col("dst").alias("url")) \
             .agg(F.max(F.col("link_type") == "HTML").alias("is_html")).withColumn("level", F.lit(level))
-        step = _cut(step, level, checkpoint_every)
+        step = _cut(step, level, checkpoint_every, last=level == depth)
         held.append(step)
         found_all.append(step.select("seed", "url", "level"))
         if level == depth:
@@ -112,7 +123,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
         nxt = step.filter("is_html").select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if frontier.isEmpty():
+        if _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]
@@ -141,22 +152,24 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     table = link_table if link_table is not None else _co_partition(page_link_table(pages))
     held = [] if link_table is not None else [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
+    # walk counts grow like out-degree ** depth: counted exactly in DECIMAL(38,0)
     frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"),
-                        F.lit(1).cast("bigint").alias("visits")).persist(StorageLevel.MEMORY_AND_DISK)
+                        F.lit(1).cast(WALKS).alias("visits")).persist(StorageLevel.MEMORY_AND_DISK)
     held.append(frontier)
     lines = []
     for level in range(1, depth + 1):
         hits = _expand(frontier, table, scope, scope_base)
         step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type").agg(F.sum("visits").alias("n"))
-        step = _cut(step, level, checkpoint_every)
+        step = _cut(step, level, checkpoint_every, last=level == depth)
         held.append(step)
-        lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url", "n"))
+        lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url",
+                                 F.col("n").cast("bigint").alias("n")))
         if level == depth:
             break
         nxt = step.filter(F.col("link_type") == "HTML").groupBy("seed", "url").agg(F.sum("n").alias("visits"))
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if frontier.isEmpty():
+        if _empty(frontier):
             break
     out = lines[0]
     for l in lines[1:]:
@@ -222,7 +235,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         found = found.select("url", F.explode(arr).alias("dst"))
         step = frontier.select("seed", "url").join(found, "url") \
             .select("seed", F.col("dst").alias("url")).distinct().withColumn("level", F.lit(level))
-        step = _cut(step, level, checkpoint_every)
+        step = _cut(step, level, checkpoint_every, last=level == depth)
         held.append(step)
         found_all.append(step)
         if level == depth:
@@ -230,7 +243,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         nxt = step.select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", rfc_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if frontier.isEmpty():
+        if _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]
