@@ -1,55 +1,44 @@
-"""Brute-force, character-by-character model of the lexical tag rules.
+"""Plain-Python model of the lexical tag rules, used only as a test oracle.
 
-Used only as a test oracle for the regex-based Spark extraction.
+A tag starts at a '<' followed by a/link (attribute href) or img/script
+(attribute src).  Its text is read as a sequence of units -- a quoted value
+of the link attribute or of ``type``, or any single character -- until the
+first bare '>' (or about 1024 characters).  The last non-empty link value
+and type value win; a tag without a link value yields nothing and the search
+goes on at the next character.
 """
 
-MAX_TAG = 1024
+import re
+
+LIMIT = 1023
+ATTR = {"a": "href", "link": "href", "img": "src", "script": "src"}
+NAME = re.compile(r"a|link|img|script")
+
+
+def _units(attr):
+    return re.compile(rf'({attr}|type)="([^"]*)"|([^"])|"', re.S)
 
 
 def scan_tags(html: str):
-    out = []
-    i, n = 0, len(html)
-    while True:
-        j = html.find("<", i)
-        if j < 0:
-            return out
-        rest = html[j + 1:j + 8]
-        if rest.startswith("a"):
-            tag, attr = "a", 'href="'
-        elif rest.startswith("link"):
-            tag, attr = "link", 'href="'
-        elif rest.startswith("img"):
-            tag, attr = "img", 'src="'
-        elif rest.startswith("script"):
-            tag, attr = "script", 'src="'
-        else:
-            i = j + 1
+    found = []
+    start = 0
+    while (lt := html.find("<", start)) >= 0:
+        m = NAME.match(html, lt + 1)
+        if not m:
+            start = lt + 1
             continue
-        link = typ = None
-        k, state, start, cap, end = j + 1, 0, 0, None, None
-        while k - j < MAX_TAG and k < n:
-            if state == 0:
-                if html[k] == ">":
-                    end = k
-                    break
-                if html.startswith(attr, k):
-                    state, cap, k = 1, "link", k + len(attr)
-                    start = k
-                    continue
-                if html.startswith('type="', k):
-                    state, cap, k = 1, "type", k + 6
-                    start = k
-                    continue
-            elif html[k] == '"':
-                if k > start:
-                    if cap == "link":
-                        link = html[start:k]
-                    else:
-                        typ = html[start:k]
-                state = 0
-            k += 1
-        if link is None or end is None:
-            i = j + 1
+        tag = m.group(0)
+        values = {"link": None, "type": None}
+        end = None
+        for u in _units(ATTR[tag]).finditer(html, lt + 1, min(len(html), lt + 1 + LIMIT)):
+            if u.group(3) == ">":
+                end = u.start()
+                break
+            if u.group(1) and u.group(2):
+                values["type" if u.group(1) == "type" else "link"] = u.group(2)
+        if end is None or values["link"] is None:
+            start = lt + 1
             continue
-        out.append((tag, link, typ))
-        i = end + 1
+        found.append((tag, values["link"], values["type"]))
+        start = end + 1
+    return found
