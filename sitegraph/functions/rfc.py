@@ -89,23 +89,28 @@ def _resolve_segments(base_path: Column, path: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
+def join_split(h: Column, b: Column) -> Column:
+    """URL9 on already split link ``h`` and base ``b`` (``split_url`` structs):
+    struct(scheme, netloc, path).  Lets a page split its own URL once for
+    all its links."""
+    eff_scheme = F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])
+    own = (h["netloc"] != "") | (eff_scheme != b["scheme"]) | ~eff_scheme.isin(*USES_RELATIVE)
+    netloc = F.when(eff_scheme.isin(*USES_NETLOC), b["netloc"]).otherwise(h["netloc"])
+    same_path = (h["path"] == "") & (h["params"] == "")
+    path = F.when(same_path, b["path"]).otherwise(_resolve_segments(b["path"], h["path"]))
+    # the joined URL is written out and read again: a path under a netloc gets its '/'
+    path = bind(path, lambda p: F.when((netloc != "") & (p != "") & ~p.startswith("/"),
+                                       F.concat(F.lit("/"), p)).otherwise(p))
+    return (F.when(own, F.struct(h["scheme"].alias("scheme"), h["netloc"].alias("netloc"),
+                                 h["path"].alias("path")))
+            .otherwise(F.struct(eff_scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"))))
+
+
 def resolve_link_rfc(link, page_url) -> Column:
     """URL9: struct(scheme, netloc, path) of a link on a page, RFC 3986 join
     when the link has no network location, then params, query and fragment
     dropped."""
-    def join(h, b):
-        eff_scheme = F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])
-        own = (h["netloc"] != "") | (eff_scheme != b["scheme"]) | ~eff_scheme.isin(*USES_RELATIVE)
-        netloc = F.when(eff_scheme.isin(*USES_NETLOC), b["netloc"]).otherwise(h["netloc"])
-        same_path = (h["path"] == "") & (h["params"] == "")
-        path = F.when(same_path, b["path"]).otherwise(_resolve_segments(b["path"], h["path"]))
-        # the joined URL is written out and read again: a path under a netloc gets its '/'
-        path = bind(path, lambda p: F.when((netloc != "") & (p != "") & ~p.startswith("/"),
-                                           F.concat(F.lit("/"), p)).otherwise(p))
-        return (F.when(own, F.struct(h["scheme"].alias("scheme"), h["netloc"].alias("netloc"),
-                                     h["path"].alias("path")))
-                .otherwise(F.struct(eff_scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"))))
-    return bind(split_url(link), lambda h: bind(split_url(page_url), lambda b: join(h, b)))
+    return bind(split_url(link), lambda h: bind(split_url(page_url), lambda b: join_split(h, b)))
 
 
 def unsplit(scheme: Column, netloc: Column, path: Column) -> Column:

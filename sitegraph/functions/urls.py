@@ -162,30 +162,40 @@ def normalize_path(path) -> Column:
     return F.when(p == "/", F.lit("/")).otherwise(body)
 
 
+def page_base(page_url) -> Column:
+    """The page-dependent half of URL8, computed once per page:
+    struct(proto, host, base_proto, base_hp) where base is the page's
+    directory when the page is a file URL, else the page itself."""
+    def with_page(page):
+        base = F.when(is_file_url(page, "HTML"), url_dirname(page)).otherwise(page)
+        return bind(base, lambda b: F.struct(
+            url_protocol(page).alias("proto"), url_host(page).alias("host"),
+            url_protocol(b).alias("base_proto"), F.concat(url_host(b), url_path(b)).alias("base_hp")))
+    return bind(F.regexp_replace(_c(page_url), r"^\./", ""), with_page)
+
+
+def resolve_with_base(link, pb: Column) -> Column:
+    """The link-dependent half of URL8, given ``page_base`` of the page."""
+    link = _c(link)
+    hp = pb["base_hp"]
+    rel_full = F.concat(hp, F.when(hp.endswith("/"), F.lit("")).otherwise(F.lit("/")), link)
+    abs_full = F.concat(pb["host"], link)
+    is_abs = link.startswith("/")
+    full = F.when(is_abs, abs_full).otherwise(rel_full)
+    proto = F.when(is_abs, pb["proto"]).otherwise(pb["base_proto"])
+    return F.when(link.startswith("http"), link).otherwise(F.concat(proto, normalize_path(full)))
+
+
 def resolve_link(link, page_url) -> Column:
     """URL8: full URL a link on ``page_url`` points to.
 
     http links are kept verbatim; ``/x`` is joined to the page's host;
     anything else to the page's directory (the page itself when it is not a
     file URL).  The joined host+path is normalized (URL7) and the page's
-    protocol put in front.
+    protocol put in front.  For many links of one page, bind ``page_base``
+    once and call ``resolve_with_base`` per link.
     """
-    link = _c(link)
-
-    def with_page(page):
-        base = F.when(is_file_url(page, "HTML"), url_dirname(page)).otherwise(page)
-
-        def with_base(b):
-            hp = F.concat(url_host(b), url_path(b))
-            rel_full = bind(hp, lambda x: F.concat(x, F.when(x.endswith("/"), F.lit("")).otherwise(F.lit("/")), link))
-            abs_full = F.concat(url_host(page), link)
-            full = F.when(link.startswith("/"), abs_full).otherwise(rel_full)
-            proto = F.when(link.startswith("/"), url_protocol(page)).otherwise(url_protocol(b))
-            return F.concat(proto, normalize_path(full))
-        return bind(base, with_base)
-
-    return F.when(link.startswith("http"), link).otherwise(
-        bind(F.regexp_replace(_c(page_url), r"^\./", ""), with_page))
+    return bind(page_base(page_url), lambda pb: resolve_with_base(link, pb))
 
 
 def relative_path(path_from, path_to) -> Column:

@@ -97,21 +97,26 @@ def resolved_link_array(links, base_url, scope: str = "none", dot_boundary: bool
     """Resolve, scope-filter and type an array of link structs inside one
     expression.  Kept per page on purpose: as separate project/filter steps
     the optimizer would copy the resolution into the filter and compute it
-    twice.  Each element keeps its original position ``pos``."""
+    twice.  The page-dependent half of the resolution and the page host are
+    computed once per page, not once per link.  Each element keeps its
+    original position ``pos``."""
     base_url = F.col(base_url) if isinstance(base_url, str) else base_url
 
-    def enrich(r, i):
-        fields = [i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
-                  r["type_attr"].alias("type_attr"), U.resolve_link(r["raw_link"], base_url).alias("url")]
-        if with_type:
-            fields.append(U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
-        return F.struct(*fields)
-
-    arr = F.transform(links, enrich)
-    if scope == "none":
-        return arr
-    return U.bind(U.url_host(base_url), lambda ph: F.filter(arr, lambda x: _host_ok(U.url_host(x["url"]), ph,
-                                                                                    scope, dot_boundary)))
+    def per_page(pb):
+        def enrich(r, i):
+            fields = [i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
+                      r["type_attr"].alias("type_attr"), U.resolve_with_base(r["raw_link"], pb).alias("url")]
+            if with_type:
+                fields.append(U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
+            return F.struct(*fields)
+        arr = F.transform(links, enrich)
+        if scope == "none":
+            return arr
+        # scope compares with the host of the page URL as given
+        return U.bind(U.url_host(base_url), lambda ph: F.filter(
+            arr, lambda x: _host_ok(U.url_host(x["url"]), ph, scope, dot_boundary)))
+
+    return U.bind(U.page_base(base_url), per_page)
 
 
 def _host_ok(h, ph, scope, dot_boundary):

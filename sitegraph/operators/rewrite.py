@@ -17,11 +17,12 @@ from sitegraph.functions import urls as U
 from sitegraph.functions.urls import bind
 
 
-def _rewrite_token(t: Column, hint: Column) -> Column:
+def _rewrite_token(t: Column, hp: Column) -> Column:
+    """``hp``: struct(pb = page_base(hint), up = '../' * dir_count(dirname(hint)))."""
     def with_link(tag, link):
         prefix = F.when(tag.isin(*H.HREF_TAGS), F.regexp_extract(t, r'(?s)^(.*href=")[^"]+"', 1)) \
             .otherwise(F.regexp_extract(t, r'(?s)^(.*src=")[^"]+"', 1))
-        target = U.relative_path(U.dirname(hint), U.host_path(U.resolve_link(link, hint)))
+        target = F.concat(hp["up"], U.host_path(U.resolve_with_base(link, hp["pb"])))
         new = bind(prefix, lambda pre: F.concat(pre, target,
                                                 F.substring(t, F.length(pre) + F.length(link) + 1, F.length(t))))
         return F.when(link.isNull() | link.startswith("../"), t).otherwise(new)
@@ -31,11 +32,13 @@ def _rewrite_token(t: Column, hint: Column) -> Column:
 
 def rewrite_html(html, hint) -> Column:
     """RW1 as a column: every link value -> ``relative_path(dirname(hint),
-    host_path(resolve_link(link, hint)))``; values starting ``../`` untouched."""
+    host_path(resolve_link(link, hint)))``; values starting ``../`` untouched.
+    Everything that depends on the hint only is computed once per page."""
     h = F.col(html) if isinstance(html, str) else html
     hint = F.col(hint) if isinstance(hint, str) else hint
     gaps = F.split(h, H.LEXICAL_TOKEN, -1)
-    toks = F.transform(H.lexical_tokens(h), lambda t: _rewrite_token(t, hint))
+    per_page = F.struct(U.page_base(hint).alias("pb"), U.relative_path(U.dirname(hint), F.lit("")).alias("up"))
+    toks = bind(per_page, lambda hp: F.transform(H.lexical_tokens(h), lambda t: _rewrite_token(t, hp)))
     return F.array_join(F.zip_with(gaps, toks, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 
@@ -53,24 +56,25 @@ def rewrite_links(pages: DataFrame, html_col: str = "html", hint_col: str | None
 
 # --- DOM mode ---------------------------------------------------------------
 
-def _dom_rewrite_token(t: Column, page_url: Column) -> Column:
+def _dom_rewrite_token(t: Column, page: Column) -> Column:
+    """``page``: struct(split = split_url(page_url), local = local_path(page_url))."""
     def with_rec(rec):
         tag, value = rec["tag"], rec["raw_link"]
 
         def with_target(target):
             st = H.dom_start_tag(t)
             is_href = tag.isin("a", "link")
-            hp, sp = H._attr_pattern("href"), H._attr_pattern("src")
-            pre = F.when(is_href, F.regexp_extract(st, hp, 1)).otherwise(F.regexp_extract(st, sp, 1))
-            old = F.when(is_href, F.regexp_extract(st, hp, 2)).otherwise(F.regexp_extract(st, sp, 2))
+            hpat, spat = H._attr_pattern("href"), H._attr_pattern("src")
+            pre = F.when(is_href, F.regexp_extract(st, hpat, 1)).otherwise(F.regexp_extract(st, spat, 1))
+            old = F.when(is_href, F.regexp_extract(st, hpat, 2)).otherwise(F.regexp_extract(st, spat, 2))
             quoted = F.concat(F.lit('"'), F.replace(F.replace(target, F.lit("&"), F.lit("&amp;")),
                                                     F.lit('"'), F.lit("&quot;")), F.lit('"'))
             new = F.concat(pre, quoted, F.substring(t, F.length(pre) + F.length(old) + 1, F.length(t)))
             return F.when(value.isNotNull() & target.isNotNull(), new).otherwise(t)
 
-        target = RFC.relative_path_min(RFC.local_path(page_url),
-                                       RFC.local_path(RFC.resolve_link_rfc_url(value, page_url)))
-        return bind(target, with_target)
+        joined = RFC.join_split(RFC.split_url(value), page["split"])
+        tgt_url = bind(joined, lambda r: RFC.unsplit(r["scheme"], r["netloc"], r["path"]))
+        return bind(RFC.relative_path_min(page["local"], RFC.local_path(tgt_url)), with_target)
 
     return bind(H.dom_link(t), with_rec)
 
@@ -78,10 +82,12 @@ def _dom_rewrite_token(t: Column, page_url: Column) -> Column:
 def rewrite_html_dom(html, page_url) -> Column:
     """RW2 as a column: every DOM-mode link value -> shortest relative path
     between the local paths of the page and of its target.  Only attribute
-    values change; the markup is not re-serialised."""
+    values change; the markup is not re-serialised.  The page URL is split
+    and its local path computed once per page."""
     h = F.col(html) if isinstance(html, str) else html
     u = F.col(page_url) if isinstance(page_url, str) else page_url
-    toks = F.transform(H.dom_scan(h), lambda t: _dom_rewrite_token(t, u))
+    page = F.struct(RFC.split_url(u).alias("split"), RFC.local_path(u).alias("local"))
+    toks = bind(page, lambda pg: F.transform(H.dom_scan(h), lambda t: _dom_rewrite_token(t, pg)))
     return F.array_join(F.zip_with(H.dom_gaps(h), toks, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 

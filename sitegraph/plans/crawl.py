@@ -56,9 +56,10 @@ def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base:
     found = bases.join(link_table, "page_key")
     scope_ref = F.col("seed") if by_seed else F.col("url")
 
-    def resolved(l):
-        return F.struct(l["link_type"].alias("link_type"), U.resolve_link(l["raw_link"], F.col("url")).alias("dst"))
-    arr = F.transform("links", resolved)
+    def resolved(pb):
+        return F.transform("links", lambda l: F.struct(l["link_type"].alias("link_type"),
+                                                       U.resolve_with_base(l["raw_link"], pb).alias("dst")))
+    arr = U.bind(U.page_base(F.col("url")), resolved)        # page half once per frontier URL
     if scope != "none":
         arr = U.bind(U.url_host(scope_ref),
                      lambda ph: F.filter(arr, lambda x: L._host_ok(U.url_host(x["dst"]), ph, scope, False)))
@@ -229,8 +230,9 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
     for level in range(1, depth + 1):
         bases = frontier.select("url", "page_key").dropDuplicates(["url"])
         found = bases.join(table, "page_key")
-        arr = F.transform("links", lambda l: RFC.resolve_link_rfc(l["raw_link"], F.col("url")))
-        arr = U.bind(RFC.split_url(F.col("url"))["netloc"], lambda bn: F.filter(arr, lambda x: ok(x, bn)))
+        arr = U.bind(RFC.split_url(F.col("url")), lambda b: F.filter(
+            F.transform("links", lambda l: RFC.join_split(RFC.split_url(l["raw_link"]), b)),
+            lambda x: ok(x, b["netloc"])))
         arr = F.transform(arr, lambda x: RFC.unsplit(x["scheme"], x["netloc"], x["path"]))
         found = found.select("url", F.explode(arr).alias("dst"))
         step = frontier.select("seed", "url").join(found, "url") \
