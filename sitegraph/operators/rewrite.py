@@ -72,7 +72,7 @@ def _dom_rewrite_token(t: Column, page: Column) -> Column:
             new = F.concat(pre, quoted, F.substring(t, F.length(pre) + F.length(old) + 1, F.length(t)))
             return F.when(value.isNotNull() & target.isNotNull(), new).otherwise(t)
 
-        joined = RFC.join_split(RFC.split_url(value), page["split"])
+        joined = bind(RFC.split_url(value), lambda hh: RFC.join_split(hh, page["split"]))
         tgt_url = bind(joined, lambda r: RFC.unsplit(r["scheme"], r["netloc"], r["path"]))
         return bind(RFC.relative_path_min(page["local"], RFC.local_path(tgt_url)), with_target)
 

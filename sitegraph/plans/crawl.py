@@ -231,7 +231,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         bases = frontier.select("url", "page_key").dropDuplicates(["url"])
         found = bases.join(table, "page_key")
         arr = U.bind(RFC.split_url(F.col("url")), lambda b: F.filter(
-            F.transform("links", lambda l: RFC.join_split(RFC.split_url(l["raw_link"]), b)),
+            F.transform("links", lambda l: U.bind(RFC.split_url(l["raw_link"]), lambda h: RFC.join_split(h, b))),
             lambda x: ok(x, b["netloc"])))
         arr = F.transform(arr, lambda x: RFC.unsplit(x["scheme"], x["netloc"], x["path"]))
         found = found.select("url", F.explode(arr).alias("dst"))
