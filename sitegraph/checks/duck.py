@@ -61,8 +61,8 @@ def dir_count(p: str) -> str:
                f"WHEN i = 2 AND substr({p}, 1, 1) = '.' THEN 0 "
                f"WHEN i >= 3 AND substr({p}, i - 2, 2) = '..' THEN -1 ELSE 1 END "
                f"for i in range(1, length({p}) + 1)]")
-    return (f"CASE WHEN {p} = '' THEN 0 ELSE coalesce(list_sum({per_pos}), 0) "
-            f"+ (CASE WHEN suffix({p}, '/') THEN 0 ELSE 1 END) END")
+    return (f"(CASE WHEN {p} = '' THEN 0 ELSE coalesce(list_sum({per_pos}), 0) "
+            f"+ (CASE WHEN suffix({p}, '/') THEN 0 ELSE 1 END) END)::INTEGER")
 
 
 def relative_path(frm: str, to: str) -> str:
@@ -114,7 +114,7 @@ def lexical_links(pages: str = "pages", extra: str = "") -> str:
     Output columns: page_id, src_url, pos (0-based), tag, raw_link, type_attr.
     """
     return f"""
-    SELECT page_id, src_url, pos - 1 AS pos, rec.tag AS tag, rec.raw_link AS raw_link, rec.type_attr AS type_attr
+    SELECT page_id, src_url, (pos - 1)::INTEGER AS pos, rec.tag AS tag, rec.raw_link AS raw_link, rec.type_attr AS type_attr
     FROM (
       SELECT page_id, src_url, unnest(recs) AS rec, generate_subscripts(recs, 1) AS pos
       FROM (
@@ -450,7 +450,7 @@ def dom_links(pages: str) -> str:
            f"'rel': CASE WHEN {has('rel')} THEN {attr('rel')} END}}")
     groups = ", ".join(f"list_filter(ok, lambda r: r.tag = '{g}')" for g in ("iframe", "a", "img", "script", "link"))
     return f"""
-    SELECT page_id, src_url, pos - 1 AS pos, rec.tag AS tag, rec.raw_link AS raw_link, rec.type_attr AS type_attr,
+    SELECT page_id, src_url, (pos - 1)::INTEGER AS pos, rec.tag AS tag, rec.raw_link AS raw_link, rec.type_attr AS type_attr,
            CASE rec.tag WHEN 'iframe' THEN 'IFRAME' WHEN 'a' THEN 'HTML' WHEN 'img' THEN 'IMAGE'
                         WHEN 'script' THEN 'SCRIPT' ELSE 'STYLE' END AS link_type
     FROM (

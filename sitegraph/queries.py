@@ -61,7 +61,7 @@ def rich_links(spark, sf, scope="none"):
 
 # --- sources -------------------------------------------------------------------------
 
-@register("src1_read_pages", "SELECT page_id, url, length(html) AS n_chars FROM pages")
+@register("src1_read_pages", "SELECT page_id, url, length(html)::INTEGER AS n_chars FROM pages")
 def src1_read_pages(spark, sf):
     return pages(spark, sf).select("page_id", "url", F.length("html").alias("n_chars"))
 
