@@ -28,3 +28,17 @@ def test_no_separator(spark):
     raw = spark.createDataFrame([(1, b"abcdefghijkl")], "response_id int, raw binary")
     r = HT.split_head_body(HT.assemble_responses(X.chunks(raw, 6))).first()
     assert (r.head, r.body, r.content_started) == ("abcdefghijkl", "", False)
+
+
+def test_separator_split_across_chunks(spark):
+    cases = [
+        (["abcdef", "ghijkl", "\r\n\r\n12345678"], "abcdefghijkl", "12345678"),
+        (["abcde\r\n\r\n", "123"], "abcde", "123"),
+        (["abc\r\n", "\r\n123"], "abc", "123"),
+        (["abcdef\r", "\n\r\n123"], "abcdef", "123"),
+        (["abcde\r\n\r", "\n123"], "abcde", "123"),
+    ]
+    rows = [(i, j, part.encode()) for i, (parts, _, _) in enumerate(cases) for j, part in enumerate(parts)]
+    chunks = spark.createDataFrame(rows, "response_id int, seq int, chunk binary")
+    got = {r.response_id: (r.head, r.body) for r in HT.split_head_body(HT.assemble_responses(chunks)).collect()}
+    assert got == {i: (h, b) for i, (_, h, b) in enumerate(cases)}
