@@ -116,7 +116,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
             hits = on_links(hits)
         step = hits.groupBy("seed", F.col("dst").alias("url")) \
             .agg(F.max(F.col("link_type") == "HTML").alias("is_html")).withColumn("level", F.lit(level))
-        step = _cut(step, level, checkpoint_every, last=level == depth)
+        step = step.persist(StorageLevel.MEMORY_AND_DISK)     # one step from the frontier checkpoint
         held.append(step)
         found_all.append(step.select("seed", "url", "level"))
         if level == depth:
@@ -161,7 +161,7 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     for level in range(1, depth + 1):
         hits = _expand(frontier, table, scope, scope_base)
         step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type").agg(F.sum("visits").alias("n"))
-        step = _cut(step, level, checkpoint_every, last=level == depth)
+        step = step.persist(StorageLevel.MEMORY_AND_DISK)     # one step from the frontier checkpoint
         held.append(step)
         lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url",
                                  F.col("n").cast("bigint").alias("n")))
@@ -237,7 +237,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         found = found.select("url", F.explode(arr).alias("dst"))
         step = frontier.select("seed", "url").join(found, "url") \
             .select("seed", F.col("dst").alias("url")).distinct().withColumn("level", F.lit(level))
-        step = _cut(step, level, checkpoint_every, last=level == depth)
+        step = step.persist(StorageLevel.MEMORY_AND_DISK)     # one step from the frontier checkpoint
         held.append(step)
         found_all.append(step)
         if level == depth:
