@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
+from sitegraph.functions import rfc as RFC
 from sitegraph.functions import urls as U
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html",
@@ -27,7 +28,8 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def extract_links_dom(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                      keep: tuple[str, ...] = ("page_id",), pages_only: bool = False) -> DataFrame:
+                      keep: tuple[str, ...] = ("page_id",), pages_only: bool = False,
+                      resolve: bool = False) -> DataFrame:
     """LNK2: DOM tag set (iframe, a, img, script, stylesheet/icon link).
 
     Comments and script/style bodies are skipped; names are case-insensitive;
@@ -35,6 +37,8 @@ def extract_links_dom(pages: DataFrame, url_col: str = "url", html_col: str = "h
     Rows are ordered per page by tag group (iframe, a, img, script, link),
     then document order, and ``pos`` numbers them in that order (computed in
     the page's own row, no shuffle).  ``pages_only`` keeps iframe and a only.
+    ``resolve`` adds the RFC-joined target (scheme, netloc, path, url), with
+    the page URL split once per page rather than once per link.
     """
     keep = tuple(k for k in keep if k in pages.columns)
     groups = ("iframe", "a", "img", "script", "link")
@@ -44,12 +48,25 @@ def extract_links_dom(pages: DataFrame, url_col: str = "url", html_col: str = "h
     def of_tag(g):
         return lambda r: r["tag"] == g
     ordered = F.flatten(F.array(*[F.filter(recs, of_tag(g)) for g in groups]))
+    if resolve:
+        def with_target(b):
+            def one(r):
+                j = U.bind(RFC.split_url(r["raw_link"]), lambda h: RFC.join_split(h, b))
+                return F.struct(r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
+                                r["type_attr"].alias("type_attr"), j.alias("target"))
+            return F.transform(ordered, one)
+        ordered = U.bind(RFC.split_url(F.col(url_col)), with_target)
     out = pages.select(*keep, F.col(url_col).alias("src_url"), F.posexplode(ordered).alias("pos", "rec"))
     lt = F.col("rec.tag")
     link_type = F.when(lt == "iframe", "IFRAME").when(lt == "a", "HTML").when(lt == "img", "IMAGE") \
         .when(lt == "script", "SCRIPT").otherwise("STYLE")
-    return out.select(*keep, "src_url", "pos", "rec.tag", "rec.raw_link", "rec.type_attr",
-                      link_type.alias("link_type"))
+    cols = [*keep, "src_url", "pos", "rec.tag", "rec.raw_link", "rec.type_attr", link_type.alias("link_type")]
+    if resolve:
+        cols += [F.col("rec.target.scheme").alias("scheme"), F.col("rec.target.netloc").alias("netloc"),
+                 F.col("rec.target.path").alias("path")]
+        out = out.select(*cols)
+        return out.withColumn("url", RFC.unsplit(F.col("scheme"), F.col("netloc"), F.col("path")))
+    return out.select(*cols)
 
 
 def classify_links(links: DataFrame) -> DataFrame:

@@ -17,9 +17,7 @@ def page_bundle(pages: DataFrame, archive: DataFrame) -> DataFrame:
     """JN5: every DOM-mode link of each page with its local path and whether
     the archive already holds it (left join on the local path; a missing
     resource is kept with ``found = false``)."""
-    d = L.extract_links_dom(pages)
-    d = d.withColumn("target", RFC.resolve_link_rfc_url("raw_link", "src_url")) \
-        .withColumn("local_path", RFC.local_path("target"))
+    d = L.extract_links_dom(pages, resolve=True).withColumn("local_path", RFC.local_path("url"))
     a = archive.select(F.col("save_path").alias("local_path"), F.lit(True).alias("_hit"))
     return d.join(a, "local_path", "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 

@@ -462,8 +462,8 @@ _RICH = "(" + D.pages_rich("pages") + ")"
 _DOM = D.dom_links(_RICH)
 
 
-def rich_dom(spark, sf):
-    return L.extract_links_dom(rich(spark, sf))
+def rich_dom(spark, sf, resolve=False):
+    return L.extract_links_dom(rich(spark, sf), resolve=resolve)
 
 
 @register("lnk2_extract_links_dom", f"SELECT page_id, pos, tag, raw_link, type_attr, link_type FROM ({_DOM})")
@@ -475,9 +475,7 @@ def lnk2_extract_links_dom(spark, sf):
     SELECT page_id, pos, x_scheme AS scheme, x_netloc AS netloc, x_path AS path, x_url AS url FROM (
       {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_'))})""")
 def url9_resolve_link_rfc(spark, sf):
-    d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url"))
-    return d.select("page_id", "pos", "r.scheme", "r.netloc", "r.path",
-                    RFC.unsplit(F.col("r.scheme"), F.col("r.netloc"), F.col("r.path")).alias("url"))
+    return rich_dom(spark, sf, resolve=True).select("page_id", "pos", "scheme", "netloc", "path", "url")
 
 
 @register("url13_local_path", f"""
@@ -485,7 +483,7 @@ def url9_resolve_link_rfc(spark, sf):
       {D.chain(f"SELECT page_id, url FROM pages UNION ALL SELECT page_id, x_url AS url FROM ("
                + D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_')) + ")", D.local_path('url', 'lp_'))})""")
 def url13_local_path(spark, sf):
-    d = rich_dom(spark, sf).select("page_id", RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url"))
+    d = rich_dom(spark, sf, resolve=True).select("page_id", "url")
     u = pages(spark, sf).select("page_id", "url").unionByName(d)
     return u.select("page_id", "url", RFC.local_path("url").alias("local_path"))
 
@@ -495,8 +493,8 @@ def url13_local_path(spark, sf):
       {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_') + D.local_path('src_url', 'pg_')
                + D.local_path('x_url', 'tg_') + D.relative_path_min('pg_local', 'tg_local', 'rp_'))})""")
 def url11_relative_path_min(spark, sf):
-    d = rich_dom(spark, sf).withColumn("target", RFC.resolve_link_rfc_url("raw_link", "src_url"))
-    d = d.withColumn("pg", RFC.local_path("src_url")).withColumn("tg", RFC.local_path("target"))
+    d = rich_dom(spark, sf, resolve=True)
+    d = d.withColumn("pg", RFC.local_path("src_url")).withColumn("tg", RFC.local_path("url"))
     return d.select("page_id", "pos", RFC.relative_path_min("pg", "tg").alias("rel"))
 
 
@@ -567,8 +565,8 @@ def snk1_manifest_text(spark, sf):
     SELECT DISTINCT x_url AS value FROM ({D.chain(D.dom_links(_RICH), D.resolve_rfc('raw_link', 'src_url', 'x_'))})
     WHERE link_type IN ('HTML', 'IFRAME')""")
 def snk2_url_list(spark, sf):
-    d = rich_dom(spark, sf).filter(F.col("link_type").isin("HTML", "IFRAME"))
-    return W.url_list(d.select(RFC.resolve_link_rfc_url("raw_link", "src_url").alias("url")))
+    d = rich_dom(spark, sf, resolve=True).filter(F.col("link_type").isin("HTML", "IFRAME"))
+    return W.url_list(d.select("url"))
 
 
 # --- streaming -------------------------------------------------------------------------------
@@ -669,8 +667,7 @@ def crl1_crawl_rfc_path_regex(spark, sf):
     WHERE regexp_matches(x_netloc, '{HOST_RE}') AND regexp_matches(CASE WHEN x_path = '' THEN '/' ELSE x_path END,
                                                                   '{PATH_RE}')""")
 def flt2_scope_filter_regex(spark, sf):
-    d = rich_dom(spark, sf).withColumn("r", RFC.resolve_link_rfc("raw_link", "src_url"))
-    d = d.select("page_id", "pos", "r.netloc", "r.path")
+    d = rich_dom(spark, sf, resolve=True).select("page_id", "pos", "netloc", "path")
     return L.scope_filter_regex(d, host_regex=HOST_RE, path_regex=PATH_RE, host_col="netloc", path_col="path")
 
 
