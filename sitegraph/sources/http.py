@@ -40,14 +40,15 @@ def parse_responses(responses: DataFrame, url_col: str = "request_url", raw_col:
     r = split_head_body(responses, raw_col)
     r = r.withColumn("status", U.http_status("head")).withColumn("outcome", U.outcome("status"))
     loc = F.when(F.col("outcome") == "redirect", U.location_url("head", url_col))
-    return r.withColumn("location", loc)
+    return r.withColumn("location", loc).withColumn("headers", header_map("head"))
 
 
 def header_map(head_col: str = "head"):
-    """Headers of a head block as MAP<STRING,STRING> (first line skipped;
-    names lower-cased; a repeated name keeps the last value)."""
+    """Headers of a head block as MAP<STRING,STRING>: status line skipped,
+    names lower-cased and trimmed, a repeated name keeps its last value."""
     lines = F.slice(F.split(F.col(head_col), "\r\n"), 2, 1 << 20)
     kv = F.transform(F.filter(lines, lambda l: F.instr(l, ":") > 0),
                      lambda l: F.struct(F.lower(F.trim(F.substring_index(l, ":", 1))).alias("k"),
                                         F.trim(F.regexp_extract(l, r"^[^:]*:\s*(.*)$", 1)).alias("v")))
-    return F.map_from_entries(kv)
+    last = F.filter(kv, lambda e, i: ~F.exists(F.slice(kv, i + 2, 1 << 20), lambda x: x["k"] == e["k"]))
+    return F.map_from_entries(last)

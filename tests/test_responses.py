@@ -42,3 +42,13 @@ def test_separator_split_across_chunks(spark):
     chunks = spark.createDataFrame(rows, "response_id int, seq int, chunk binary")
     got = {r.response_id: (r.head, r.body) for r in HT.split_head_body(HT.assemble_responses(chunks)).collect()}
     assert got == {i: (h, b) for i, (_, h, b) in enumerate(cases)}
+
+
+def test_parse_responses_headers(spark):
+    raw = ("HTTP/1.1 302 Found\r\nSet-Cookie: a=1\r\nLocation: /next/\r\nset-cookie: b=2\r\n"
+           "X-Empty:\r\n\r\n<html/>").encode()
+    df = spark.createDataFrame([(1, "https://h.org/a/b.html", raw)], "response_id int, request_url string, raw binary")
+    r = HT.parse_responses(df).first()
+    assert (r.status, r.outcome, r.location) == (302, "redirect", "https://h.org/next/")
+    assert r.headers == {"set-cookie": "b=2", "location": "/next/", "x-empty": ""}
+    assert r.body == "<html/>"
