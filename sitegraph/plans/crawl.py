@@ -124,7 +124,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
         nxt = step.filter("is_html").select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if _empty(frontier):
+        if level % checkpoint_every == 0 and _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]
@@ -170,7 +170,7 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
         nxt = step.filter(F.col("link_type") == "HTML").groupBy("seed", "url").agg(F.sum("n").alias("visits"))
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if _empty(frontier):
+        if level % checkpoint_every == 0 and _empty(frontier):
             break
     out = lines[0]
     for l in lines[1:]:
@@ -245,7 +245,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         nxt = step.select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", rfc_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if _empty(frontier):
+        if level % checkpoint_every == 0 and _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]
