@@ -3,11 +3,14 @@
 The redirect graph is functional (a URL has at most one Location), so a
 chain is walked one hop per iteration; only chains still moving take part in
 the next join.  Loops and overlong chains stop with their own outcome (the
-reference would follow them forever).
+reference would follow them forever).  Each hop is persisted (only the three
+columns a hop needs are kept); every ``checkpoint_every`` hops the moving
+chains are written as a reliable checkpoint, and so is the result.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +32,6 @@ def resolve_redirects(parsed: DataFrame, max_hops: int = 10, url_col: str = "req
                       F.col("location").alias("r_location")).dropDuplicates(["cur"])
     state = parsed.select(F.col(url_col).alias("url")).distinct() \
         .select("url", F.col("url").alias("cur"), F.lit(0).alias("hops"), F.array("url").alias("seen"))
-    from pyspark import StorageLevel
     r = r.persist(StorageLevel.MEMORY_AND_DISK)
     held = [r]
     done = []

@@ -2,9 +2,12 @@
 
 The HTML of each page is scanned once (``page_link_table``); every crawl
 level is then a join of the frontier with that table, so the expensive
-regex work does not repeat per visit.  Levels are materialised with reliable
-checkpoints (``spark.checkpoint.dir``) so lineage stays one level deep and a
-lost executor recomputes at most one level.
+regex work does not repeat per visit.  Every level is persisted; every
+``checkpoint_every`` levels (default 2) the frontier is written as a reliable
+checkpoint in ``spark.checkpoint.dir``, and the final result is one too, so a
+lost executor recomputes at most a couple of levels and the lineage never
+grows with the depth.  Whether the frontier ran empty is tested right after
+each checkpoint; in between, levels cost no extra job.
 """
 
 from __future__ import annotations
