@@ -9,8 +9,9 @@ but the last stage return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitegraph.llm import decontaminate, packing, quality_rules
+from sitegraph.llm import decontaminate, ngram_join, packing, quality_rules, secrets
 from sitegraph.llm.common import Scratch, read
 
 
@@ -19,11 +20,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), remove="documents")
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(clean.schema["n_chars"].dataType), "n_chars"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in training sequences."""
     import public_tokenizers
@@ -32,7 +44,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("ngram_jaccard_join", deduplicated),
     ("benchmark_decontamination", decontaminated),
+    ("secret_scan", without_secrets),
     ("packing", packed),
 ]
 

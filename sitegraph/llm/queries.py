@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from sitegraph.llm import decontaminate, packing, quality_rules
+from sitegraph.llm import (compress_classifier, decontaminate, ngram_join, packing, ppm, quality_rules, secrets,
+                           sharding, suffix_dedup, warc)
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_compression_classifier": compress_classifier.op3_compression_classifier,
+    "op4_ppm": ppm.op4_ppm,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
+    "op1_warc": warc.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op8_ngram_jaccard": ngram_join.SQL,
 }
