@@ -114,7 +114,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         F.monotonically_increasing_id().alias("id"), F.col(key).cast("bigint").alias("doc_id"),
         (F.octet_length(body) + OVERHEAD).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"),
         F.unhex(F.sha2(body, 256)).alias("digest")), "rows")
-    capacity = max(1, rows.count() // shards)
+    capacity = max(1, rows.count() * 4 // (shards * 5))  # blocks are dealt by hash, so their sizes vary
     groups = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     block = F.pmod(F.xxhash64("id", "digest"), F.ceil(F.col("n") / capacity))
     links = scratch.save(rows.join(groups, "digest").select("id", F.xxhash64("digest", block).alias("hub")), "links")
