@@ -262,7 +262,7 @@ def in_scope(url, page_url, scope: str = "same", dot_boundary: bool = False) ->
 def http_status(headers) -> Column:
     """URL16: status number of ``HTTP/x.y N``; NULL when it cannot be read."""
     code = F.regexp_extract(_c(headers), r"^HTTP/\s*[-+]?[0-9]+\.\s*[-+]?[0-9]+\s*([-+]?[0-9]+)", 1)
-    return F.when(code == "", F.lit(None).cast("int")).otherwise(code.cast("int"))
+    return code.try_cast("int")  # none, or one too large to be a status: NULL
 
 
 def outcome(status) -> Column:

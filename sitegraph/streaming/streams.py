@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions import urls as U
 from sitegraph.operators import links as L
+from sitegraph.sinks import writers as W
 from sitegraph.session import ensure_checkpoint_dir
 
 
@@ -55,54 +56,17 @@ def stream_url_set(links_stream: DataFrame, key: str = "url") -> DataFrame:
     return links_stream.select(key).dropDuplicates([key])
 
 
-def stream_fetch_list(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts") -> DataFrame:
-    """STR3: a save path is fetched again only once its copy may be older
-    than the TTL.  Approximation: no repeat inside the watermark delay (TTL);
-    the exact rule needs the time of the last fetch per key as state."""
-    r = requests_stream.withColumn("save_path", U.save_path("url", F.col("link_type")))
-    return r.withWatermark(ts_col, f"{ttl_min} minutes").dropDuplicatesWithinWatermark(["save_path"])
-
-
-UPSERT_BUCKETS = 64
-
-
-def upsert_newest(batch: DataFrame, table_path: str, key: str = "save_path", ts: str = "fetched_at",
-                  partition: str = "host", buckets: int = UPSERT_BUCKETS) -> None:
-    """Merge a batch into a parquet table partitioned by (``partition``,
-    ``key_bucket``): per key the newest ``ts`` wins.  Only the buckets the
-    batch touches are read (dynamic partition pruning through the semi join)
-    and rewritten (dynamic partition overwrite), so a host holding a third
-    of the archive costs 1/``buckets`` of it per micro-batch, not all of it."""
-    spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    batch = batch.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    cols = batch.columns
-    parts = [partition, "key_bucket"]
-    others = [c for c in cols if c not in (key, ts, *parts)]
-    try:
-        old = spark.read.parquet(table_path)
-        touched = batch.select(*parts).distinct()
-        old = old.join(touched, parts, "left_semi").select(*cols)
-        merged = old.unionByName(batch)
-    except Exception:  # noqa: BLE001 - first batch: no table yet
-        merged = batch
-    best = merged.groupBy(key).agg(
-        F.max_by(F.struct(*others, *parts), F.struct(ts, *others)).alias("_b"), F.max(ts).alias(ts))
-    best = best.select(key, "_b.*", ts).select(*cols)
-    # materialise before overwriting the partitions it was read from
-    best = best.checkpoint(eager=True)
-    best.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(table_path)
-
-
-def stream_archive(rows_stream: DataFrame, table_path: str, name: str = "archive"):
-    """STR4: micro-batch upsert of saved copies, newest copy per save path wins."""
+def stream_archive(rows_stream: DataFrame, root: str, name: str = "archive"):
+    """STR4: every micro-batch is merged into the archive at ``root`` (SNK3): the
+    newest copy per save path stays.  A batch that is repeated after a failure
+    merges to the same table."""
     spark = rows_stream.sparkSession
     base = stream_folder(spark, name)
     q = (rows_stream.writeStream.trigger(availableNow=True)
          .option("checkpointLocation", base + "/_state")
-         .foreachBatch(lambda df, _id: upsert_newest(df, table_path)).start())
+         .foreachBatch(lambda df, _id: W.write_archive(df, root)).start())
     q.awaitTermination()
-    return table_path
+    return root
 
 
 def _epoch(c, unit: str):
@@ -114,9 +78,11 @@ def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str =
     reused while ``ttl*60 >= now - fetched`` (whole seconds), i.e. a key is
     fetched again only once its last copy is older than the TTL.
 
-    The time of the last fetch per save path is the operator state
-    (``applyInPandasWithState``); each group holds one key's rows of one
-    micro-batch, so its size is bounded by the trigger, not by the stream.
+    The time of the last fetch per save path is the operator state, one number
+    per path (``applyInPandasWithState``).  Requests of one second cannot both
+    fetch, so of a key's rows the first of each second is kept as the rows
+    come in: what a task holds follows the seconds of the micro-batch, not the
+    requests of a hot key.
     Output: (save_path, request_id, ts_s) of the fetching requests.
     """
     import numpy as np
@@ -128,21 +94,27 @@ def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str =
         .select("save_path", "request_id", _epoch(F.col(ts_col), "SECOND").alias("ts_s"),
                 _epoch(F.col(ts_col), "MICROSECOND").alias("ts_us"))
 
+    def first_of_seconds(pdf):
+        return pdf.sort_values(["ts_us", "request_id"], kind="stable").drop_duplicates("ts_s")
+
     def greedy(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
+        held = None
+        for pdf in pdfs:
+            if len(pdf):
+                held = first_of_seconds(pdf if held is None else pd.concat([held, pdf]))
+        if held is None:
             return
-        pdf = pd.concat(frames).sort_values(["ts_us", "request_id"], kind="stable")
-        ts = pdf["ts_s"].to_numpy()
-        keep = np.zeros(len(ts), dtype=bool)
-        for i, t in enumerate(ts):
-            if last is None or t - last > ttl_s:
-                keep[i] = True
-                last = int(t)
-        state.update((int(last),))
-        yield pd.DataFrame({"save_path": key[0], "request_id": pdf["request_id"].to_numpy()[keep],
-                            "ts_s": ts[keep]})
+        ts, kept = held["ts_s"].to_numpy(), []
+        last = state.get[0] if state.exists else None
+        at = 0 if last is None else int(np.searchsorted(ts, last + ttl_s, side="right"))
+        while at < len(ts):  # one step per fetch, not per request
+            kept.append(at)
+            last = int(ts[at])
+            at = int(np.searchsorted(ts, last + ttl_s, side="right"))
+        state.update((last,))
+        if kept:
+            yield pd.DataFrame({"save_path": key[0], "request_id": held["request_id"].to_numpy()[kept],
+                                "ts_s": ts[kept]})
 
     return r.groupBy("save_path").applyInPandasWithState(
         greedy, "save_path string, request_id long, ts_s long", "last_fetch long", "append",
