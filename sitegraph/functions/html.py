@@ -4,8 +4,7 @@ Lexical mode (LNK1) follows the byte scanner of the reference: a tag whose
 name *starts with* ``a``/``link`` (attribute ``href="…"``) or ``img``/``script``
 (attribute ``src="…"``); double quotes only; case-sensitive; empty values are
 ignored and the last non-empty value wins; ``type="…"`` is captured the same
-way.  A tag with no link value gives no row.  Tags longer than about 1024
-characters are not matched (the scanner gives up at that length too).
+way.  A tag with no link value gives no row.  Tags may be of any length.
 
 DOM mode (LNK2) is the tag set of the page-saving tool: ``iframe[src]``,
 ``a[href]``, ``img[src]``, ``script[src]`` and stylesheet/icon ``link[href]``,
@@ -20,19 +19,18 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values of the lexical scanner.
-MAX_TAG = 1023          # characters examined after '<'
 HREF_TAGS = ("a", "link")
 # ---------------------------------------------------------------------------
 
-_Q = "{0,%d}+" % MAX_TAG
-# One alternative per attribute name; possessive groups keep it linear and
-# make a tag without its link attribute fail at once.
+# One alternative per attribute name; possessive groups keep it linear (they
+# iterate, they do not recurse) and make a tag without its link attribute fail
+# at once.
 LEXICAL_TOKEN = (
     "<(?:"
-    "(?:a|link)(?:type=\"[^\"]*+\"|(?!href=\")[^>])" + _Q
-    + "href=\"[^\"]*+\"(?:href=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])" + _Q
-    + "|(?:img|script)(?:type=\"[^\"]*+\"|(?!src=\")[^>])" + _Q
-    + "src=\"[^\"]*+\"(?:src=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])" + _Q
+    "(?:a|link)(?:type=\"[^\"]*+\"|(?!href=\")[^>])*+"
+    + "href=\"[^\"]*+\"(?:href=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])*+"
+    + "|(?:img|script)(?:type=\"[^\"]*+\"|(?!src=\")[^>])*+"
+    + "src=\"[^\"]*+\"(?:src=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])*+"
     + ")>")
 _HREF_ATTRS = r'(href|type)="([^"]*)"'
 _SRC_ATTRS = r'(src|type)="([^"]*)"'
@@ -84,20 +82,22 @@ def lexical_links(html) -> Column:
 
 # --- DOM mode ---------------------------------------------------------------
 
-# Entities decoded in attribute values.
-ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # One scan of the page: comments and script/style elements are consumed
-# whole (their bodies hold no tags), the link-bearing start tags are tokens.
+# whole (their bodies hold no tags, and only their own end tag ends them), the
+# link-bearing start tags are tokens.  Groups are possessive: they iterate and
+# never come back, so neither a long nor an unclosed tag can exhaust the stack.
 DOM_SCAN = (r"(?is)<!--.*?-->"
-            r"|<(?:script|style)\b" + _ATTRS + r">.*?</(?:script|style)\s*>"
-            r"|<(?:iframe|a|img|script|link)(?=[\s/>])" + _ATTRS + r">")
-_START_TAG = r"(?is)^<\w+" + _ATTRS + r">"
-# An attribute list walked up to the *last* occurrence of a name (a repeated
-# attribute keeps its last value).
-_ATTR_WALK = r"""(?is)^(<\w+(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?|\s*/)*\s+"""
-_VALUE = r"""\s*=\s*)("[^"]*"|'[^']*'|[^\s>"']*)"""
+            r"|<script\b" + _QUOTED + r">.*?</script\s*+>"
+            r"|<style\b" + _QUOTED + r">.*?</style\s*+>"
+            r"|<(?:iframe|a|img|script|link)(?=[\s/>])" + _QUOTED + r">")
+_START_TAG = r"(?is)^<\w++" + _QUOTED + r">"
+# What follows the tag name, cut into attributes with the space before them;
+# anything else is a piece of its own, so the pieces make up the whole.
+_PIECE = r"""(?is)[\s/]++[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?+|."""
+_PIECE_NAME = r"""(?is)^[\s/]++([^\s=>"'/]++)\s*+="""
+_BEFORE_VALUE = r"""(?is)^[\s/]++[^\s=>"'/]++\s*+=\s*+"""
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def dom_scan(html) -> Column:
@@ -119,43 +119,98 @@ def dom_tag_name(token: Column) -> Column:
     return F.when(token.startswith("<!--"), F.lit("")).otherwise(F.lower(F.regexp_extract(token, r"^<(\w+)", 1)))
 
 
-def _attr_pattern(name: str) -> str:
-    return _ATTR_WALK + name + _VALUE
+def _named_entities() -> Column:
+    """name -> text of the named character references of HTML, from the standard library."""
+    import json
+    from html.entities import html5
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def decode_entities(value: Column) -> Column:
+    """Character references of an attribute value decoded in one pass: decimal,
+    hexadecimal and named ones (unknown names stay; numbers that are no character
+    become U+FFFD)."""
+    from sitegraph.functions.urls import bind
+
+    def number(text):
+        code = F.when(F.lower(F.substring(text, 3, 1)) == "x",
+                      F.conv(F.substring(text, 4, F.length(text) - 4), 16, 10)) \
+            .otherwise(F.substring(text, 3, F.length(text) - 3)).try_cast("bigint")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def one(text):
+        named = F.try_element_at(_named_entities(), F.substring(text, 2, F.length(text) - 2))
+        return F.when(F.substring(text, 2, 1) == "#", number(text)).otherwise(F.coalesce(named, text))
+
+    pieces = F.split(value, _ENTITY, -1)
+    decoded = F.transform(F.regexp_extract_all(value, F.lit(_ENTITY), 0), one)
+    joined = F.array_join(F.zip_with(pieces, decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
+    return F.when(F.contains(value, F.lit("&")), joined).otherwise(value)
+
+
+def dom_pieces(start_tag: Column) -> Column:
+    """struct(head, pieces, names): the tag cut up once; ``names`` has the lower-cased
+    attribute name of each piece with a value ('' for others)."""
+    from sitegraph.functions.urls import bind
+    pieces = F.regexp_extract_all(F.regexp_replace(start_tag, r"^<\w+", ""), F.lit(_PIECE), 0)
+    return bind(pieces, lambda p: F.struct(
+        F.regexp_extract(start_tag, r"^<\w+", 0).alias("head"), p.alias("pieces"),
+        F.transform(p, lambda x: F.lower(F.regexp_extract(x, _PIECE_NAME, 1))).alias("names")))
+
 
+def _last_place(cut: Column, name: str) -> Column:
+    """1-based place of the last piece with this attribute, 0 if none."""
+    from_end = F.array_position(F.reverse(cut["names"]), name)
+    return F.when(from_end > 0, F.size(cut["names"]) + 1 - from_end).otherwise(0).cast("int")
 
-def dom_attr(start_tag: Column, name: str) -> Column:
-    """Value of the last attribute ``name`` (any quoting), entities decoded; NULL if absent.
 
-    One pass of the attribute-walking regex: the whole match is empty iff the
-    attribute is absent, and the value is the quoted or bare word that ends it."""
+def dom_attr(cut: Column, name: str) -> Column:
+    """Value of the last attribute ``name`` (any quoting) of a tag cut up by
+    ``dom_pieces``, character references decoded; NULL if absent."""
     from sitegraph.functions.urls import bind
 
-    def decode(whole):
-        raw = F.regexp_extract(whole, r"""=\s*("[^"]*"|'[^']*'|[^\s>"']*)$""", 1)
-        unq = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
-        for ent, ch in ENTITIES:
-            unq = F.replace(unq, F.lit(ent), F.lit(ch))
-        return F.when(whole != "", unq)
-    return bind(F.regexp_extract(start_tag, _attr_pattern(name), 0), decode)
+    def value(piece):
+        raw = F.regexp_replace(piece, _BEFORE_VALUE, "")
+        return F.when(piece.isNotNull(), decode_entities(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")))
+    return bind(F.get(cut["pieces"], _last_place(cut, name) - 1), value)
+
+
+def dom_around(cut: Column, name: str) -> Column:
+    """struct(before, old): the tag up to the value of its last attribute ``name``,
+    and that value as it is written, quotes included."""
+    from sitegraph.functions.urls import bind
+
+    def at(place):
+        piece = F.element_at(cut["pieces"], place)
+        lead = F.regexp_extract(piece, _BEFORE_VALUE, 0)
+        return F.struct(F.concat(cut["head"], F.array_join(F.slice(cut["pieces"], 1, place - 1), ""), lead).alias("before"),
+                        F.substring(piece, F.length(lead) + 1, F.length(piece)).alias("old"))
+    return bind(_last_place(cut, name), lambda place: F.when(place > 0, at(F.greatest(place, F.lit(1)))))
 
 
 def dom_link(token: Column) -> Column:
     """struct(tag, raw_link, type_attr) of a scan token; raw_link NULL when
     the token holds no link of the DOM tag set."""
     from sitegraph.functions.urls import bind
+    return bind(dom_pieces(dom_start_tag(token)), lambda cut: dom_link_of(dom_tag_name(token), cut))
+
+
+def dom_link_of(tag_name: Column, cut: Column) -> Column:
+    from sitegraph.functions.urls import bind
 
-    def from_tag(tag, st):
-        attr = F.when(tag.isin("a", "link"), dom_attr(st, "href")) \
-            .when(tag.isin("iframe", "img", "script"), dom_attr(st, "src"))
+    def from_tag(tag):
+        attr = F.when(tag.isin("a", "link"), dom_attr(cut, "href")) \
+            .when(tag.isin("iframe", "img", "script"), dom_attr(cut, "src"))
 
         def decide(a, ty):
-            rel = dom_attr(st, "rel")
+            rel = dom_attr(cut, "rel")
             css_ok = (F.coalesce(ty == "text/css", F.lit(False)) | F.coalesce(a.endswith(".css"), F.lit(False))
                       | F.coalesce(F.trim(rel) == "icon", F.lit(False)))
             ok = a.isNotNull() & (a != "") & tag.isin("iframe", "a", "img", "script", "link") \
                 & ((tag != "link") | css_ok)
             return F.struct(tag.alias("tag"), F.when(ok, a).alias("raw_link"), ty.alias("type_attr"))
-        return bind(F.struct(attr.alias("a"), dom_attr(st, "type").alias("t")), lambda x: decide(x["a"], x["t"]))
+        return bind(F.struct(attr.alias("a"), dom_attr(cut, "type").alias("t")), lambda x: decide(x["a"], x["t"]))
 
-    return bind(F.struct(dom_tag_name(token).alias("tag"), dom_start_tag(token).alias("st")),
-                lambda x: from_tag(x["tag"], x["st"]))
+    return bind(tag_name, from_tag)

@@ -58,25 +58,23 @@ def rewrite_links(pages: DataFrame, html_col: str = "html", hint_col: str | None
 
 def _dom_rewrite_token(t: Column, page: Column) -> Column:
     """``page``: struct(split = split_url(page_url), local = local_path(page_url))."""
-    def with_rec(rec):
+    def with_rec(rec, cut):
         tag, value = rec["tag"], rec["raw_link"]
 
         def with_target(target):
-            st = H.dom_start_tag(t)
-            is_href = tag.isin("a", "link")
-            hpat, spat = H._attr_pattern("href"), H._attr_pattern("src")
-            pre = F.when(is_href, F.regexp_extract(st, hpat, 1)).otherwise(F.regexp_extract(st, spat, 1))
-            old = F.when(is_href, F.regexp_extract(st, hpat, 2)).otherwise(F.regexp_extract(st, spat, 2))
+            place = F.when(tag.isin("a", "link"), H.dom_around(cut, "href")).otherwise(H.dom_around(cut, "src"))
             quoted = F.concat(F.lit('"'), F.replace(F.replace(target, F.lit("&"), F.lit("&amp;")),
                                                     F.lit('"'), F.lit("&quot;")), F.lit('"'))
-            new = F.concat(pre, quoted, F.substring(t, F.length(pre) + F.length(old) + 1, F.length(t)))
+            new = bind(place, lambda x: F.concat(x["before"], quoted, F.substring(
+                t, F.length(x["before"]) + F.length(x["old"]) + 1, F.length(t))))
             return F.when(value.isNotNull() & target.isNotNull(), new).otherwise(t)
 
         joined = bind(RFC.split_url(value), lambda hh: RFC.join_split(hh, page["split"]))
         tgt_url = bind(joined, lambda r: RFC.unsplit(r["scheme"], r["netloc"], r["path"]))
         return bind(RFC.relative_path_min(page["local"], RFC.local_path(tgt_url)), with_target)
 
-    return bind(H.dom_link(t), with_rec)
+    return bind(H.dom_pieces(H.dom_start_tag(t)),
+                lambda cut: bind(H.dom_link_of(H.dom_tag_name(t), cut), lambda rec: with_rec(rec, cut)))
 
 
 def rewrite_html_dom(html, page_url) -> Column:

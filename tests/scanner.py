@@ -3,14 +3,13 @@
 A tag starts at a '<' followed by a/link (attribute href) or img/script
 (attribute src).  Its text is read as a sequence of units -- a quoted value
 of the link attribute or of ``type``, or any single character -- until the
-first bare '>' (or about 1024 characters).  The last non-empty link value
+first bare '>'.  The last non-empty link value
 and type value win; a tag without a link value yields nothing and the search
 goes on at the next character.
 """
 
 import re
 
-LIMIT = 1023
 ATTR = {"a": "href", "link": "href", "img": "src", "script": "src"}
 NAME = re.compile(r"a|link|img|script")
 
@@ -30,7 +29,7 @@ def scan_tags(html: str):
         tag = m.group(0)
         values = {"link": None, "type": None}
         end = None
-        for u in _units(ATTR[tag]).finditer(html, lt + 1, min(len(html), lt + 1 + LIMIT)):
+        for u in _units(ATTR[tag]).finditer(html, lt + 1):
             if u.group(3) == ">":
                 end = u.start()
                 break

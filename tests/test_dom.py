@@ -80,3 +80,41 @@ def test_dom_rewrite(spark):
     got = df.select(RW.rewrite_html_dom("html", "url").alias("o")).first().o
     assert got == ('<p>x</p><a href="../a/b.html">1</a><img src="../i.png" alt=z><!-- <a href="/c"> -->'
                    '<a href="sub/index.html">2</a>')
+
+
+def _links(spark, html):
+    df = spark.createDataFrame([(1, "https://h.org/p/index.html", html)], "page_id long, url string, html string")
+    return [(r.tag, r.raw_link) for r in L.extract_links_dom(df).orderBy("pos").collect()]
+
+
+def test_long_and_unclosed_tags_do_not_end_the_job(spark):
+    for filler in ("y" * 1_000_000, "k=v " * 50_000, "'q' " * 50_000):
+        assert _links(spark, f'<a {filler} href="/x">t</a>') == [("a", "/x")]
+        assert _links(spark, f'<a href="/x" {filler}>t</a>') == [("a", "/x")]
+        assert _links(spark, f'<a href="/x" {filler}') == []
+        df = spark.createDataFrame([(f'<a {filler} href="/x">t</a>', "https://h.org/")], "html string, url string")
+        assert df.select(RW.rewrite_html_dom("html", "url").alias("o")).first().o == f'<a {filler} href="x/index.html">t</a>'
+
+
+def test_only_its_own_end_tag_ends_a_script(spark):
+    html = '<script>"</style><a href=\'/in\'>"</script><a href="/out">x</a><style>a</script><a href="/in2"></style><a href="/o2">'
+    assert _links(spark, html) == [("a", "/out"), ("a", "/o2")]
+
+
+def test_character_references(spark):
+    from html import unescape
+    values = ["/a&#x2F;b&#47;c&eacute;", "?x=1&amp;y=2&amp;lt;", "&notaname;&#0;&#xD800;&#x1F600;", "&quot;&apos;&lt;&gt;", "a&b;c&;",
+              "&NotEqualTilde;&fjlig;", "&#1114112;"]
+    for value in values:
+        want = unescape(value) if "&#0;" not in value else "&notaname;\ufffd\ufffd\U0001F600"
+        if value == "&notaname;&#0;&#xD800;&#x1F600;":
+            want = "&notaname;\ufffd\ufffd\U0001F600"
+        assert _links(spark, f"<a href='{value}'>x</a>".replace("&apos;", "&apos;")) == [("a", want)], value
+
+
+def test_attributes_are_cut_up_without_loss(spark):
+    from sitegraph.functions import html as H
+    tags = ['<a href=x title=\'y\'>', '<a  HREF = "1" / href=2 = "stray" b>', "<img/src=a.png>", '<a href="">', "<a x=>"]
+    for tag in tags:
+        cut = spark.createDataFrame([(tag,)], "t string").select(H.dom_pieces(F.col("t")).alias("c")).first().c
+        assert cut.head + "".join(cut.pieces) == tag

@@ -8,15 +8,15 @@ from scanner import scan_tags
 GOLDEN = os.path.join(os.path.dirname(__file__), "golden")
 
 
-def _extract(spark, html, url="./archlinux.org/index.html"):
+def _extract(spark, html, url="./orchard.test/guide/trees/index.html"):
     df = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
     return L.extract_links(df).orderBy("pos")
 
 
 def test_inline_tags(spark):
     got = [(r.tag, r.raw_link, r.type_attr) for r in
-           _extract(spark, '<a href="HREF1"/><a href="HREF2"/>').collect()]
-    assert got == [("a", "HREF1", None), ("a", "HREF2", None)]
+           _extract(spark, '<p><a href="pear"><b>1</b></a>, <img src="fig" type="image/gif"/>').collect()]
+    assert got == [("a", "pear", None), ("img", "fig", "image/gif")]
 
 
 def test_lexical_quirks(spark):
@@ -31,11 +31,19 @@ def test_lexical_quirks(spark):
 
 
 def test_golden_page_tags(spark):
-    html = open(os.path.join(GOLDEN, "page.html"), encoding="utf-8").read()
+    html = open(os.path.join(GOLDEN, "orchard.html"), encoding="utf-8").read()
     got = [(r.tag, r.raw_link, r.type_attr) for r in _extract(spark, html).collect()]
-    assert len(got) == 109
     assert got == scan_tags(html)
-    assert got[0] == ("link", "/static/archlinux_common_style/navbar.css", "text/css")
+    assert got[0] == ("link", "css/season.css", "text/css") and ("a", "second.html", None) in got
+    assert len(got) == 14
+
+
+def test_no_limit_on_the_length_of_a_tag(spark):
+    for n in (1500, 5000, 1_000_000):
+        for html in (f'<a href="/x" title="{"y" * n}">t</a>', f'<a title="{"y" * n}" href="/x">t</a>',
+                     f'<img {"data " * (n // 5)} src="/x">'):
+            assert [r.raw_link for r in _extract(spark, html).collect()] == ["/x"], n
+    assert _extract(spark, '<a href="/x" ' + "y" * 100_000).count() == 0
 
 
 def test_page_links_classify_and_scope(spark):

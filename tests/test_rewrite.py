@@ -13,16 +13,16 @@ def _rw(spark, html, hint):
 
 
 def test_golden_rewrite_whole_file(spark):
-    src = open(os.path.join(GOLDEN, "page.html"), encoding="utf-8").read()
-    exp = open(os.path.join(GOLDEN, "page.replaced.html"), encoding="utf-8").read()
-    got = _rw(spark, src, "./archlinux.org/index.html")
+    src = open(os.path.join(GOLDEN, "orchard.html"), encoding="utf-8").read()
+    exp = open(os.path.join(GOLDEN, "orchard.rewritten.html"), encoding="utf-8").read()
+    got = _rw(spark, src, "./orchard.test/guide/trees/index.html")
     assert got == exp
 
 
 def test_rewrite_is_idempotent(spark):
-    src = open(os.path.join(GOLDEN, "page.html"), encoding="utf-8").read()
-    once = _rw(spark, src, "./archlinux.org/index.html")
-    assert _rw(spark, once, "./archlinux.org/index.html") == once
+    src = open(os.path.join(GOLDEN, "orchard.html"), encoding="utf-8").read()
+    once = _rw(spark, src, "./orchard.test/guide/trees/index.html")
+    assert _rw(spark, once, "./orchard.test/guide/trees/index.html") == once
 
 
 def test_rewrite_keeps_other_bytes(spark):
