@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegraph.session import ensure_checkpoint_dir
+
 
 def url_set(links: DataFrame, seeds: DataFrame | None = None, url_col: str = "url") -> DataFrame:
     """AGG2: distinct URLs of the links plus the seeds."""
@@ -42,30 +44,36 @@ def sort_urls(df: DataFrame, cols=("scheme", "netloc", "path")) -> DataFrame:
     return df.orderBy(*cols)
 
 
+def running_before(df: DataFrame, value: str, group: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the earlier rows of its group.
+
+    The input is computed once: range-partitioned by (group, order) and written
+    as a reliable checkpoint.  A group or hour of any size spans as many
+    partitions as it needs; a running sum inside each partition is moved by the
+    sums of the partitions before it, one number for each (group, partition)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order) \
+        .withColumn("_piece", F.spark_partition_id()).checkpoint(eager=True)
+    sums = d.groupBy(*group, "_piece").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_piece").alias("_p"),
+                       F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*group, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col("_piece") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return d.join(sums, same).select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
+
+
 def pacing_plan(requests: DataFrame, period_ms: int, fetch_col: str = "is_fetch",
-                group_col: str | None = "host", ts_col: str = "ts", id_col: str = "request_id",
-                bucket_s: int = 3600) -> DataFrame:
+                group_col: str | None = "host", ts_col: str = "ts", id_col: str = "request_id") -> DataFrame:
     """WIN1: ``offset_ms`` = period x number of network fetches before the
-    request in its group (host), i.e. when it may start if every fetch is
-    followed by a pause; cache hits cost nothing.
-
-    Scales with a hot host: a running sum inside (group, time bucket) plus the
-    exclusive sum of the earlier buckets of the group, which is a window over
-    the small per-bucket table.  No task ever sorts a whole group.
-    """
-    g = [F.col(group_col)] if group_col else []
-    gn = [group_col] if group_col else []
-    r = requests.withColumn("_b", F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (bucket_s * 1_000_000)))
-    r = r.withColumn("_f", F.col(fetch_col).cast("int"))
-    per_bucket = r.groupBy(*gn, "_b").agg(F.sum("_f").alias("_bt"))
-    w_b = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_boff", F.coalesce(F.sum("_bt").over(w_b), F.lit(0))).drop("_bt")
-    w_in = Window.partitionBy(*g, F.col("_b")).orderBy(ts_col, id_col) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_in", F.coalesce(F.sum("_f").over(w_in), F.lit(0)))
-    out = r.join(per_bucket, [*gn, "_b"])
-    return out.withColumn("offset_ms", ((F.col("_boff") + F.col("_in")) * F.lit(period_ms)).cast("bigint")) \
-        .drop("_b", "_f", "_in", "_boff")
+    request in its group (host; None: all requests), i.e. when it may start if
+    every fetch is followed by a pause; cache hits cost nothing."""
+    r = requests.withColumn("_f", F.col(fetch_col).cast("int")).withColumn("_all", F.lit(0))
+    out = running_before(r, "_f", [group_col or "_all"], [ts_col, id_col], "_before")
+    return out.withColumn("offset_ms", (F.col("_before") * F.lit(period_ms)).cast("bigint")).drop("_before", "_f", "_all")
 
 
 def retry_plan(attempts: DataFrame, period_ms: int, outcome_col: str = "outcome",
@@ -81,15 +89,9 @@ def with_fetch_flag(lookups: DataFrame, status_col: str = "cache_status") -> Dat
     return lookups.withColumn("is_fetch", F.col(status_col) != "hit")
 
 
-def retry_attempts(attempts: DataFrame, period_ms: int, outcome_col: str = "outcome",
-                   ts_col: str = "ts", id_col: str = "request_id") -> DataFrame:
-    """WIN2 as an attempts table: (request_id, attempt, attempt_at, outcome).  Attempt
-    1 is the request; a throttled attempt 1 is followed by attempt 2 three
-    periods later (same captured response, so it is throttled again and not
-    retried).  Numbered with ``posexplode`` inside the row, no window."""
-    first = F.struct(F.col(ts_col).alias("attempt_at"), F.col(outcome_col).alias("outcome"))
-    second = F.struct((F.col(ts_col) + F.make_dt_interval(secs=F.lit(3 * period_ms / 1000.0))).alias("attempt_at"),
-                      F.col(outcome_col).alias("outcome"))
-    arr = F.when(F.col(outcome_col) == "throttled", F.array(first, second)).otherwise(F.array(first))
-    out = attempts.select(id_col, F.posexplode(arr).alias("attempt", "a"))
-    return out.select(id_col, (F.col("attempt") + 1).alias("attempt"), "a.attempt_at", "a.outcome")
+def number_attempts(attempts: DataFrame, url_col: str = "url", ts_col: str = "ts", id_col: str = "request_id") -> DataFrame:
+    """WIN2 over captured attempts: ``attempt`` numbers the attempts at a URL in the
+    order of time, from 1 (a URL asked for a third of the time spans partitions)."""
+    ones = attempts.withColumn("_one", F.lit(1))
+    return running_before(ones, "_one", [url_col], [ts_col, id_col], "_before") \
+        .withColumn("attempt", (F.col("_before") + 1).cast("int")).drop("_before", "_one")

@@ -1,65 +1,90 @@
-"""Redirect resolution as an iterative self-join (JN4).
+"""Redirect resolution by pointer doubling (JN4).
 
-The redirect graph is functional (a URL has at most one Location), so a
-chain is walked one hop per iteration; only chains still moving take part in
-the next join.  Loops and overlong chains stop with their own outcome (the
-reference would follow them forever).  Each hop is persisted (only the three
-columns a hop needs are kept); every ``checkpoint_every`` hops the moving
-chains are written as a reliable checkpoint, and so is the result.
+The redirect graph is functional (a URL has at most one Location), so where a
+chain of any length ends is found by squaring the "next" table: each round joins
+it with itself and doubles the steps.  Chains that end are settled after
+log2(length) rounds; those that never do lead into a loop, and stop at the URL
+whose Location comes back to a URL of the chain.  There is no limit on the
+length.  Each round is a reliable checkpoint of three narrow columns.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.session import ensure_checkpoint_dir
 
 
-def resolve_redirects(parsed: DataFrame, max_hops: int = 10, url_col: str = "request_url",
-                      checkpoint_every: int = 4) -> DataFrame:
+def _squared(step: DataFrame, rounds: int) -> DataFrame:
+    """(url, to, hops) after all steps that a row can take; a URL that maps to
+    itself stands still.  Ends early when no row moves."""
+    step = step.checkpoint(eager=True)
+    for _ in range(rounds):
+        ahead = step.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"))
+        new = step.join(ahead, "to").select("url", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"),
+                                            (F.col("hops2") > 0).alias("moved")).checkpoint(eager=True)
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        step = new.drop("moved")
+    return step
+
+
+def resolve_redirects(parsed: DataFrame, url_col: str = "request_url", ts_col: str = "ts") -> DataFrame:
     """(url, effective_url, hops, outcome) for every request URL of ``parsed``
-    (columns request_url, outcome, location).
+    (columns request_url, outcome, location and, if there, ts: the newest
+    capture of a URL counts).
 
     outcome: the final response's outcome (ok / error / throttled /
     parse_error), ``error`` for a redirect without Location, ``loop`` when a
-    Location comes back to a URL of the chain, ``too_many_hops`` after
-    ``max_hops``, ``unknown`` when no response exists for the URL reached.
+    Location comes back to a URL of the chain, ``unknown`` when no response
+    exists for the URL reached.
     """
-    spark = parsed.sparkSession
-    r = parsed.select(F.col(url_col).alias("cur"), F.col("outcome").alias("r_outcome"),
-                      F.col("location").alias("r_location")).dropDuplicates(["cur"])
-    state = parsed.select(F.col(url_col).alias("url")).distinct() \
-        .select("url", F.col("url").alias("cur"), F.lit(0).alias("hops"), F.array("url").alias("seen"))
-    r = r.persist(StorageLevel.MEMORY_AND_DISK)
-    held = [r]
-    done = []
-    for i in range(max_hops + 1):
-        step = state.join(r, "cur", "left").persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(step)
-        moving = (F.col("r_outcome") == "redirect") & F.col("r_location").isNotNull() \
-            & ~F.array_contains("seen", F.col("r_location")) & (F.col("hops") < max_hops)
-        final_outcome = (F.when(F.col("r_outcome").isNull(), F.lit("unknown"))
-                         .when(F.col("r_outcome") != "redirect", F.col("r_outcome"))
-                         .when(F.col("r_location").isNull(), F.lit("error"))
-                         .when(F.array_contains("seen", F.col("r_location")), F.lit("loop"))
-                         .otherwise(F.lit("too_many_hops")))
-        done.append(step.filter(~moving).select("url", F.col("cur").alias("effective_url"), "hops",
-                                                final_outcome.alias("outcome")))
-        state = step.filter(moving).select("url", F.col("r_location").alias("cur"),
-                                           (F.col("hops") + 1).alias("hops"),
-                                           F.array_append("seen", F.col("r_location")).alias("seen"))
-        if (i + 1) % checkpoint_every == 0:
-            ensure_checkpoint_dir(spark)
-            state = state.checkpoint(eager=True)
-        if state.count() == 0:      # fills the cache of the persisted hop
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    ensure_checkpoint_dir(spark)
-    out = out.checkpoint(eager=True)
-    for h in held:
-        h.unpersist()
-    return out
+    ensure_checkpoint_dir(parsed.sparkSession)
+    newest = F.struct(*[F.col(c) for c in (ts_col,) if c in parsed.columns], "outcome", "location")
+    r = parsed.groupBy(F.col(url_col).alias("url")).agg(F.max(newest).alias("r")) \
+        .select("url", "r.outcome", "r.location").checkpoint(eager=True)
+    moves = (F.col("outcome") == "redirect") & F.col("location").isNotNull()
+    known = r.select("url")
+    beyond = r.where(moves).select(F.col("location").alias("url")).distinct().join(known, "url", "left_anti")
+    step = r.select("url", F.when(moves, F.col("location")).otherwise(F.col("url")).alias("to"),
+                    F.when(moves, 1).otherwise(0).cast("bigint").alias("hops")) \
+        .unionByName(beyond.select("url", F.col("url").alias("to"), F.lit(0).cast("bigint").alias("hops")))
+    step = step.checkpoint(eager=True)
+    rounds = max(1, step.where("hops > 0").count()).bit_length()
+    end = _squared(step, rounds)
+    still = step.where("hops = 0").select(F.col("url").alias("to"))
+    settled = end.join(still, "to", "left_semi").join(known, "url", "left_semi")
+    out = settled.join(r.select(F.col("url").alias("to"), "outcome"), "to", "left").select(
+        "url", F.col("to").alias("effective_url"), "hops",
+        F.when(F.col("outcome") == "redirect", "error").otherwise(F.coalesce("outcome", F.lit("unknown"))).alias("outcome"))
+
+    # the rest leads into loops; what they reach after that many steps are the loops' URLs
+    loose = end.join(still, "to", "left_anti").checkpoint(eager=True)
+    if not loose.isEmpty():
+        ring = loose.select(F.col("to").alias("url")).distinct()
+        around = step.join(ring, "url", "left_semi").select("url", "to").checkpoint(eager=True)
+        # size of each loop: its URLs with the smallest URL seen on the way round
+        least = around.select("url", "to", F.least("url", "to").alias("least"))
+        for _ in range(rounds):
+            ahead = least.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+            least = least.join(ahead, "to").select("url", F.col("to2").alias("to"),
+                                                   F.least("least", "least2").alias("least")).checkpoint(eager=True)
+        size = least.groupBy("least").agg(F.count("*").alias("n"))
+        before = around.select(F.col("to").alias("entry"), F.col("url").alias("effective_url"))
+        entries = least.select(F.col("url").alias("entry"), "least").join(size, "least").join(before, "entry") \
+            .select("entry", "n", "effective_url")
+        tails = step.join(loose.select("url"), "url", "left_semi").join(ring.withColumn("on_ring", F.lit(True)), "url", "left") \
+            .select("url", F.when(F.col("on_ring"), F.col("url")).otherwise(F.col("to")).alias("to"),
+                    F.when(F.col("on_ring"), 0).otherwise(1).cast("bigint").alias("hops"))
+        loops = _squared(tails, rounds).select("url", F.col("to").alias("entry"), "hops").join(entries, "entry").select(
+            "url", "effective_url", (F.col("hops") + F.col("n") - 1).alias("hops"), F.lit("loop").alias("outcome"))
+        out = out.unionByName(loops)
+    return out.select("url", "effective_url", F.col("hops").cast("int").alias("hops"), "outcome").checkpoint(eager=True)
+
+
+def with_effective_url(rows: DataFrame, resolved: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rows with ``effective_url``: where the URL leads after redirects (itself,
+    if nothing is known of it)."""
+    to = resolved.select(F.col("url").alias(url_col), "effective_url")
+    return rows.join(to, url_col, "left").withColumn("effective_url", F.coalesce("effective_url", F.col(url_col)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,37 +12,71 @@ from sitegraph.functions import urls as U
 from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
 from sitegraph.operators import rewrite as RW
-from sitegraph.plans.crawl import crawl_manifest
+from sitegraph.plans.crawl import crawl_manifest, crawl_rfc
 
 
-def page_bundle(pages: DataFrame, archive: DataFrame) -> DataFrame:
+def page_bundle(pages: DataFrame, archive: DataFrame, resources_only: bool = False) -> DataFrame:
     """JN5: every DOM-mode link of each page with its local path and whether
     the archive already holds it (left join on the local path; a missing
-    resource is kept with ``found = false``)."""
-    d = L.extract_links_dom(pages, resolve=True).withColumn("local_path", RFC.local_path("url"))
+    resource is kept with ``found = false``).  ``resources_only`` leaves out
+    links to other pages (iframe, a)."""
+    d = L.extract_links_dom(pages, resolve=True)
+    if resources_only:
+        d = L.split_pages_resources(d)[1]
+    d = d.withColumn("local_path", RFC.local_path("url"))
     a = archive.select(F.col("save_path").alias("local_path"), F.lit(True).alias("_hit"))
     return d.join(a, "local_path", "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def fetch_plan(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int = 1, scope: str = "same",
+               ttl_min: int | None = 1000, as_of: str | None = None, force: bool = False) -> DataFrame:
+    """(save_path, url, link_type, page_id): the save paths that the crawl's manifest
+    names and no fresh copy covers, with the corpus page that holds each (lowest
+    page_id; NULL if none).  Pages are matched by their page key, other resources
+    by host and path.  Only keys and ids are shuffled, no HTML."""
+    man = crawl_manifest(seeds, corpus, depth, scope).select("link_type", "url")
+    man = man.unionByName(seeds.select(F.lit("HTML").alias("link_type"), "url"))
+    todo = J.fetch_list(man, archive, ttl_min, as_of or _now(), force)
+    keys = F.explode(F.array_distinct(F.array(U.page_key("url"), U.host_path("url"))))
+    held = corpus.select("page_id", keys.alias("save_path")).groupBy("save_path").agg(F.min("page_id").alias("page_id"))
+    return todo.join(held, "save_path", "left")
+
+
 def archive_site(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int = 1,
                  scope: str = "same", ttl_min: int | None = 1000, as_of: str | None = None,
                  force: bool = False) -> DataFrame:
     """PIP1: crawl -> manifest -> fetch list -> fetch (join with the corpus)
-    -> archive rows -> links rewritten.  Returns the new archive rows
-    (page_key, save_path, host, body, fetched_at); the caller writes them
-    with ``sinks.writers.write_archive``.  Only HTML pages of the corpus can
-    be fetched here; other fetch-list entries are not in the corpus."""
-    man = crawl_manifest(seeds, corpus, depth, scope).select("link_type", "url")
-    seed_lines = seeds.select(F.lit("HTML").alias("link_type"), "url")
-    man = man.unionByName(seed_lines)
-    as_of = as_of or "1970-01-01 00:00:00"
-    todo = J.fetch_list(man, archive, ttl_min, as_of, force)
-    keyed = J.pages_by_key(corpus.select("page_id", "url", "html"))
-    fetched = todo.join(keyed.select(F.col("page_key").alias("save_path"), "html"), "save_path")
-    rows = fetched.select(F.col("save_path").alias("page_key"), "save_path", U.url_host("url").alias("host"),
-                          RW.rewrite_html(F.col("html"), F.concat(F.lit("./"), F.col("save_path"))).alias("body"),
-                          F.to_timestamp_ntz(F.lit(as_of)).alias("fetched_at"))
-    return rows
+    -> archive rows, links of pages rewritten.  Returns the new archive rows
+    (page_key, save_path, host, body, fetched_at), which
+    ``sinks.writers.write_archive`` merges into an archive; every line of the
+    manifest counts, resources too.  ``as_of`` (default: now) is the time that
+    copies are held against.  What the corpus lacks: ``missing_fetches``."""
+    as_of = as_of or _now()
+    plan = fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force)
+    # the narrow plan meets the pages once, by page id
+    fetched = plan.where("page_id IS NOT NULL").join(corpus.select("page_id", "html"), "page_id")
+    hint = F.concat(F.lit("./"), F.col("save_path"))
+    body = F.when(F.col("link_type").isin("HTML", "NO"), RW.rewrite_html(F.col("html"), hint)).otherwise(F.col("html"))
+    return fetched.select(F.col("save_path").alias("page_key"), "save_path", U.url_host("url").alias("host"),
+                          body.alias("body"), F.to_timestamp_ntz(F.lit(as_of)).alias("fetched_at"))
+
+
+def missing_fetches(plan: DataFrame) -> DataFrame:
+    """PIP1: the lines of a ``fetch_plan`` that the corpus could not serve (save_path,
+    url, link_type): the run's failure table."""
+    return plan.where("page_id IS NULL").select("save_path", "url", "link_type")
+
+
+def rewrite_archive(archive: DataFrame) -> DataFrame:
+    """PIP1, last step: the links of every archived page rewritten (pages are the
+    rows whose path ends in .html; rewritten links stay as they are)."""
+    hint = F.concat(F.lit("./"), F.col("save_path"))
+    body = F.when(F.col("save_path").endswith(".html"), RW.rewrite_html(F.col("body"), hint)).otherwise(F.col("body"))
+    return archive.withColumn("body", body)
 
 
 def archive_pages(pages: DataFrame, archive: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -51,3 +87,26 @@ def archive_pages(pages: DataFrame, archive: DataFrame | None = None, force: boo
     if archive is not None and not force:
         p = p.join(archive.select(F.col("save_path").alias("local_path")), "local_path", "left_anti")
     return p.select("local_path", "url", RW.rewrite_html_dom("html", "url").alias("body"))
+
+
+def save_page_rows(pages: DataFrame, corpus: DataFrame, archive: DataFrame, as_of: str | None = None) -> DataFrame:
+    """PIP2 with resources: archive rows of the pages (links rewritten) and of the
+    resources they name that are in the corpus and not yet archived, each once."""
+    at = F.to_timestamp_ntz(F.lit(as_of or _now()))
+    saved = archive_pages(pages, archive).select("local_path", "url", "body")
+    wanted = page_bundle(pages, archive, resources_only=True).where("NOT found").select("local_path").distinct()
+    held = corpus.select("page_id", RFC.local_path("url").alias("local_path")).groupBy("local_path").agg(
+        F.min("page_id").alias("page_id"))
+    resources = wanted.join(held, "local_path").join(
+        corpus.select("page_id", "url", F.col("html").alias("body")), "page_id").select("local_path", "url", "body")
+    resources = resources.join(saved.select("local_path"), "local_path", "left_anti")
+    return saved.unionByName(resources).select(
+        F.col("local_path").alias("page_key"), F.col("local_path").alias("save_path"),
+        RFC.split_url("url")["netloc"].alias("host"), "body", at.alias("fetched_at"))
+
+
+def crawl_and_save(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int, as_of: str | None = None,
+                   **scope) -> DataFrame:
+    """The page crawler's list, then every listed page saved with its resources."""
+    found = crawl_rfc(seeds, corpus, depth, **scope).select("url").distinct()
+    return save_page_rows(corpus.join(found, "url", "left_semi"), corpus, archive, as_of)

@@ -36,16 +36,23 @@ def _co_partition(table: DataFrame) -> DataFrame:
 def page_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_key, links array<struct<pos, tag, raw_link, type_attr, link_type>>):
     the links of each distinct page, extracted once.  Resolution waits for
-    the URL the page is reached by, as the reference resolves against the
-    effective URL.  Links are extracted before the per-key dedupe (lowest
-    page_id wins), so only link arrays -- not HTML -- are shuffled."""
+    the URL the page is reached by.  Only link arrays -- not HTML -- are shuffled."""
     def typed(r, i):
         return F.struct(i.alias("pos"), r["tag"].alias("tag"), r["raw_link"].alias("raw_link"),
                         r["type_attr"].alias("type_attr"),
                         U.link_type(r["tag"], r["raw_link"], r["type_attr"]).alias("link_type"))
-    per_page = pages.select("page_id", U.page_key(url_col).alias("page_key"),
-                            F.transform(H.lexical_links(html_col), typed).alias("links"))
-    return per_page.groupBy("page_key").agg(F.min_by("links", "page_id").alias("links"))
+    return first_pages(pages, U.page_key(url_col)).select(
+        "page_key", F.transform(H.lexical_links(html_col), typed).alias("links")).repartition("page_key")
+
+
+def first_pages(pages: DataFrame, key) -> DataFrame:
+    """The pages with ``page_key``, one for each key (the lowest page_id).  Winners are
+    found on (key, page_id) alone by a hash aggregate; the losers, which are few,
+    are taken out before any HTML is read."""
+    ids = pages.select("page_id", key.alias("page_key"))
+    first = ids.groupBy("page_key").agg(F.min("page_id").alias("first"))
+    losers = ids.join(first, "page_key").where("page_id <> first").select("page_id")
+    return pages.withColumn("page_key", key).join(losers, "page_id", "left_anti")
 
 
 def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base: str) -> DataFrame:
@@ -127,7 +134,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
         nxt = step.filter("is_html").select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if level % checkpoint_every == 0 and _empty(frontier):
+        if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]
@@ -147,11 +154,11 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     It keeps no visited set, so a page is expanded once per walk reaching
     it.  Walks are counted instead of enumerated: ``visits`` of a (seed,
     url) at a level is the number of walks arriving there.  Output:
-    (seed, level, link_type, url, n) where n is the number of lines.
+    (seed, level, link_type, url, n) where n is the number of lines, exact in DECIMAL(38,0).
     """
     spark = seeds.sparkSession
     if depth <= 0:
-        return spark.createDataFrame([], "seed string, level int, link_type string, url string, n bigint")
+        return spark.createDataFrame([], f"seed string, level int, link_type string, url string, n {WALKS}")
     ensure_checkpoint_dir(spark)
     table = link_table if link_table is not None else _co_partition(page_link_table(pages))
     held = [] if link_table is not None else [table]
@@ -166,14 +173,13 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
         step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type").agg(F.sum("visits").alias("n"))
         step = step.persist(StorageLevel.MEMORY_AND_DISK)     # one step from the frontier checkpoint
         held.append(step)
-        lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url",
-                                 F.col("n").cast("bigint").alias("n")))
+        lines.append(step.select("seed", F.lit(level).alias("level"), "link_type", "url", F.col("n").cast(WALKS).alias("n")))
         if level == depth:
             break
         nxt = step.filter(F.col("link_type") == "HTML").groupBy("seed", "url").agg(F.sum("n").alias("visits"))
         frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if level % checkpoint_every == 0 and _empty(frontier):
+        if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break
     out = lines[0]
     for l in lines[1:]:
@@ -196,8 +202,7 @@ def rfc_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html
     links of each page (lowest page_id per key), extracted before the dedupe."""
     recs = F.filter(F.transform(H.dom_scan(html_col), H.dom_link), lambda r: r["raw_link"].isNotNull())
     ordered = F.concat(F.filter(recs, lambda r: r["tag"] == "iframe"), F.filter(recs, lambda r: r["tag"] == "a"))
-    per_page = pages.select("page_id", rfc_key(url_col).alias("page_key"), ordered.alias("links"))
-    return per_page.groupBy("page_key").agg(F.min_by("links", "page_id").alias("links"))
+    return first_pages(pages, rfc_key(url_col)).select("page_key", ordered.alias("links")).repartition("page_key")
 
 
 def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: bool = False,
@@ -248,7 +253,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         nxt = step.select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
         frontier = _cut(nxt.withColumn("page_key", rfc_key("url")), level, checkpoint_every)
         held.append(frontier)
-        if level % checkpoint_every == 0 and _empty(frontier):
+        if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break
         expanded = expanded.unionByName(frontier.select("seed", "url"))
     out = found_all[0]

@@ -104,13 +104,91 @@ def test_redirect_chains(spark):
             ("l1", "redirect", "l2"), ("l2", "redirect", "l1"), ("m1", "redirect", None),
             ("x1", "redirect", "nowhere"), ("e1", "error", None)]
     df = spark.createDataFrame(rows, "request_url string, outcome string, location string")
-    got = {r.url: (r.effective_url, r.hops, r.outcome) for r in R.resolve_redirects(df, max_hops=5).collect()}
+    got = {r.url: (r.effective_url, r.hops, r.outcome) for r in R.resolve_redirects(df).collect()}
     assert got["u1"] == ("u3", 2, "ok")
     assert got["l1"] == ("l2", 1, "loop")
     assert got["m1"] == ("m1", 0, "error")
     assert got["x1"] == ("nowhere", 1, "unknown")
     assert got["e1"] == ("e1", 0, "error")
-    assert R.resolve_redirects(df, max_hops=1).filter("url = 'u1'").first().outcome == "too_many_hops"
+
+
+def _follow(table, url):
+    """One step after the other, stopping before a URL of the chain comes again."""
+    chain = [url]
+    while True:
+        outcome, to = table.get(chain[-1], (None, None))
+        if outcome is None:
+            return chain[-1], len(chain) - 1, "unknown"
+        if outcome != "redirect":
+            return chain[-1], len(chain) - 1, outcome
+        if to is None:
+            return chain[-1], len(chain) - 1, "error"
+        if to in chain:
+            return chain[-1], len(chain) - 1, "loop"
+        chain.append(to)
+
+
+def test_redirects_of_any_shape(spark):
+    import random
+    r = random.Random(7)
+    table = {f"c{k}": ("redirect", f"c{k + 1}") for k in range(60)} | {"c60": ("ok", None)}
+    for k in range(150):
+        kind = r.random()
+        table[f"n{k}"] = ("redirect", f"n{r.randrange(170)}") if kind < 0.8 else (("redirect", None) if kind < 0.9 else ("ok", None))
+    table |= {"self": ("redirect", "self")} | {f"r{k}": ("redirect", f"r{(k + 1) % 9}") for k in range(9)} | {"t": ("redirect", "r4")}
+    df = spark.createDataFrame([(u, *v) for u, v in table.items()], "request_url string, outcome string, location string")
+    got = {x.url: (x.effective_url, x.hops, x.outcome) for x in R.resolve_redirects(df).collect()}
+    assert got == {u: _follow(table, u) for u in table}
+
+
+def test_the_newest_capture_of_a_redirect_counts(spark):
+    rows = [("u", "redirect", "a", 1), ("u", "redirect", "b", 3), ("u", "ok", None, 2), ("a", "ok", None, 1), ("b", "ok", None, 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "request_url string, outcome string, location string, ts int")
+        found = R.resolve_redirects(df)
+        assert found.where("url = 'u'").first().effective_url == "b"
+        mapped = R.with_effective_url(df.select(F.col("request_url").alias("url")).union(
+            spark.createDataFrame([("z",)], "url string")).distinct(), found)
+        assert {r.url: r.effective_url for r in mapped.collect()} == {"u": "b", "a": "a", "b": "b", "z": "z"}
+
+
+def test_crawl_without_checkpoints_between_levels(spark):
+    p = _pages(spark)
+    assert crawl(p.select("url"), p, 3, checkpoint_every=0).count() == crawl(p.select("url"), p, 3).count()
+    assert crawl_manifest(p.select("url"), p, 2, checkpoint_every=0).count() > 0
+
+
+def test_attempts_are_numbered_in_time(spark):
+    df = spark.createDataFrame([(k, "hot" if k % 3 else f"u{k}", 1000 - k) for k in range(300)], "request_id int, url string, ts int")
+    seen: dict = {}
+    for k, url, ts in sorted(((r.request_id, r.url, r.ts) for r in df.collect()), key=lambda r: r[2]):
+        seen.setdefault(url, []).append(k)
+    got = {r.request_id: r.attempt for r in A.number_attempts(df).collect()}
+    assert got == {k: i + 1 for ids in seen.values() for i, k in enumerate(ids)}
+
+
+def test_archive_run_defaults_and_failures(spark):
+    from sitegraph.plans import archive as AR
+    p = spark.createDataFrame([(1, "https://s.org/a", '<a href="/b">b</a><img src="/i.png"><a href="/gone">g</a>'),
+                               (2, "https://s.org/b", "<p>b</p>"), (3, "https://s.org/i.png", "PNG")],
+                              "page_id long, url string, html string")
+    old = spark.createDataFrame([("s.org/b/index.html", "2020-01-01 00:00:00")], "save_path string, t string").select(
+        "save_path", F.to_timestamp_ntz("t").alias("fetched_at"))
+    seeds = p.where("page_id = 1").select("url")
+    rows = {r.save_path: r.body for r in AR.archive_site(seeds, p, old).collect()}  # now: the copy is stale
+    assert set(rows) == {"s.org/a/index.html", "s.org/b/index.html", "s.org/i.png"} and rows["s.org/i.png"] == "PNG"
+    assert AR.archive_site(seeds, p, old, as_of="2020-01-01 00:05:00").count() == 2
+    missing = AR.missing_fetches(AR.fetch_plan(seeds, p, old)).collect()
+    assert [(r.save_path, r.url) for r in missing] == [("s.org/gone/index.html", "https://s.org/gone")]
+    saved = AR.crawl_and_save(seeds, p.withColumn("html", F.regexp_replace("html", "gone", "b")), old, 1)
+    assert sorted(r.save_path for r in saved.collect()) == ["s.org/a/index.html", "s.org/i.png"]
+
+
+def test_no_html_in_the_shuffle_of_keys(spark):
+    from sitegraph.plans import archive as AR
+    p, old = _pages(spark), spark.createDataFrame([], "save_path string, fetched_at timestamp_ntz")
+    plan = AR.fetch_plan(p.select("url"), p, old, as_of="2024-01-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
 
 
 def test_pacing_plan_matches_sequential(spark):
@@ -120,7 +198,7 @@ def test_pacing_plan_matches_sequential(spark):
         host = "hot.org" if i % 3 else f"h{i % 7}.org"
         rows.append((i, host, t0 + timedelta(minutes=7 * i), i % 4 != 0))
     df = spark.createDataFrame(rows, "request_id long, host string, ts timestamp, is_fetch boolean")
-    got = {r.request_id: r.offset_ms for r in A.pacing_plan(df, 1000, bucket_s=600).collect()}
+    got = {r.request_id: r.offset_ms for r in A.pacing_plan(df, 1000).collect()}
     seen = defaultdict(int)
     for rid, host, ts, fetch in sorted(rows, key=lambda r: (r[2], r[0])):
         assert got[rid] == seen[host] * 1000

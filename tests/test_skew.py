@@ -38,7 +38,7 @@ def test_hot_key_lookup_first_and_pacing(spark):
     assert got["hot.org/index.html"] == (0, hot)
     assert sum(n for _, n in got.values()) == N
     plan = A.pacing_plan(A.with_fetch_flag(look).withColumn("host", F.regexp_extract("url", "//([^/]+)", 1)),
-                         1000, bucket_s=600)
+                         1000)
     hot_rows = plan.filter(F.col("host") == "hot.org").select("request_id", "offset_ms").collect()
     off = {r.request_id: r.offset_ms for r in hot_rows}
     fetched_before = 0
