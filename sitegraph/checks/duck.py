@@ -178,8 +178,8 @@ def edges(pages: str = "pages") -> str:
 
 
 def pages_linked(pages: str = "pages") -> str:
-    return (f"SELECT p.page_id, p.url, '<html><body><nav>' || '<a href=\"' || e0.dst_url || '\">go</a>' "
-            f"|| '<a href=\"' || e1.dst_url || '\">go</a>' || '</nav></body></html>' AS html "
+    return (f"SELECT p.page_id, p.url, '<nav>' || '<a href=\"' || e0.dst_url || '\">go</a>' "
+            f"|| '<a href=\"' || e1.dst_url || '\">go</a>' || '</nav>' || p.html AS html "
             f"FROM {pages} p JOIN ({edges(pages)}) e0 ON e0.src = p.page_id AND e0.rule = 0 "
             f"JOIN ({edges(pages)}) e1 ON e1.src = p.page_id AND e1.rule = 1")
 
@@ -198,6 +198,26 @@ def archive(pages: str = "pages") -> str:
     """
 
 
+def copy_version(pages: str, version: int) -> str:
+    from sitegraph.sources.derived import AGE_FACTOR, AGE_SPREAD_MIN, AS_OF
+    where = "" if version == 0 else f"WHERE page_id % 3 = {version}"
+    return f"""
+    SELECT {save_path_expr('a_', "'HTML'")} AS page_key, {save_path_expr('a_', "'HTML'")} AS save_path, a_host AS host,
+           'v{version} ' || html AS body,
+           TIMESTAMP '{AS_OF}' - to_minutes((page_id * {AGE_FACTOR}) % {AGE_SPREAD_MIN})
+             + to_days({(0, 3, -3)[version]}) AS fetched_at
+    FROM (SELECT *, {', '.join(parts('url', 'a_'))} FROM {pages} {where})
+    """
+
+
+def merged_archive(pages: str = "pages") -> str:
+    """The newest copy per save path of the versions written one after the other."""
+    both = " UNION ALL ".join(copy_version(pages, v) for v in range(3))
+    newest = "max({'t': fetched_at, 'k': page_key, 'h': host, 'b': body})"
+    return (f"SELECT {newest}.k AS page_key, save_path, {newest}.h AS host, {newest}.b AS body, "
+            f"{newest}.t AS fetched_at FROM ({both}) GROUP BY save_path")
+
+
 def requests(pages: str = "pages", events: str = "events") -> str:
     return (f"SELECT e.event_id AS request_id, p.url, CASE WHEN e.event_type = 'error' THEN 'NO' ELSE 'HTML' END "
             f"AS link_type, e.ts::TIMESTAMP AS ts FROM {events} e JOIN {pages} p "
@@ -205,7 +225,7 @@ def requests(pages: str = "pages", events: str = "events") -> str:
 
 
 def responses(pages: str = "pages") -> str:
-    from sitegraph.sources.derived import AS_OF, REASONS, STATUS_BY_DIGIT
+    from sitegraph.sources.derived import AS_OF, BINARY_DIGIT, BINARY_END, BINARY_START, REASONS, STATUS_BY_DIGIT
     st = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(STATUS_BY_DIGIT))
     rs = " ".join(f"WHEN {c} THEN '{t}'" for c, t in REASONS.items())
     n = _n(pages)
@@ -215,8 +235,9 @@ def responses(pages: str = "pages") -> str:
            encode('HTTP/1.1 ' || b.status || ' ' || (CASE b.status {rs} END)
              || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
              || CASE WHEN t.url IS NOT NULL THEN 'Location: ' || t.url || chr(13) || chr(10) ELSE '' END
-             || chr(13) || chr(10)
-             || CASE WHEN b.status = 200 THEN b.html ELSE '<html>moved</html>' END) AS raw
+             || chr(13) || chr(10))
+           || CASE WHEN b.page_id % 10 = {BINARY_DIGIT} THEN unhex('{BINARY_START}') || encode(b.html) || unhex('{BINARY_END}')
+                   ELSE encode(b.html) END AS raw
     FROM (
       SELECT page_id, url, html, CASE page_id % 10 {st} END AS status,
              CASE WHEN page_id % 10 = 6 THEN (page_id + 1) % {n}
@@ -238,7 +259,6 @@ def url_inputs(pages: str = "pages") -> str:
 
 def parsed_responses(pages: str = "pages") -> str:
     """(response_id, request_url, head, body, status, outcome, location)."""
-    crlf2 = "chr(13) || chr(10) || chr(13) || chr(10)"
     res = ", ".join(resolve("loc_raw", "request_url", "loc_resolved", "l_"))
     return f"""
     SELECT response_id, request_url, head, body, status, outcome,
@@ -256,9 +276,9 @@ def parsed_responses(pages: str = "pages") -> str:
                     '^HTTP/\\s*[-+]?[0-9]+\\.\\s*[-+]?[0-9]+\\s*([-+]?[0-9]+)', 1), '') AS INTEGER) AS status
           FROM (
             SELECT response_id, request_url,
-                   CASE WHEN strpos(txt, {crlf2}) > 0 THEN substr(txt, 1, strpos(txt, {crlf2}) - 1) ELSE txt END AS head,
-                   CASE WHEN strpos(txt, {crlf2}) > 0 THEN substr(txt, strpos(txt, {crlf2}) + 4) ELSE '' END AS body
-            FROM (SELECT response_id, request_url, decode(raw) AS txt FROM ({responses(pages)}))
+                   decode(unhex(substr(hx, 1, strpos(hx, '0D0A0D0A') - 1))) AS head,
+                   unhex(substr(hx, strpos(hx, '0D0A0D0A') + 8)) AS body
+            FROM (SELECT response_id, request_url, hex(raw) AS hx FROM ({responses(pages)}))
           )
         )
       )

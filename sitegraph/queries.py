@@ -28,7 +28,6 @@ ORACLES: dict[str, str] = {}
 
 TTL_MIN = 1000          # cache TTL of the archiving run, minutes
 PERIOD_MS = 1000        # pause after each network fetch, ms
-MAX_HOPS = 10
 
 
 def register(name: str, oracle: str | None = None):
@@ -372,11 +371,19 @@ def win2_retry_plan(spark, sf):
 
 # --- responses ---------------------------------------------------------------------------
 
-@register("src5_assemble_responses", f"SELECT response_id, head, body FROM ({_PARSED})")
+_BODY = "octet_length(body)::BIGINT AS body_bytes, sha256(body) AS body_sha256"
+
+
+def with_body_digest(df):
+    """Bodies are bytes: compared by size and digest."""
+    return df.withColumn("body_bytes", F.octet_length("body").cast("bigint")).withColumn("body_sha256", F.sha2("body", 256))
+
+
+@register("src5_assemble_responses", f"SELECT response_id, head, {_BODY} FROM ({_PARSED})")
 def src5_assemble_responses(spark, sf):
     resp = X.responses(pages(spark, sf))
     raw = HT.assemble_responses(X.chunks(resp))
-    return HT.split_head_body(raw).select("response_id", "head", "body")
+    return with_body_digest(HT.split_head_body(raw)).select("response_id", "head", "body_bytes", "body_sha256")
 
 
 @register("url15_location", f"SELECT request_url, location FROM ({_PARSED})")
@@ -389,10 +396,11 @@ def url16_status_outcome(spark, sf):
     return HT.parse_responses(X.responses(pages(spark, sf))).select("response_id", "status", "outcome")
 
 
-@register("snk4_failures", f"SELECT request_url, status, head, body FROM ({_PARSED}) WHERE outcome = 'error'")
+@register("snk4_failures", f"SELECT request_url, status, head, {_BODY} FROM ({_PARSED}) WHERE outcome IN ('error', 'throttled')")
 def snk4_failures(spark, sf):
     from sitegraph.sinks.writers import failures
-    return failures(HT.parse_responses(X.responses(pages(spark, sf)))).select("request_url", "status", "head", "body")
+    bad = with_body_digest(failures(HT.parse_responses(X.responses(pages(spark, sf)))))
+    return bad.select("request_url", "status", "head", "body_bytes", "body_sha256")
 
 
 @register("jn4_resolve_redirects", f"""
@@ -403,17 +411,38 @@ def snk4_failures(spark, sf):
       SELECT c.url, x.location, c.hops + 1, list_append(c.seen, x.location)
       FROM chain c JOIN r x ON x.request_url = c.cur
       WHERE x.outcome = 'redirect' AND x.location IS NOT NULL AND NOT list_contains(c.seen, x.location)
-        AND c.hops < {MAX_HOPS}),
+        ),
     last AS (SELECT url, arg_max(cur, hops) AS cur, max(hops) AS hops, arg_max(seen, hops) AS seen
              FROM chain GROUP BY url)
     SELECT l.url, l.cur AS effective_url, l.hops,
            CASE WHEN x.outcome IS NULL THEN 'unknown' WHEN x.outcome <> 'redirect' THEN x.outcome
-                WHEN x.location IS NULL THEN 'error' WHEN list_contains(l.seen, x.location) THEN 'loop'
-                ELSE 'too_many_hops' END AS outcome
+                WHEN x.location IS NULL THEN 'error' ELSE 'loop' END AS outcome
     FROM last l LEFT JOIN r x ON x.request_url = l.cur""")
 def jn4_resolve_redirects(spark, sf):
     parsed = HT.parse_responses(X.responses(pages(spark, sf)))
-    return R.resolve_redirects(parsed, MAX_HOPS)
+    return R.resolve_redirects(parsed)
+
+
+_EFFECTIVE = ORACLES["jn4_resolve_redirects"]
+
+
+@register("jn2_cache_lookup_effective", f"""
+    SELECT r.request_id, r.save_path,
+           CASE WHEN a.save_path IS NULL THEN 'miss'
+                WHEN {TTL_MIN} * 60 >= (epoch_us(r.ts) // 1000000) - (epoch_us(a.fetched_at) // 1000000) THEN 'hit'
+                ELSE 'stale' END AS cache_status
+    FROM (SELECT *, {D.save_path_expr('e_', 'link_type')} AS save_path FROM (
+            SELECT *, {', '.join(D.parts('effective_url', 'e_'))} FROM (
+              SELECT q.*, coalesce(x.effective_url, q.url) AS effective_url FROM ({D.requests('pages', 'events')}) q
+              LEFT JOIN ({_EFFECTIVE}) x ON x.url = q.url))) r
+    LEFT JOIN ({D.archive('pages')}) a ON a.save_path = r.save_path""")
+def jn2_cache_lookup_effective(spark, sf):
+    """Requests looked up by the URL they lead to after redirects."""
+    p = pages(spark, sf)
+    resolved = R.resolve_redirects(HT.parse_responses(X.responses(p)))
+    req = R.with_effective_url(X.requests(spark, sf, p), resolved)
+    look = J.cache_lookup(req, X.archive(p), ttl_min=TTL_MIN, url_col="effective_url")
+    return look.select("request_id", "save_path", "cache_status")
 
 
 # --- crawl -------------------------------------------------------------------------------
@@ -443,14 +472,14 @@ def crl1_crawl_pages_same(spark, sf):
 def crl2_crawl_manifest_linked(spark, sf):
     from sitegraph.plans.crawl import crawl_manifest
     pl = _linked(spark, sf)
-    return crawl_manifest(pl.select("url"), pl, CRAWL_DEPTH, scope="none")
+    return crawl_manifest(pl.select("url"), pl, CRAWL_DEPTH, scope="none").withColumn("n", F.col("n").cast("bigint"))
 
 
 @register("crl2_crawl_manifest_rich", D.crawl_lines("(" + D.pages_rich("pages") + ")", 2, "same"))
 def crl2_crawl_manifest_rich(spark, sf):
     from sitegraph.plans.crawl import crawl_manifest
     r = rich(spark, sf)
-    return crawl_manifest(r.select("url"), r, 2, scope="same")
+    return crawl_manifest(r.select("url"), r, 2, scope="same").withColumn("n", F.col("n").cast("bigint"))
 
 
 # --- DOM mode, RFC resolution, rewriting -----------------------------------------------------
@@ -602,15 +631,6 @@ def _requests_stream(spark, sf):
         F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts", "ts_w")
 
 
-@register("str3_stream_fetch_list", f"SELECT DISTINCT save_path FROM ({_REQ_KEYED})")
-def str3_stream_fetch_list(spark, sf):
-    """Watermark approximation: which request of a key survives inside the
-    watermark depends on arrival order, so the checked result is the set of
-    keys fetched (each at least once)."""
-    out = ST.run_available_now(ST.stream_fetch_list(_requests_stream(spark, sf), TTL_MIN, ts_col="ts_w"), "str3")
-    return spark.read.parquet(out).select("save_path").distinct()
-
-
 @register("str3_stream_fetch_events", f"""
     WITH RECURSIVE r AS (
       SELECT save_path, request_id, (epoch_us(ts) // 1000000) AS ts_s, epoch_us(ts) AS ts_us FROM ({_REQ_KEYED})),
@@ -627,17 +647,14 @@ def str3_stream_fetch_events(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("str4_stream_archive", D.archive("pages"))
+@register("str4_stream_archive", D.merged_archive("pages"))
 def str4_stream_archive(spark, sf):
-    s = _pages_stream(spark, sf).filter(F.col("url").startswith("https://"))
-    fetched = F.to_timestamp_ntz(F.lit(X.AS_OF)) - F.make_dt_interval(
-        mins=(F.col("page_id") * X.AGE_FACTOR) % X.AGE_SPREAD_MIN)
-    rows = s.select(U.save_path("url", "HTML").alias("page_key"), U.save_path("url", "HTML").alias("save_path"),
-                    U.url_host("url").alias("host"), F.col("html").alias("body"), fetched.alias("fetched_at"))
-    table_path = ST.stream_folder(spark, "str4-table")
-    ST.stream_archive(rows, table_path)
-    return spark.read.parquet(table_path).select("page_key", "save_path", "host", "body", "fetched_at")
-
+    """Three micro-batches with overlapping save paths, merged one after the other."""
+    p, folder = pages(spark, sf), ST.stream_folder(spark, "str4-input")
+    for version in range(3):
+        X.copy_version(p, version).coalesce(1).write.mode("append").parquet(folder)
+    rows = ST.read_stream(spark, folder, X.copy_version(p, 0).schema, max_files=1)
+    return W.read_saved(spark, ST.stream_archive(rows, ST.stream_folder(spark, "str4-table")))
 
 
 # --- page-crawler mode, regex scope, SQL functions ---------------------------------------------
@@ -718,6 +735,18 @@ def _pip1_sql():
       FROM ({D.chain('(' + fetched + ')', D.parts('url', 'h_'))}) f JOIN ({rw}) r ON r.page_id = f.page_id"""
 
 
+def _pip1_missing_sql():
+    man = (f"SELECT link_type, url FROM ({D.crawl_lines(_RICH, 1, 'none')}) "
+           f"UNION ALL SELECT 'HTML' AS link_type, url FROM {_RICH}")
+    return f"""
+      SELECT save_path, min({{'u': url, 't': link_type}}).u AS url, min({{'u': url, 't': link_type}}).t AS link_type FROM (
+        {D.chain('(' + man + ')', D.parts('url', 'm_') + [D.save_path_expr('m_', 'link_type') + ' AS save_path'])})
+      WHERE save_path NOT IN ({_fresh_sql()})
+        AND save_path NOT IN (SELECT {D.save_path_expr('k_', "'HTML'")} FROM (SELECT *, {', '.join(D.parts('url', 'k_'))} FROM pages))
+        AND save_path NOT IN (SELECT {D.host_path_expr('k_')} FROM (SELECT *, {', '.join(D.parts('url', 'k_'))} FROM pages))
+      GROUP BY save_path"""
+
+
 @register("pip1_archive_site", _pip1_sql())
 def pip1_archive_site(spark, sf):
     from sitegraph.plans.archive import archive_site
@@ -738,26 +767,92 @@ def pip2_archive_pages(spark, sf):
     return archive_pages(X.pages_rich(p), X.archive(p))
 
 
-@register("win2_retry_attempts", f"""
-    SELECT request_id, attempt, attempt_at, outcome FROM (
-      SELECT q.request_id, 1 AS attempt, q.ts AS attempt_at, r.outcome
-      FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url
-      UNION ALL
-      SELECT q.request_id, 2 AS attempt, q.ts + to_milliseconds({3 * PERIOD_MS}) AS attempt_at, r.outcome
-      FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url
-      WHERE r.outcome = 'throttled')""")
-def win2_retry_attempts(spark, sf):
+@register("pip1_missing_fetches", _pip1_missing_sql())
+def pip1_missing_fetches(spark, sf):
+    """What the corpus of rich pages cannot serve: foreign pages and resources."""
+    from sitegraph.plans.archive import fetch_plan, missing_fetches
+    p = pages(spark, sf)
+    corpus = X.pages_rich(p)
+    return missing_fetches(fetch_plan(corpus.select("url"), corpus, X.archive(p), depth=1, scope="none",
+                                      ttl_min=TTL_MIN, as_of=X.AS_OF))
+
+
+@register("pip1_rewrite_archive", f"""
+    SELECT a.save_path, a.host, r.html AS body, a.fetched_at FROM ({D.archive('pages')}) a
+    JOIN ({D.rewrite_lexical(f"(SELECT save_path AS page_id, save_path, body AS html FROM ({D.archive('pages')}))",
+                             "'./' || save_path")}) r ON r.page_id = a.save_path""")
+def pip1_rewrite_archive(spark, sf):
+    from sitegraph.plans.archive import rewrite_archive
+    return rewrite_archive(X.archive(pages(spark, sf))).select("save_path", "host", "body", "fetched_at")
+
+
+@register("jn5_resource_bundle", f"""
+    SELECT d.page_id, d.pos, d.link_type, d.lp_local AS local_path, a.save_path IS NOT NULL AS found FROM (
+      {D.chain(_DOM, D.resolve_rfc('raw_link', 'src_url', 'x_') + D.local_path('x_url', 'lp_'))}) d
+    LEFT JOIN ({D.archive('pages')}) a ON a.save_path = d.lp_local
+    WHERE d.link_type NOT IN ('HTML', 'IFRAME')""")
+def jn5_resource_bundle(spark, sf):
+    from sitegraph.plans.archive import page_bundle
+    p = pages(spark, sf)
+    bundle = page_bundle(X.pages_rich(p), X.archive(p), resources_only=True)
+    return bundle.select("page_id", "pos", "link_type", "local_path", "found")
+
+
+@register("win2_number_attempts", f"""
+    SELECT q.request_id, q.ts AS attempt_at, r.outcome,
+           (row_number() OVER (PARTITION BY q.url ORDER BY q.ts, q.request_id))::INTEGER AS attempt
+    FROM ({D.requests('pages', 'events')}) q JOIN ({_PARSED}) r ON r.request_url = q.url""")
+def win2_number_attempts(spark, sf):
     p = pages(spark, sf)
     parsed = HT.parse_responses(X.responses(p)).select("request_url", "outcome")
     att = X.requests(spark, sf, p).join(parsed, F.col("url") == F.col("request_url"))
-    return A.retry_attempts(att, PERIOD_MS).withColumn("attempt", F.col("attempt").cast("int"))
+    return A.number_attempts(att).select("request_id", F.col("ts").alias("attempt_at"), "outcome", "attempt")
 
 
-@register("snk3_write_archive", f"SELECT page_key, save_path, host, body, fetched_at FROM ({D.archive('pages')})")
+@register("snk3_write_archive", D.merged_archive("pages"))
 def snk3_write_archive(spark, sf):
-    root = ST.stream_folder(spark, "snk3-archive")
-    W.write_archive(X.archive(pages(spark, sf)), root)
-    return spark.read.parquet(root).select("page_key", "save_path", "host", "body", "fetched_at")
+    """Three writes with overlapping save paths into one archive."""
+    root, p = ST.stream_folder(spark, "snk3-archive"), pages(spark, sf)
+    for version in range(3):
+        W.write_archive(X.copy_version(p, version), root)
+    return W.read_saved(spark, root)
+
+
+@register("src2_read_archive", """
+    SELECT 'site' || (page_id % 7) || '/' || page_id || '/index.html' AS save_path, 'site' || (page_id % 7) AS host,
+           sha256(html) AS body_sha256, octet_length(encode(html))::BIGINT AS size FROM pages""")
+def src2_read_archive(spark, sf):
+    """Pages saved as a tree of files by Spark's text writer, then read as a saved tree."""
+    root = ST.stream_folder(spark, "src2-tree")
+    p = pages(spark, sf).select(F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string")).alias("site"), "page_id", "html")
+    p.repartition("page_id").write.option("lineSep", "\x01").partitionBy("site", "page_id").text(root)
+    saved = RD.read_archive(spark, root).where(F.col("save_path").contains("/part-"))
+    body = F.substring("body", F.lit(1), F.octet_length("body") - 1)  # without the writer's last separator
+    path = F.concat(F.regexp_extract("host", "site=(.*)", 1), F.lit("/"),
+                    F.regexp_extract("save_path", "page_id=([0-9]+)/", 1), F.lit("/index.html"))
+    return saved.select(path.alias("save_path"), F.regexp_extract("host", "site=(.*)", 1).alias("host"),
+                        F.sha2(body, 256).alias("body_sha256"), (F.col("size") - 1).alias("size"))
+
+
+@register("udf1_link_transform", f"""
+    SELECT page_id, pos, upper(tag) AS tag, u_host AS host, link_type FROM (
+      {D.chain(D.page_links(_RICH, 'none'), D.parts('url', 'u_'))}) WHERE link_type <> 'NO'""")
+def udf1_link_transform(spark, sf):
+    """A user's function over the found links, as a DataFrame transformation."""
+    def mine(links):
+        return links.where("link_type <> 'NO'").select(
+            "page_id", "pos", F.upper("tag").alias("tag"), U.url_host("url").alias("host"), "link_type")
+    return rich_links(spark, sf).transform(mine)
+
+
+@register("udf2_crawl_hook", f"""
+    SELECT * FROM ({D.crawl_levels("(" + D.pages_linked("pages") + ")", 1, "none")})
+    WHERE level = 0 OR NOT regexp_matches(url, '[13579]')""")
+def udf2_crawl_hook(spark, sf):
+    """A user's function on each level's found links: URLs with an odd digit are dropped."""
+    from sitegraph.plans.crawl import crawl
+    pl = _linked(spark, sf)
+    return crawl(pl.select("url"), pl, 1, scope="none", on_links=lambda found: found.where(~F.col("dst").rlike("[13579]")))
 
 
 # --- parameter variants ------------------------------------------------------------------

@@ -37,8 +37,11 @@ AS_OF = "2024-01-16 00:00:00"
 AGE_SPREAD_MIN = 2000
 AGE_FACTOR = 37
 # Response fixtures: status by page_id mod 10, reason phrases, chunk size.
-STATUS_BY_DIGIT = (200, 200, 200, 200, 200, 200, 301, 302, 404, 429)
-REASONS = {200: "OK", 301: "Moved Permanently", 302: "Found", 404: "Not Found", 429: "Too Many Requests"}
+STATUS_BY_DIGIT = (200, 200, 200, 200, 99999999999, 500, 301, 302, 404, 429)
+REASONS = {200: "OK", 301: "Moved Permanently", 302: "Found", 404: "Not Found", 429: "Too Many Requests",
+           500: "Error", 99999999999: "Odd"}
+# Bytes around the body of every tenth response (digit 3): no valid UTF-8.
+BINARY_DIGIT, BINARY_START, BINARY_END = 3, "89504E470D0A1A0A", "FF00FE"
 CHUNK_BYTES = 63
 # ---------------------------------------------------------------------------
 
@@ -75,13 +78,14 @@ def edges(pages: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def pages_linked(pages: DataFrame, n: int | None = None) -> DataFrame:
-    """Pages whose html links to the pages of ``edges`` (full URLs), in rule order."""
+    """Pages with a navigation in front that links to the pages of ``edges`` (full
+    URLs, in rule order); their own html follows."""
     e = edges(pages, n)
     anchor = F.concat(F.lit('<a href="'), F.col("dst_url"), F.lit('">go</a>'))
     a1 = e.filter(F.col("rule") == 0).select(F.col("src").alias("page_id"), anchor.alias("a1"))
     a2 = e.filter(F.col("rule") == 1).select(F.col("src").alias("page_id"), anchor.alias("a2"))
-    html = F.concat(F.lit("<html><body><nav>"), F.col("a1"), F.col("a2"), F.lit("</nav></body></html>"))
-    return pages.select("page_id", "url").join(a1, "page_id").join(a2, "page_id") \
+    html = F.concat(F.lit("<nav>"), F.col("a1"), F.col("a2"), F.lit("</nav>"), F.col("html"))
+    return pages.select("page_id", "url", "html").join(a1, "page_id").join(a2, "page_id") \
         .select("page_id", "url", html.alias("html"))
 
 
@@ -100,6 +104,17 @@ def archive(pages: DataFrame) -> DataFrame:
                        "b.body", "fetched_at")
 
 
+def copy_version(pages: DataFrame, version: int) -> DataFrame:
+    """Archive rows of a write: version 0 has every page, 1 newer copies of every
+    third page, 2 older copies of every third (another one); save paths overlap."""
+    fetched = F.to_timestamp_ntz(F.lit(AS_OF)) - F.make_dt_interval(mins=(F.col("page_id") * AGE_FACTOR) % AGE_SPREAD_MIN)
+    fetched = fetched + F.make_dt_interval(days=F.lit((0, 3, -3)[version]))
+    some = pages if version == 0 else pages.filter(F.col("page_id") % 3 == version)
+    return some.select(U.save_path("url", "HTML").alias("page_key"), U.save_path("url", "HTML").alias("save_path"),
+                       U.url_host("url").alias("host"), F.concat(F.lit(f"v{version} "), F.col("html")).alias("body"),
+                       fetched.alias("fetched_at"))
+
+
 def requests(spark: SparkSession, sf: str, pages: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """One request per event: page = event_id mod n; errors ask for type NO."""
     pages = pages if pages is not None else table(spark, sf, "pages")
@@ -115,11 +130,11 @@ def requests(spark: SparkSession, sf: str, pages: DataFrame | None = None, n: in
 def responses(pages: DataFrame, n: int | None = None) -> DataFrame:
     """Captured HTTP responses, one per page: status by page_id mod 10,
     Location for 301/302 (to p+1, to p+3, back to p-1 forming loops, or
-    missing), body = html for 200."""
+    missing), body = the page's html, for BINARY_DIGIT between bytes that are no text."""
     n = n if n is not None else _page_count(pages)
     pid = F.col("page_id")
     digit = pid % 10
-    status = F.lit(None).cast("int")
+    status = F.lit(None).cast("bigint")
     for i in reversed(range(10)):
         status = F.when(digit == i, F.lit(STATUS_BY_DIGIT[i])).otherwise(status)
     target = (F.when(digit == 6, (pid + 1) % n)
@@ -137,10 +152,12 @@ def responses(pages: DataFrame, n: int | None = None) -> DataFrame:
                     F.when(F.col("location").isNotNull(),
                            F.concat(F.lit("Location: "), F.col("location"), F.lit("\r\n"))).otherwise(F.lit("")),
                     F.lit("\r\n"))
-    body = F.when(F.col("status") == 200, F.col("html")).otherwise(F.lit("<html>moved</html>"))
+    text = F.encode(F.col("html"), "UTF-8")
+    body = F.when(pid % 10 == BINARY_DIGIT, F.concat(F.unhex(F.lit(BINARY_START)), text, F.unhex(F.lit(BINARY_END)))) \
+        .otherwise(text)
     ts = F.to_timestamp_ntz(F.lit(AS_OF)) - F.make_dt_interval(mins=pid)
     return r.select(F.col("page_id").alias("response_id"), F.col("url").alias("request_url"),
-                    ts.alias("ts"), F.encode(F.concat(head, body), "UTF-8").alias("raw"))
+                    ts.alias("ts"), F.concat(F.encode(head, "UTF-8"), body).alias("raw"))
 
 
 def chunks(resp: DataFrame, size=CHUNK_BYTES) -> DataFrame:

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.tables import spread
-
 _WS = r"[ \t]+"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: pages(page_id, url, html) from parquet."""
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def read_archive(spark: SparkSession, root: str) -> DataFrame:
@@ -23,7 +21,7 @@ def read_archive(spark: SparkSession, root: str) -> DataFrame:
     parallel by the binaryFile source, one row per file."""
     root_uri = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri)
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _root_pattern(root_uri), "")
+    rel = F.substring(F.col("path"), F.length(F.lit(_absolute(spark, root_uri))) + 2, F.length("path"))
     return df.select(rel.alias("save_path"),
                      F.regexp_extract(rel, r"^([^/]*)", 1).alias("host"),
                      F.col("content").alias("body"),
@@ -31,10 +29,10 @@ def read_archive(spark: SparkSession, root: str) -> DataFrame:
                      F.col("length").alias("size"))
 
 
-def _root_pattern(root: str) -> str:
-    import re
-    tail = root.split("://", 1)[-1].lstrip("/")
-    return re.escape(tail) + "/"
+def _absolute(spark: SparkSession, root: str) -> str:
+    """The root as the file source writes it (scheme and absolute path)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def parse_manifest_lines(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 from sitegraph.functions import sql_udfs
 from sitegraph.functions import urls as U
 
-URLS = ["https://archlinux.org/releases/downloads/", "archlinux.org", "/a/b/", "http://h.org:8080/x/y.html?q=1",
-        "./archlinux.org/index.html", "x.org/a/../b/./c", "https://h.org/en/825?page=2&ref=x"]
-LINKS = ["/static/x.css", "../cargo/index.html", "rel/c.html", "https://o.org/z", "?q=2", "/"]
+URLS = ["https://orchard.test/guide/trees/", "plum.test", "/fig/kiwi/", "http://orchard.test:81/lime.html?x=1",
+        "./orchard.test/guide/index.html", "orchard.test/a/../b/./c", "ftp://seeds.test/en?kind=2#core", ""]
+LINKS = ["/leaf.css", "../up/one.html", "near/by.js", "https://seeds.test/pip", "?page=3", "/", "", "..", "tree.svg#x"]
 
 
 def test_sql_functions_equal_column_functions(spark):
