@@ -46,16 +46,15 @@ FUNCTIONS = {
                           "ELSE array_append(acc, s) END), '/') || (CASE WHEN endswith(p, '/') THEN '/' ELSE '' END) END"),
     "sg_resolve_base": ("page STRING", "STRING",
                         "CASE WHEN sg_is_file_url(page, 'HTML') THEN sg_url_dirname(page) ELSE page END"),
+    # transform(array(x), v -> ...)[0] computes x once
+    "sg_join_base": ("link STRING, base STRING", "STRING",
+                     "sg_url_protocol(base) || sg_normalize_path(transform(array(sg_url_host(base) || sg_url_path(base)), "
+                     "hp -> hp || (CASE WHEN endswith(hp, '/') THEN '' ELSE '/' END) || link)[0])"),
     "sg_resolve_link": ("link STRING, page_url STRING", "STRING",
                         "CASE WHEN startswith(link, 'http') THEN link "
                         r"WHEN startswith(link, '/') THEN sg_url_protocol(regexp_replace(page_url, r'^\./', '')) "
                         r"|| sg_normalize_path(sg_url_host(regexp_replace(page_url, r'^\./', '')) || link) "
-                        r"ELSE sg_url_protocol(sg_resolve_base(regexp_replace(page_url, r'^\./', ''))) "
-                        r"|| sg_normalize_path(sg_url_host(sg_resolve_base(regexp_replace(page_url, r'^\./', ''))) "
-                        r"|| sg_url_path(sg_resolve_base(regexp_replace(page_url, r'^\./', ''))) "
-                        r"|| (CASE WHEN endswith(sg_url_host(sg_resolve_base(regexp_replace(page_url, r'^\./', ''))) "
-                        r"|| sg_url_path(sg_resolve_base(regexp_replace(page_url, r'^\./', ''))), '/') THEN '' "
-                        "ELSE '/' END) || link) END"),
+                        r"ELSE sg_join_base(link, sg_resolve_base(regexp_replace(page_url, r'^\./', ''))) END"),
     "sg_link_type": ("tag STRING, link STRING, ty STRING", "STRING",
                      "CASE WHEN startswith(tag, 'a') THEN 'HTML' WHEN startswith(tag, 'img') THEN 'IMAGE' "
                      "WHEN startswith(tag, 'script') THEN 'SCRIPT' "
@@ -74,7 +73,7 @@ FUNCTIONS = {
 # creation order: a function is defined after the ones it calls
 ORDER = ("sg_url_protocol", "sg_url_rest", "sg_url_host", "sg_url_path", "sg_host_path", "sg_save_path",
          "sg_is_file_url", "sg_dirname", "sg_url_dirname", "sg_dir_count", "sg_relative_path",
-         "sg_normalize_path", "sg_resolve_base", "sg_resolve_link", "sg_link_main", "sg_link_type")
+         "sg_normalize_path", "sg_resolve_base", "sg_join_base", "sg_resolve_link", "sg_link_main", "sg_link_type")
 
 
 def register(spark: SparkSession) -> list[str]:
