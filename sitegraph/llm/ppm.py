@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts of 0 to ``ORDER`` bytes, pretrained on the
 training documents.  In a context the next byte has probability
-``count / (n + d)`` (n occurrences, d different bytes seen after it) and the escape
-to the next shorter context ``d / (n + d)`` (method C).  After an escape the bytes
+``(count - 1/2) / n`` (n occurrences, d different bytes seen after it) and the
+escape to the next shorter context ``d / (2 n)`` (method D).  After an escape the bytes
 seen in the longer context are excluded: they cannot come, so n and d of the
 shorter context are taken without them.  Below order 0 the bytes not yet excluded
 are equally likely.  The score is the sum of log10 probabilities of the bytes of
@@ -13,9 +13,9 @@ symbols.
 A (context, byte) pair has one probability under a pretrained model, so the trie
 is computed as tables:
 
-1. Documents are dealt into chunks of about ``CHUNK_BYTES``.  A task counts the
-   distinct (context, byte) pairs and words of a chunk; the counts of all chunks
-   are added up by key.
+1. Documents are put into compressed chunks of about ``CHUNK_BYTES`` as they are
+   read.  A task counts the distinct (context, byte) pairs and words of a chunk;
+   the counts of all chunks are added up by key.
 2. Shorter contexts are sums over the longest ones.  Joins of each order with
    the next shorter one give n and d without the excluded bytes, and the
    probability of every pair that any document holds.
@@ -40,13 +40,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import LOWER, Scratch, crc_mod, read, utf8
 
-ORDER = 4
-CHUNK_BYTES, PART_BYTES = 24 << 20, 2 << 20
+ORDER, MOST = 5, 5
+KEY_BITS = 48  # of a pair: MOST + 1 bytes
+CHUNK_BYTES, PART_BYTES, PART_TEXTS = 24 << 20, 2 << 20, 1 << 16  # a part's text number has 16 bits
 START, END, SYMBOLS = 0xFF, 0xFE, 255  # bytes that no UTF-8 text has; the start symbol is never predicted
 FOLDS, SMOOTHING = 10, 0.1
 WORD_BIT = 1 << 62
@@ -94,12 +97,51 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[wanted[order:len(data)]], sizes
 
 
+CHUNKS_DDL = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, body binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                    ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
+
+
+def to_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The rows (doc_id, held_out, text) in compressed chunks of about ``chunk_bytes``."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, held, bodies, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            values = (number, ids, held, [len(b) for b in bodies], zstandard.compress(b"".join(bodies), 3))
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, CHUNKS)], schema=CHUNKS)
+
+        for part in parts:
+            for own, out, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2))):
+                ids.append(own)
+                held.append(out)
+                bodies.append(body)
+                size += len(body) + 1
+                if size >= chunk_bytes:
+                    yield chunk()
+                    number, ids, held, bodies, size = number + 1, [], [], [], 0
+        if ids:
+            yield chunk()
+
+    return rows.mapInArrow(run, CHUNKS_DDL)
+
+
+def each_chunk(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[bytes]]]:
+    """Number, ids, held-out flags and texts of each chunk."""
+    for part in parts:
+        for k in range(part.num_rows):
+            number, ids, held, sizes, body = (c[k].as_py() for c in part.columns)
+            data = zstandard.decompress(body)
+            ends = np.cumsum(sizes).tolist()
+            yield number, ids, held, [data[e - n:e] for e, n in zip(ends, sizes)]
+
+
 def parts_of(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of the texts of about PART_BYTES."""
+    """Slices of the texts of about PART_BYTES and at most PART_TEXTS."""
     first, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t) + 1
-        if held >= PART_BYTES:
+        if held >= PART_BYTES or k + 1 - first == PART_TEXTS:
             yield slice(first, k + 1)
             first, held = k + 1, 0
     if first < len(texts):
@@ -143,12 +185,12 @@ def chunk_scores(texts: list[bytes], known: np.ndarray, value: np.ndarray, seen:
         some = texts[part]
         keys, sizes = grams(some, order)
         doc = np.repeat(np.arange(len(some), dtype=np.uint64), sizes)
-        packed = np.sort((doc << np.uint64(40)) | keys) if order <= 4 else None
+        packed = np.sort((doc << np.uint64(KEY_BITS)) | keys)
         first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
         times = np.diff(np.append(first, len(packed)))
         packed = packed[first]
-        at = np.searchsorted(known, packed & np.uint64((1 << 40) - 1))
-        out[3].append(np.bincount((packed >> np.uint64(40)).astype(np.int64), value[at] * times, len(some)))
+        at = np.searchsorted(known, packed & np.uint64((1 << KEY_BITS) - 1))
+        out[3].append(np.bincount((packed >> np.uint64(KEY_BITS)).astype(np.int64), value[at] * times, len(some)))
         words = [tokens(t) for t in some]
         n = np.array([len(w) for w in words])
         at = np.searchsorted(known, np.concatenate(words))
@@ -190,8 +232,8 @@ def pair_scores(pairs: DataFrame, scratch: Scratch, order: int) -> DataFrame:
         rows = rows.join(there, F.shiftright(low, 8) == F.col("u"), "left")
         n, d = F.col("n") - F.col("nx"), F.col("d") - F.col("dx")
         found = F.col("c") > 0
-        finished.append(rows.where(found).select("key", (F.col("value") + F.log10(F.col("c") / (n + d))).alias("value")))
-        escape = F.when(F.col("u").isNotNull() & (d > 0), F.log10(d / (n + d))).otherwise(0.0)
+        finished.append(rows.where(found).select("key", (F.col("value") + F.log10((F.col("c") - 0.5) / n)).alias("value")))
+        escape = F.when(F.col("u").isNotNull() & (d > 0), F.log10(d / (2 * n))).otherwise(0.0)
         rows = rows.where(~found).select(
             "key", "c", (F.col("value") + escape).alias("value"),
             F.coalesce(F.col("a"), F.lit(0)).alias("nx"), F.coalesce(F.col("d"), F.lit(0)).alias("dx"))
@@ -206,47 +248,48 @@ def pair_scores(pairs: DataFrame, scratch: Scratch, order: int) -> DataFrame:
 def ppm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, folds: int = FOLDS,
                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """RESULT_DDL for every document; the model learns from the rows whose crc32 of
-    the id modulo ``folds`` is not 0.  ``order`` is at most 4 (a key has 40 bits)."""
-    if not 1 <= order <= 4:
-        raise ValueError("order must be 1 to 4")
+    the id modulo ``folds`` is not 0.  ``order`` is at most MOST (a key has KEY_BITS)."""
+    if not 1 <= order <= MOST:
+        raise ValueError(f"order must be 1 to {MOST}")
     scratch = Scratch(docs.sparkSession, "ppm")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), (crc_mod(F.col(key), folds) == 0).alias("held_out"),
                        F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-
-    def count(group: pa.Table) -> pa.Table:
-        bodies = [b for c in group.column("text").chunks for b in utf8(c)]
-        trained = [not x for x in group.column("held_out").to_pylist()]
-        found, counts = chunk_counts(bodies, trained, order)
-        chunk = group.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(found), chunk, dtype=np.int32)),
-                         "key": pa.array(found.view(np.int64)), "c": pa.array(counts.astype(np.int64))})
-
-    held = scratch.save(rows.groupBy("chunk").applyInArrow(count, "chunk int, key bigint, c bigint"), "counts")
+    chunks = scratch.save(to_chunks(rows, chunk_bytes), "chunks")
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, held, bodies in each_chunk(parts):
+            found, counts = chunk_counts(bodies, [not x for x in held], order)
+            for k in range(0, len(found), 1 << 20):
+                some = found[k:k + (1 << 20)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), chunk, dtype=np.int64)), pa.array(some.view(np.int64)),
+                     pa.array(counts[k:k + (1 << 20)].astype(np.int64))], names=["chunk", "key", "c"])
+
+    held = scratch.save(chunks.mapInArrow(count, "chunk bigint, key bigint, c bigint"), "counts")
     totals = scratch.save(held.groupBy("key").agg(F.sum("c").alias("c")), "totals")
     is_word = F.col("key") >= WORD_BIT
     n, v = totals.where(is_word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     words = totals.where(is_word).select(
         "key", F.log10((F.col("c") + SMOOTHING) / (n + SMOOTHING * (v + 1))).alias("value"), (F.col("c") > 0).alias("seen"))
     pairs = pair_scores(totals.where(~is_word), scratch, order).withColumn("seen", F.lit(False))
-    values = scratch.save(words.unionAll(pairs), "values")
+    values = words.unionAll(pairs)
     needed = held.select("chunk", "key").join(values, "key")
 
-    def score(docs_of: pa.Table, trie: pa.Table) -> pa.Table:
+    def score(texts: pa.Table, trie: pa.Table) -> pa.Table:
         known = trie.column("key").to_numpy().view(np.uint64)
         by = np.argsort(known)
         value, seen = trie.column("value").to_numpy()[by], trie.column("seen").to_numpy()[by]
-        bodies = [b for c in docs_of.column("text").chunks for b in utf8(c)]
-        n_tokens, n_known, base, own = chunk_scores(bodies, known[by], value, seen, order)
-        return pa.table({
-            "doc_id": docs_of.column("doc_id"), "held_out": docs_of.column("held_out"),
-            "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(bodies), n, dtype=np.int64)), "base_score": pa.array(base),
-            "score": pa.array(own)})
-
-    return rows.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(score, RESULT_DDL)
+        out = []
+        for _, ids, held, bodies in each_chunk(texts.to_batches()):
+            n_tokens, n_known, base, own = chunk_scores(bodies, known[by], value, seen, order)
+            out.append(pa.table({
+                "doc_id": pa.array(ids, type=pa.int64()), "held_out": pa.array(held, type=pa.bool_()),
+                "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(bodies), n, dtype=np.int64)), "base_score": pa.array(base),
+                "score": pa.array(own)}))
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(score, RESULT_DDL)
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
