@@ -2,14 +2,16 @@
 
 Each rule is a ratio of a text (``RULES``); a document whose ratio exceeds the
 rule's cutoff is rejected.  Cutoffs come from labelled documents.  For every
-stratum and rule the grid of cutoffs is walked from lenient to strict, and a
-cutoff is taken while the exact binomial test rejects "more than ``risk /
-number of rules`` of the good documents exceed it" (the upper Clopper-Pearson
-bound of the false rejection rate is then at most that share).  Walking a nested
-grid until the first failure needs no correction along the grid; across strata
-and rules the level ``delta`` is divided by their number (Bonferroni).  So with
-probability ``1 - delta`` each stratum loses at most ``risk`` of its good
-documents to all rules together.  A stratum with too few good labels gets no
+stratum and rule the grid of cutoffs is walked from lenient to strict, and a cutoff
+is certified while the exact binomial test rejects "more than ``risk / number of
+rules`` of the good documents exceed it" (the upper Clopper-Pearson bound of the
+false rejection rate is then at most that share).  Walking a nested grid until the
+first failure needs no correction along the grid; across strata and rules the level
+``delta`` is divided by their number (Bonferroni).  So with probability
+``1 - delta`` each stratum loses at most ``risk`` of its good documents to all rules
+together.  All certified cutoffs hold at once, so any of them may be used: the one
+that rejects most more bad than good labelled documents (of equals the most
+lenient), which spends no risk where it gains nothing.  A stratum with too few good labels gets no
 cutoff for a rule, which then rejects nothing there.
 
 Strata are the values of a column (the ``max_strata`` ones with most labels; the
@@ -128,20 +130,23 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def strictest_cutoff(bins: np.ndarray, good: np.ndarray, risk: float, level: float, grid: int) -> float | None:
-    """The strictest cutoff of the grid that the walk from lenient to strict
-    certifies.  ``good[i]`` good documents have a ratio in bin ``bins[i]``: bin b
-    holds ratios in (b-1, b] / grid, so cutoff b / grid rejects the bins above b."""
-    per_bin = np.zeros(grid + 2, dtype=np.int64)
-    np.add.at(per_bin, np.minimum(bins, grid + 1), good)
-    above, total, best = 0, int(per_bin.sum()), None
+def best_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, level: float,
+                grid: int) -> float | None:
+    """The most useful cutoff of the grid that the walk from lenient to strict
+    certifies, None if there is none.  ``good[i]`` good and ``bad[i]`` bad documents
+    have a ratio in bin ``bins[i]``: bin b holds ratios in (b-1, b] / grid, so cutoff
+    b / grid rejects the bins above b."""
+    goods, bads = np.zeros(grid + 2, dtype=np.int64), np.zeros(grid + 2, dtype=np.int64)
+    np.add.at(goods, np.minimum(bins, grid + 1), good)
+    np.add.at(bads, np.minimum(bins, grid + 1), bad)
+    above, gain, total, best, most = 0, 0, int(goods.sum()), None, -1
     for b in range(grid, -1, -1):
-        above += int(per_bin[b + 1])
-        if above and above >= risk * total:
+        above += int(goods[b + 1])
+        gain += int(bads[b + 1]) - int(goods[b + 1])
+        if above and above >= risk * total or binomial_tail(above, total, risk) > level:
             break
-        if binomial_tail(above, total, risk) > level:
-            break
-        best = b / grid
+        if gain > most:
+            best, most = b / grid, gain
     return best
 
 
@@ -153,26 +158,27 @@ def cutoffs(features: DataFrame, labels: DataFrame, key: str, stratum: str, feat
     (stratum, rule, bin): what is gathered is a histogram of bounded size."""
     known = (labels.select(F.col(label_key).alias("k"), F.col(label).alias("q"))
              .where(F.col("k").isNotNull() & F.col("q").isNotNull()).groupBy("k").agg(F.max("q").alias("q")))
-    good = (features.select(F.col(key).alias("k"), F.col(stratum).cast("string").alias("s"),
+    labelled = (features.select(F.col(key).alias("k"), F.col(stratum).cast("string").alias("s"),
                             F.col(feature).alias("c"))
-            .join(known.where("q = 1"), "k").where(~base_failed(F.col("c"))))
+            .join(known, "k").where(~base_failed(F.col("c"))))
     bins = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(ratio(F.col("c"), r) * grid).cast("int").alias("bin"))
                      for r in RULES])
-    per_stratum = good.select("s", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").count()
+    per_stratum = labelled.select("s", "q", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").agg(
+        F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad"))
     scratch = Scratch(features.sparkSession, "quality-cutoffs")
     histogram = scratch.save(per_stratum, "histogram")
-    largest = [r.s for r in histogram.where(F.col("s").isNotNull()).groupBy("s").agg(F.sum("count").alias("n"))
+    largest = [r.s for r in histogram.where(F.col("s").isNotNull()).groupBy("s").agg(F.sum("good").alias("n"))
                .orderBy(F.desc("n"), "s").limit(max_strata).collect()]
     level = delta / (len(RULES) * (len(largest) + 1))
     share = risk / len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = strictest_cutoff(pdf["bin"].to_numpy(), pdf["count"].to_numpy(), share, level, grid)
+        best = best_cutoff(*(pdf[c].to_numpy() for c in ("bin", "good", "bad")), share, level, grid)
         return pd.DataFrame({"s": [pdf["s"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "cutoff": [best]})
 
-    pooled = histogram.groupBy("rule", "bin").agg(F.sum("count").alias("count")).select(
-        F.lit(POOLED).alias("s"), "rule", "bin", "count")
-    own = histogram.where(F.col("s").isin(largest)).select("s", "rule", "bin", "count")
+    pooled = histogram.groupBy("rule", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(
+        F.lit(POOLED).alias("s"), "rule", "bin", "good", "bad")
+    own = histogram.where(F.col("s").isin(largest)).select("s", "rule", "bin", "good", "bad")
     # at most grid + 2 rows in a group
     chosen = (own.unionByName(pooled).groupBy("s", "rule")
               .applyInPandas(choose, "s string, rule string, cutoff double").collect())

@@ -61,11 +61,15 @@ def test_few_labels_reject_nothing_but_the_base(spark):
     assert Q.keep_good(docs, Q.fit(docs, labels.limit(0))).count() == 50
 
 
-def test_strictest_cutoff_stops_at_the_first_failure():
+def test_best_cutoff_is_certified_and_useful():
     import numpy as np
-    assert Q.strictest_cutoff(np.array([0, 150]), np.array([5000, 500]), 0.05, 0.01, 200) == 150 / 200
-    assert Q.strictest_cutoff(np.array([0]), np.array([5000]), 0.05, 0.01, 200) == 0.0
-    assert Q.strictest_cutoff(np.array([0]), np.array([10]), 0.05, 0.01, 200) is None
+    bins, good = np.array([0, 40, 150]), np.array([5000, 60, 2])
+    # bin 40 could go by the risk, but nothing bad lies there
+    assert Q.best_cutoff(bins, good, np.array([0, 0, 90]), 0.05, 0.01, 200) == 149 / 200
+    assert Q.best_cutoff(bins, good, np.array([0, 80, 90]), 0.05, 0.01, 200) == 39 / 200
+    # the walk ends at the first cutoff that cannot be certified
+    assert Q.best_cutoff(np.array([0, 150]), np.array([5000, 500]), np.array([90, 90]), 0.05, 0.01, 200) == 1.0
+    assert Q.best_cutoff(np.array([0]), np.array([10]), np.array([5]), 0.05, 0.01, 200) is None
 
 
 def test_awkward_rows_and_columns(spark):
