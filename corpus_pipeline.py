@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.llm import decontaminate, ngram_join, packing, quality_rules, secrets
-from sitegraph.llm.common import Scratch, read
+from sitegraph.llm.common import Scratch, importable_on_workers, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable_on_workers(spark)
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import uuid
 
 import numpy as np
@@ -16,18 +18,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def importable_on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver
+    has it.  On a cluster it is installed or shipped with the job, and this path is
+    one more that leads nowhere."""
+    import sitegraph
+    root = os.path.dirname(os.path.dirname(os.path.abspath(sitegraph.__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 class Scratch:
     """Intermediate tables in the shared folder ``spark.checkpoint.dir``.
 
     A table written here cuts the lineage: what follows reads files that every
     executor sees, so a lost executor only repeats its own tasks.  ``drop``
     deletes a table that no later step reads; the tables behind a returned
-    DataFrame stay until ``purge`` (or until the folder is emptied).
+    DataFrame stay until ``purge``, at the latest until the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._purge_at_exit)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as a table of this name and read it back."""
@@ -42,6 +57,10 @@ class Scratch:
     def purge(self) -> None:
         self._delete(self.base)
 
+    def _purge_at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # else the session has been stopped
+            self.purge()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

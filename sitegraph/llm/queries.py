@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from sitegraph.llm import (compress_classifier, decontaminate, ngram_join, packing, ppm, quality_rules, secrets,
                            sharding, suffix_dedup, warc)
+from sitegraph.llm.common import importable_on_workers
+
+
+def _query(run):
+    @functools.wraps(run)
+    def query(spark, sf_dir):
+        importable_on_workers(spark)
+        return run(spark, sf_dir)
 
-QUERIES = {
+    return query
+
+
+QUERIES = {name: _query(run) for name, run in {
     "op1_warc": warc.op1_warc,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_compression_classifier": compress_classifier.op3_compression_classifier,
@@ -16,7 +29,7 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
-}
+}.items()}
 
 ORACLES = {
     "op1_warc": warc.SQL,
