@@ -45,53 +45,83 @@ PIECES_DDL = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" \s|^\s| $")
+#: Latin letters (stable in Unicode), then ASCII punctuation: two tokens of the byte-level
+#: pre-tokenizer, whatever stands around them.  No apostrophe, which starts contractions.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 #: words whose ids a worker remembers (the memory is emptied when full)
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 500_000, 48
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable Latin-1
+    characters stand for themselves, the others follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
     """Ids of texts by a tokenizer file.
 
     Byte-level BPE never joins a token over the start of a space that a
-    non-space follows, so a text is cut there and the ids of short pieces are
-    remembered; a text with a special token's string is encoded whole."""
+    non-space follows, so a text is cut there and the ids of short words are
+    remembered.  Of plain words (Latin letters, then punctuation) the BPE model
+    gets the two parts at once; all else goes through the whole tokenizer, and so
+    does a text with a special token's string."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}  # word -> ids of a space and the word
+        self.parts: dict[str, bytes] = {}  # pre-token -> ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            spelled = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            self.parts[text] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         known, cut, missing = self.known, [], set()
         for text in texts:
             if self.special is not None and self.special.search(text):
                 cut.append(None)
                 continue
-            if _ODD.search(text):
-                pieces = _CUT.split(text)
-            else:
-                pieces = text.split(" ")
-            pieces = [pieces[0], *[" " + p for p in pieces[1:]]]
-            cut.append(pieces)
-            missing.update(p for p in pieces if p not in known)
-        own: dict[str, bytes] = {}
-        todo = list(missing)
-        for piece, ids in zip(todo, self._whole(todo)):
-            (known if len(piece) <= LONGEST else own)[piece] = ids
-        look = (lambda p: known[p] if p in known else own[p]) if own else known.__getitem__
-        return [b"".join(map(look, pieces)) if pieces is not None else self._whole([text])[0]
-                for text, pieces in zip(texts, cut)]
+            words = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            cut.append(words)
+            missing.update(set(words[1:]).difference(known))
+        long: dict[str, bytes] = {}
+        other = []
+        for word in missing:
+            simple = _SIMPLE.fullmatch(word)
+            if simple is None:
+                other.append(word)
+                continue
+            letters, marks = simple.groups()
+            ids = self._part(" " + letters)
+            (known if len(word) <= LONGEST else long)[word] = ids + self._part(marks) if marks else ids
+        for word, ids in zip(other, self._whole([" " + w for w in other])):
+            (known if len(word) <= LONGEST else long)[word] = ids
+        look = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        first = iter(self._whole([text if words is None else words[0] for text, words in zip(texts, cut)]))
+        return [next(first) if words is None else b"".join([next(first), *map(look, words[1:])]) for words in cut]
 
     def sentence_ends(self) -> np.ndarray:
         """Which ids end a sentence or a line."""
