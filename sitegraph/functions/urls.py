@@ -275,6 +275,18 @@ def outcome(status) -> Column:
             .otherwise(F.lit("error")))
 
 
+def is_ok(status) -> Column:
+    """URL16, the rule of the page-saving tool: any status below 400 is usable."""
+    s = _c(status)
+    return F.coalesce((s > 0) & (s < 400), F.lit(False))
+
+
+def fetch_outcome(cache_status, response_outcome) -> Column:
+    """URL16 of a request: ``cached`` when a fresh copy served it, else the response's
+    outcome (``unknown`` if there is none)."""
+    return F.when(_c(cache_status) == "hit", F.lit("cached")).otherwise(F.coalesce(_c(response_outcome), F.lit("unknown")))
+
+
 def location_value(headers) -> Column:
     """Raw value of the first ``Location: `` header (else ``location: ``), NULL if none."""
     h = _c(headers)

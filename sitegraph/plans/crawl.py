@@ -96,7 +96,7 @@ def _empty(df: DataFrame) -> bool:
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
           scope_base: str = "page", link_table: DataFrame | None = None,
-          checkpoint_every: int = 2, on_links=None) -> DataFrame:
+          checkpoint_every: int = 2, on_links=None, together: bool = False) -> DataFrame:
     """CRL1: every URL within ``depth`` hops of each seed, with its level.
 
     ``seeds`` has a ``url`` column.  Pages reached through an HTML link (or
@@ -107,15 +107,21 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     ``on_links`` (UDF2) is a DataFrame -> DataFrame function applied to each
     level's found links (columns seed, url, dst, link_type) before they are
     reported and followed: the user's replacement for the per-link callback.
+
+    ``together`` crawls from all seeds as one set, as a run over a list of URLs
+    does: the result is (url, level) with the distance from the nearest seed, and
+    the state has a row per URL, not per seed and URL.
     """
     spark = seeds.sparkSession
+    if together and scope_base == "seed":
+        raise ValueError("a crawl from all seeds together has no seed to measure the scope by")
     if depth <= 0:
-        return spark.createDataFrame([], "seed string, url string, level int")
+        return spark.createDataFrame([], "url string, level int" if together else "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
     table = link_table if link_table is not None else _co_partition(page_link_table(pages))
     held = [] if link_table is not None else [table]
-    s = seeds.select(F.col("url").alias("seed")).distinct()
-    frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"))
+    s = seeds.select((F.lit("") if together else F.col("url")).alias("seed"), "url").distinct()
+    frontier = s.select("seed", "url", U.page_key("url").alias("page_key"))
     frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)
     held.append(frontier)
     expanded = frontier.select("seed", "url")
@@ -143,7 +149,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     out = out.groupBy("seed", "url").agg(F.min("level").alias("level")).checkpoint(eager=True)
     for h in held:
         h.unpersist()
-    return out
+    return out.drop("seed") if together else out
 
 
 def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",

@@ -396,6 +396,22 @@ def url16_status_outcome(spark, sf):
     return HT.parse_responses(X.responses(pages(spark, sf))).select("response_id", "status", "outcome")
 
 
+@register("url16_fetch_outcome", f"""
+    SELECT q.request_id, CASE WHEN a.save_path IS NOT NULL AND {TTL_MIN} * 60 >=
+             (epoch_us(q.ts) // 1000000) - (epoch_us(a.fetched_at) // 1000000) THEN 'cached' ELSE r.outcome END AS outcome,
+           coalesce(r.status > 0 AND r.status < 400, false) AS is_ok
+    FROM ({_REQ_KEYED}) q LEFT JOIN ({D.archive('pages')}) a ON a.save_path = q.save_path
+    JOIN ({_PARSED}) r ON r.request_url = q.url""")
+def url16_fetch_outcome(spark, sf):
+    """What became of each request: served from a copy, or the response's outcome."""
+    p = pages(spark, sf)
+    look = J.cache_lookup(X.requests(spark, sf, p), X.archive(p), ttl_min=TTL_MIN)
+    parsed = HT.parse_responses(X.responses(p)).select("request_url", "status", F.col("outcome").alias("r_outcome"))
+    got = look.join(parsed, F.col("url") == F.col("request_url"))
+    return got.select("request_id", U.fetch_outcome("cache_status", "r_outcome").alias("outcome"),
+                      U.is_ok("status").alias("is_ok"))
+
+
 @register("snk4_failures", f"SELECT request_url, status, head, {_BODY} FROM ({_PARSED}) WHERE outcome IN ('error', 'throttled')")
 def snk4_failures(spark, sf):
     from sitegraph.sinks.writers import failures
@@ -461,6 +477,15 @@ def crl1_crawl_linked(spark, sf):
     return crawl(pl.select("url"), pl, CRAWL_DEPTH, scope="none")
 
 
+@register("crl1_crawl_together", f"""
+    SELECT url, min(level) AS level FROM ({D.crawl_levels("(" + D.pages_rich("pages") + ")", 2, "none")}) GROUP BY url""")
+def crl1_crawl_together(spark, sf):
+    """All pages as one set of seeds: a row per URL."""
+    from sitegraph.plans.crawl import crawl
+    r = rich(spark, sf)
+    return crawl(r.select("url"), r, 2, scope="none", together=True)
+
+
 @register("crl1_crawl_pages_same", D.crawl_levels("pages", 2, "same"))
 def crl1_crawl_pages_same(spark, sf):
     from sitegraph.plans.crawl import crawl

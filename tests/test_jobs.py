@@ -79,6 +79,17 @@ def test_crawl_levels_match_bfs(spark):
         assert got == exp, depth
 
 
+def test_crawl_from_all_seeds_together(spark):
+    p = _pages(spark)
+    seeds = p.filter(F.col("page_id").isin(1, 2)).select("url")
+    got = {r.url: r.level for r in crawl(seeds, p, 2, scope="same", together=True).collect()}
+    exp: dict = {}
+    for r in seeds.collect():
+        for u, lv in _bfs(r.url, 2, True).items():
+            exp[u] = min(lv, exp.get(u, lv))
+    assert got == exp
+
+
 def test_crawl_manifest_matches_walks(spark):
     p = _pages(spark)
     for depth in (1, 2, 3):
