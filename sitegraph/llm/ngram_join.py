@@ -13,12 +13,13 @@ sets; the result is the component of the links.
   i.e. it counts the n-grams that two nodes share.  The counts of all blocks are
   added up, and a pair whose count cannot reach the overlap that its sizes demand
   is discarded.  What is left is verified on the whole sets.
-* Large groups of near copies: a first product pairs each node only with pivots
+* Large groups of near copies: first products pair each node only with two pivots
   of its columns (the best one is verified), and the components found are
-  contracted; the second, complete product leaves out pairs inside a component.
-  No link between components can be lost, because the second product has every
-  pair of different components.  Columns of more than ``BLOCK_ROWS`` nodes are
-  dealt in blocks of rows, a pair of blocks to a task.
+  contracted; pivots are first the nodes that share most of their columns, such as
+  the text that others were copied from, then hashed ones.  The last, complete
+  product leaves out pairs inside a component.  No link between components can be
+  lost, because it has every pair of different components.  Columns of more than
+  ``BLOCK_ROWS`` nodes are dealt in blocks of rows, a pair of blocks to a task.
 
 N-grams are 64-bit hashes of word sequences; a set's identity is a 64-bit digest.
 
@@ -180,40 +181,62 @@ def shared_columns(postings: DataFrame, frequent: dict[int, int], block_rows: in
             .mapInArrow(run, "h bigint, block int, blocks int, node bigint, n bigint"))
 
 
-def _counted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[:len(low)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(low[first]), pa.array(high[first]), pa.array(np.diff(np.append(first, len(low))).astype(np.int64))],
-        names=["a", "b", "shared"])
+PRODUCT = "a bigint, b bigint, na bigint, nb bigint, shared bigint"
 
 
-def pivot_products(columns: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): each node with the pivot of its column, sizes permitting.  The
-    columns are in eight families that prefer different pivots."""
+def _counted(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs (a < b) with their set sizes and how often they come."""
+    turn = a > b
+    a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+    order = np.lexsort((b, a))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)])
+    times = np.diff(np.append(first, len(a))).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], na[first], nb[first], times)],
+                                      names=["a", "b", "na", "nb", "shared"])
+
+
+def _summed(products: DataFrame) -> DataFrame:
+    """The counts of all blocks, with the overlap that the sizes demand of the prefixes."""
+    return products.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
+def needed(percent: int):
+    """Column: shared prefix n-grams that a link needs.  Of the overlap that the sizes
+    demand, at most ceil(percent n) - 1 lie outside the prefixes."""
+    outside = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - outside
+
+
+def pivot_products(columns: DataFrame, percent: int, turn) -> DataFrame:
+    """Pairs of each node with the first two nodes of its column in the order ``turn``, if
+    they are in different components (``root``) and their sizes permit a link."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # of the last column: its key and its first two rows
         for part in parts:
-            h, block, node, n, _ = _numpy(part)
-            if not len(h):
+            if not part.num_rows:
                 continue
+            rows = pa.Table.from_batches([part])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            fresh = 0 if held is None else len(held)
+            h, block, node, n, root = (rows.column(k).to_numpy() for k in range(5))
             new = np.append(True, (h[1:] != h[:-1]) | (block[1:] != block[:-1]))
             start = np.flatnonzero(new)
-            pivot, size = node[start], n[start]
-            if held is not None and held[:2] == (h[0], block[0]):
-                pivot[0], size[0] = held[2:]
             of = np.cumsum(new) - 1
-            held = (h[-1], block[-1], pivot[-1], size[-1])
-            pivot, size = pivot[of], size[of]
-            good = (pivot != node) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent)
-            yield _counted(pivot[good], node[good])
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for k in range(2):
+                pivot = np.minimum(start + k, np.append(start[1:], len(h)) - 1)[of]
+                good = (root[pivot] != root) & (np.arange(len(h)) >= max(fresh, 1))
+                good &= np.minimum(n[pivot], n) * 100 >= np.maximum(n[pivot], n) * percent
+                for x, y in zip(out, (node[pivot][good], n[pivot][good], node[good], n[good])):
+                    x.append(y)
+            held = rows.slice(start[-1], 2)
+            yield _counted(*[np.concatenate(x) for x in out])
 
-    ordered = columns.withColumn("turn", F.xxhash64("node", F.pmod("h", F.lit(8))))
-    return (ordered.select("h", "block", "node", "n", "turn").repartition("h", "block")
-            .sortWithinPartitions("h", "block", "turn").mapInArrow(run, "a bigint, b bigint, shared bigint")
-            .groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+    ordered = columns.withColumn("turn", turn)
+    return _summed(ordered.select("h", "block", "node", "n", "root", "turn").repartition("h", "block")
+                   .sortWithinPartitions("h", "block", "turn", "node").mapInArrow(run, PRODUCT))
 
 
 def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int):
@@ -229,11 +252,11 @@ def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int
     for k, i in enumerate(rest):
         good = (root != root[i]) & (rank < k) & fit(n, n[i])
         other = node[good]
-        yield np.full(len(other), node[i]), other
+        yield np.full(len(other), node[i]), np.full(len(other), n[i]), other, n[good]
 
 
 def complete_products(columns: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) of all pairs in different components (column ``root``) whose
+    """All pairs in different components (column ``root``) whose
     sizes permit a link.  A task holds one block of a column (or a pair of blocks)."""
     dealt = columns.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root")
@@ -244,7 +267,8 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
         ends = np.append(start[1:], len(h))
         mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
         size = ends - start
-        left, right, held = [], [], 0
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         small = np.repeat(mixed & (size <= 16), size)
         column = np.cumsum(new) - 1
         for lag in range(1, 16):
@@ -252,19 +276,17 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
                 break
             good = small[lag:] & (column[lag:] == column[:-lag]) & (root[lag:] != root[:-lag])
             good &= np.minimum(n[lag:], n[:-lag]) * 100 >= np.maximum(n[lag:], n[:-lag]) * percent
-            left.append(node[lag:][good])
-            right.append(node[:-lag][good])
+            found.append((node[lag:][good], n[lag:][good], node[:-lag][good], n[:-lag][good]))
         for k in np.flatnonzero(mixed & (size > 16)):
             at = slice(start[k], ends[k])
-            for a, b in _block_pairs(node[at], n[at], root[at], percent):
-                left.append(a)
-                right.append(b)
-                held += len(a)
+            for pairs in _block_pairs(node[at], n[at], root[at], percent):
+                found.append(pairs)
+                held += len(pairs[0])
                 if held >= 1 << 20:
-                    yield _counted(np.concatenate(left), np.concatenate(right))
-                    left, right, held = [], [], 0
-        if left:
-            yield _counted(np.concatenate(left), np.concatenate(right))
+                    yield _counted(*map(np.concatenate, zip(*found)))
+                    found, held = [], 0
+        if found:
+            yield _counted(*map(np.concatenate, zip(*found)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -282,9 +304,8 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
         if held and len(held[0]):
             yield from products(*held)
 
-    return (dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node")
-            .mapInArrow(run, "a bigint, b bigint, shared bigint")
-            .groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+    return _summed(dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node")
+                   .mapInArrow(run, PRODUCT))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -309,7 +330,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link (a pair may come twice, if an id does)."""
     @F.arrow_udf("boolean")
     def link(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
@@ -319,7 +340,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(one) + len(two) - both))
         return pa.array(out, type=pa.bool_())
 
-    sets = sets.dropDuplicates(["node"])
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     return pairs.select("a", "b").join(y, "b").join(x, "a").where(link("x", "y")).select("a", "b")
 
@@ -338,23 +358,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                            "columns")
     scratch.drop("rows")
 
-    stars = scratch.save(pivot_products(columns, percent), "stars")
-    ends = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").unionAll(
-        stars.select(F.col("b").alias("x"), F.col("a").alias("y"), "shared"))
-    best = ends.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best"))
-    pairs = scratch.save(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct(),
-                         "pivot-pairs")
-    edges = scratch.save(linked(docs, nodes, pairs, size, percent), "pivot-links")
-    roots = connected_components(edges, scratch, "pivot")
-
-    with_root = columns.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    products = complete_products(with_root, percent)
-    sizes = nodes.select("node", "n")
-    sized = products.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    # of the overlap that the sizes demand, at most ceil(percent n) - 1 lie outside the prefixes
-    outside = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - outside
-    pairs = scratch.save(sized.where(F.col("shared") >= needed).select("a", "b"), "pairs")
+    # how much of a node's prefix other nodes have too
+    degree = columns.groupBy("node").agg((-F.count("*") / F.first("n")).alias("degree"))
+    edges, roots = None, None
+    turns = (F.col("degree"), F.xxhash64("node", F.pmod("h", F.lit(2))))
+    for k, turn in enumerate(turns):
+        placed = _with_root(columns, roots)
+        placed = placed.join(degree, "node") if k == 0 else placed
+        stars = scratch.save(pivot_products(placed, percent, turn), f"stars{k}")
+        # most links are found here; what is passed over here is left to the complete product
+        stars = stars.where(F.col("shared") * 2 >= needed(percent))
+        ends = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").unionAll(
+            stars.select(F.col("b").alias("x"), F.col("a").alias("y"), "shared"))
+        best = ends.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best"))
+        pairs = scratch.save(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"))
+                             .distinct(), f"star-pairs{k}")
+        found = scratch.save(linked(docs, nodes, pairs, size, percent), f"star-links{k}")
+        edges = found if edges is None else edges.unionAll(found)
+        roots = connected_components(edges, scratch, f"star{k}")
+
+    pairs = complete_products(_with_root(columns, roots), percent).where(F.col("shared") >= needed(percent))
+    pairs = scratch.save(pairs.select("a", "b"), "pairs")
     more = scratch.save(linked(docs, nodes, pairs, size, percent), "links")
     roots = connected_components(edges.unionAll(more), scratch, "all")
 
@@ -366,6 +390,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return full.unionAll(empty)
 
 
+def _with_root(columns: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return columns.withColumn("root", F.col("node"))
+    return columns.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     return verified(pairs, whole_sets(docs, nodes, wanted, size), percent)
