@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +83,21 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]
 
 
-def batches(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def slices(part: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most so many rows, so that what a worker holds besides
+    the batch is small."""
+    for k in range(0, part.num_rows, rows):
+        yield part.slice(k, rows)
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the machine: workers live on for later
+    tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

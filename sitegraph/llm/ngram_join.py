@@ -8,7 +8,10 @@ sets; the result is the component of the links.
 * Size bounds: a set of size n links only with sets that share one of its first
   ``n - ceil(percent n / 100) + 1`` n-grams in a common order (rare n-grams first:
   the most frequent ones, counted over all documents, come last by their count).
-  Only these columns enter the product, and columns of one node are discarded.
+  Only these columns enter the product, and columns of one node are discarded.  Of
+  a linked pair the smaller set even has a shared one among its first
+  ``n - ceil(2 percent n / (100 + percent)) + 1`` ("early") n-grams, since its partner
+  is not smaller; the complete product takes only such entries.
 * The columns are dealt out by n-gram; a task multiplies a block of columns,
   i.e. it counts the n-grams that two nodes share.  The counts of all blocks are
   added up, and a pair whose count cannot reach the overlap that its sizes demand
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import LOWER, Scratch, fresh, mix64, read, utf8
+from sitegraph.llm.common import LOWER, Scratch, fresh, mix64, read, release, slices, utf8
 from sitegraph.llm.components import connected_components
 
 SIZE, PERCENT = 5, 75
@@ -57,7 +60,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
-            if len(self) >= 400_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[word] = value
         return value
@@ -84,6 +87,11 @@ def demanded(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def early(percent: int):
+    """Column: whether the n-gram at ``pos`` of a set of size ``n`` is an early one."""
+    return F.expr(f"pos < n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+
+
 def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -93,28 +101,31 @@ def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
     prefixes; results do not depend on it).  A task sends on what it saw in
     several documents of a batch; at most ``most`` rows are gathered."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            sets = [ngram_set(b, size) for b in utf8(part.column(0))]
-            grams, n = np.unique(np.concatenate(sets), return_counts=True) if sets else ([], [])
-            often = n >= 4
+        for some in (s for part in parts for s in slices(part)):
+            grams = np.sort(np.concatenate([ngram_set(b, size) for b in utf8(some.column(0))]))
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[:len(grams)])
+            n = np.diff(np.append(first, len(grams)))
+            first, n = first[n >= 3], n[n >= 3]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+                [pa.array(grams[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+        release()
 
     counted = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return {r.h: r.n for r in counted.orderBy(F.desc("n"), "h").limit(most).collect()}
 
 
 def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix): the n-grams of the row that enter the product; null
-    where the batch had this node before."""
+    """(doc_id, n, node, prefix): the n-grams of the row that enter the product; none
+    where the partition had this node before."""
     hot = np.array(sorted(frequent), dtype=np.int64)
     df = np.array([frequent[int(h)] for h in hot], dtype=np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((hot, df))  # at most FREQUENT rows
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, df = sent.value
-        for part in parts:
-            seen, sizes, nodes, offsets, values = set(), [], [], [0], []
+        seen: set[int] = set()
+        for part in (s for whole in parts for s in slices(whole)):
+            sizes, nodes, offsets, values = [], [], [0], []
             for body in utf8(part.column(1)):
                 grams = ngram_set(body, size)
                 n, node = len(grams), node_of(grams)
@@ -137,6 +148,7 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), lists],
                 names=["doc_id", "n", "node", "prefix"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>")
 
@@ -146,7 +158,7 @@ def _numpy(part: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def shared_columns(postings: DataFrame, frequent: dict[int, int], block_rows: int) -> DataFrame:
-    """(h, block, blocks, node, n) without repeated entries and without columns of one
+    """(h, block, blocks, node, n, early) without repeated entries and without columns of one
     node.  ``blocks`` is how many blocks of rows a frequent column is dealt in."""
     large = [(h, -(-n // block_rows)) for h, n in frequent.items() if n > block_rows]
     if large:
@@ -162,7 +174,7 @@ def shared_columns(postings: DataFrame, frequent: dict[int, int], block_rows: in
             rows = pa.Table.from_batches([part])
             if held is not None:
                 rows = pa.concat_tables([held, rows])
-            h, block, _, node, _ = (rows.column(k).to_numpy() for k in range(5))
+            h, block, _, node = (rows.column(k).to_numpy() for k in range(4))
             same = (h[1:] == h[:-1]) & (block[1:] == block[:-1])
             fresh = np.append(True, ~(same & (node[1:] == node[:-1])))
             rows, h, block = rows.filter(pa.array(fresh)), h[fresh], block[fresh]
@@ -176,9 +188,9 @@ def shared_columns(postings: DataFrame, frequent: dict[int, int], block_rows: in
         if held is not None and (joined or held.column(2)[0].as_py() > 1):
             yield from held.to_batches()
 
-    return (postings.select("h", "block", "blocks", "node", "n").repartition("h", "block")
+    return (postings.select("h", "block", "blocks", "node", "n", "early").repartition("h", "block")
             .sortWithinPartitions("h", "block", "node")
-            .mapInArrow(run, "h bigint, block int, blocks int, node bigint, n bigint"))
+            .mapInArrow(run, "h bigint, block int, blocks int, node bigint, n bigint, early boolean"))
 
 
 PRODUCT = "a bigint, b bigint, na bigint, nb bigint, shared bigint"
@@ -201,10 +213,13 @@ def _summed(products: DataFrame) -> DataFrame:
     return products.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
-def needed(percent: int):
-    """Column: shared prefix n-grams that a link needs.  Of the overlap that the sizes
-    demand, at most ceil(percent n) - 1 lie outside the prefixes."""
+def needed(percent: int, early_only: bool = False):
+    """Column: shared prefix n-grams that a link needs: the overlap that the sizes
+    demand, less what may lie outside the prefixes (the smaller set's early ones, if
+    ``early_only``): the common n-grams beyond the prefix that ends first."""
     outside = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    if early_only:
+        outside = F.greatest(outside, F.ceil(F.least("na", "nb") * 2 * percent / (100 + percent)) - 1)
     return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - outside
 
 
@@ -239,18 +254,21 @@ def pivot_products(columns: DataFrame, percent: int, turn) -> DataFrame:
                    .sortWithinPartitions("h", "block", "turn", "node").mapInArrow(run, PRODUCT))
 
 
-def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int):
-    """Pairs of a column's nodes in different components whose sizes permit a link."""
-    def fit(x, y):
-        return np.minimum(x, y) * 100 >= np.maximum(x, y) * percent
+def _early_of_smaller(node, n, early, node2, n2, early2) -> np.ndarray:
+    """Whether the entry of the smaller set (of equal sizes: the smaller node) is early."""
+    return np.where((n < n2) | ((n == n2) & (node < node2)), early, early2)
+
 
+def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.ndarray, percent: int):
+    """Pairs of a column's nodes in different components that may link."""
     roots, counts = np.unique(root, return_counts=True)
     largest = roots[np.argmax(counts)]
     rest = np.flatnonzero(root != largest)
     rank = np.full(len(node), -1)
     rank[rest] = np.arange(len(rest))  # a pair of two of the rest is taken once
     for k, i in enumerate(rest):
-        good = (root != root[i]) & (rank < k) & fit(n, n[i])
+        good = (root != root[i]) & (rank < k) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+        good &= _early_of_smaller(node, n, early, node[i], n[i], early[i])
         other = node[good]
         yield np.full(len(other), node[i]), np.full(len(other), n[i]), other, n[good]
 
@@ -259,13 +277,14 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
     """All pairs in different components (column ``root``) whose
     sizes permit a link.  A task holds one block of a column (or a pair of blocks)."""
     dealt = columns.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root")
+        "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root", "early")
 
-    def products(h, one, two, node, n, root) -> Iterator[pa.RecordBatch]:
+    def products(h, one, two, node, n, root, early) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
         start = np.flatnonzero(new)
         ends = np.append(start[1:], len(h))
         mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        mixed &= np.logical_or.reduceat(early, start)
         size = ends - start
         found: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -276,10 +295,11 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
                 break
             good = small[lag:] & (column[lag:] == column[:-lag]) & (root[lag:] != root[:-lag])
             good &= np.minimum(n[lag:], n[:-lag]) * 100 >= np.maximum(n[lag:], n[:-lag]) * percent
+            good &= _early_of_smaller(node[lag:], n[lag:], early[lag:], node[:-lag], n[:-lag], early[:-lag])
             found.append((node[lag:][good], n[lag:][good], node[:-lag][good], n[:-lag][good]))
         for k in np.flatnonzero(mixed & (size > 16)):
             at = slice(start[k], ends[k])
-            for pairs in _block_pairs(node[at], n[at], root[at], percent):
+            for pairs in _block_pairs(node[at], n[at], root[at], early[at], percent):
                 found.append(pairs)
                 held += len(pairs[0])
                 if held >= 1 << 20:
@@ -303,6 +323,7 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
             held = [r[cut:] for r in rows]
         if held and len(held[0]):
             yield from products(*held)
+        release()
 
     return _summed(dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node")
                    .mapInArrow(run, PRODUCT))
@@ -316,7 +337,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int)
     rows = docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (s for whole in parts for s in slices(whole, 512)):
             nodes, grams = [], []
             for node, body in zip(part.column(0).to_pylist(), utf8(part.column(1))):
                 own = ngram_set(body, size)
@@ -325,6 +346,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int)
                     grams.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(grams, type=pa.binary())],
                                              names=["node", "grams"])
+        release()
 
     return rows.select("node", "text").mapInArrow(run, "node bigint, grams binary")
 
@@ -354,8 +376,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = scratch.save(rows.select("doc_id", "node", "n"), "members")
     nodes = scratch.save(members.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
-    columns = scratch.save(shared_columns(rows.select("node", "n", F.explode("prefix").alias("h")), often, block_rows),
-                           "columns")
+    postings = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("early", early(percent))
+    columns = scratch.save(shared_columns(postings, often, block_rows), "columns")
     scratch.drop("rows")
 
     # how much of a node's prefix other nodes have too
@@ -377,7 +399,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         edges = found if edges is None else edges.unionAll(found)
         roots = connected_components(edges, scratch, f"star{k}")
 
-    pairs = complete_products(_with_root(columns, roots), percent).where(F.col("shared") >= needed(percent))
+    pairs = complete_products(_with_root(columns, roots), percent).where(
+        F.col("shared") >= needed(percent, early_only=True))
     pairs = scratch.save(pairs.select("a", "b"), "pairs")
     more = scratch.save(linked(docs, nodes, pairs, size, percent), "links")
     roots = connected_components(edges.unionAll(more), scratch, "all")

@@ -86,6 +86,7 @@ def test_common_passages_make_no_pairs(spark):
     rows = [(k, prose(1000 + k, 400) + " " + passage) for k in range(300)]
     docs = frame(spark, rows)
     often = J.frequent_ngrams(docs, 5, 1000)
-    table = J.shared_columns(J.prefixes(docs, often, 5, 75).select("node", "n", F.explode("prefix").alias("h")), often, 50_000)
+    table = J.shared_columns(J.prefixes(docs, often, 5, 75).select(
+        "node", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("early", J.early(75)), often, 50_000)
     assert table.count() < 300
     assert J.jaccard_components(docs).where("component_id != doc_id").count() == 0
