@@ -24,7 +24,8 @@ record by record, checking both digests of every record.
 
 Paths may be of any file system that pyarrow and Spark both open (file, HDFS, S3,
 ...).  Hot URLs, payloads or sources make no large group: the sort key ends in the
-id, and the join on the payload digest is salted.
+id, and the join on the payload digest is a broadcast of the repeated payloads, when
+they are counted to be few, or salted.
 
 Defined results: a null payload is empty; a null URL gives a record without a
 target URI; control characters and spaces of a URL are percent-encoded; a null
@@ -51,6 +52,8 @@ from pyspark.sql import functions as F
 from sitegraph.llm.common import Scratch, read, utf8
 
 DEDUP_BYTES, ROLL_BYTES, SALTS = 1000, 32 << 20, 16
+#: repeated payloads (digest and id) are broadcast up to this count, joined by a salted shuffle above it
+BROADCAST_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_HEADER = "X-Record-Key"
@@ -168,11 +171,15 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                         F.octet_length(body).cast("bigint").alias("payload_bytes"))
     # the response member of every row, made where the row is read; revisits are small and made after the join
     plain = members(rows.withColumns({"first": F.lit(None).cast("bigint"), "revisit": F.lit(False)}), date)
-    plain = plain.select("id", "url", "digest", "payload_bytes", "member",
-                         F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).alias("salt"))
-    kinds = record_kinds(rows.select("id", "digest", "payload_bytes"), dedup_bytes).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-    typed = plain.join(kinds, ["digest", "salt"], "left").withColumn(
+    plain = plain.select("id", "url", "digest", "payload_bytes", "member")
+    kinds = scratch.save(record_kinds(rows.select("id", "digest", "payload_bytes"), dedup_bytes), "kinds")
+    if kinds.count() <= BROADCAST_ROWS:
+        typed = plain.join(F.broadcast(kinds), "digest", "left")
+    else:  # a payload may be that of a third of all rows
+        salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        typed = plain.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS))).join(
+            kinds.withColumn("salt", salts), ["digest", "salt"], "left")
+    typed = typed.withColumn(
         "revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
 
     @F.arrow_udf("binary")

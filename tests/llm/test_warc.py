@@ -29,7 +29,9 @@ def expected(rows):
 
 
 @pytest.mark.parametrize("extra", [False, True])
-def test_round_trip(spark, tmp_path, extra):
+def test_round_trip(spark, tmp_path, extra, monkeypatch):
+    if extra:
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)  # by the salted join
     df = pages(spark, extra)
     manifest = warc.write_warc(df, f"file://{tmp_path}/a", roll_bytes=2000)
     back = warc.read_warc(spark, f"file://{tmp_path}/a")
