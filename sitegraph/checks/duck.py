@@ -329,6 +329,29 @@ def crawl_levels(pages: str, depth: int, scope: str, scope_base: str = "page") -
     """
 
 
+def crawl_redirected(pages: str, resolved: str, depth: int, scope: str) -> str:
+    """CRL1 oracle with redirects: ``crawl_levels``, pages found and links resolved by
+    the effective URL of the ``resolved`` statement (every one is a page's)."""
+    return f"""
+    WITH RECURSIVE lt AS ({keyed_link_table(pages)}),
+    eff AS (SELECT url, effective_url FROM ({resolved})),
+    walk(seed, url, level, is_html) AS (
+      SELECT url, url, 0, true FROM {pages}
+      UNION
+      SELECT seed, dst AS url, level + 1 AS level, link_type = 'HTML' AS is_html FROM (
+        SELECT *, {', '.join(resolve('raw_link', 'base', 'dst', 'r_') + parts('dst', 'd_') + parts('base', 'b_'))}
+        FROM (SELECT w.seed, w.base, w.level, l.raw_link, l.link_type
+              FROM (SELECT *, {save_path_expr('w_', chr(39) + 'HTML' + chr(39))} AS pk
+                    FROM (SELECT *, {', '.join(parts('base', 'w_'))}
+                          FROM (SELECT k.seed, k.level, coalesce(e.effective_url, k.url) AS base
+                                FROM walk k LEFT JOIN eff e ON e.url = k.url WHERE k.is_html AND k.level < {depth}))) w
+              JOIN lt l ON l.page_key = w.pk))
+      WHERE {_scope_cond(scope, 'd_host', 'b_host')}
+    )
+    SELECT seed, url, min(level) AS level FROM walk GROUP BY seed, url
+    """
+
+
 def crawl_lines(pages: str, depth: int, scope: str) -> str:
     """CRL2 oracle: walks enumerated (UNION ALL), lines counted per level."""
     lt = keyed_link_table(pages)

@@ -12,6 +12,7 @@ from sitegraph.functions import urls as U
 from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
 from sitegraph.operators import rewrite as RW
+from sitegraph.operators.redirects import with_effective_url
 from sitegraph.plans.crawl import crawl_manifest, crawl_rfc
 
 
@@ -33,30 +34,44 @@ def _now() -> str:
 
 
 def fetch_plan(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int = 1, scope: str = "same",
-               ttl_min: int | None = 1000, as_of: str | None = None, force: bool = False) -> DataFrame:
+               ttl_min: int | None = 1000, as_of: str | None = None, force: bool = False,
+               resolved: DataFrame | None = None) -> DataFrame:
     """(save_path, url, link_type, page_id): the save paths that the crawl's manifest
     names and no fresh copy covers, with the corpus page that holds each (lowest
     page_id; NULL if none).  Pages are matched by their page key, other resources
-    by host and path.  Only keys and ids are shuffled, no HTML."""
-    man = crawl_manifest(seeds, corpus, depth, scope).select("link_type", "url")
+    by host and path.  Only keys and ids are shuffled, no HTML.  With ``resolved``
+    (JN4) url and save path are those that redirects lead to; a page held only under
+    a URL that leads there stands for it."""
+    man = crawl_manifest(seeds, corpus, depth, scope, resolved=resolved).select("link_type", "url")
     man = man.unionByName(seeds.select(F.lit("HTML").alias("link_type"), "url"))
+    if resolved is not None:
+        man = with_effective_url(man.distinct(), resolved).select("link_type", F.col("effective_url").alias("url"),
+                                                                  F.col("url").alias("asked"))
     todo = J.fetch_list(man, archive, ttl_min, as_of or _now(), force)
     keys = F.explode(F.array_distinct(F.array(U.page_key("url"), U.host_path("url"))))
     held = corpus.select("page_id", keys.alias("save_path")).groupBy("save_path").agg(F.min("page_id").alias("page_id"))
-    return todo.join(held, "save_path", "left")
+    plan = todo.join(held, "save_path", "left")
+    if resolved is None:
+        return plan
+    asked = man.where("asked <> url").select(U.save_path("url", F.col("link_type")).alias("to"),
+                                             U.save_path("asked", F.col("link_type")).alias("save_path"))
+    under = asked.distinct().join(held, "save_path").groupBy(F.col("to").alias("save_path")).agg(
+        F.min("page_id").alias("asked_id"))
+    return plan.join(under, "save_path", "left").withColumn("page_id", F.coalesce("page_id", "asked_id")).drop("asked_id")
 
 
 def archive_site(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int = 1,
                  scope: str = "same", ttl_min: int | None = 1000, as_of: str | None = None,
-                 force: bool = False) -> DataFrame:
+                 force: bool = False, resolved: DataFrame | None = None) -> DataFrame:
     """PIP1: crawl -> manifest -> fetch list -> fetch (join with the corpus)
     -> archive rows, links of pages rewritten.  Returns the new archive rows
     (page_key, save_path, host, body, fetched_at), which
     ``sinks.writers.write_archive`` merges into an archive; every line of the
     manifest counts, resources too.  ``as_of`` (default: now) is the time that
-    copies are held against.  What the corpus lacks: ``missing_fetches``."""
+    copies are held against.  What the corpus lacks: ``missing_fetches``.
+    ``resolved`` (JN4's table) follows redirects."""
     as_of = as_of or _now()
-    plan = fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force)
+    plan = fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force, resolved)
     # the narrow plan meets the pages once, by page id
     fetched = plan.where("page_id IS NOT NULL").join(corpus.select("page_id", "html"), "page_id")
     hint = F.concat(F.lit("./"), F.col("save_path"))

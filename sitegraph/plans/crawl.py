@@ -8,6 +8,11 @@ checkpoint in ``spark.checkpoint.dir``, and the final result is one too, so a
 lost executor recomputes at most a couple of levels and the lineage never
 grows with the depth.  Whether the frontier ran empty is tested right after
 each checkpoint; in between, levels cost no extra job.
+
+With ``resolved`` (JN4: url, effective_url) redirects are followed: a URL is
+expanded as the page it leads to, whose URL is the base of the links and of the
+scope.  Where only the requested URL's page is held, that page stands for it.
+Links, seeds and levels keep the URLs as found.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from sitegraph.functions import html as H
 from sitegraph.functions import rfc as RFC
 from sitegraph.functions import urls as U
 from sitegraph.operators import links as L
+from sitegraph.operators.redirects import with_effective_url
 from sitegraph.session import ensure_checkpoint_dir
 
 
@@ -55,21 +61,40 @@ def first_pages(pages: DataFrame, key) -> DataFrame:
     return pages.withColumn("page_key", key).join(losers, "page_id", "left_anti")
 
 
-def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base: str) -> DataFrame:
-    """Links found on the frontier pages, resolved against the frontier URL
+def _reached(frontier: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """The frontier with ``base`` (the URL it leads to), its page key and that of
+    the URL itself."""
+    f = frontier.withColumn("base", F.col("url")) if resolved is None else \
+        with_effective_url(frontier, resolved).withColumnRenamed("effective_url", "base")
+    return f.withColumn("page_key", U.page_key("base")).withColumn("own_key", U.page_key("url"))
+
+
+def _held_links(bases: DataFrame, link_table: DataFrame, redirects: bool) -> DataFrame:
+    """``bases`` with the links of the page under the effective URL, or else of
+    the page captured under the requested URL."""
+    found = bases.join(link_table, "page_key").drop("own_key")
+    if not redirects:
+        return found
+    left = bases.where("own_key <> page_key").join(link_table.select("page_key"), "page_key", "left_anti")
+    own = left.drop("page_key").withColumnRenamed("own_key", "page_key").join(link_table, "page_key")
+    return found.unionByName(own)
+
+
+def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base: str, redirects: bool) -> DataFrame:
+    """Links found on the frontier pages, resolved against the effective URL
     and filtered by scope, as rows (seed, url, [visits], dst, link_type).
     Each distinct frontier URL is expanded once and the result joined back
     to the seeds that reached it."""
     by_seed = scope_base == "seed"
     keys = ["url", "seed"] if by_seed else ["url"]
-    bases = frontier.select(*keys, "page_key").dropDuplicates(keys)
-    found = bases.join(link_table, "page_key")
-    scope_ref = F.col("seed") if by_seed else F.col("url")
+    bases = frontier.select(*keys, "base", "page_key", "own_key").dropDuplicates(keys)
+    found = _held_links(bases, link_table, redirects)
+    scope_ref = F.col("seed") if by_seed else F.col("base")
 
     def resolved(pb):
         return F.transform("links", lambda l: F.struct(l["link_type"].alias("link_type"),
                                                        U.resolve_with_base(l["raw_link"], pb).alias("dst")))
-    arr = U.bind(U.page_base(F.col("url")), resolved)        # page half once per frontier URL
+    arr = U.bind(U.page_base(F.col("base")), resolved)       # page half once per frontier URL
     if scope != "none":
         arr = U.bind(U.url_host(scope_ref),
                      lambda ph: F.filter(arr, lambda x: L._host_ok(U.url_host(x["dst"]), ph, scope, False)))
@@ -96,7 +121,8 @@ def _empty(df: DataFrame) -> bool:
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
           scope_base: str = "page", link_table: DataFrame | None = None,
-          checkpoint_every: int = 2, on_links=None, together: bool = False) -> DataFrame:
+          checkpoint_every: int = 2, on_links=None, together: bool = False,
+          resolved: DataFrame | None = None) -> DataFrame:
     """CRL1: every URL within ``depth`` hops of each seed, with its level.
 
     ``seeds`` has a ``url`` column.  Pages reached through an HTML link (or
@@ -111,6 +137,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     ``together`` crawls from all seeds as one set, as a run over a list of URLs
     does: the result is (url, level) with the distance from the nearest seed, and
     the state has a row per URL, not per seed and URL.
+
+    ``resolved`` (JN4's table) follows redirects.
     """
     spark = seeds.sparkSession
     if together and scope_base == "seed":
@@ -121,13 +149,13 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     table = link_table if link_table is not None else _co_partition(page_link_table(pages))
     held = [] if link_table is not None else [table]
     s = seeds.select((F.lit("") if together else F.col("url")).alias("seed"), "url").distinct()
-    frontier = s.select("seed", "url", U.page_key("url").alias("page_key"))
+    frontier = _reached(s.select("seed", "url"), resolved)
     frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)
     held.append(frontier)
     expanded = frontier.select("seed", "url")
     found_all = [frontier.select("seed", "url", F.lit(0).alias("level"))]
     for level in range(1, depth + 1):
-        hits = _expand(frontier, table, scope, scope_base)
+        hits = _expand(frontier, table, scope, scope_base, resolved is not None)
         if on_links is not None:
             hits = on_links(hits)
         step = hits.groupBy("seed", F.col("dst").alias("url")) \
@@ -138,7 +166,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
         if level == depth:
             break
         nxt = step.filter("is_html").select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
-        frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
+        frontier = _cut(_reached(nxt, resolved), level, checkpoint_every)
         held.append(frontier)
         if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break
@@ -154,13 +182,14 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
 
 def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
                    scope_base: str = "page", link_table: DataFrame | None = None,
-                   checkpoint_every: int = 2) -> DataFrame:
+                   checkpoint_every: int = 2, resolved: DataFrame | None = None) -> DataFrame:
     """CRL2: the manifest the reference prints, multiplicities included.
 
     It keeps no visited set, so a page is expanded once per walk reaching
     it.  Walks are counted instead of enumerated: ``visits`` of a (seed,
     url) at a level is the number of walks arriving there.  Output:
     (seed, level, link_type, url, n) where n is the number of lines, exact in DECIMAL(38,0).
+    ``resolved`` (JN4's table) follows redirects.
     """
     spark = seeds.sparkSession
     if depth <= 0:
@@ -170,12 +199,12 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
     held = [] if link_table is not None else [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
     # walk counts grow like out-degree ** depth: counted exactly in DECIMAL(38,0)
-    frontier = s.select("seed", F.col("seed").alias("url"), U.page_key("seed").alias("page_key"),
-                        F.lit(1).cast(WALKS).alias("visits")).persist(StorageLevel.MEMORY_AND_DISK)
+    frontier = _reached(s.select("seed", F.col("seed").alias("url"), F.lit(1).cast(WALKS).alias("visits")),
+                        resolved).persist(StorageLevel.MEMORY_AND_DISK)
     held.append(frontier)
     lines = []
     for level in range(1, depth + 1):
-        hits = _expand(frontier, table, scope, scope_base)
+        hits = _expand(frontier, table, scope, scope_base, resolved is not None)
         step = hits.groupBy("seed", F.col("dst").alias("url"), "link_type").agg(F.sum("visits").alias("n"))
         step = step.persist(StorageLevel.MEMORY_AND_DISK)     # one step from the frontier checkpoint
         held.append(step)
@@ -183,7 +212,7 @@ def crawl_manifest(seeds: DataFrame, pages: DataFrame, depth: int, scope: str =
         if level == depth:
             break
         nxt = step.filter(F.col("link_type") == "HTML").groupBy("seed", "url").agg(F.sum("n").alias("visits"))
-        frontier = _cut(nxt.withColumn("page_key", U.page_key("url")), level, checkpoint_every)
+        frontier = _cut(_reached(nxt, resolved), level, checkpoint_every)
         held.append(frontier)
         if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break

@@ -493,6 +493,16 @@ def crl1_crawl_pages_same(spark, sf):
     return crawl(p.select("url"), p, 2, scope="same")
 
 
+@register("crl1_crawl_redirected", D.crawl_redirected("(" + D.pages_rich("pages") + ")", _EFFECTIVE, 2, "same"))
+def crl1_crawl_redirected(spark, sf):
+    """Redirects followed: each URL is expanded as the page it leads to."""
+    from sitegraph.plans.crawl import crawl
+    p = pages(spark, sf)
+    r = X.pages_rich(p)
+    resolved = R.resolve_redirects(HT.parse_responses(X.responses(p)))
+    return crawl(r.select("url"), r, 2, scope="same", resolved=resolved)
+
+
 @register("crl2_crawl_manifest_linked", D.crawl_lines("(" + D.pages_linked("pages") + ")", CRAWL_DEPTH, "none"))
 def crl2_crawl_manifest_linked(spark, sf):
     from sitegraph.plans.crawl import crawl_manifest

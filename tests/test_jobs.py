@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sitegraph.functions import urls as U
 from sitegraph.operators import aggs as A
 from sitegraph.operators import joins as J
 from sitegraph.operators import redirects as R
@@ -102,6 +103,35 @@ def test_crawl_manifest_matches_walks(spark):
         assert got == exp, depth
 
 
+def test_crawls_follow_redirects(spark):
+    """A moved page is expanded under its Location, one captured under the old URL only too."""
+    from sitegraph.plans.archive import archive_site
+    pages = spark.createDataFrame([
+        (0, "https://s.org/", '<a href="/old">x</a><a href="/gone/p">x</a>'),
+        (1, "https://t.org/new/", '<a href="in">x</a>'),
+        (2, "https://t.org/new/in", ""),
+        (3, "https://s.org/gone/p", '<a href="/rel">x</a><a href="https://s.org/far">x</a>'),
+    ], "page_id bigint, url string, html string")
+    resolved = spark.createDataFrame([
+        ("https://s.org/old", "https://t.org/new/", 1, "ok"), ("https://s.org/gone/p", "https://t.org/to/p", 1, "ok"),
+    ], "url string, effective_url string, hops int, outcome string")
+    seed = pages.where("page_id = 0").select("url")
+    links = {"https://s.org/": 0, "https://s.org/old": 1, "https://s.org/gone/p": 1, "https://t.org/new/in": 2,
+             "https://t.org/rel": 2, "https://s.org/far": 2}
+    got = crawl(seed, pages, 3, scope="none", resolved=resolved)
+    assert {r.url: r.level for r in got.collect()} == links
+    got = crawl(seed, pages, 3, scope="same", resolved=resolved)  # the host is that of the Location
+    assert {r.url for r in got.collect()} == set(links) - {"https://s.org/far"}
+    lines = crawl_manifest(seed, pages, 3, scope="none", resolved=resolved)
+    assert {(r.level, r.url, int(r.n)) for r in lines.collect()} == {(v, u, 1) for u, v in links.items() if v}
+    empty = spark.createDataFrame([], "save_path string, fetched_at timestamp_ntz")
+    saved = archive_site(seed, pages, empty, depth=2, scope="none", as_of="2024-01-01 00:00:00", resolved=resolved)
+    assert {(r.save_path, r.host) for r in saved.collect()} == {
+        (r.k, r.h) for r in spark.createDataFrame([(u,) for u in (
+            "https://s.org/", "https://t.org/new/", "https://t.org/to/p", "https://t.org/new/in")], "u string").select(
+            U.save_path("u", F.lit("HTML")).alias("k"), U.url_host("u").alias("h")).collect()}
+
+
 def test_crawl_user_hook(spark):
     p = _pages(spark)
     got = crawl(p.filter(F.col("page_id") == 0).select("url"), p, 3, scope="same",
