@@ -14,9 +14,12 @@ that rejects most more bad than good labelled documents (of equals the most
 lenient), which spends no risk where it gains nothing.  A stratum with too few good labels gets no
 cutoff for a rule, which then rejects nothing there.
 
-Strata are the values of a column (the ``max_strata`` ones with most labels; the
-rest and null share the pooled stratum, whose cutoffs come from all labels), so
-the table of cutoffs has at most ``(max_strata + 1) * len(RULES)`` rows.
+Strata are all values of a column, however many; their cutoffs are a table that the
+documents are joined with.  A stratum whose labels certify nothing, or that has
+none, is rejected by the base only.  Null is a stratum too where its own labels
+certify a rule; else its documents may come from any stratum, so they get the most
+useful cutoff that is certified in every labelled stratum (any mixture of these then
+loses at most ``risk``), and none if some labelled stratum has none.
 
 The base counts follow fixed definitions: words are runs of characters other
 than space and U+0009-U+000D; ``n_symbols`` counts ``#*$%&|<>``; a duplicate line
@@ -33,6 +36,7 @@ repeated documents get a row each; other columns stay as they are.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -46,8 +50,9 @@ WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-RISK, DELTA, GRID, MAX_STRATA = 0.05, 0.05, 200, 200
-POOLED = "\0pooled"
+RISK, DELTA, GRID = 0.05, 0.05, 200
+#: tables of cutoffs are broadcast up to this many strata (some 20 MB), joined by shuffle above it
+BROADCAST_STRATA = 100_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_capitals", "n_shouts")
@@ -130,32 +135,74 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def best_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, level: float,
-                grid: int) -> float | None:
-    """The most useful cutoff of the grid that the walk from lenient to strict
-    certifies, None if there is none.  ``good[i]`` good and ``bad[i]`` bad documents
-    have a ratio in bin ``bins[i]``: bin b holds ratios in (b-1, b] / grid, so cutoff
-    b / grid rejects the bins above b."""
-    goods, bads = np.zeros(grid + 2, dtype=np.int64), np.zeros(grid + 2, dtype=np.int64)
-    np.add.at(goods, np.minimum(bins, grid + 1), good)
-    np.add.at(bads, np.minimum(bins, grid + 1), bad)
-    above, gain, total, best, most = 0, 0, int(goods.sum()), None, -1
+def _binned(bins: np.ndarray, values: np.ndarray, grid: int) -> np.ndarray:
+    out = np.zeros(grid + 2, dtype=np.int64)
+    np.add.at(out, np.minimum(bins, grid + 1), values)
+    return out
+
+
+def certified(bins: np.ndarray, good: np.ndarray, risk: float, level: float, grid: int) -> int | None:
+    """The strictest bin that the walk from lenient to strict certifies, None if there
+    is none; all more lenient ones are certified with it."""
+    goods = _binned(bins, good, grid)
+    above, total, last = 0, int(goods.sum()), None
     for b in range(grid, -1, -1):
         above += int(goods[b + 1])
-        gain += int(bads[b + 1]) - int(goods[b + 1])
         if above and above >= risk * total or binomial_tail(above, total, risk) > level:
             break
+        last = b
+    return last
+
+
+def most_useful(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, lowest: int | None, grid: int) -> float | None:
+    """The cutoff of the bins from ``lowest`` on that rejects most more bad than good
+    documents (of equals the most lenient); None if there is no ``lowest``."""
+    if lowest is None:
+        return None
+    goods, bads = _binned(bins, good, grid), _binned(bins, bad, grid)
+    gain, best, most = 0, None, -1
+    for b in range(grid, lowest - 1, -1):
+        gain += int(bads[b + 1]) - int(goods[b + 1])
         if gain > most:
             best, most = b / grid, gain
     return best
 
 
+def best_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, level: float,
+                grid: int) -> float | None:
+    """The most useful cutoff of the grid that the walk from lenient to strict
+    certifies, None if there is none.  ``good[i]`` good and ``bad[i]`` bad documents
+    have a ratio in bin ``bins[i]``: bin b holds ratios in (b-1, b] / grid, so cutoff
+    b / grid rejects the bins above b."""
+    return most_useful(bins, good, bad, certified(bins, good, risk, level, grid), grid)
+
+
+class Cutoffs(Mapping):
+    """(stratum, rule) -> cutoff.  ``table`` (s, cutoffs: map of rule to cutoff) is what
+    documents are joined with; it is collected only if the mapping itself is asked."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _collected(self) -> dict[tuple[str | None, str], float]:
+        return {(r.s, rule): v for r in self.table.collect() for rule, v in r.cutoffs.items()}
+
+    def __getitem__(self, key: tuple[str | None, str]) -> float:
+        return self._collected()[key]
+
+    def __iter__(self) -> Iterator[tuple[str | None, str]]:
+        return iter(self._collected())
+
+    def __len__(self) -> int:
+        return len(self._collected())
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, key: str, stratum: str, feature: str,
             label_key: str = "doc_id", label: str = "quality", risk: float = RISK, delta: float = DELTA,
-            grid: int = GRID, max_strata: int = MAX_STRATA) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff.  ``features`` has the document key, the stratum and
-    the struct of counts.  Labels are joined on narrow rows, then counted per
-    (stratum, rule, bin): what is gathered is a histogram of bounded size."""
+            grid: int = GRID) -> Cutoffs:
+    """``features`` has the document key, the stratum and the struct of counts.  Labels
+    are joined on narrow rows, then counted per (stratum, rule, bin); nothing that
+    grows with the strata is gathered."""
     known = (labels.select(F.col(label_key).alias("k"), F.col(label).alias("q"))
              .where(F.col("k").isNotNull() & F.col("q").isNotNull()).groupBy("k").agg(F.max("q").alias("q")))
     labelled = (features.select(F.col(key).alias("k"), F.col(stratum).cast("string").alias("s"),
@@ -167,54 +214,72 @@ def cutoffs(features: DataFrame, labels: DataFrame, key: str, stratum: str, feat
         F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad"))
     scratch = Scratch(features.sparkSession, "quality-cutoffs")
     histogram = scratch.save(per_stratum, "histogram")
-    largest = [r.s for r in histogram.where(F.col("s").isNotNull()).groupBy("s").agg(F.sum("good").alias("n"))
-               .orderBy(F.desc("n"), "s").limit(max_strata).collect()]
-    level = delta / (len(RULES) * (len(largest) + 1))
+    strata = histogram.where("good > 0").select("s").distinct().count()
+    level = delta / (len(RULES) * max(1, strata))
     share = risk / len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = best_cutoff(*(pdf[c].to_numpy() for c in ("bin", "good", "bad")), share, level, grid)
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "cutoff": [best]})
+        b, good, bad = (pdf[c].to_numpy() for c in ("bin", "good", "bad"))
+        low = certified(b, good, share, level, grid)
+        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "good": [int(good.sum())],
+                             "low": pd.array([low], dtype="Int64"), "cutoff": [most_useful(b, good, bad, low, grid)]})
+
+    def choose_unknown(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = most_useful(*(pdf[c].to_numpy() for c in ("bin", "good", "bad")), int(pdf["low"].iloc[0]), grid)
+        return pd.DataFrame({"rule": [pdf["rule"].iloc[0]], "cutoff": [best]})
 
-    pooled = histogram.groupBy("rule", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(
-        F.lit(POOLED).alias("s"), "rule", "bin", "good", "bad")
-    own = histogram.where(F.col("s").isin(largest)).select("s", "rule", "bin", "good", "bad")
+    usable = F.col("cutoff").isNotNull() & ~F.isnan("cutoff")
     # at most grid + 2 rows in a group
-    chosen = (own.unionByName(pooled).groupBy("s", "rule")
-              .applyInPandas(choose, "s string, rule string, cutoff double").collect())
-    scratch.purge()
-    return {(r.s, r.rule): r.cutoff for r in chosen if r.cutoff is not None and not math.isnan(r.cutoff)} | {
-        (s, "") : 0.0 for s in largest}
-
-
-def rejected_by(c: Column, stratum: Column, chosen: dict[tuple[str, str], float]) -> Column:
-    """Column: array of the rules whose cutoff the document exceeds."""
-    own = sorted(s for s, rule in chosen if rule == "")
-    stratum = F.when(stratum.cast("string").isin(own), stratum.cast("string")).otherwise(POOLED) if own else F.lit(POOLED)
-    named = []
-    for rule in RULES:
-        known = [(s, v) for (s, r), v in sorted(chosen.items()) if r == rule]
-        if known:
-            limit = F.create_map(*[F.lit(x) for pair in known for x in pair])[stratum]
-            named.append(F.when(ratio(c, rule) > limit, F.lit(rule)))
-    return F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
+    own = scratch.save(histogram.groupBy("s", "rule").applyInPandas(
+        choose, "s string, rule string, good bigint, low bigint, cutoff double"), "own")
+    everywhere = own.where("s IS NOT NULL AND good > 0").groupBy("rule").agg(
+        F.max("low").alias("low"), F.count_if(F.col("low").isNull()).alias("lacking")).where("lacking = 0").drop("lacking")
+    everywhere = everywhere.join(own.where(F.col("s").isNull() & usable).select("rule"), "rule", "left_anti")
+    pooled = histogram.groupBy("rule", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    unknown = pooled.join(everywhere, "rule").groupBy("rule").applyInPandas(choose_unknown, "rule string, cutoff double")
+    chosen = own.select("s", "rule", "cutoff").unionByName(
+        unknown.select(F.lit(None).cast("string").alias("s"), "rule", "cutoff")).where(usable)
+    table = scratch.save(chosen.groupBy("s").agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "chosen")
+    scratch.drop("histogram", "own")
+    return Cutoffs(table)
+
+
+def rejected_by(c: Column, limits: Column) -> Column:
+    """Column: array of the rules whose cutoff (``limits``: map of rule to cutoff, or
+    null) the document exceeds."""
+    return F.array_compact(F.array(*[F.when(ratio(c, rule) > limits[rule], F.lit(rule)) for rule in RULES]))
+
+
+def with_cutoffs(docs: DataFrame, chosen: Mapping[tuple[str | None, str], float], stratum: str, name: str) -> DataFrame:
+    """The rows with the cutoffs of their stratum in column ``name``, null if it has none."""
+    if isinstance(chosen, Cutoffs):
+        table = chosen.table
+    else:
+        rows = [(s, {r: v for (t, r), v in chosen.items() if t == s}) for s in {s for s, _ in chosen}]
+        table = docs.sparkSession.createDataFrame(rows, "s string, cutoffs map<string,double>")
+    few = table.count() <= BROADCAST_STRATA
+    own = fresh(docs, "cutoff_stratum")
+    table = table.select(F.col("s").alias(own), F.col("cutoffs").alias(name))
+    return docs.join(F.broadcast(table) if few else table, F.col(stratum).cast("string").eqNullSafe(F.col(own)),
+                     "left").drop(own)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-        **options) -> dict[tuple[str, str], float]:
+        **options) -> Cutoffs:
     """Cutoffs from the labelled ones among ``docs``."""
     features = docs.select(F.col(key).alias("key"), F.col(stratum).alias("stratum"),
                            counts(F.col(text)).alias("counts"))
     return cutoffs(features, labels, "key", "stratum", "counts", **options)
 
 
-def keep_good(docs: DataFrame, chosen: dict[tuple[str, str], float], text: str = "text",
+def keep_good(docs: DataFrame, chosen: Mapping[tuple[str | None, str], float], text: str = "text",
               stratum: str = "lang") -> DataFrame:
     """The documents that neither the base nor a rule rejects; columns of ``docs``."""
-    name = fresh(docs, "counts")
+    name, limits = fresh(docs, "counts"), fresh(docs, "cutoffs")
     c = F.col(name)
-    return (docs.withColumn(name, counts(F.col(text)))
-            .where(~base_failed(c) & (F.size(rejected_by(c, F.col(stratum), chosen)) == 0))
+    return (with_cutoffs(docs, chosen, stratum, limits).withColumn(name, counts(F.col(text)))
+            .where(~base_failed(c) & (F.size(rejected_by(c, F.col(limits))) == 0))
             .select(*docs.columns))
 
 
@@ -225,9 +290,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = scratch.save(docs.select("doc_id", "lang", counts(F.col("text")).alias("c")), "features")
     chosen = cutoffs(features, read(spark, sf_dir, "labels"), "doc_id", "lang", "c")
     c = F.col("c")
+    features = with_cutoffs(features, chosen, "lang", "cutoffs")
     return features.select("doc_id", c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"),
                            c["n_symbols"].alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"),
                            c["n_repeat_words"].alias("n_repeat_words"), base_failed(c).alias("base_failed"),
-                           rejected_by(c, F.col("lang"), chosen).alias("rejected_by")).select(
+                           rejected_by(c, F.col("cutoffs")).alias("rejected_by")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")

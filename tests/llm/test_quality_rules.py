@@ -61,6 +61,28 @@ def test_few_labels_reject_nothing_but_the_base(spark):
     assert Q.keep_good(docs, Q.fit(docs, labels.limit(0))).count() == 50
 
 
+def test_no_stratum_gets_the_cutoffs_of_others(spark):
+    """202 strata with cutoffs of their own, also the smallest; a stratum without labels,
+    whose clean texts look like the others' bad ones, loses nothing to the rules."""
+    names = [f"l{k:03d}" for k in range(202)]
+    features = spark.range(202 * 1500).select(
+        F.col("id").alias("key"), F.format_string("l%03d", (F.col("id") % 202).cast("int")).alias("s"),
+        (F.col("id") >= 202 * 1400).alias("bad"))
+    # fewer labels by 100 for the last stratum
+    features = features.where("s <> 'l201' OR bad OR key >= 202 * 100")
+    zero = F.lit(0).cast("bigint")
+    features = features.withColumn("c", F.struct(*[
+        {"n_words": F.lit(100), "word_chars": F.lit(500), "n_lines": F.lit(10),
+         "n_symbols": F.when(F.col("bad"), 50).otherwise(0)}.get(n, zero).cast("bigint").alias(n) for n in Q.COUNTS]))
+    labels = features.select(F.col("key").alias("doc_id"), (~F.col("bad")).cast("int").alias("quality"))
+    chosen = Q.cutoffs(features, labels, "key", "s", "c")
+    assert {s for s, r in chosen if r == "symbol_ratio"} == {*names, None}
+    symbols = " ".join(w + "%%%" for w in prose(1, 30).split())
+    docs = spark.createDataFrame([(1, symbols, "l201"), (2, symbols, "rare"), (3, prose(1, 30), "rare"), (4, symbols, None)],
+                                 "doc_id bigint, text string, lang string")
+    assert rows_of(Q.keep_good(docs, chosen), "doc_id") == [(2,), (3,)]
+
+
 def test_best_cutoff_is_certified_and_useful():
     import numpy as np
     bins, good = np.array([0, 40, 150]), np.array([5000, 60, 2])
