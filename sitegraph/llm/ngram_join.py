@@ -369,6 +369,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
                        percent: int = PERCENT, frequent: int = FREQUENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
+    members, placed = _placed(docs, key, text, size, percent, frequent, block_rows)
+    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = placed.join(smallest, "root").select("node", "component_id")
+    full = members.where("n > 0").join(component, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.unionAll(empty)
+
+
+def _placed(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT,
+            block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of each document, and (node, doc_id, n, root) of each distinct
+    set with its smallest id and the root of its component."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     often = frequent_ngrams(docs, size, frequent)
@@ -405,12 +417,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     more = scratch.save(linked(docs, nodes, pairs, size, percent), "links")
     roots = connected_components(edges.unionAll(more), scratch, "all")
 
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = placed.join(smallest, "root").select("node", "component_id")
-    full = members.where("n > 0").join(component, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionAll(empty)
+    return members, nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _with_root(columns: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -424,19 +431,53 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perce
     return verified(pairs, whole_sets(docs, nodes, wanted, size), percent)
 
 
+def set_node(text, size: int = SIZE):
+    """Column: the node of the text's set, null if it is empty."""
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        sets = (ngram_set(body, size) for body in utf8(texts))
+        return pa.array([node_of(own) if len(own) else None for own in sets], type=pa.int64())
+
+    return run.asNondeterministic()(text)  # evaluated once, also under a filter
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest
-    id stays (of its repeated rows one).  Columns are those of ``docs``."""
-    found = jaccard_components(docs, key, text, **options)
+    """The documents without near copies: of each component one row stays, the first by
+    id (null ids last), node and text; rows that equal it in id and text count as one,
+    and so do repeated rows without words.  Columns are those of ``docs``."""
+    members, placed = _placed(docs, key, text, **options)
     scratch = Scratch(docs.sparkSession, "ngram-keep")
-    found = scratch.save(found.select("doc_id", "component_id"), "found")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_ROWS
-    own = fresh(docs, "gone_id")
-    gone = gone.select(F.col("doc_id").alias(own))
-    left = docs.join(F.broadcast(gone) if few else gone, docs[key].cast("bigint") == F.col(own), "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([key, text])
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "node")).alias("first")
+    keepers = scratch.save(placed.groupBy("root").agg(first).select(
+        F.col("first.id").alias("kept_id"), F.col("first.node").alias("node")), "keepers")
+    full = members.where("n > 0").join(keepers.withColumn("keeper", F.lit(True)), "node", "left").select(
+        "doc_id", (F.col("keeper").isNotNull() & F.col("doc_id").eqNullSafe(F.col("kept_id"))).alias("kept"))
+    rows = full.unionAll(members.where("n = 0").select("doc_id", F.lit(True).alias("kept")))
+    ids = scratch.save(rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
+
+    def by_id(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        few = some.count() <= BROADCAST_ROWS
+        own = fresh(docs, "gone_id")
+        some = some.select(F.col("doc_id").alias(own))
+        return rows.join(F.broadcast(some) if few else some, docs[key].cast("bigint").eqNullSafe(F.col(own)), how)
+
+    left = by_id(docs, ids.where("NOT kept"), "left_anti")
+    several = ids.where("kept AND n > 1")
+    if several.isEmpty():
+        return left
+    # an id on several rows does not say which of them stays: their sets do
+    node, kept_id, kept_node, bare, row = (fresh(docs, x) for x in ("node", "kept_id", "kept_node", "bare", "row"))
+    unsure = by_id(docs, several, "left_semi").withColumn(node, set_node(F.col(text), options.get("size", SIZE)))
+    wanted = keepers.join(several, F.col("kept_id").eqNullSafe(F.col("doc_id")), "left_semi").select(
+        F.col("kept_id").alias(kept_id), F.col("node").alias(kept_node))
+    few = wanted.count() <= BROADCAST_ROWS
+    unsure = unsure.join(F.broadcast(wanted) if few else wanted, (F.col(node) == F.col(kept_node))
+                         & F.col(key).cast("bigint").eqNullSafe(F.col(kept_id)), "left")
+    unsure = unsure.where(F.col(node).isNull() | F.col(kept_node).isNotNull()).withColumn(
+        bare, F.when(F.col(node).isNull(), F.col(text)))
+    picked = unsure.groupBy(F.col(key).alias("k"), F.col(node).alias("s"), F.col(bare).alias("t")).agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(text)).alias(row)).select(f"{row}.*")
+    return by_id(left, several, "left_anti").unionAll(picked)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

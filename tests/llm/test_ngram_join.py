@@ -64,6 +64,20 @@ def test_one_of_each_stays(spark):
     assert out.where("doc_id = 1").count() == 1 and out.where("doc_id = 2").count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    """Ids on several texts, near copies under one id, null ids, empty texts."""
+    a, b, c, d, e = (prose(k, 120) for k in range(300, 305))
+    near = a.replace(a.split()[60], "changed", 1)
+    rows = [(3, a), (7, a), (7, b), (7, c), (7, c), (8, near), (8, d), (3, near), (3, a + " "), (None, a), (None, d),
+            (None, e), (None, e), (None, e + " "), (9, ""), (9, ""), (9, b), (None, None), (None, None), (10, None)]
+    docs = frame(spark, rows, CLASHES).repartition(3)
+    out = J.one_of_each(docs)
+    assert out.columns == docs.columns
+    first = min(a, near, key=lambda t: J.node_of(J.ngram_set(t.encode())))  # equal ids: the smaller node
+    assert rows_of(out, "doc_id", "text") == sorted(
+        [(3, first), (7, b), (7, c), (8, d), (None, e), (9, ""), (None, None), (10, None)], key=repr)
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(frame(spark).limit(0)).count() == 0
     assert J.one_of_each(frame(spark).limit(0)).count() == 0
