@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 
-from sitegraph.llm import (compress_classifier, decontaminate, ngram_join, packing, ppm, quality_rules, secrets,
-                           sharding, suffix_dedup, warc)
+from sitegraph.llm import (compress_classifier, conversations, decontaminate, ngram_join, packing, ppm, quality_rules,
+                           secrets, sharding, suffix_dedup, topk, warc, whitening)
 from sitegraph.llm.common import importable_on_workers
 
 
@@ -29,10 +29,15 @@ QUERIES = {name: _query(run) for name, run in {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_exact_topk": topk.op12_exact_topk,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }.items()}
 
 ORACLES = {
     "op1_warc": warc.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op8_ngram_jaccard": ngram_join.SQL,
+    "op12_exact_topk": topk.SQL,
+    "op13_conversation_repair": conversations.SQL,
 }
