@@ -853,6 +853,18 @@ def snk3_write_archive(spark, sf):
     return W.read_saved(spark, root)
 
 
+@register("snk3_compact_archive", D.merged_archive("pages"))
+def snk3_compact_archive(spark, sf):
+    """The same writes, with every delta folded into its bucket and old files removed."""
+    from sitegraph.sinks import snapshots as S
+    root, p = ST.stream_folder(spark, "snk3-compacted"), pages(spark, sf)
+    for version in range(3):
+        W.write_archive(X.copy_version(p, version), root, buckets=8)
+        W.compact_archive(spark, root, share=0.0)
+    S.clean(spark, root, keep=1, older_than_s=0)
+    return W.read_saved(spark, root)
+
+
 @register("src2_read_archive", """
     SELECT 'site' || (page_id % 7) || '/' || page_id || '/index.html' AS save_path, 'site' || (page_id % 7) AS host,
            sha256(html) AS body_sha256, octet_length(encode(html))::BIGINT AS size FROM pages""")

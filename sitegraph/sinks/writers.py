@@ -2,17 +2,15 @@
 
 Writers never funnel data through one task: text outputs are written by
 every partition (a range-partitioned sort keeps a global order across the
-part files), the archive is a parquet table in hash buckets of the save path.
+part files), the archive is a snapshot table in hash buckets of the save path.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.session import ensure_checkpoint_dir
+from sitegraph.sinks import snapshots as S
 
 
 def manifest_text(df: DataFrame) -> DataFrame:
@@ -35,66 +33,30 @@ def write_url_list(df: DataFrame, path: str, url_col: str = "url", mode: str = "
     url_list(df, url_col).write.mode(mode).text(path)
 
 
-ARCHIVE_BUCKETS = 64
 ARCHIVE_COLUMNS = ("page_key", "save_path", "host", "body", "fetched_at")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def write_archive(rows: DataFrame, root: str, key: str = "save_path", ts: str = "fetched_at",
+                  buckets: int = S.BUCKETS, writer: str | None = None, batch: int | None = None) -> None:
+    """SNK3, STR4: merge archive rows into the snapshot table at ``root``; per save
+    path the newest copy stays (of equally new ones the largest), and no other path is
+    touched.  Rows with other columns than the table's are refused.
+
+    A write costs its own rows: they are appended as a delta and committed by one
+    manifest (``sinks.snapshots``).  A write that breaks off changes nothing and can be
+    repeated; ``compact_archive`` folds deltas in where they have become a
+    large share, ``snapshots.clean`` removes what no manifest names."""
+    S.append(rows, root, key, ts, buckets, writer, batch)
 
 
-def _newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """One row per key: the newest, of equally new ones the largest."""
-    others = [c for c in rows.columns if c not in (key, ts)]
-    best = rows.groupBy(key).agg(F.max(F.struct(ts, *others)).alias("_b"))
-    return best.select(*[F.col(key) if c == key else F.col("_b")[c].alias(c) for c in rows.columns])
+def compact_archive(spark: SparkSession, root: str, share: float = S.DELTA_SHARE) -> list[str]:
+    """Rewrite the buckets whose deltas exceed ``share`` of them; returns their names."""
+    return S.compact(spark, root, share)
 
 
-def write_archive(rows: DataFrame, root: str, key: str = "save_path", ts: str = "fetched_at",
-                  buckets: int = ARCHIVE_BUCKETS) -> None:
-    """SNK3, STR4: merge archive rows into the table at ``root``; per save path
-    the newest copy stays, and no other path is touched.
-
-    The table lies in hash buckets of the save path (hosts, however many or
-    hot, make no small or large partitions); their number and the columns are
-    kept with the table in ``_layout``, and rows with other columns are
-    refused.  Only buckets that the batch touches are read and rewritten.  The
-    merged rows are saved under the checkpoint folder first: if the rewrite
-    breaks off, the same call can be repeated, and nothing is read from
-    partitions that are being replaced."""
-    spark = rows.sparkSession
-    if _exists(spark, f"{root}/_layout"):
-        layout = spark.read.parquet(f"{root}/_layout").first()
-        if list(layout.columns) != [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] or layout.key != key:
-            raise ValueError(f"the archive at {root} has the columns {layout.columns} and the key {layout.key}")
-        buckets = layout.buckets
-    elif _exists(spark, root):
-        raise ValueError(f"{root} exists but holds no archive (no _layout)")
-    else:
-        columns = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
-        spark.createDataFrame([(buckets, key, columns)], "buckets int, key string, columns array<string>") \
-            .coalesce(1).write.parquet(f"{root}/_layout")
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    batch = _newest(rows, key, ts)
-    if _exists(spark, f"{root}/data"):
-        touched = batch.select(bucket.alias("bucket")).distinct()
-        batch = read_saved(spark, root, keep_bucket=True).join(touched, "bucket", "left_semi").drop("bucket").unionByName(batch)
-        batch = _newest(batch, key, ts)
-    merged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/archive-merge-{uuid.uuid4().hex}"
-    batch.withColumn("bucket", bucket).write.parquet(merged)
-    order = ["bucket", *[c for c in ("host", key) if c in rows.columns]]
-    spark.read.parquet(merged).repartition("bucket").sortWithinPartitions(*order).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/data")
-    path = spark._jvm.org.apache.hadoop.fs.Path(merged)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def read_saved(spark: SparkSession, root: str, keep_bucket: bool = False) -> DataFrame:
-    """The rows of an archive table."""
-    df = spark.read.parquet(f"{root}/data")
-    return df if keep_bucket else df.drop("bucket")
+def read_saved(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of an archive table: the newest copy of each save path."""
+    return S.read(spark, root)
 
 
 def failures(parsed: DataFrame) -> DataFrame:
