@@ -14,6 +14,10 @@ removed first.
 
 from __future__ import annotations
 
+import functools
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +26,30 @@ from pyspark.sql import functions as F
 HREF_TAGS = ("a", "link")
 # ---------------------------------------------------------------------------
 
-# One alternative per attribute name; possessive groups keep it linear (they
-# iterate, they do not recurse) and make a tag without its link attribute fail
-# at once.
-LEXICAL_TOKEN = (
-    "<(?:"
-    "(?:a|link)(?:type=\"[^\"]*+\"|(?!href=\")[^>])*+"
-    + "href=\"[^\"]*+\"(?:href=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])*+"
-    + "|(?:img|script)(?:type=\"[^\"]*+\"|(?!src=\")[^>])*+"
-    + "src=\"[^\"]*+\"(?:src=\"[^\"]*+\"|type=\"[^\"]*+\"|[^>])*+"
-    + ")>")
+# A tag that holds its link attribute, by class of tags.  Possessive groups iterate, they
+# do not recurse.
+def _tag_with(names: str, attr: str) -> str:
+    return (f'<(?:{names})(?:type="[^"]*+"|(?!{attr}=")[^>])*+{attr}="[^"]*+"'
+            f'(?:{attr}="[^"]*+"|type="[^"]*+"|[^>])*+>')
+
+
+_HREF_TAG, _SRC_TAG = _tag_with("a|link", "href"), _tag_with("img|script", "src")
+
+
+def _tag_without(names: str, other_names: str, other_tag: str) -> str:
+    """What a tag without its link attribute makes it needless to look at: no tag of its
+    class that starts before the next ``>`` has one either.  It ends before a tag of
+    the other class that has, and before a quoted value in which a tag starts, so each part
+    of a page is looked at a fixed number of times, however many tags start there."""
+    return (f'<(?:{names})(?:type="[^"<]*+"|(?!type="|<(?:{other_names}))[^>])*+'
+            f'(?:(?={other_tag})|(?:type="[^"<]*+"|(?!type=")[^>])*+)')
+
+
+_LEXICAL_START = "<(?:a|link|img|script)"
+# Never ends with ">" unless the tag holds its link attribute.
+LEXICAL_TOKEN = (f"(?:{_HREF_TAG}|{_SRC_TAG}|{_tag_without('a|link', 'img|script', _SRC_TAG)}"
+                 f"|{_tag_without('img|script', 'a|link', _HREF_TAG)})")
+_LEXICAL_GAP = "(?:[^<]++|<(?!a|link|img|script))*+"
 _HREF_ATTRS = r'(href|type)="([^"]*)"'
 _SRC_ATTRS = r'(src|type)="([^"]*)"'
 
@@ -39,7 +57,24 @@ _SRC_ATTRS = r'(src|type)="([^"]*)"'
 def lexical_tokens(html) -> Column:
     """All link-bearing tags of a page, in document order."""
     h = F.col(html) if isinstance(html, str) else html
-    return F.regexp_extract_all(h, F.lit(LEXICAL_TOKEN), 0)
+    return F.filter(F.regexp_extract_all(h, F.lit(LEXICAL_TOKEN), 0), lambda t: t.endswith(">"))
+
+
+def lexical_pieces(html) -> Column:
+    """The page cut up by one scan: array<struct<gap, token>>, each the text up to a tag and
+    the tag ('' at the end).  A token that does not end with ``>`` bears no link."""
+    return _cut_up(html, _LEXICAL_GAP, LEXICAL_TOKEN)
+
+
+def _cut_up(html, gap: str, token: str) -> Column:
+    from sitegraph.functions.urls import bind
+    h = F.col(html) if isinstance(html, str) else html
+
+    def cut(piece):
+        return bind(F.regexp_extract(piece, f"(?is)^{gap}" if token == DOM_TOKEN else f"(?s)^{gap}", 0), lambda g: F.struct(
+            g.alias("gap"), F.substring(piece, F.length(g) + 1, F.length(piece)).alias("token")))
+    flags = "(?is)" if token == DOM_TOKEN else "(?s)"
+    return F.transform(F.regexp_extract_all(h, F.lit(f"{flags}{gap}{token}?+"), 0), cut)
 
 
 def token_tag(token) -> Column:
@@ -82,21 +117,26 @@ def lexical_links(html) -> Column:
 
 # --- DOM mode ---------------------------------------------------------------
 
+# Quoted text and the rest of a tag; groups are possessive: they iterate and never come
+# back, so a long tag cannot exhaust the stack.
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-# One scan of the page: comments and script/style elements are consumed
-# whole (their bodies hold no tags, and only their own end tag ends them), the
-# link-bearing start tags are tokens.  Groups are possessive: they iterate and
-# never come back, so neither a long nor an unclosed tag can exhaust the stack.
-DOM_SCAN = (r"(?is)<!--.*?-->"
-            r"|<script\b" + _QUOTED + r">.*?</script\s*+>"
-            r"|<style\b" + _QUOTED + r">.*?</style\s*+>"
-            r"|<(?:iframe|a|img|script|link)(?=[\s/>])" + _QUOTED + r">")
+# The same, up to the end of the tag or of the page: what never ends takes the rest of the
+# page (as HTML has it), so nothing is looked at twice.
+_TO_END = r"""(?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
+# One scan of the page: comments and script/style elements are consumed whole (their
+# bodies hold no tags, and only their own end tag ends them), the link-bearing start
+# tags are tokens.
+_DOM_START = r"<(?=!--|(?:script|style)\b|(?:iframe|a|img|link)[\s/>])"
+DOM_TOKEN = (r"(?:<!--(?:.*?-->|.*+)"
+             r"|<script\b" + _TO_END + r"(?:.*?</script\s*+>|.*+)"
+             r"|<style\b" + _TO_END + r"(?:.*?</style\s*+>|.*+)"
+             r"|<(?:iframe|a|img|link)(?=[\s/>])" + _TO_END + ")")
+DOM_SCAN = "(?is)" + DOM_TOKEN
+_DOM_GAP = "(?:[^<]++|<(?!" + _DOM_START[4:] + ")*+"
 _START_TAG = r"(?is)^<\w++" + _QUOTED + r">"
-# What follows the tag name, cut into attributes with the space before them;
-# anything else is a piece of its own, so the pieces make up the whole.
-_PIECE = r"""(?is)[\s/]++[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?+|."""
-_PIECE_NAME = r"""(?is)^[\s/]++([^\s=>"'/]++)\s*+="""
-_BEFORE_VALUE = r"""(?is)^[\s/]++[^\s=>"'/]++\s*+=\s*+"""
+# What follows the tag name, cut into attributes with what stands before them; the
+# pieces make up the whole.
+_PIECE = r"""(?is)[\s/="'>]*+(?:([^\s=>"'/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']*+)|[^\s=>"'/]++)|[\s/="'>]++"""
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -105,9 +145,9 @@ def dom_scan(html) -> Column:
     return F.regexp_extract_all(h, F.lit(DOM_SCAN), 0)
 
 
-def dom_gaps(html) -> Column:
-    h = F.col(html) if isinstance(html, str) else html
-    return F.split(h, DOM_SCAN, -1)
+def dom_cut(html) -> Column:
+    """The page cut up by one scan: array<struct<gap, token>>."""
+    return _cut_up(html, _DOM_GAP, DOM_TOKEN)
 
 
 def dom_start_tag(token: Column) -> Column:
@@ -119,12 +159,30 @@ def dom_tag_name(token: Column) -> Column:
     return F.when(token.startswith("<!--"), F.lit("")).otherwise(F.lower(F.regexp_extract(token, r"^<(\w+)", 1)))
 
 
+_ENTITY_BUCKETS = 1024
+
+
+def _bucket(name):
+    """A number for a name of at least two letters, the same in Python and in Spark."""
+    if isinstance(name, str):
+        return (ord(name[0]) * 37 + ord(name[1]) * 11 + ord(name[-1]) * 5 + len(name)) % _ENTITY_BUCKETS
+    codes = [F.ascii(F.substring(name, k, 1)) for k in (1, 2, -1)]
+    return (codes[0] * 37 + codes[1] * 11 + codes[2] * 5 + F.length(name)) % _ENTITY_BUCKETS
+
+
+@functools.cache
+def _entity_table() -> str:
+    buckets: list[dict[str, str]] = [{} for _ in range(_ENTITY_BUCKETS)]
+    for k, v in html5.items():
+        if k.endswith(";"):
+            buckets[_bucket(k[:-1])][k[:-1]] = v
+    return json.dumps(buckets)
+
+
 def _named_entities() -> Column:
-    """name -> text of the named character references of HTML, from the standard library."""
-    import json
-    from html.entities import html5
-    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    """Text of the named character references of HTML, from the standard library: small maps
+    by name, in an array by number, so that a lookup compares a few names only."""
+    return F.from_json(F.lit(_entity_table()), "array<map<string,string>>")
 
 
 def decode_entities(value: Column) -> Column:
@@ -141,7 +199,8 @@ def decode_entities(value: Column) -> Column:
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
     def one(text):
-        named = F.try_element_at(_named_entities(), F.substring(text, 2, F.length(text) - 2))
+        name = F.substring(text, 2, F.length(text) - 2)
+        named = F.try_element_at(F.get(_named_entities(), _bucket(name)), name)
         return F.when(F.substring(text, 2, 1) == "#", number(text)).otherwise(F.coalesce(named, text))
 
     pieces = F.split(value, _ENTITY, -1)
@@ -151,13 +210,22 @@ def decode_entities(value: Column) -> Column:
 
 
 def dom_pieces(start_tag: Column) -> Column:
-    """struct(head, pieces, names): the tag cut up once; ``names`` has the lower-cased
-    attribute name of each piece with a value ('' for others)."""
+    """struct(head, pieces, names, written, values): the tag cut up; ``names`` has the
+    lower-cased attribute name of each piece with a value ('' for others), ``written`` the
+    value as it stands there, ``values`` without quotes and with character references decoded."""
     from sitegraph.functions.urls import bind
-    pieces = F.regexp_extract_all(F.regexp_replace(start_tag, r"^<\w+", ""), F.lit(_PIECE), 0)
-    return bind(pieces, lambda p: F.struct(
-        F.regexp_extract(start_tag, r"^<\w+", 0).alias("head"), p.alias("pieces"),
-        F.transform(p, lambda x: F.lower(F.regexp_extract(x, _PIECE_NAME, 1))).alias("names")))
+
+    def value(raw):
+        quoted = raw.startswith('"') | raw.startswith("'")
+        return decode_entities(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+
+    def cut(rest):
+        written = F.regexp_extract_all(rest, F.lit(_PIECE), 2)
+        return F.struct(F.regexp_extract(start_tag, r"^<\w+", 0).alias("head"),
+                        F.regexp_extract_all(rest, F.lit(_PIECE), 0).alias("pieces"),
+                        F.transform(F.regexp_extract_all(rest, F.lit(_PIECE), 1), F.lower).alias("names"),
+                        written.alias("written"), F.transform(written, value).alias("values"))
+    return bind(F.regexp_replace(start_tag, r"^<\w+", ""), cut)
 
 
 def _last_place(cut: Column, name: str) -> Column:
@@ -169,12 +237,7 @@ def _last_place(cut: Column, name: str) -> Column:
 def dom_attr(cut: Column, name: str) -> Column:
     """Value of the last attribute ``name`` (any quoting) of a tag cut up by
     ``dom_pieces``, character references decoded; NULL if absent."""
-    from sitegraph.functions.urls import bind
-
-    def value(piece):
-        raw = F.regexp_replace(piece, _BEFORE_VALUE, "")
-        return F.when(piece.isNotNull(), decode_entities(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")))
-    return bind(F.get(cut["pieces"], _last_place(cut, name) - 1), value)
+    return F.get(cut["values"], _last_place(cut, name) - 1)
 
 
 def dom_around(cut: Column, name: str) -> Column:
@@ -183,10 +246,10 @@ def dom_around(cut: Column, name: str) -> Column:
     from sitegraph.functions.urls import bind
 
     def at(place):
-        piece = F.element_at(cut["pieces"], place)
-        lead = F.regexp_extract(piece, _BEFORE_VALUE, 0)
+        piece, old = F.element_at(cut["pieces"], place), F.element_at(cut["written"], place)
+        lead = F.substring(piece, F.lit(1), F.length(piece) - F.length(old))
         return F.struct(F.concat(cut["head"], F.array_join(F.slice(cut["pieces"], 1, place - 1), ""), lead).alias("before"),
-                        F.substring(piece, F.length(lead) + 1, F.length(piece)).alias("old"))
+                        old.alias("old"))
     return bind(_last_place(cut, name), lambda place: F.when(place > 0, at(F.greatest(place, F.lit(1)))))
 
 

@@ -1,9 +1,8 @@
 """Link rewriting for offline archives (RW1, RW2).
 
-The page is cut into the text between link-bearing tags ("gaps") and the
-tags themselves; only the link value inside each tag changes, every other
-byte is kept.  Gaps and tags are re-interleaved with ``zip_with`` in the same
-projection: no shuffle, no row leaves its partition.
+One scan cuts the page into tags and the text before each ("gaps"); only the link
+value inside a tag changes, every other byte is kept.  The pieces are joined
+again in the same projection: no shuffle, no row leaves its partition.
 """
 
 from __future__ import annotations
@@ -36,10 +35,11 @@ def rewrite_html(html, hint) -> Column:
     Everything that depends on the hint only is computed once per page."""
     h = F.col(html) if isinstance(html, str) else html
     hint = F.col(hint) if isinstance(hint, str) else hint
-    gaps = F.split(h, H.LEXICAL_TOKEN, -1)
     per_page = F.struct(U.page_base(hint).alias("pb"), U.relative_path(U.dirname(hint), F.lit("")).alias("up"))
-    toks = bind(per_page, lambda hp: F.transform(H.lexical_tokens(h), lambda t: _rewrite_token(t, hp)))
-    return F.array_join(F.zip_with(gaps, toks, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    def piece(hp):
+        return lambda x: F.concat(x["gap"], F.when(x["token"].endswith(">"), _rewrite_token(x["token"], hp))
+                                  .otherwise(x["token"]))
+    return F.array_join(bind(per_page, lambda hp: F.transform(H.lexical_pieces(h), piece(hp))), "")
 
 
 def archive_hint(url) -> Column:
@@ -85,8 +85,9 @@ def rewrite_html_dom(html, page_url) -> Column:
     h = F.col(html) if isinstance(html, str) else html
     u = F.col(page_url) if isinstance(page_url, str) else page_url
     page = F.struct(RFC.split_url(u).alias("split"), RFC.local_path(u).alias("local"))
-    toks = bind(page, lambda pg: F.transform(H.dom_scan(h), lambda t: _dom_rewrite_token(t, pg)))
-    return F.array_join(F.zip_with(H.dom_gaps(h), toks, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    def piece(pg):
+        return lambda x: F.concat(x["gap"], _dom_rewrite_token(x["token"], pg))
+    return F.array_join(bind(page, lambda pg: F.transform(H.dom_cut(h), piece(pg))), "")
 
 
 def rewrite_links_dom(pages: DataFrame, html_col: str = "html", url_col: str = "url",
