@@ -656,14 +656,12 @@ def str2_stream_url_set(spark, sf):
 
 
 def _requests_stream(spark, sf):
-    p = pages(spark, sf)
-    n = p.count()
-    ev = ST.read_stream(spark, sf, table(spark, sf, "events").schema, file_glob="events.parquet")
-    ev = ev.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts_w"),
-                   F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") % n).alias("page_id"))
-    lt = F.when(F.col("event_type") == "error", F.lit("NO")).otherwise(F.lit("HTML"))
-    return ev.join(p.select("page_id", "url"), "page_id").select(
-        F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts", "ts_w")
+    """The requests in micro-batches, each request up to an hour behind newer ones."""
+    folder = ST.stream_folder(spark, "str3-input")
+    batches = X.request_batches(spark, sf)
+    for number in range(X.REQUEST_BATCHES):
+        batches.where(F.col("batch") == number).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+    return ST.read_stream(spark, folder, batches.drop("batch").schema, max_files=1)
 
 
 @register("str3_stream_fetch_events", f"""
@@ -678,8 +676,9 @@ def _requests_stream(spark, sf):
       GROUP BY c.save_path)
     SELECT save_path, request_id, ts_s FROM chain""")
 def str3_stream_fetch_events(spark, sf):
-    out = ST.run_available_now(ST.stream_fetch_events(_requests_stream(spark, sf), TTL_MIN), "str3x")
-    return spark.read.parquet(out)
+    """Micro-batches with late requests give the chain of fetches in the order of time."""
+    fetches = ST.stream_fetch_events(_requests_stream(spark, sf), TTL_MIN, late=f"{X.REQUEST_DELAY_MIN + 1} minutes")
+    return spark.read.parquet(ST.run_available_now(fetches, "str3"))
 
 
 @register("str4_stream_archive", D.merged_archive("pages"))

@@ -43,6 +43,8 @@ REASONS = {200: "OK", 301: "Moved Permanently", 302: "Found", 404: "Not Found",
 # Bytes around the body of every tenth response (digit 3): no valid UTF-8.
 BINARY_DIGIT, BINARY_START, BINARY_END = 3, "89504E470D0A1A0A", "FF00FE"
 CHUNK_BYTES = 63
+# Micro-batches of requests, and the longest time that a request is under way.
+REQUEST_BATCHES, REQUEST_DELAY_MIN = 4, 60
 # ---------------------------------------------------------------------------
 
 
@@ -127,6 +129,22 @@ def requests(spark: SparkSession, sf: str, pages: DataFrame | None = None, n: in
         F.col("event_id").alias("request_id"), "url", lt.alias("link_type"), "ts")
 
 
+def request_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests with ``batch``, the quarter of all time in which each arrives: after up
+    to REQUEST_DELAY_MIN minutes, so later ones overtake it.  The last batch ends with
+    a heartbeat (a row without request and URL) far behind all requests."""
+    r = requests(spark, sf)
+    ends = r.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    arrival = F.col("ts") + F.make_dt_interval(mins=F.col("request_id") % (REQUEST_DELAY_MIN + 1))
+    seconds = F.timestamp_diff("SECOND", F.lit(ends.low), arrival)
+    quarter = F.timestamp_diff("SECOND", F.lit(ends.low), F.lit(ends.high)) / REQUEST_BATCHES + 1
+    batch = F.least(F.floor(seconds / quarter), F.lit(REQUEST_BATCHES - 1)).cast("int")
+    beat = spark.range(1).select(F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("string").alias("url"),
+                                 F.lit("HTML").alias("link_type"), (F.lit(ends.high) + F.make_dt_interval(days=F.lit(30))).alias("ts"),
+                                 F.lit(REQUEST_BATCHES - 1).alias("batch"))
+    return r.select("request_id", "url", "link_type", "ts", batch.alias("batch")).unionByName(beat)
+
+
 def responses(pages: DataFrame, n: int | None = None) -> DataFrame:
     """Captured HTTP responses, one per page: status by page_id mod 10,
     Location for 301/302 (to p+1, to p+3, back to p-1 forming loops, or

@@ -9,6 +9,7 @@ which is how the tests and the registered queries use them.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,23 @@ def read_stream(spark: SparkSession, folder: str, schema, file_glob: str | None
     return r.parquet(folder)
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> str:
-    """Drain the stream into a parquet folder; return the folder."""
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", progress: list | None = None) -> str:
+    """Drain the stream into a parquet folder; return the folder.  State is kept in RocksDB
+    (on disk, with snapshots below the checkpoint folder), not in the heap.  ``progress``
+    gets what Spark reports of each micro-batch."""
     spark = df.sparkSession
     base = stream_folder(spark, name)
-    q = (df.writeStream.trigger(availableNow=True).outputMode(output_mode)
-         .option("checkpointLocation", base + "/_state").format("parquet").start(base + "/out"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        q = (df.writeStream.trigger(availableNow=True).outputMode(output_mode)
+             .option("checkpointLocation", base + "/_state").format("parquet").start(base + "/out"))
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
+    if progress is not None:
+        progress += [json.loads(p.json) for p in q.recentProgress]
     return base + "/out"
 
 
@@ -78,49 +89,95 @@ def _epoch(c, unit: str):
     return F.timestamp_diff(unit, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c.cast("timestamp_ntz"))
 
 
-def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts") -> DataFrame:
-    """STR3, exact: the requests that trigger a network fetch when a copy is
-    reused while ``ttl*60 >= now - fetched`` (whole seconds), i.e. a key is
-    fetched again only once its last copy is older than the TTL.
-
-    The time of the last fetch per save path is the operator state, one number
-    per path (``applyInPandasWithState``).  Requests of one second cannot both
-    fetch, so of a key's rows the first of each second is kept as the rows
-    come in: what a task holds follows the seconds of the micro-batch, not the
-    requests of a hot key.
-    Output: (save_path, request_id, ts_s) of the fetching requests.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    ttl_s = int(ttl_min) * 60
-    r = requests_stream.withColumn("save_path", U.save_path("url", F.col("link_type"))) \
-        .select("save_path", "request_id", _epoch(F.col(ts_col), "SECOND").alias("ts_s"),
-                _epoch(F.col(ts_col), "MICROSECOND").alias("ts_us"))
-
-    def first_of_seconds(pdf):
-        return pdf.sort_values(["ts_us", "request_id"], kind="stable").drop_duplicates("ts_s")
-
-    def greedy(key, pdfs, state):
-        held = None
-        for pdf in pdfs:
-            if len(pdf):
-                held = first_of_seconds(pdf if held is None else pd.concat([held, pdf]))
-        if held is None:
-            return
-        ts, kept = held["ts_s"].to_numpy(), []
-        last = state.get[0] if state.exists else None
-        at = 0 if last is None else int(np.searchsorted(ts, last + ttl_s, side="right"))
-        while at < len(ts):  # one step per fetch, not per request
-            kept.append(at)
-            last = int(ts[at])
-            at = int(np.searchsorted(ts, last + ttl_s, side="right"))
-        state.update((last,))
-        if kept:
-            yield pd.DataFrame({"save_path": key[0], "request_id": held["request_id"].to_numpy()[kept],
-                                "ts_s": ts[kept]})
-
-    return r.groupBy("save_path").applyInPandasWithState(
-        greedy, "save_path string, request_id long, ts_s long", "last_fetch long", "append",
-        GroupStateTimeout.NoTimeout)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _FetchRule:
+    """State of one save path: the second of its last fetch, and the requests (the first of
+    each second) that the watermark has not passed yet.  Requests are decided in the order
+    of time once no earlier one can come; a fetch is forgotten as soon as no later request
+    can be served from its copy, so both fall to nothing when a path is not asked for."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_s = ttl_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "fetched long")
+        self.pending = handle.getListState("pending", "ts_s long, ts_us long, request_id long")
+
+    def _forgotten_at(self, fetched: int) -> int:
+        """Watermark (ms) from which a request is later than the copy of this second lives."""
+        return (fetched + self.ttl_s + 1) * 1000 - 1
+
+    def _decide(self, key, waiting, watermark: int):
+        """Decide what the watermark has passed, keep the rest, set the next timer."""
+        import pandas as pd
+        last = self.last.get()[0] if self.last.exists() else None
+        known, out = last, []
+        late = [r for r in waiting if r[1] // 1000 > watermark]
+        for ts_s, _, request_id in waiting[:len(waiting) - len(late)]:
+            if last is None or ts_s - last > self.ttl_s:
+                last = ts_s
+                out.append((key[0], request_id, ts_s))
+        if late:
+            self.pending.put(late)
+        elif self.pending.exists():
+            self.pending.clear()
+        if last is not None and watermark >= self._forgotten_at(last):
+            last = None
+        if last is None and known is not None:
+            self.last.clear()
+        elif last != known:
+            self.last.update((last,))
+        if late:
+            self.handle.registerTimer(late[0][1] // 1000 + 1)
+        if last is not None:
+            self.handle.registerTimer(self._forgotten_at(last))
+        if out:
+            yield pd.DataFrame(out, columns=["save_path", "request_id", "ts_s"])
+
+    def _waiting(self) -> list[tuple[int, int, int]]:
+        return [tuple(int(v) for v in r) for r in self.pending.get()] if self.pending.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, watermark = {r[0]: r for r in self._waiting()}, timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            pdf = pdf[pdf["request_id"].notna() & (pdf["ts_us"] // 1000 > watermark)]  # else too late
+            pdf = pdf.sort_values(["ts_us", "request_id"]).drop_duplicates("ts_s")
+            for ts_s, ts_us, request_id in zip(pdf["ts_s"], pdf["ts_us"], pdf["request_id"]):
+                row = (int(ts_s), int(ts_us), int(request_id))
+                first[row[0]] = min(first.get(row[0], row), row, key=lambda r: r[1:])
+        yield from self._decide(key, sorted(first.values(), key=lambda r: r[1:]), watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._decide(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts", late: str = "1 hour") -> DataFrame:
+    """STR3, exact: the requests that trigger a network fetch when a copy is reused
+    while ``ttl*60 >= now - fetched`` (whole seconds), i.e. a key is fetched again only
+    once its last copy is older than the TTL.
+
+    Requests may come in any order and batch, up to ``late`` behind the newest one; what
+    comes later is dropped.  A request is decided once the watermark has passed it, so
+    the result is that of the requests in the order of time.  State (RocksDB, with
+    event-time timers) holds a path's undecided requests, one for each second, and the
+    time of its last fetch until the copy is too old for any request to come.  A row without
+    a request id (a heartbeat) only moves the watermark on.
+    Output: (save_path, request_id, ts_s) of the fetching requests."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    rule = type("FetchRule", (_FetchRule, StatefulProcessor), {})
+    ts_us = _epoch(F.col(ts_col), "MICROSECOND")
+    r = requests_stream.select(F.timestamp_micros(ts_us).alias("event_time"),
+                               U.save_path("url", F.col("link_type")).alias("save_path"), "request_id",
+                               _epoch(F.col(ts_col), "SECOND").alias("ts_s"), ts_us.alias("ts_us"))
+    return r.withWatermark("event_time", late).groupBy("save_path").transformWithStateInPandas(
+        rule(int(ttl_min) * 60), "save_path string, request_id long, ts_s long", "Append", "EventTime")

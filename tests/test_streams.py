@@ -36,3 +36,34 @@ def test_exact_ttl_stream_matches_sequential_model(spark):
     for key, _ in got:
         counts[key] += 1
     assert max(counts.values()) >= 1
+
+
+def _fetches(spark, batches, ttl_min, late):
+    """Run the rule over hand-made micro-batches of (request_id, minute): rows and progress."""
+    from datetime import datetime, timedelta
+    from sitegraph.streaming import streams as ST
+    folder, progress = ST.stream_folder(spark, "test-fetch"), []
+    schema = "request_id long, url string, link_type string, ts timestamp_ntz"
+    for rows in batches:
+        rows = [(i, None if i is None else u, "HTML", datetime(2024, 1, 1) + timedelta(minutes=m)) for i, u, m in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = ST.read_stream(spark, folder, spark.read.parquet(folder).schema, max_files=1)
+    out = ST.run_available_now(ST.stream_fetch_events(stream, ttl_min, late=late), "test-fetch", progress=progress)
+    return sorted(r.request_id for r in spark.read.parquet(out).collect()), progress
+
+
+def test_late_requests_are_decided_in_the_order_of_time(spark):
+    a = "http://h.org/a"
+    got, progress = _fetches(spark, [[(1, a, 10), (2, a, 30)], [(3, a, 5), (4, a, 21)], [(5, a, 60), (None, None, 500)]],
+                             ttl_min=10, late="40 minutes")
+    # by time: 3 (5), 1 (10), 4 (21), 2 (30), 5 (60); a copy lives for ten minutes
+    assert got == [3, 4, 5]
+    rows = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    assert max(rows) > 0 and rows[-1] == 0, rows  # nothing is kept of a path that is not asked for
+
+
+def test_too_late_requests_are_dropped_and_boundaries_count(spark):
+    a, b = "http://h.org/a", "http://h.org/b"
+    got, _ = _fetches(spark, [[(1, a, 100), (2, b, 0)], [(3, a, 110), (4, a, 20), (5, b, 90)], [(6, a, 111), (None, None, 900)]],
+                      ttl_min=10, late="5 minutes")
+    assert got == [1, 2, 6]  # 3 is exactly ten minutes old: served; 4 and 5 came behind the watermark
