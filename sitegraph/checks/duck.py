@@ -257,6 +257,15 @@ def url_inputs(pages: str = "pages") -> str:
             f"SELECT page_id, raw_link AS s FROM ({lexical_links('(' + pages_rich(pages) + ')')})")
 
 
+def page_resources(pages: str = "pages") -> str:
+    """Rich pages and the resources captured beside them."""
+    from sitegraph.sources.derived import RESOURCES
+    rows = [f"SELECT -page_id - 1 AS page_id, regexp_extract(url, '^[a-z]+://[^/?#:]+', 0) || '{path}' AS url, '{body}' || "
+            f"regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS html FROM {pages} WHERE page_id % 6 = {k}"
+            for k, (path, body) in RESOURCES.items()]
+    return " UNION ALL ".join([f"SELECT page_id, url, html FROM ({pages_rich(pages)})", *rows])
+
+
 def parsed_responses(pages: str = "pages") -> str:
     """(response_id, request_url, head, body, status, outcome, location)."""
     res = ", ".join(resolve("loc_raw", "request_url", "loc_resolved", "l_"))
@@ -352,21 +361,34 @@ def crawl_redirected(pages: str, resolved: str, depth: int, scope: str) -> str:
     """
 
 
-def crawl_lines(pages: str, depth: int, scope: str) -> str:
-    """CRL2 oracle: walks enumerated (UNION ALL), lines counted per level."""
+def _based(walk: str, resolved: str | None) -> str:
+    """Rows of a walk with ``base``, the URL each leads to."""
+    if resolved is None:
+        return f"SELECT *, url AS base FROM ({walk})"
+    return f"SELECT k.*, coalesce(e.effective_url, k.url) AS base FROM ({walk}) k LEFT JOIN eff e ON e.url = k.url"
+
+
+def _eff(resolved: str | None) -> str:
+    return f"eff AS (SELECT url, effective_url FROM ({resolved}))," if resolved else ""
+
+
+def crawl_lines(pages: str, depth: int, scope: str, resolved: str | None = None) -> str:
+    """CRL2 oracle: walks enumerated (UNION ALL), lines counted per level; with a ``resolved``
+    statement pages are found and links resolved by the effective URL (always a page's)."""
     lt = keyed_link_table(pages)
 
     def expand(where: str) -> str:
         return f"""
         SELECT * FROM (
-          SELECT *, {', '.join(resolve('raw_link', 'url', 'dst', 'r_') + parts('dst', 'd_') + parts('url', 'b_'))}
-          FROM (SELECT w.seed, w.url, w.level, l.raw_link, l.link_type
+          SELECT *, {', '.join(resolve('raw_link', 'base', 'dst', 'r_') + parts('dst', 'd_') + parts('base', 'b_'))}
+          FROM (SELECT w.seed, w.base, w.level, l.raw_link, l.link_type
                 FROM (SELECT *, {save_path_expr('w_', chr(39) + 'HTML' + chr(39))} AS pk
-                      FROM (SELECT *, {', '.join(parts('url', 'w_'))} FROM walk {where})) w
+                      FROM (SELECT *, {', '.join(parts('base', 'w_'))}
+                            FROM ({_based(f'SELECT * FROM walk {where}', resolved)}))) w
                 JOIN lt l ON l.page_key = w.pk))
         WHERE {_scope_cond(scope, 'd_host', 'b_host')}"""
     return f"""
-    WITH RECURSIVE lt AS ({lt}),
+    WITH RECURSIVE lt AS ({lt}), {_eff(resolved)}
     walk(seed, url, level) AS (
       SELECT url, url, 0 FROM {pages}
       UNION ALL
@@ -562,8 +584,9 @@ def chain(src: str, items: list[str]) -> str:
 
 
 def crawl_rfc_levels(pages: str, depth: int, host_preserve: bool = False, host_regex: str | None = None,
-                     path_regex: str | None = None) -> str:
-    """Oracle of the page-crawler mode (DOM iframe/a links, RFC join, FLT2)."""
+                     path_regex: str | None = None, resolved: str | None = None) -> str:
+    """Oracle of the page-crawler mode (DOM iframe/a links, RFC join, FLT2); with ``resolved``
+    a URL has the links of the page it leads to, resolved against the URL itself."""
     keyed = chain(f"SELECT page_id, url, html FROM {pages}", split_rfc("url", "k_") + ["k_netloc || k_path AS pk"])
     keyed = (f"SELECT pk AS page_key, arg_min(page_id, page_id) AS page_id FROM ({keyed}) GROUP BY pk")
     links = (f"SELECT k.page_key, d.raw_link FROM ({dom_links(pages)}) d JOIN ({keyed}) k ON k.page_id = d.page_id "
@@ -575,12 +598,12 @@ def crawl_rfc_levels(pages: str, depth: int, host_preserve: bool = False, host_r
         conds.append(f"regexp_matches(x_netloc, '{host_regex}')")
     if path_regex is not None:
         conds.append(f"regexp_matches(CASE WHEN x_path = '' THEN '/' ELSE x_path END, '{path_regex}')")
-    walk_keyed = chain("SELECT * FROM walk WHERE level < " + str(depth), split_rfc("url", "w_")
-                       + ["w_netloc || w_path AS pk"])
+    walk_keyed = chain(_based("SELECT * FROM walk WHERE level < " + str(depth), resolved), split_rfc("url", "w_")
+                       + split_rfc("base", "v_") + ["v_netloc || v_path AS pk"])
     step = chain(f"SELECT w.seed, w.url, w.level, w.w_netloc, l.raw_link FROM ({walk_keyed}) w "
                  f"JOIN lt l ON l.page_key = w.pk", resolve_rfc("raw_link", "url", "x_"))
     return f"""
-    WITH RECURSIVE lt AS ({links}),
+    WITH RECURSIVE lt AS ({links}), {_eff(resolved)}
     walk(seed, url, level) AS (
       SELECT url, url, 0 FROM {pages}
       UNION

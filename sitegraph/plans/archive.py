@@ -104,24 +104,50 @@ def archive_pages(pages: DataFrame, archive: DataFrame | None = None, force: boo
     return p.select("local_path", "url", RW.rewrite_html_dom("html", "url").alias("body"))
 
 
-def save_page_rows(pages: DataFrame, corpus: DataFrame, archive: DataFrame, as_of: str | None = None) -> DataFrame:
+def save_page_rows(pages: DataFrame, corpus: DataFrame, archive: DataFrame, as_of: str | None = None,
+                   resolved: DataFrame | None = None) -> DataFrame:
     """PIP2 with resources: archive rows of the pages (links rewritten) and of the
-    resources they name that are in the corpus and not yet archived, each once."""
+    resources they name that are in the corpus and not yet archived, each once.  With
+    ``resolved`` (JN4) a resource is what its URL leads to, saved under its own path."""
     at = F.to_timestamp_ntz(F.lit(as_of or _now()))
     saved = archive_pages(pages, archive).select("local_path", "url", "body")
-    wanted = page_bundle(pages, archive, resources_only=True).where("NOT found").select("local_path").distinct()
-    held = corpus.select("page_id", RFC.local_path("url").alias("local_path")).groupBy("local_path").agg(
+    wanted = page_bundle(pages, archive, resources_only=True).where("NOT found").select("local_path", "url").distinct()
+    own = F.col("local_path")
+    if resolved is not None:
+        wanted = with_effective_url(wanted, resolved)
+        own = F.explode(F.array_distinct(F.array(RFC.local_path("effective_url"), F.col("local_path"))))
+    wanted = wanted.select("local_path", own.alias("held_path")).distinct()
+    held = corpus.select("page_id", RFC.local_path("url").alias("held_path")).groupBy("held_path").agg(
         F.min("page_id").alias("page_id"))
-    resources = wanted.join(held, "local_path").join(
-        corpus.select("page_id", "url", F.col("html").alias("body")), "page_id").select("local_path", "url", "body")
+    # what a URL leads to comes before what is held under its own path
+    found = wanted.join(held, "held_path").groupBy("local_path").agg(
+        F.min(F.when(F.col("held_path") != F.col("local_path"), F.col("page_id"))).alias("led"), F.min(
+            F.when(F.col("held_path") == F.col("local_path"), F.col("page_id"))).alias("own"))
+    found = found.select("local_path", F.coalesce("led", "own").alias("page_id"))
+    resources = found.join(corpus.select("page_id", "url", F.col("html").alias("body")), "page_id").select(
+        "local_path", "url", "body")
     resources = resources.join(saved.select("local_path"), "local_path", "left_anti")
     return saved.unionByName(resources).select(
         F.col("local_path").alias("page_key"), F.col("local_path").alias("save_path"),
         RFC.split_url("url")["netloc"].alias("host"), "body", at.alias("fetched_at"))
 
 
+def reached_pages(urls: DataFrame, corpus: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, html): the page of each URL, under the URL that was asked for.  With
+    ``resolved`` it is the page the URL leads to, or else the one held under the URL itself."""
+    if resolved is None:
+        return corpus.select("page_id", "url", "html").join(urls, "url", "left_semi")
+    ids = corpus.select("page_id", F.col("url").alias("held"))
+    first = ids.groupBy("held").agg(F.min("page_id").alias("page_id"))
+    asked = with_effective_url(urls.distinct(), resolved)
+    led = asked.join(first, F.col("effective_url") == F.col("held"), "left").select("url", F.col("page_id").alias("led"))
+    both = led.join(first, F.col("url") == F.col("held"), "left").select("url", F.coalesce("led", "page_id").alias("page_id"))
+    return both.where("page_id IS NOT NULL").join(corpus.select("page_id", "html"), "page_id").select("page_id", "url", "html")
+
+
 def crawl_and_save(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int, as_of: str | None = None,
-                   **scope) -> DataFrame:
-    """The page crawler's list, then every listed page saved with its resources."""
-    found = crawl_rfc(seeds, corpus, depth, **scope).select("url").distinct()
-    return save_page_rows(corpus.join(found, "url", "left_semi"), corpus, archive, as_of)
+                   resolved: DataFrame | None = None, **scope) -> DataFrame:
+    """The page crawler's list, then every listed page saved with its resources; both follow
+    redirects with ``resolved`` (JN4's table)."""
+    found = crawl_rfc(seeds, corpus, depth, resolved=resolved, **scope).select("url").distinct()
+    return save_page_rows(reached_pages(found, corpus, resolved), corpus, archive, as_of, resolved)

@@ -242,11 +242,15 @@ def rfc_link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: bool = False,
               host_regex: str | None = None, path_regex: str | None = None,
-              checkpoint_every: int = 2) -> DataFrame:
+              checkpoint_every: int = 2, resolved: DataFrame | None = None) -> DataFrame:
     """CRL1 as the page crawler does it: iframe/a links, RFC 3986 join with
     params/query/fragment dropped, FLT2 scope (host of the page being
     expanded, or a host regex; a path regex), pages identified by
-    netloc+path.  Output (seed, url, level); the seed is level 0."""
+    netloc+path.  Output (seed, url, level); the seed is level 0.
+
+    ``resolved`` (JN4's table) follows redirects: the links are those of the page a URL
+    leads to (or else of the page held under the URL itself), but they are resolved, and
+    measured by the scope, against the URL that was asked for, as this crawler does."""
     spark = seeds.sparkSession
     if depth <= 0:
         return spark.createDataFrame([], "seed string, url string, level int")
@@ -254,8 +258,14 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
     table = _co_partition(rfc_link_table(pages))
     held = [table]
     s = seeds.select(F.col("url").alias("seed")).distinct()
-    frontier = s.select("seed", F.col("seed").alias("url"), rfc_key("seed").alias("page_key")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+
+    def reached(some: DataFrame) -> DataFrame:
+        if resolved is None:
+            return some.withColumn("page_key", rfc_key("url"))
+        return with_effective_url(some, resolved).withColumn("page_key", rfc_key("effective_url")) \
+            .withColumn("own_key", rfc_key("url")).drop("effective_url")
+
+    frontier = reached(s.select("seed", F.col("seed").alias("url"))).persist(StorageLevel.MEMORY_AND_DISK)
     held.append(frontier)
     expanded = frontier.select("seed", "url")
     found_all = [frontier.select("seed", "url", F.lit(0).alias("level"))]
@@ -271,8 +281,8 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         return cond
 
     for level in range(1, depth + 1):
-        bases = frontier.select("url", "page_key").dropDuplicates(["url"])
-        found = bases.join(table, "page_key")
+        bases = frontier.drop("seed").dropDuplicates(["url"])
+        found = _held_links(bases, table, resolved is not None)
         arr = U.bind(RFC.split_url(F.col("url")), lambda b: F.filter(
             F.transform("links", lambda l: U.bind(RFC.split_url(l["raw_link"]), lambda h: RFC.join_split(h, b))),
             lambda x: ok(x, b["netloc"])))
@@ -286,7 +296,7 @@ def crawl_rfc(seeds: DataFrame, pages: DataFrame, depth: int, host_preserve: boo
         if level == depth:
             break
         nxt = step.select("seed", "url").join(expanded, ["seed", "url"], "left_anti")
-        frontier = _cut(nxt.withColumn("page_key", rfc_key("url")), level, checkpoint_every)
+        frontier = _cut(reached(nxt), level, checkpoint_every)
         held.append(frontier)
         if checkpoint_every and level % checkpoint_every == 0 and _empty(frontier):
             break

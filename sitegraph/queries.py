@@ -517,6 +517,19 @@ def crl2_crawl_manifest_rich(spark, sf):
     return crawl_manifest(r.select("url"), r, 2, scope="same").withColumn("n", F.col("n").cast("bigint"))
 
 
+@register("crl2_crawl_manifest_redirected", D.crawl_lines("(" + D.pages_rich("pages") + ")", 2, "same", _EFFECTIVE))
+def crl2_crawl_manifest_redirected(spark, sf):
+    """The lines of a crawl that follows redirects."""
+    from sitegraph.plans.crawl import crawl_manifest
+    r = rich(spark, sf)
+    lines = crawl_manifest(r.select("url"), r, 2, scope="same", resolved=_resolved(spark, sf))
+    return lines.withColumn("n", F.col("n").cast("bigint"))
+
+
+def _resolved(spark, sf):
+    return R.resolve_redirects(HT.parse_responses(X.responses(pages(spark, sf))))
+
+
 # --- DOM mode, RFC resolution, rewriting -----------------------------------------------------
 
 from sitegraph.functions import rfc as RFC  # noqa: E402
@@ -749,10 +762,13 @@ def udf4_sql_functions(spark, sf):
 
 # --- archiving jobs (rows-only checks) ------------------------------------------------------
 
-def _pip1_sql():
+def _pip1_sql(resolved: str | None = None):
     corpus = _LINKED
-    man = (f"SELECT link_type, url FROM ({D.crawl_lines(corpus, 1, 'none')}) "
+    man = (f"SELECT link_type, url FROM ({D.crawl_lines(corpus, 1, 'none', resolved)}) "
            f"UNION ALL SELECT 'HTML' AS link_type, url FROM {corpus}")
+    if resolved:
+        man = (f"SELECT m.link_type, coalesce(e.effective_url, m.url) AS url FROM ({man}) m "
+               f"LEFT JOIN ({resolved}) e ON e.url = m.url")
     todo = f"""
       SELECT save_path, min({{'u': url, 't': link_type}}).u AS url FROM (
         {D.chain('(' + man + ')', D.parts('url', 'm_') + [D.save_path_expr('m_', 'link_type') + ' AS save_path'])})
@@ -790,6 +806,79 @@ def pip1_archive_site(spark, sf):
                         ttl_min=TTL_MIN, as_of=X.AS_OF)
 
 
+@register("pip1_archive_redirected", _pip1_sql(_EFFECTIVE))
+def pip1_archive_redirected(spark, sf):
+    """The run follows redirects: pages are saved under the paths they lead to."""
+    from sitegraph.plans.archive import archive_site
+    p = pages(spark, sf)
+    corpus = X.pages_linked(p)
+    return archive_site(corpus.select("url"), corpus, X.archive(p), depth=1, scope="none", ttl_min=TTL_MIN,
+                        as_of=X.AS_OF, resolved=_resolved(spark, sf))
+
+
+@register("crl1_crawl_rfc_redirected", D.crawl_rfc_levels(_RICH, 2, host_preserve=True, resolved=_EFFECTIVE))
+def crl1_crawl_rfc_redirected(spark, sf):
+    """The page crawler through redirects: links of the page reached, read from the URL asked for."""
+    from sitegraph.plans.crawl import crawl_rfc
+    r = rich(spark, sf)
+    return crawl_rfc(r.select("url"), r, 2, host_preserve=True, resolved=_resolved(spark, sf))
+
+
+def _saved_sql(some: str, corpus: str) -> str:
+    """Archive rows of the pages (page_id, url, html) of ``some``, and of their resources in ``corpus``."""
+    links = D.chain(D.dom_links(some), D.resolve_rfc("raw_link", "src_url", "x_") + D.local_path("x_url", "lp_"))
+    held = f"SELECT lp_local, min(page_id) AS page_id FROM ({D.chain(corpus, D.local_path('url', 'lp_'))}) GROUP BY lp_local"
+    rows = f"""
+      WITH saved AS (
+        SELECT lp.lp_local AS path, lp.url, rw.html AS body FROM ({D.chain(some, D.local_path('url', 'lp_'))}) lp
+        JOIN ({D.rewrite_dom(some)}) rw ON rw.page_id = lp.page_id
+        WHERE lp.lp_local NOT IN (SELECT save_path FROM ({D.archive('pages')}))),
+      wanted AS (
+        SELECT DISTINCT lp_local FROM ({links}) WHERE link_type NOT IN ('HTML', 'IFRAME')
+          AND lp_local NOT IN (SELECT save_path FROM ({D.archive('pages')})))
+      SELECT path, url, body FROM saved UNION ALL
+      SELECT w.lp_local, c.url, c.html FROM wanted w JOIN ({held}) h ON h.lp_local = w.lp_local
+      JOIN {corpus} c ON c.page_id = h.page_id WHERE w.lp_local NOT IN (SELECT path FROM saved)"""
+    return f"""
+      SELECT path AS page_key, path AS save_path, s_netloc AS host, body, TIMESTAMP '{X.AS_OF}' AS fetched_at
+      FROM ({D.chain('(' + rows + ')', D.split_rfc('url', 's_'))})"""
+
+
+def _crawled_sql(resolved: str | None) -> str:
+    """The pages of the URLs that the page crawler finds, under these URLs."""
+    found = f"SELECT DISTINCT url FROM ({D.crawl_rfc_levels(_LINKED, 1, resolved=resolved)})"
+    lead = f"LEFT JOIN ({resolved}) e ON e.url = f.url" if resolved else ""
+    to = "coalesce(e.effective_url, f.url)" if resolved else "f.url"
+    return (f"(SELECT row_number() OVER (ORDER BY f.url, p.page_id) AS page_id, f.url, p.html FROM ({found}) f {lead} "
+            f"JOIN {_LINKED} p ON p.url = {to})")
+
+
+@register("pip2_save_pages", _saved_sql(_RICH, "(" + D.page_resources("pages") + ")"))
+def pip2_save_pages(spark, sf):
+    """Every page that is not archived, with the resources that it needs."""
+    from sitegraph.plans.archive import save_page_rows
+    p = pages(spark, sf)
+    return save_page_rows(X.pages_rich(p), X.pages_and_resources(p), X.archive(p), X.AS_OF)
+
+
+@register("pip2_crawl_and_save", _saved_sql(_crawled_sql(None), _LINKED))
+def pip2_crawl_and_save(spark, sf):
+    """The page crawler's list, then each listed page saved."""
+    from sitegraph.plans.archive import crawl_and_save
+    p = pages(spark, sf)
+    corpus = X.pages_linked(p)
+    return crawl_and_save(corpus.select("url"), corpus, X.archive(p), 1, X.AS_OF)
+
+
+@register("pip2_crawl_and_save_redirected", _saved_sql(_crawled_sql(_EFFECTIVE), _LINKED))
+def pip2_crawl_and_save_redirected(spark, sf):
+    """The same through redirects: the page that a URL leads to is saved under the URL."""
+    from sitegraph.plans.archive import crawl_and_save
+    p = pages(spark, sf)
+    corpus = X.pages_linked(p)
+    return crawl_and_save(corpus.select("url"), corpus, X.archive(p), 1, X.AS_OF, _resolved(spark, sf))
+
+
 @register("pip2_archive_pages", f"""
     SELECT lp.lp_local AS local_path, lp.url, rw.html AS body
     FROM ({D.chain(_RICH, D.local_path('url', 'lp_'))}) lp

@@ -30,6 +30,8 @@ RICH_PREFIXES = (
     '<script src="/js/main.js"></script><a title="x" href="docs/../guide/index.html">g</a>'
     '<link href="/print.css" media="print">',
 )
+# Resources of these pages (page_id mod 6) that were captured too: path, start of the body.
+RESOURCES = {0: ("/static/site.css", "css of "), 5: ("/js/main.js", "js of ")}
 # Edge rule of the synthetic link graph: p -> (a*p + b) mod n for each (a, b).
 EDGE_RULES = ((7, 3), (13, 5))
 # Instant the archive ages are measured from, and the age spread in minutes.
@@ -63,6 +65,17 @@ def pages_rich(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.concat(prefix, F.col("html")).alias("html"))
 
 
+def pages_and_resources(pages: DataFrame) -> DataFrame:
+    """The rich pages and the resources captured beside them (negative ids)."""
+    out = pages_rich(pages)
+    for k, (path, body) in RESOURCES.items():
+        out = out.unionByName(pages.where(F.col("page_id") % 6 == k).select(
+            (-F.col("page_id") - 1).alias("page_id"),
+            F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#:]+", 0), F.lit(path)).alias("url"),
+            F.concat(F.lit(body), simple_host("url")).alias("html")))
+    return out
+
+
 def _page_count(pages: DataFrame) -> int:
     return pages.count()
 

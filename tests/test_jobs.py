@@ -263,3 +263,29 @@ def test_first_per_key_hot_key(spark):
     df = spark.createDataFrame(rows, "id long, k string, ord long")
     got = {r.k: (r.id, r.n) for r in A.first_per_key(df, "k", "ord", count_as="n").collect()}
     assert got["hot"] == (2997, 1000)
+
+
+def test_page_crawler_and_saver_follow_redirects(spark):
+    """Content comes from where a URL leads, links are read from the URL that was asked for."""
+    from sitegraph.plans import archive as AR
+    from sitegraph.plans.crawl import crawl_rfc
+    pages = spark.createDataFrame([
+        (0, "https://s.org/", '<a href="/old/p">x</a><img src="/i.png"><img src="/j.png">'),
+        (1, "https://t.org/new/", '<a href="in">x</a><a href="/abs">y</a>'),
+        (2, "https://s.org/old/in", "in"), (3, "https://cdn.org/i", "PNG"), (4, "https://s.org/j.png", "own"),
+    ], "page_id bigint, url string, html string")
+    resolved = spark.createDataFrame([
+        ("https://s.org/old/p", "https://t.org/new/", 1, "ok"), ("https://s.org/i.png", "https://cdn.org/i", 1, "ok"),
+        ("https://s.org/j.png", "https://cdn.org/none", 1, "unknown"),
+    ], "url string, effective_url string, hops int, outcome string")
+    seed = pages.where("page_id = 0").select("url")
+    got = {r.url: r.level for r in crawl_rfc(seed, pages, 2, resolved=resolved).collect()}
+    assert got == {"https://s.org/": 0, "https://s.org/old/p": 1, "https://s.org/old/in": 2, "https://s.org/abs": 2}
+    assert {r.url for r in crawl_rfc(seed, pages, 2).collect()} == {"https://s.org/", "https://s.org/old/p"}
+    empty = spark.createDataFrame([], "save_path string, fetched_at timestamp_ntz")
+    rows = AR.crawl_and_save(seed, pages, empty, 2, "2024-01-01 00:00:00", resolved, host_preserve=True)
+    saved = {r.save_path: (r.host, r.body) for r in rows.collect()}
+    assert saved == {
+        "s.org/index.html": ("s.org", '<a href="old/p/index.html">x</a><img src="i.png"><img src="j.png">'),
+        "s.org/old/p/index.html": ("s.org", '<a href="../in/index.html">x</a><a href="../../abs/index.html">y</a>'),
+        "s.org/old/in/index.html": ("s.org", "in"), "s.org/i.png": ("cdn.org", "PNG"), "s.org/j.png": ("s.org", "own")}
