@@ -1,11 +1,14 @@
 """Redirect resolution by pointer doubling (JN4).
 
 The redirect graph is functional (a URL has at most one Location), so where a
-chain of any length ends is found by squaring the "next" table: each round joins
-it with itself and doubles the steps.  Chains that end are settled after
-log2(length) rounds; those that never do lead into a loop, and stop at the URL
-whose Location comes back to a URL of the chain.  There is no limit on the
-length.  Each round is a reliable checkpoint of three narrow columns.
+chain of any length ends is found by doubling: each round joins the redirects that
+have not come to an end with all redirects, and doubles the steps.  URLs that are no
+redirects take no part, and a redirect whose end is known is not joined again.
+A chain of length d is settled after log2(d) rounds, and once a round settles nothing
+the rest can only lead into loops: a chain of any remaining length would have held a
+URL at just the distance that this round settles.  Loops stop at the URL whose Location
+comes back to a URL of the chain.  There is no limit on the length.  Every round
+is a reliable checkpoint of a few narrow columns (it is read twice by the next one).
 """
 
 from __future__ import annotations
@@ -16,18 +19,35 @@ from pyspark.sql import functions as F
 from sitegraph.session import ensure_checkpoint_dir
 
 
-def _squared(step: DataFrame, rounds: int) -> DataFrame:
-    """(url, to, hops) after all steps that a row can take; a URL that maps to
-    itself stands still.  Ends early when no row moves."""
-    step = step.checkpoint(eager=True)
+def _settled(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, loose): where each redirect (url, to, hops, done) ends, and those that never end."""
+    before = moves.where("NOT done").count()
+    while before:
+        ahead = moves.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"),
+                             F.col("done").alias("done2"))
+        further = moves.where("NOT done").join(ahead, "to").select(
+            "url", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("done2").alias("done"))
+        moves = moves.where("done").unionByName(further).checkpoint(eager=True)
+        left = moves.where("NOT done").count()
+        if left == before:
+            break
+        before = left
+    return moves.where("done").drop("done"), moves.where("NOT done").drop("done")
+
+
+def _doubled(table: DataFrame, rounds: int, more=(), while_moving: bool = False) -> DataFrame:
+    """(url, to, ...) after 2^rounds steps; ``more`` combines a column of both halves.  With
+    ``while_moving`` it ends as soon as every row stands still (hops of a step is 0)."""
     for _ in range(rounds):
-        ahead = step.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"))
-        new = step.join(ahead, "to").select("url", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"),
-                                            (F.col("hops2") > 0).alias("moved")).checkpoint(eager=True)
-        if new.where("moved").isEmpty():
-            return new.drop("moved")
-        step = new.drop("moved")
-    return step
+        ahead = table.select(F.col("url").alias("to"), F.col("to").alias("to2"), *[F.col(c).alias(c + "2") for c, _ in more])
+        table = table.join(ahead, "to").select("url", F.col("to2").alias("to"), *[f(F.col(c), F.col(c + "2")).alias(c) for c, f in more],
+                                               *([(F.col("hops2") > 0).alias("moved")] if while_moving else [])).checkpoint(eager=True)
+        if while_moving:
+            stands = table.where("moved").isEmpty()
+            table = table.drop("moved")
+            if stands:
+                break
+    return table
 
 
 def resolve_redirects(parsed: DataFrame, url_col: str = "request_url", ts_col: str = "ts") -> DataFrame:
@@ -41,43 +61,40 @@ def resolve_redirects(parsed: DataFrame, url_col: str = "request_url", ts_col: s
     exists for the URL reached.
     """
     ensure_checkpoint_dir(parsed.sparkSession)
-    newest = F.struct(*[F.col(c) for c in (ts_col,) if c in parsed.columns], "outcome", "location")
-    r = parsed.groupBy(F.col(url_col).alias("url")).agg(F.max(newest).alias("r")) \
+    # narrow columns only, so the newest capture is one small aggregate over the responses
+    capture = F.struct(*[F.col(c) for c in (ts_col,) if c in parsed.columns], "outcome", "location")
+    r = parsed.groupBy(F.col(url_col).alias("url")).agg(F.max(capture).alias("r")) \
         .select("url", "r.outcome", "r.location").checkpoint(eager=True)
-    moves = (F.col("outcome") == "redirect") & F.col("location").isNotNull()
-    known = r.select("url")
-    beyond = r.where(moves).select(F.col("location").alias("url")).distinct().join(known, "url", "left_anti")
-    step = r.select("url", F.when(moves, F.col("location")).otherwise(F.col("url")).alias("to"),
-                    F.when(moves, 1).otherwise(0).cast("bigint").alias("hops")) \
-        .unionByName(beyond.select("url", F.col("url").alias("to"), F.lit(0).cast("bigint").alias("hops")))
-    step = step.checkpoint(eager=True)
-    rounds = max(1, step.where("hops > 0").count()).bit_length()
-    end = _squared(step, rounds)
-    still = step.where("hops = 0").select(F.col("url").alias("to"))
-    settled = end.join(still, "to", "left_semi").join(known, "url", "left_semi")
-    out = settled.join(r.select(F.col("url").alias("to"), "outcome"), "to", "left").select(
+    redirect = (F.col("outcome") == "redirect") & F.col("location").isNotNull()
+    moves = r.where(redirect).select("url", F.col("location").alias("to"))
+    ends = moves.select(F.col("url").alias("to"), F.lit(False).alias("done"))
+    moves = moves.join(ends, "to", "left").select(
+        "url", "to", F.lit(1).cast("bigint").alias("hops"), F.coalesce("done", F.lit(True)).alias("done")).checkpoint(eager=True)
+    still = r.where(~redirect | redirect.isNull()).select("url", F.col("url").alias("to"), F.lit(0).cast("bigint").alias("hops"))
+    settled, loose = _settled(moves)
+    out = still.unionByName(settled).join(r.select(F.col("url").alias("to"), "outcome"), "to", "left").select(
         "url", F.col("to").alias("effective_url"), "hops",
         F.when(F.col("outcome") == "redirect", "error").otherwise(F.coalesce("outcome", F.lit("unknown"))).alias("outcome"))
 
-    # the rest leads into loops; what they reach after that many steps are the loops' URLs
-    loose = end.join(still, "to", "left_anti").checkpoint(eager=True)
-    if not loose.isEmpty():
-        ring = loose.select(F.col("to").alias("url")).distinct()
-        around = step.join(ring, "url", "left_semi").select("url", "to").checkpoint(eager=True)
+    # the rest leads into loops; what they reach after as many steps as they are is on a loop
+    n = loose.count()
+    if n:
+        step = moves.join(loose.select("url"), "url", "left_semi").select("url", "to").checkpoint(eager=True)
+        ring = _doubled(step, n.bit_length()).select(F.col("to").alias("url")).distinct().checkpoint(eager=True)
+        around = step.join(ring, "url", "left_semi")
         # size of each loop: its URLs with the smallest URL seen on the way round
-        least = around.select("url", "to", F.least("url", "to").alias("least"))
-        for _ in range(rounds):
-            ahead = least.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-            least = least.join(ahead, "to").select("url", F.col("to2").alias("to"),
-                                                   F.least("least", "least2").alias("least")).checkpoint(eager=True)
+        least = _doubled(around.withColumn("least", F.least("url", "to")), ring.count().bit_length(), [("least", F.least)])
         size = least.groupBy("least").agg(F.count("*").alias("n"))
         before = around.select(F.col("to").alias("entry"), F.col("url").alias("effective_url"))
         entries = least.select(F.col("url").alias("entry"), "least").join(size, "least").join(before, "entry") \
             .select("entry", "n", "effective_url")
-        tails = step.join(loose.select("url"), "url", "left_semi").join(ring.withColumn("on_ring", F.lit(True)), "url", "left") \
-            .select("url", F.when(F.col("on_ring"), F.col("url")).otherwise(F.col("to")).alias("to"),
-                    F.when(F.col("on_ring"), 0).otherwise(1).cast("bigint").alias("hops"))
-        loops = _squared(tails, rounds).select("url", F.col("to").alias("entry"), "hops").join(entries, "entry").select(
+        # the way from each URL to its loop: a URL of the loop stands still
+        on_ring = F.col("on_ring").isNotNull()
+        tails = step.join(ring.withColumn("on_ring", F.lit(True)), "url", "left").select(
+            "url", F.when(on_ring, F.col("url")).otherwise(F.col("to")).alias("to"),
+            F.when(on_ring, 0).otherwise(1).cast("bigint").alias("hops"))
+        loops = _doubled(tails, n.bit_length(), [("hops", lambda a, b: a + b)], while_moving=True).select(
+            "url", F.col("to").alias("entry"), "hops").join(entries, "entry").select(
             "url", "effective_url", (F.col("hops") + F.col("n") - 1).alias("hops"), F.lit("loop").alias("outcome"))
         out = out.unionByName(loops)
     return out.select("url", "effective_url", F.col("hops").cast("int").alias("hops"), "outcome").checkpoint(eager=True)

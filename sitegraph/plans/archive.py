@@ -116,6 +116,7 @@ def save_page_rows(pages: DataFrame, corpus: DataFrame, archive: DataFrame, as_o
     if resolved is not None:
         wanted = with_effective_url(wanted, resolved)
         own = F.explode(F.array_distinct(F.array(RFC.local_path("effective_url"), F.col("local_path"))))
+    asked = wanted.groupBy("local_path").agg(F.min("url").alias("url"))
     wanted = wanted.select("local_path", own.alias("held_path")).distinct()
     held = corpus.select("page_id", RFC.local_path("url").alias("held_path")).groupBy("held_path").agg(
         F.min("page_id").alias("page_id"))
@@ -124,8 +125,8 @@ def save_page_rows(pages: DataFrame, corpus: DataFrame, archive: DataFrame, as_o
         F.min(F.when(F.col("held_path") != F.col("local_path"), F.col("page_id"))).alias("led"), F.min(
             F.when(F.col("held_path") == F.col("local_path"), F.col("page_id"))).alias("own"))
     found = found.select("local_path", F.coalesce("led", "own").alias("page_id"))
-    resources = found.join(corpus.select("page_id", "url", F.col("html").alias("body")), "page_id").select(
-        "local_path", "url", "body")
+    resources = found.join(asked, "local_path").join(
+        corpus.select("page_id", F.col("html").alias("body")), "page_id").select("local_path", "url", "body")
     resources = resources.join(saved.select("local_path"), "local_path", "left_anti")
     return saved.unionByName(resources).select(
         F.col("local_path").alias("page_key"), F.col("local_path").alias("save_path"),

@@ -103,6 +103,70 @@ def _expand(frontier: DataFrame, link_table: DataFrame, scope: str, scope_base:
     return frontier.select("seed", "url", *extra).join(found, keys)
 
 
+def _found_links(bases: DataFrame, link_table: DataFrame, scope: str, redirects: bool) -> DataFrame:
+    """(url, dst, link_type): the in-scope links of the pages of distinct URLs, resolved against
+    the effective URL."""
+    found = _held_links(bases, link_table, redirects)
+
+    def resolved(pb):
+        return F.transform("links", lambda l: F.struct(l["link_type"].alias("link_type"),
+                                                       U.resolve_with_base(l["raw_link"], pb).alias("dst")))
+    arr = U.bind(U.page_base(F.col("base")), resolved)       # page half once per frontier URL
+    if scope != "none":
+        arr = U.bind(U.url_host(F.col("base")),
+                     lambda ph: F.filter(arr, lambda x: L._host_ok(U.url_host(x["dst"]), ph, scope, False)))
+    return found.select("url", F.explode(arr).alias("x")).select("url", "x.dst", "x.link_type")
+
+
+def numbered_seeds(urls: DataFrame) -> DataFrame:
+    """(seed, word, place): every distinct seed with a bit of its own, 64 to a word.  Seeds are
+    numbered in the order of their URLs, so that those of one site share words."""
+    ordered = urls.select(F.col("url").alias("seed")).distinct().repartitionByRange("seed").sortWithinPartitions("seed")
+    number = F.monotonically_increasing_id()
+    return ordered.withColumn("number", number).select(
+        "seed", F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int").alias("place")).checkpoint(eager=True)
+
+
+def _crawl_bits(seeds: DataFrame, table: DataFrame, depth: int, scope: str, resolved: DataFrame | None, every: int,
+                held: list[DataFrame]) -> DataFrame:
+    """(url, word, bits, level): which seeds reach a URL first at which level, all seeds at once.
+
+    A row stands for a URL and a word of 64 seeds; the seeds that have reached it are the bits
+    of a number, which a level ORs together.  So a URL that many seeds of a site reach is
+    one row in every join and aggregate, not one for each seed."""
+    bit = F.expr("shiftleft(1L, place)")
+    start = seeds.select(F.col("seed").alias("url"), "word", bit.alias("bits"))
+    seen = start.select("url", "word", F.col("bits").alias("reached"), F.col("bits").alias("expanded"))
+    frontier, levels = start, [start.withColumn("level", F.lit(0))]
+    nothing = F.lit(0).cast("bigint")
+    for level in range(1, depth + 1):
+        bases = _reached(frontier.select("url").distinct(), resolved)
+        found = _found_links(bases, table, scope, resolved is not None)
+        hits = frontier.join(found, "url").groupBy(F.col("dst").alias("url"), "word").agg(
+            F.bit_or("bits").alias("any"), F.bit_or(F.when(F.col("link_type") == "HTML", F.col("bits")).otherwise(nothing)).alias("html"))
+        both = seen.withColumn("any", nothing).withColumn("html", nothing).unionByName(
+            hits.withColumn("reached", nothing).withColumn("expanded", nothing))
+        state = both.groupBy("url", "word").agg(*[F.bit_or(c).alias(c) for c in ("reached", "expanded", "any", "html")])
+        state = state.select(
+            "url", "word", F.col("reached").bitwiseOR(F.col("any")).alias("reached"),
+            F.col("expanded").bitwiseOR(F.col("html")).alias("expanded"),
+            F.col("any").bitwiseAND(F.bitwise_not("reached")).alias("fresh"),
+            F.col("html").bitwiseAND(F.bitwise_not("expanded")).alias("go"))
+        state = _cut(state, level, every, last=level == depth)
+        held.append(state)
+        levels.append(state.where("fresh <> 0").select("url", "word", F.col("fresh").alias("bits"), F.lit(level).alias("level")))
+        if level == depth:
+            break
+        frontier = state.where("go <> 0").select("url", "word", F.col("go").alias("bits"))
+        if every and level % every == 0 and frontier.isEmpty():
+            break
+        seen = state.select("url", "word", "reached", "expanded")
+    out = levels[0]
+    for rows in levels[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
 def _cut(df: DataFrame, level: int, every: int, last: bool = False) -> DataFrame:
     """Materialise a level: a reliable checkpoint every ``every`` levels (the
     lineage never grows past that), a persisted copy otherwise.  The last
@@ -122,7 +186,7 @@ def _empty(df: DataFrame) -> bool:
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
           scope_base: str = "page", link_table: DataFrame | None = None,
           checkpoint_every: int = 2, on_links=None, together: bool = False,
-          resolved: DataFrame | None = None) -> DataFrame:
+          resolved: DataFrame | None = None, pack_seeds: bool = False) -> DataFrame:
     """CRL1: every URL within ``depth`` hops of each seed, with its level.
 
     ``seeds`` has a ``url`` column.  Pages reached through an HTML link (or
@@ -139,15 +203,31 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int, scope: str = "same",
     the state has a row per URL, not per seed and URL.
 
     ``resolved`` (JN4's table) follows redirects.
+
+    ``pack_seeds`` keeps 64 seeds in a number (``_crawl_bits``): the state has a row for each
+    URL and word of seeds instead of each URL and seed.  It pays where the seeds of a site
+    reach the same URLs; where hardly any URL has several seeds the plain rows are
+    cheaper.  The rows are the same.  Not with a hook, or a scope that looks at single seeds.
     """
     spark = seeds.sparkSession
     if together and scope_base == "seed":
         raise ValueError("a crawl from all seeds together has no seed to measure the scope by")
+    if pack_seeds and (together or scope_base == "seed" or on_links is not None):
+        raise ValueError("packed seeds go with neither a hook, a scope by seed nor a crawl of all seeds together")
     if depth <= 0:
         return spark.createDataFrame([], "url string, level int" if together else "seed string, url string, level int")
     ensure_checkpoint_dir(spark)
     table = link_table if link_table is not None else _co_partition(page_link_table(pages))
     held = [] if link_table is not None else [table]
+    if pack_seeds:
+        ids = numbered_seeds(seeds)
+        places = F.explode(F.expr("filter(sequence(0, 63), k -> shiftright(bits, k) & 1 = 1)"))
+        out = _crawl_bits(ids, table, depth, scope, resolved, checkpoint_every, held)
+        out = out.select("url", "level", "word", places.alias("place")).join(ids, ["word", "place"]).select(
+            "seed", "url", "level").checkpoint(eager=True)
+        for h in held:
+            h.unpersist()
+        return out
     s = seeds.select((F.lit("") if together else F.col("url")).alias("seed"), "url").distinct()
     frontier = _reached(s.select("seed", "url"), resolved)
     frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)

@@ -486,6 +486,14 @@ def crl1_crawl_together(spark, sf):
     return crawl(r.select("url"), r, 2, scope="none", together=True)
 
 
+@register("crl1_crawl_packed", D.crawl_levels("(" + D.pages_linked("pages") + ")", 2, "none"))
+def crl1_crawl_packed(spark, sf):
+    """Sets of seeds as bits of numbers: the same rows as a crawl of each seed."""
+    from sitegraph.plans.crawl import crawl
+    pl = _linked(spark, sf)
+    return crawl(pl.select("url"), pl, 2, scope="none", pack_seeds=True)
+
+
 @register("crl1_crawl_pages_same", D.crawl_levels("pages", 2, "same"))
 def crl1_crawl_pages_same(spark, sf):
     from sitegraph.plans.crawl import crawl

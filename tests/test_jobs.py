@@ -288,4 +288,25 @@ def test_page_crawler_and_saver_follow_redirects(spark):
     assert saved == {
         "s.org/index.html": ("s.org", '<a href="old/p/index.html">x</a><img src="i.png"><img src="j.png">'),
         "s.org/old/p/index.html": ("s.org", '<a href="../in/index.html">x</a><a href="../../abs/index.html">y</a>'),
-        "s.org/old/in/index.html": ("s.org", "in"), "s.org/i.png": ("cdn.org", "PNG"), "s.org/j.png": ("s.org", "own")}
+        "s.org/old/in/index.html": ("s.org", "in"), "s.org/i.png": ("s.org", "PNG"), "s.org/j.png": ("s.org", "own")}
+
+
+def test_packed_seeds_reach_the_same_and_share_rows(spark):
+    """150 seeds of one site: the same levels as seed by seed, in a fraction of the rows."""
+    from sitegraph.plans import crawl as C
+    n = 150
+    rows = [(k, f"https://s.org/{k:03d}", f'<a href="/{(k * 7 + 1) % n:03d}">x</a><a href="/home">h</a><img src="/i{k % 3}.png">')
+            for k in range(n)]
+    rows += [(n, "https://s.org/home", '<a href="/000">x</a><a href="https://o.org/">y</a>'),
+             (n + 1, "https://o.org/", '<a href="https://s.org/001">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seeds = pages.where("page_id < 150").select("url")
+    resolved = spark.createDataFrame([("https://s.org/home", "https://o.org/", 1, "ok")],
+                                     "url string, effective_url string, hops int, outcome string")
+    for scope, lead in (("none", None), ("same", None), ("none", resolved)):
+        plain, packed = (sorted(map(tuple, crawl(seeds, pages, 4, scope=scope, resolved=lead, pack_seeds=p).collect()))
+                         for p in (False, True))
+        assert packed == plain and len(plain) > 3 * n
+    held = []
+    bits = C._crawl_bits(C.numbered_seeds(seeds), C.page_link_table(pages), 4, "none", None, 2, held).where("url LIKE '%home'")
+    assert bits.where("level = 1").count() <= 150 // 64 + 2 < n
