@@ -199,15 +199,19 @@ class Cutoffs(Mapping):
 
 def cutoffs(features: DataFrame, labels: DataFrame, key: str, stratum: str, feature: str,
             label_key: str = "doc_id", label: str = "quality", risk: float = RISK, delta: float = DELTA,
-            grid: int = GRID) -> Cutoffs:
-    """``features`` has the document key, the stratum and the struct of counts.  Labels
-    are joined on narrow rows, then counted per (stratum, rule, bin); nothing that
-    grows with the strata is gathered."""
+            grid: int = GRID, text_id: str | None = None) -> Cutoffs:
+    """``features`` has the document key, the stratum, the struct of counts and, in
+    ``text_id``, what tells texts apart (without it: the key).  The binomial bounds need
+    independent trials, so a text counts once in a stratum however many rows and ids it
+    stands on, as good if any label of it says so.  Labels are joined on narrow
+    rows, then counted per (stratum, rule, bin); nothing that grows with the strata is
+    gathered."""
     known = (labels.select(F.col(label_key).alias("k"), F.col(label).alias("q"))
              .where(F.col("k").isNotNull() & F.col("q").isNotNull()).groupBy("k").agg(F.max("q").alias("q")))
     labelled = (features.select(F.col(key).alias("k"), F.col(stratum).cast("string").alias("s"),
-                            F.col(feature).alias("c"))
+                            F.col(feature).alias("c"), F.col(text_id or key).alias("t"))
             .join(known, "k").where(~base_failed(F.col("c"))))
+    labelled = labelled.groupBy("s", "t", "c").agg(F.max("q").alias("q"))
     bins = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(ratio(F.col("c"), r) * grid).cast("int").alias("bin"))
                      for r in RULES])
     per_stratum = labelled.select("s", "q", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").agg(
@@ -265,12 +269,17 @@ def with_cutoffs(docs: DataFrame, chosen: Mapping[tuple[str | None, str], float]
                      "left").drop(own)
 
 
+def text_digest(text: Column) -> Column:
+    """A number that tells texts apart (a clash would only make two trials one)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
         **options) -> Cutoffs:
     """Cutoffs from the labelled ones among ``docs``."""
     features = docs.select(F.col(key).alias("key"), F.col(stratum).alias("stratum"),
-                           counts(F.col(text)).alias("counts"))
-    return cutoffs(features, labels, "key", "stratum", "counts", **options)
+                           counts(F.col(text)).alias("counts"), text_digest(F.col(text)).alias("digest"))
+    return cutoffs(features, labels, "key", "stratum", "counts", text_id="digest", **options)
 
 
 def keep_good(docs: DataFrame, chosen: Mapping[tuple[str | None, str], float], text: str = "text",
@@ -287,8 +296,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scratch = Scratch(spark, "quality")
     # narrow rows (no text), read for the cutoffs and again for the verdicts
-    features = scratch.save(docs.select("doc_id", "lang", counts(F.col("text")).alias("c")), "features")
-    chosen = cutoffs(features, read(spark, sf_dir, "labels"), "doc_id", "lang", "c")
+    features = scratch.save(docs.select("doc_id", "lang", counts(F.col("text")).alias("c"),
+                                        text_digest(F.col("text")).alias("digest")), "features")
+    chosen = cutoffs(features, read(spark, sf_dir, "labels"), "doc_id", "lang", "c", text_id="digest")
     c = F.col("c")
     features = with_cutoffs(features, chosen, "lang", "cutoffs")
     return features.select("doc_id", c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"),

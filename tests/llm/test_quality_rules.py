@@ -83,6 +83,19 @@ def test_no_stratum_gets_the_cutoffs_of_others(spark):
     assert rows_of(Q.keep_good(docs, chosen), "doc_id") == [(2,), (3,)]
 
 
+def test_a_text_is_one_trial_however_often_it_comes(spark):
+    """Copies prove nothing: one good text on 3,000 rows, under one id or many, certifies no
+    cutoff; 3,000 different texts do, and copies of them change nothing."""
+    text, schema = prose(1, 30), "doc_id bigint, text string, lang string"
+    labels = spark.createDataFrame([(k, 1) for k in range(3000)], "doc_id bigint, quality int")
+    for ids in (lambda k: 0, lambda k: k):
+        copies = spark.createDataFrame([(ids(k), text, "en") for k in range(3000)], schema)
+        assert not dict(Q.fit(copies, labels))
+    docs = spark.createDataFrame([(k, prose(k, 12), "en") for k in range(3000)], schema)
+    once = dict(Q.fit(docs, labels))
+    assert once and dict(Q.fit(docs.unionAll(docs.where("doc_id < 50")).unionAll(docs), labels)) == once
+
+
 def test_best_cutoff_is_certified_and_useful():
     import numpy as np
     bins, good = np.array([0, 40, 150]), np.array([5000, 60, 2])
