@@ -19,10 +19,17 @@ sets; the result is the component of the links.
 * Large groups of near copies: first products pair each node only with two pivots
   of its columns (the best one is verified), and the components found are
   contracted; pivots are first the nodes that share most of their columns, such as
-  the text that others were copied from, then hashed ones.  The last, complete
-  product leaves out pairs inside a component.  No link between components can be
-  lost, because it has every pair of different components.  Columns of more than
-  ``BLOCK_ROWS`` nodes are dealt in blocks of rows, a pair of blocks to a task.
+  the text that others were copied from, then hashed ones.
+* What is left are the columns with several components.  A node takes along the
+  parities of how many of its n-grams fall on each of ``64 * WORDS`` places: two
+  nodes whose parities differ in k places have at least k n-grams that only one of
+  them has, so a pair is discarded inside the product if that is more than the
+  sizes allow.  In rounds each node is first paired with the nearest node of another
+  component (by parities) and links are contracted, while that finds many; the last,
+  complete product leaves out pairs inside a component only.  No link between
+  components can be lost, because it looks at every pair of different components.
+  Columns of more than ``BLOCK_ROWS`` nodes are dealt in blocks of rows, a pair of
+  blocks to a task.
 
 N-grams are 64-bit hashes of word sequences; a set's identity is a 64-bit digest.
 
@@ -48,6 +55,10 @@ from sitegraph.llm.components import connected_components
 
 SIZE, PERCENT = 5, 75
 FREQUENT, BLOCK_ROWS = 65_536, 50_000
+WORDS = 8
+#: rounds of nearest pairs go on while one finds a link for so large a share of the nodes left; it
+#: decides the order of the work only
+WORTH = 0.02
 #: candidate ids are broadcast below this count (16 MB), joined by shuffle above it
 BROADCAST_ROWS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -96,6 +107,21 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Whether each of the places (by the n-gram's upper bits) has an odd number of n-grams, as words."""
+    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places the parities of each two rows differ: at most the number of
+    n-grams that only one of the two sets has."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+PLACES = [f"s{k}" for k in range(WORDS)]
+
+
 def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
     """The most frequent n-grams with their document counts (an order for the
     prefixes; results do not depend on it).  A task sends on what it saw in
@@ -115,8 +141,8 @@ def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
 
 
 def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix): the n-grams of the row that enter the product; none
-    where the partition had this node before."""
+    """(doc_id, n, node, prefix, s0, ...): the n-grams of the row that enter the product, and
+    its parities; none where the partition had this node before."""
     hot = np.array(sorted(frequent), dtype=np.int64)
     df = np.array([frequent[int(h)] for h in hot], dtype=np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((hot, df))  # at most FREQUENT rows
@@ -125,15 +151,16 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
         hot, df = sent.value
         seen: set[int] = set()
         for part in (s for whole in parts for s in slices(whole)):
-            sizes, nodes, offsets, values = [], [], [0], []
+            sizes, nodes, offsets, values, odd = [], [], [0], [], []
             for body in utf8(part.column(1)):
                 grams = ngram_set(body, size)
                 n, node = len(grams), node_of(grams)
                 sizes.append(n)
                 nodes.append(node)
-                first = grams.view(np.int64)[:0]
+                first, own = grams.view(np.int64)[:0], None
                 if n and node not in seen:
                     seen.add(node)
+                    own = parities(grams)
                     grams = grams.view(np.int64)
                     count = n - int(demanded(n, percent)) + 1
                     if len(hot):
@@ -141,16 +168,19 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
                         often = np.where(hot[at] == grams, df[at], 0)
                         grams = grams[np.argsort(often, kind="stable")]
                     first = grams[:count]
+                odd.append(own)
                 values.append(first)
                 offsets.append(offsets[-1] + len(first))
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()),
                                              pa.array(np.concatenate(values) if values else [], type=pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), lists],
-                names=["doc_id", "n", "node", "prefix"])
+                [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), lists,
+                 *[pa.array([None if x is None else x[k] for x in odd], type=pa.int64()) for k in range(WORDS)]],
+                names=["doc_id", "n", "node", "prefix", *PLACES])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>, "
+                                                    + ", ".join(f"{s} bigint" for s in PLACES))
 
 
 def _numpy(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -259,7 +289,7 @@ def _early_of_smaller(node, n, early, node2, n2, early2) -> np.ndarray:
     return np.where((n < n2) | ((n == n2) & (node < node2)), early, early2)
 
 
-def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.ndarray, percent: int):
+def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.ndarray, odd: np.ndarray, percent: int):
     """Pairs of a column's nodes in different components that may link."""
     roots, counts = np.unique(root, return_counts=True)
     largest = roots[np.argmax(counts)]
@@ -269,17 +299,43 @@ def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.nd
     for k, i in enumerate(rest):
         good = (root != root[i]) & (rank < k) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
         good &= _early_of_smaller(node, n, early, node[i], n[i], early[i])
-        other = node[good]
-        yield np.full(len(other), node[i]), np.full(len(other), n[i]), other, n[good]
+        yield _near(np.full(np.count_nonzero(good), i), np.flatnonzero(good), node, n, odd, percent)
 
 
-def complete_products(columns: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components (column ``root``) whose
-    sizes permit a link.  A task holds one block of a column (or a pair of blocks)."""
+def _near(i: np.ndarray, j: np.ndarray, node: np.ndarray, n: np.ndarray, odd: np.ndarray, percent: int):
+    """node, n, node, n and the differing places of the pairs of rows (i, j) whose
+    parities permit a link: linked sets differ in a (100 - percent) / (100 + percent)
+    of the sum of their sizes at most."""
+    k = apart(odd[i], odd[j])
+    good = k * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+    i, j = i[good], j[good]
+    return node[i], n[i], node[j], n[j], k[good]
+
+
+def _nearest(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    """Of the pairs of each node the one with the fewest differing places."""
+    x, y, k = np.append(a, b), np.append(b, a), np.append(k, k)
+    order = np.lexsort((y, k, x))
+    x, y, k = x[order], y[order], k[order]
+    first = np.append(True, x[1:] != x[:-1])[:len(x)]
+    return pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (x, y, k)], names=["x", "y", "apart"])
+
+
+def mixed_columns(columns: DataFrame) -> DataFrame:
+    """The columns (with ``root``) of several components that have an early entry."""
+    mixed = columns.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("any"))
+    return columns.join(mixed.where("low != high AND any").select("h"), "h").drop("root")
+
+
+def _products(columns: DataFrame, percent: int, emit, ddl: str) -> DataFrame:
+    """``emit`` of all pairs in different components (column ``root``) whose sizes and parities
+    permit a link.  A task holds one block of a column (or a pair of blocks)."""
     dealt = columns.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root", "early")
+        "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root", "early",
+        *PLACES)
 
-    def products(h, one, two, node, n, root, early) -> Iterator[pa.RecordBatch]:
+    def products(h, one, two, node, n, root, early, *places) -> Iterator[pa.RecordBatch]:
+        odd = np.stack(places, axis=1)
         new = np.append(True, (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
         start = np.flatnonzero(new)
         ends = np.append(start[1:], len(h))
@@ -296,17 +352,18 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
             good = small[lag:] & (column[lag:] == column[:-lag]) & (root[lag:] != root[:-lag])
             good &= np.minimum(n[lag:], n[:-lag]) * 100 >= np.maximum(n[lag:], n[:-lag]) * percent
             good &= _early_of_smaller(node[lag:], n[lag:], early[lag:], node[:-lag], n[:-lag], early[:-lag])
-            found.append((node[lag:][good], n[lag:][good], node[:-lag][good], n[:-lag][good]))
+            at = np.flatnonzero(good)
+            found.append(_near(at + lag, at, node, n, odd, percent))
         for k in np.flatnonzero(mixed & (size > 16)):
             at = slice(start[k], ends[k])
-            for pairs in _block_pairs(node[at], n[at], root[at], early[at], percent):
+            for pairs in _block_pairs(node[at], n[at], root[at], early[at], odd[at], percent):
                 found.append(pairs)
                 held += len(pairs[0])
                 if held >= 1 << 20:
-                    yield _counted(*map(np.concatenate, zip(*found)))
+                    yield emit(*map(np.concatenate, zip(*found)))
                     found, held = [], 0
         if found:
-            yield _counted(*map(np.concatenate, zip(*found)))
+            yield emit(*map(np.concatenate, zip(*found)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -325,8 +382,19 @@ def complete_products(columns: DataFrame, percent: int) -> DataFrame:
             yield from products(*held)
         release()
 
-    return _summed(dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node")
-                   .mapInArrow(run, PRODUCT))
+    return (dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node").mapInArrow(run, ddl))
+
+
+def nearest_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each node the pair with the nearest node of another component."""
+    rows = _products(columns, percent, _nearest, "x bigint, y bigint, apart bigint")
+    best = rows.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def complete_products(columns: DataFrame, percent: int) -> DataFrame:
+    """All pairs in different components that may link, and the n-grams that they share."""
+    return _summed(_products(columns, percent, lambda a, na, b, nb, k: _counted(a, na, b, nb), PRODUCT))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -386,8 +454,8 @@ def _placed(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int
     often = frequent_ngrams(docs, size, frequent)
     rows = scratch.save(prefixes(docs, often, size, percent), "rows")
     members = scratch.save(rows.select("doc_id", "node", "n"), "members")
-    nodes = scratch.save(members.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
+    nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.max(s).alias(s) for s in PLACES]), "nodes")
     postings = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("early", early(percent))
     columns = scratch.save(shared_columns(postings, often, block_rows), "columns")
     scratch.drop("rows")
@@ -411,13 +479,31 @@ def _placed(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int
         edges = found if edges is None else edges.unionAll(found)
         roots = connected_components(edges, scratch, f"star{k}")
 
-    pairs = complete_products(_with_root(columns, roots), percent).where(
+    left = scratch.save(mixed_columns(_with_root(columns, roots)), "mixed")
+    scratch.drop("columns", "stars0", "stars1", "star-pairs0", "star-pairs1")
+    own = nodes.select("node", *PLACES)
+    n_left = left.select("node").distinct().count()
+    k = 0
+    while True:  # every round but the last joins components, so it ends
+        near = scratch.save(nearest_pairs(_with_root(left.join(own, "node"), roots), percent), f"near-pairs{k}")
+        found = scratch.save(linked(docs, nodes, near, size, percent), f"near-links{k}")
+        n_found = found.count()
+        if n_found:
+            edges = edges.unionAll(found)
+            roots = connected_components(edges, scratch, f"near{k}")
+        k += 1
+        if n_found <= WORTH * n_left:
+            break
+
+    pairs = complete_products(_with_root(left.join(own, "node"), roots), percent).where(
         F.col("shared") >= needed(percent, early_only=True))
     pairs = scratch.save(pairs.select("a", "b"), "pairs")
     more = scratch.save(linked(docs, nodes, pairs, size, percent), "links")
-    roots = connected_components(edges.unionAll(more), scratch, "all")
+    if not more.isEmpty():
+        roots = connected_components(edges.unionAll(more), scratch, "all")
 
-    return members, nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members, nodes.select("node", "doc_id", "n").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
 
 
 def _with_root(columns: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from cases import CLASHES, documents, frame, prose, rows_of
 from pyspark.sql import functions as F
@@ -55,6 +56,51 @@ def test_equals_brute_force(spark, options):
     assert rows_of(J.jaccard_components(docs, **options), "doc_id", "n_shingles", "component_id") == brute(rows)
 
 
+def test_parities_never_differ_in_more_places_than_the_sets(spark):
+    r = random.Random(5)
+    for size in (0, 1, 7, 60, 900):
+        for _ in range(30):
+            x = np.unique(np.array([r.getrandbits(64) for _ in range(size)], dtype=np.uint64))
+            y = np.unique(np.append(x[r.randrange(size + 1):], np.array([r.getrandbits(64) for _ in range(9)], dtype=np.uint64)))
+            k, differ = J.apart(J.parities(x)[None], J.parities(y)[None])[0], len(np.setxor1d(x, y))
+            assert k <= differ and (differ - k) % 2 == 0
+
+
+def near_copies(n, centre):
+    """Copies of one text of 60 words with one word changed each, with or without that text."""
+    r, base = random.Random(11), prose(95, 60).split()
+    rows = [(0, " ".join(base))] if centre else []
+    for k in range(n):
+        w = list(base)
+        w[r.randrange(60)] = f"x{k}"
+        rows.append((k + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("centre", [True, False])
+def test_groups_of_near_copies_with_and_without_a_centre(spark, centre, monkeypatch):
+    """What the products pass on grows with the rows, not with the square of a group."""
+    made = {}
+
+    def counted(name):
+        plain = getattr(J, name)
+
+        def run(*args):
+            out = Scratch(spark, "t").save(plain(*args), "t")
+            made[name] = made.get(name, 0) + out.count()
+            return out
+        monkeypatch.setattr(J, name, run)
+
+    counted("_products")
+    rows = {}
+    for n in (150, 600):
+        made.clear()
+        docs = near_copies(n, centre)
+        assert rows_of(J.jaccard_components(frame(spark, docs).repartition(3)), "doc_id", "n_shingles", "component_id") == brute(docs)
+        rows[n] = made["_products"]
+    assert rows[600] <= 6 * rows[150] + 600
+
+
 def test_one_of_each_stays(spark):
     docs = frame(spark, extra=CLASHES)
     out = J.one_of_each(docs)
