@@ -43,10 +43,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import LOWER, Scratch, crc_mod, read, utf8
+from sitegraph.llm.common import LOWER, Scratch, crc_mod, read, release, utf8
 
 ORDER = 4
-CHUNK_BYTES, PART_BYTES = 24 << 20, 2 << 20
+CHUNK_BYTES, PART_BYTES = 12 << 20, 1 << 20
 START, END, SYMBOLS = 0xFF, 0xFE, 255  # bytes that no UTF-8 text has; the start symbol is never predicted
 FOLDS, SMOOTHING = 10, 0.1
 WORD_BIT = 1 << 62
@@ -128,7 +128,7 @@ def chunk_counts(texts: list[bytes], trained: list[bool], order: int) -> tuple[n
                 k, n = np.unique(found, return_counts=True)
                 keys.append(k)
                 counts.append(n if learn else np.zeros_like(n))
-        if len(keys) >= 32:
+        if len(keys) >= 8:
             k, n = added(keys, counts)
             keys, counts = [k], [n]
     return added(keys, counts)
@@ -220,6 +220,8 @@ def ppm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
         bodies = [b for c in group.column("text").chunks for b in utf8(c)]
         trained = [not x for x in group.column("held_out").to_pylist()]
         found, counts = chunk_counts(bodies, trained, order)
+        del bodies
+        release()
         chunk = group.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array(np.full(len(found), chunk, dtype=np.int32)),
                          "key": pa.array(found.view(np.int64)), "c": pa.array(counts.astype(np.int64))})
@@ -239,7 +241,11 @@ def ppm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
         by = np.argsort(known)
         value, seen = trie.column("value").to_numpy()[by], trie.column("seen").to_numpy()[by]
         bodies = [b for c in docs_of.column("text").chunks for b in utf8(c)]
-        n_tokens, n_known, base, own = chunk_scores(bodies, known[by], value, seen, order)
+        known = known[by]
+        del by
+        n_tokens, n_known, base, own = chunk_scores(bodies, known, value, seen, order)
+        del known, value, seen
+        release()
         return pa.table({
             "doc_id": docs_of.column("doc_id"), "held_out": docs_of.column("held_out"),
             "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
