@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     live = scratch.save(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                         f"{name}-edges0")
     roots = None
-    for k in range(1, 200):
-        if live.isEmpty():
-            break
+    k = 0
+    while not live.isEmpty():  # every round joins components, so it ends
+        k += 1
         ends = live.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(
             live.select(F.col("b").alias("x"), F.col("a").alias("y")))
         hooks = scratch.save(ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("up")), f"{name}-hooks{k}-0")
-        for j in range(1, 200):  # up becomes the end of the chain of hooks
+        for j in count(1):  # up becomes the end of the chain of hooks
             ups = hooks.select(F.col("x").alias("m"), F.col("up").alias("top"))
             hooks = scratch.save(hooks.join(ups, F.col("up") == F.col("m")).select(
                 "x", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), f"{name}-hooks{k}-{j}")
