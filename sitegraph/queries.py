@@ -702,6 +702,20 @@ def str3_stream_fetch_events(spark, sf):
     return spark.read.parquet(ST.run_available_now(fetches, "str3"))
 
 
+@register("src5_stream_responses", ORACLES["src5_assemble_responses"])
+def src5_stream_responses(spark, sf):
+    """Chunks that arrive in four micro-batches, in no order, give the assembled responses."""
+    folder = ST.stream_folder(spark, "src5-input")
+    batches = X.chunk_batches(X.responses(pages(spark, sf)))
+    batches.repartition("batch").write.partitionBy("batch").parquet(folder)
+    schema = batches.drop("batch").schema
+    for number in range(X.CHUNK_BATCHES):  # one file a micro-batch
+        spark.read.schema(schema).parquet(f"{folder}/batch={number}").coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = ST.read_stream(spark, folder + "/in", schema, max_files=1)
+    raw = spark.read.parquet(ST.run_available_now(ST.stream_responses(stream), "src5"))
+    return with_body_digest(HT.split_head_body(raw)).select("response_id", "head", "body_bytes", "body_sha256")
+
+
 @register("str4_stream_archive", D.merged_archive("pages"))
 def str4_stream_archive(spark, sf):
     """Three micro-batches with overlapping save paths, merged one after the other."""

@@ -45,6 +45,8 @@ REASONS = {200: "OK", 301: "Moved Permanently", 302: "Found", 404: "Not Found",
 # Bytes around the body of every tenth response (digit 3): no valid UTF-8.
 BINARY_DIGIT, BINARY_START, BINARY_END = 3, "89504E470D0A1A0A", "FF00FE"
 CHUNK_BYTES = 63
+# Micro-batches of response chunks.
+CHUNK_BATCHES = 4
 # Micro-batches of requests, and the longest time that a request is under way.
 REQUEST_BATCHES, REQUEST_DELAY_MIN = 4, 60
 # ---------------------------------------------------------------------------
@@ -200,6 +202,16 @@ def chunks(resp: DataFrame, size=CHUNK_BYTES) -> DataFrame:
     return c.select("response_id", "seq", F.substring("raw", F.col("seq") * F.col("_sz") + 1, F.col("_sz")).alias("chunk"))
 
 
+def chunk_batches(resp: DataFrame, size=CHUNK_BYTES) -> DataFrame:
+    """The chunks with ``last`` (the connection ends with this one) and ``batch``, the one of
+    CHUNK_BATCHES in which each arrives, in no order."""
+    c = chunks(resp, size)
+    ends = c.groupBy("response_id").agg(F.max("seq").alias("_end"))
+    batch = F.pmod(F.xxhash64("response_id", "seq"), F.lit(CHUNK_BATCHES)).cast("int")
+    return c.join(ends, "response_id").select("response_id", "seq", "chunk", (F.col("seq") == F.col("_end")).alias("last"),
+                                              batch.alias("batch"))
+
+
 def manifest_lines(links: DataFrame, pages: DataFrame) -> DataFrame:
     """``TYPE\\tURL`` text lines of a manifest plus one URL-less line per page."""
     a = links.select(F.concat_ws("\t", "link_type", "url").alias("value"))

@@ -1,4 +1,4 @@
-"""Streaming forms of the link jobs (STR1-4).
+"""Streaming forms of the link jobs (STR1-4) and of the assembly of responses (SRC5).
 
 Sources are file streams; sinks are parquet folders or ``foreachBatch``
 upserts.  Output and state live under the session's checkpoint directory
@@ -10,6 +10,7 @@ which is how the tests and the registered queries use them.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,3 +182,125 @@ def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str =
                                _epoch(F.col(ts_col), "SECOND").alias("ts_s"), ts_us.alias("ts_us"))
     return r.withWatermark("event_time", late).groupBy("save_path").transformWithStateInPandas(
         rule(int(ttl_min) * 60), "save_path string, request_id long, ts_s long", "Append", "EventTime")
+
+
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
+
+
+class _ResponseRule:
+    """State of one response: ``pieces``, its bytes without a gap so far; ``ahead``, the
+    chunks behind a gap by their number; ``at``, how far it has come.  A chunk is stored once
+    and read once, whatever the number of batches."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms  # None: nothing is given up
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState(
+            "at", "next long, last long, ended boolean, head binary, wanted long, have long, until long")
+        self.pieces = handle.getListState("pieces", "piece binary")
+        self.ahead = handle.getMapState("ahead", "seq long", "chunk binary")
+
+    def _forget(self) -> None:
+        for state in (self.at, self.pieces, self.ahead):
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        next_, last, ended, head, wanted, have, until = tuple(self.at.get()) if self.at.exists() else (
+            0, -1, False, b"", -1, 0, None)
+        new: dict[int, bytes] = {}
+        newest = 0
+        for pdf in rows:
+            newest = max(newest, int(pdf["ts_ms"].max()))
+            for seq, chunk, end in zip(pdf["seq"], pdf["chunk"], pdf["last"]):
+                if end:
+                    last = int(seq)
+                new.setdefault(int(seq), bytes(chunk) if chunk is not None else b"")
+        held, pieces = self.ahead.exists(), []
+
+        def complete() -> bool:
+            return 0 <= last < next_ or (ended and 0 <= wanted <= have)
+
+        while not complete():
+            if next_ in new:
+                chunk = new.pop(next_)
+            elif held and self.ahead.containsKey((next_,)):
+                chunk = bytes(self.ahead.getValue((next_,))[0])
+                self.ahead.removeKey((next_,))
+            else:
+                break
+            next_ += 1
+            pieces.append(chunk)
+            if ended:
+                have += len(chunk)
+                continue
+            start = max(0, len(head) - 3)  # a separator may lie across chunks
+            head = bytes(head) + chunk
+            cut = head.find(b"\r\n\r\n", start)
+            if cut >= 0:
+                found = _LENGTH.search(head, 0, cut)
+                ended, wanted, have = True, int(found.group(1)) if found else -1, len(head) - cut - 4
+                head = b""
+        if complete():
+            if until is not None:
+                self.handle.deleteTimer(until)
+            raw = b"".join([bytes(p[0]) for p in self.pieces.get()] if self.pieces.exists() else []) + b"".join(pieces)
+            if ended and 0 <= wanted < have:
+                raw = raw[:len(raw) - (have - wanted)]
+            self._forget()
+            yield pd.DataFrame({"response_id": [key[0]], "raw": [raw]})
+            return
+        if pieces:
+            self.pieces.appendList([(p,) for p in pieces])
+        for seq, chunk in new.items():
+            if seq > next_:
+                self.ahead.updateValue((seq,), (chunk,))
+        if self.idle_ms is not None and (until is None or newest + self.idle_ms > until):
+            if until is not None:
+                self.handle.deleteTimer(until)
+            until = newest + self.idle_ms
+            self.handle.registerTimer(until)
+        self.at.update((next_, last, ended, bytes(head), wanted, have, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._forget()
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+def stream_responses(chunks_stream: DataFrame, id_col: str = "response_id", ts_col: str | None = None,
+                     late: str = "1 hour", idle: int = 3600) -> DataFrame:
+    """SRC5 as a stream: ``(response_id, raw)`` of each response as soon as it is complete, from
+    chunks (``response_id, seq, chunk, last``) in any order and batch.
+
+    It is complete when all chunks up to the one marked ``last`` (the connection's end) are
+    there, or when the head has ended, at the first CRLFCRLF wherever chunks are cut, and the
+    body has the bytes that Content-Length names; what comes after these is left out.  The
+    first of several chunks of one number counts.  A null chunk is empty; rows without an id
+    or a number are left out, and chunks that come again after their response are a new
+    response under way.
+
+    State (RocksDB) is that of the responses under way.  With ``ts_col``, the time of a chunk, a
+    response is given up without a row once the watermark (``late`` behind the newest chunk)
+    is ``idle`` seconds past its last chunk, and chunks behind the watermark are dropped;
+    without it a response that never ends keeps its state."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    rule = type("ResponseRule", (_ResponseRule, StatefulProcessor), {})
+    c = chunks_stream.where(F.col(id_col).isNotNull() & (F.col("seq") >= 0))
+    timed = [] if ts_col is None else [F.timestamp_micros(_epoch(F.col(ts_col), "MICROSECOND")).alias("event_time")]
+    ms = F.lit(0).cast("long") if ts_col is None else _epoch(F.col(ts_col), "MILLISECOND")
+    c = c.select(*timed, F.col(id_col).alias("response_id"), F.col("seq").cast("long").alias("seq"), "chunk",
+                 F.coalesce("last", F.lit(False)).alias("last"), ms.alias("ts_ms"))
+    kind = c.schema["response_id"].dataType.simpleString()
+    grouped = (c if ts_col is None else c.where("event_time IS NOT NULL").withWatermark("event_time", late)).groupBy("response_id")
+    out = grouped.transformWithStateInPandas(rule(None if ts_col is None else idle * 1000), f"response_id {kind}, raw binary",
+                                             "Append", "None" if ts_col is None else "EventTime")
+    return out.withColumnRenamed("response_id", id_col)

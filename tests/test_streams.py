@@ -67,3 +67,63 @@ def test_too_late_requests_are_dropped_and_boundaries_count(spark):
     got, _ = _fetches(spark, [[(1, a, 100), (2, b, 0)], [(3, a, 110), (4, a, 20), (5, b, 90)], [(6, a, 111), (None, None, 900)]],
                       ttl_min=10, late="5 minutes")
     assert got == [1, 2, 6]  # 3 is exactly ten minutes old: served; 4 and 5 came behind the watermark
+
+
+def _assembled(spark, batches, **options):
+    """Run the assembly over hand-made micro-batches of (id, seq, chunk, last[, ts]): rows and progress."""
+    from sitegraph.streaming import streams as ST
+    folder, progress = ST.stream_folder(spark, "test-chunks"), []
+    schema = "response_id long, seq int, chunk binary, last boolean" + (", ts timestamp_ntz" if options else "")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = ST.read_stream(spark, folder, spark.read.parquet(folder).schema, max_files=1)
+    out = ST.run_available_now(ST.stream_responses(stream, **options), "test-chunks", progress=progress)
+    return sorted((r.response_id, bytes(r.raw)) for r in spark.read.parquet(out).collect()), progress
+
+
+def test_responses_are_assembled_from_chunks_in_any_order_and_batch(spark):
+    sized = b"HTTP/1.1 200 OK\r\ncontent-LENGTH: 4\r\n\r\nabcd"
+    closed = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n\xff\x00\r\n\r\nbody"
+    rows = []
+    for size in (1, 2, 3, 7, 1000):  # separators across chunks and batches
+        pieces = [closed[k:k + size] for k in range(0, len(closed), size)]
+        rows += [(size, k, p, k == len(pieces) - 1) for k, p in enumerate(pieces)]
+        # never marked as closed, and with bytes after the body
+        pieces = [(sized + b"zz")[k:k + size] for k in range(0, len(sized) + 2, size)]
+        rows += [(-size, k, p, False) for k, p in enumerate(pieces)]
+    rows += [(50, 1, b"x", True), (60, 0, None, True), (None, 0, b"x", True), (70, None, b"x", True)]  # 50 lacks its start
+    batches = [[], [], [], []]
+    for k, r in enumerate(sorted(rows, key=lambda r: hash((str(r[0]), r[1], 5)))):
+        batches[(k * 7 + (r[1] or 0)) % 4].append(r)
+    got, progress = _assembled(spark, batches)
+    want = [(s, closed) for s in (1, 2, 3, 7, 1000)] + [(-s, sized) for s in (1, 2, 3, 7, 1000)] + [(60, b"")]
+    got = [(i, raw) for i, raw in got if i >= 0 or raw != b""]
+    assert got == sorted(want)
+
+
+def test_repeated_chunks_count_once_and_state_ends_with_the_response(spark):
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    got, progress = _assembled(spark, [[(1, 1, b"b", False), (1, 1, b"b", False), (2, 0, head, False)],
+                                       [(1, 1, b"b", False), (1, 2, b"c", True)],
+                                       [(1, 0, head, False), (2, 1, b"", True)]])
+    assert got == [(1, head + b"bc"), (2, head)]
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_a_response_without_an_end_is_given_up(spark):
+    from datetime import datetime, timedelta
+
+    def at(minute):
+        return datetime(2024, 1, 1) + timedelta(minutes=minute)
+    got, progress = _assembled(spark, [[(1, 0, b"a", False, at(0)), (2, 0, b"b", False, at(0))],
+                                       [(2, 1, b"c", False, at(50))], [(3, 0, b"x", True, at(100))],
+                                       [(2, 2, b"d", True, at(104))]],
+                               ts_col="ts", late="5 minutes", idle=3600)
+    assert got == [(2, b"bcd"), (3, b"x")]  # 1 had nothing for more than an hour
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_streamed_responses_equal_the_batch(spark):
+    streamed = E.queries()["src5_stream_responses"](spark, SF)
+    batch = E.queries()["src5_assemble_responses"](spark, SF)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
