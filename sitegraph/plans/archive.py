@@ -14,6 +14,7 @@ from sitegraph.operators import links as L
 from sitegraph.operators import rewrite as RW
 from sitegraph.operators.redirects import with_effective_url
 from sitegraph.plans.crawl import crawl_manifest, crawl_rfc
+from sitegraph.plans.ledger import Ledger, content_digest
 
 
 def page_bundle(pages: DataFrame, archive: DataFrame, resources_only: bool = False) -> DataFrame:
@@ -35,14 +36,16 @@ def _now() -> str:
 
 def fetch_plan(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth: int = 1, scope: str = "same",
                ttl_min: int | None = 1000, as_of: str | None = None, force: bool = False,
-               resolved: DataFrame | None = None) -> DataFrame:
+               resolved: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """(save_path, url, link_type, page_id): the save paths that the crawl's manifest
     names and no fresh copy covers, with the corpus page that holds each (lowest
     page_id; NULL if none).  Pages are matched by their page key, other resources
     by host and path.  Only keys and ids are shuffled, no HTML.  With ``resolved``
     (JN4) url and save path are those that redirects lead to; a page held only under
-    a URL that leads there stands for it."""
-    man = crawl_manifest(seeds, corpus, depth, scope, resolved=resolved).select("link_type", "url")
+    a URL that leads there stands for it.  ``manifest``: that of an earlier crawl of
+    the same seeds, instead of a new one."""
+    man = crawl_manifest(seeds, corpus, depth, scope, resolved=resolved) if manifest is None else manifest
+    man = man.select("link_type", "url")
     man = man.unionByName(seeds.select(F.lit("HTML").alias("link_type"), "url"))
     if resolved is not None:
         man = with_effective_url(man.distinct(), resolved).select("link_type", F.col("effective_url").alias("url"),
@@ -71,7 +74,11 @@ def archive_site(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth:
     copies are held against.  What the corpus lacks: ``missing_fetches``.
     ``resolved`` (JN4's table) follows redirects."""
     as_of = as_of or _now()
-    plan = fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force, resolved)
+    return fetched_rows(fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force, resolved), corpus, as_of)
+
+
+def fetched_rows(plan: DataFrame, corpus: DataFrame, as_of: str) -> DataFrame:
+    """PIP1: the archive rows of a ``fetch_plan``, links of pages rewritten."""
     # the narrow plan meets the pages once, by page id
     fetched = plan.where("page_id IS NOT NULL").join(corpus.select("page_id", "html"), "page_id")
     hint = F.concat(F.lit("./"), F.col("save_path"))
@@ -80,6 +87,28 @@ def archive_site(seeds: DataFrame, corpus: DataFrame, archive: DataFrame, depth:
                           body.alias("body"), F.to_timestamp_ntz(F.lit(as_of)).alias("fetched_at"))
 
 
+def archive_run(ledger: Ledger, seeds: DataFrame, corpus: DataFrame, archive: DataFrame, as_of: str, depth: int = 1,
+                scope: str = "same", ttl_min: int | None = 1000, force: bool = False,
+                resolved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """PIP1 as a run that can be taken up again: (archive rows, missing fetches), those of
+    ``archive_site`` and ``missing_fetches``.  The manifest, the fetch plan and the fetched rows are
+    stages of the ledger: a stage that finished for the same tables and parameters is
+    read, also by a later run; a new archive needs a new plan, but not a new crawl.
+    The tables are digested once a run, by one pass over each."""
+    pages = content_digest(corpus.select("page_id", "url", "html"))
+    led = None if resolved is None else content_digest(resolved)
+    start = content_digest(seeds)
+    manifest = ledger.stage("manifest", lambda: crawl_manifest(seeds, corpus, depth, scope, resolved=resolved),
+                            {"seeds": start, "corpus": pages, "resolved": led}, depth=depth, scope=scope)
+    held = content_digest(archive.select("save_path", "fetched_at"))
+    plan = ledger.stage(
+        "plan", lambda manifest: fetch_plan(seeds, corpus, archive, depth, scope, ttl_min, as_of, force, resolved, manifest),
+        {"manifest": manifest, "seeds": start, "corpus": pages, "archive": held, "resolved": led},
+        ttl_min=ttl_min, as_of=as_of, force=force)
+    rows = ledger.stage("rows", lambda plan: fetched_rows(plan, corpus, as_of), {"plan": plan, "corpus": pages}, as_of=as_of)
+    return rows.table, missing_fetches(plan.table)
+
+
 def missing_fetches(plan: DataFrame) -> DataFrame:
     """PIP1: the lines of a ``fetch_plan`` that the corpus could not serve (save_path,
     url, link_type): the run's failure table."""

@@ -7,6 +7,7 @@ correctness gate; queries without one are checked on row counts only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from sitegraph.operators import aggs as A
 from sitegraph.operators import joins as J
 from sitegraph.operators import links as L
 from sitegraph.operators import redirects as R
+from sitegraph.session import ensure_checkpoint_dir
 from sitegraph.sources import derived as X
 from sitegraph.sources import http as HT
 from sitegraph.tables import table
@@ -838,6 +840,20 @@ def pip1_archive_redirected(spark, sf):
                         as_of=X.AS_OF, resolved=_resolved(spark, sf))
 
 
+@register("pip1_archive_run", _pip1_sql())
+def pip1_archive_run(spark, sf):
+    """The run with a ledger, made twice: the second run takes every stage from the first."""
+    from sitegraph.plans.archive import archive_run
+    from sitegraph.plans.ledger import Ledger
+    p = pages(spark, sf)
+    corpus = X.pages_linked(p)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pip1-run-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rows, _ = archive_run(Ledger(spark, root), corpus.select("url"), corpus, X.archive(p), X.AS_OF, depth=1,
+                              scope="none", ttl_min=TTL_MIN)
+    return rows
+
+
 @register("crl1_crawl_rfc_redirected", D.crawl_rfc_levels(_RICH, 2, host_preserve=True, resolved=_EFFECTIVE))
 def crl1_crawl_rfc_redirected(spark, sf):
     """The page crawler through redirects: links of the page reached, read from the URL asked for."""
