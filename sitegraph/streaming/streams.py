@@ -37,12 +37,24 @@ def read_stream(spark: SparkSession, folder: str, schema, file_glob: str | None
     return r.parquet(folder)
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append", progress: list | None = None) -> str:
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """File stream over the table ``name``.parquet of ``folder``, be it one file or a
+    folder of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return read_stream(spark, path.toString(), schema)
+    return read_stream(spark, folder, schema, file_glob=f"{name}.parquet")  # a file stream reads folders
+
+
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", progress: list | None = None,
+                      base: str | None = None) -> str:
     """Drain the stream into a parquet folder; return the folder.  State is kept in RocksDB
     (on disk, with snapshots below the checkpoint folder), not in the heap.  ``progress``
-    gets what Spark reports of each micro-batch."""
+    gets what Spark reports of each micro-batch.  A run with the ``base`` folder of an
+    earlier one goes on from its state and adds to its output."""
     spark = df.sparkSession
-    base = stream_folder(spark, name)
+    base = base or stream_folder(spark, name)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
@@ -68,13 +80,14 @@ def stream_url_set(links_stream: DataFrame, key: str = "url") -> DataFrame:
     return links_stream.select(key).dropDuplicates([key])
 
 
-def stream_archive(rows_stream: DataFrame, root: str, name: str = "archive"):
+def stream_archive(rows_stream: DataFrame, root: str, name: str = "archive", base: str | None = None):
     """STR4: every micro-batch is appended to the archive at ``root`` (SNK3): the
     newest copy per save path counts.  The table remembers the last batch of this
     stream, so one that is repeated after a failure is added once.  Buckets whose
-    deltas have become a large share are compacted after a batch, the others stay."""
+    deltas have become a large share are compacted after a batch, the others stay.
+    A run with the ``base`` folder of an earlier one goes on after its batches."""
     spark = rows_stream.sparkSession
-    base = stream_folder(spark, name)
+    base = base or stream_folder(spark, name)
 
     def add(df, number):
         W.write_archive(df, root, writer=base, batch=number)

@@ -19,6 +19,20 @@ def test_stream_manifest_equals_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_streams_over_a_table_of_several_files_and_an_empty_one(spark, tmp_path):
+    rows = [(k, f"http://h{k % 3}.org/p{k}", f'<a href="/x{k % 4}">x</a><a href="http://o.org/">o</a>') for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(5).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    pages.where("page_id < 0").write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    for name, scope in (("str1_stream_manifest", "same"), ("str2_stream_url_set", "none")):
+        batch = L.page_links(pages, scope).select("link_type", "url")
+        batch = batch if name.startswith("str1") else batch.select("url").distinct()
+        streamed = E.queries()[name](spark, str(tmp_path / "many"))
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) != []
+        none = E.queries()[name](spark, str(tmp_path / "none"))
+        assert none.columns == batch.columns and none.collect() == []
+
+
 def test_exact_ttl_stream_matches_sequential_model(spark):
     from sitegraph.queries import TTL_MIN
     got = {(r.save_path, r.request_id) for r in E.queries()["str3_stream_fetch_events"](spark, SF).collect()}
