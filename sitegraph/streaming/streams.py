@@ -107,65 +107,74 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _FetchRule:
-    """State of one save path: the second of its last fetch, and the requests (the first of
-    each second) that the watermark has not passed yet.  Requests are decided in the order
-    of time once no earlier one can come; a fetch is forgotten as soon as no later request
-    can be served from its copy, so both fall to nothing when a path is not asked for."""
+    """State of a group of save paths: the second of each path's last fetch, and the requests
+    (the first of each path and second) that the watermark has not passed yet.  Requests are
+    decided in the order of time once no earlier one can come; a fetch is forgotten as soon
+    as no later request can be served from its copy, so both fall to nothing when paths are
+    not asked for.  A group's state is read and written as a whole, once a micro-batch."""
 
     def __init__(self, ttl_s: int):
         self.ttl_s = ttl_s
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "fetched long")
-        self.pending = handle.getListState("pending", "ts_s long, ts_us long, request_id long")
+        self.fetched = handle.getListState("fetched", "save_path string, ts_s long")
+        self.pending = handle.getListState("pending", "save_path string, ts_s long, ts_us long, request_id long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def _forgotten_at(self, fetched: int) -> int:
         """Watermark (ms) from which a request is later than the copy of this second lives."""
         return (fetched + self.ttl_s + 1) * 1000 - 1
 
-    def _decide(self, key, waiting, watermark: int):
+    def _decide(self, rows, watermark: int):
         """Decide what the watermark has passed, keep the rest, set the next timer."""
         import pandas as pd
-        last = self.last.get()[0] if self.last.exists() else None
-        known, out = last, []
-        late = [r for r in waiting if r[1] // 1000 > watermark]
-        for ts_s, _, request_id in waiting[:len(waiting) - len(late)]:
-            if last is None or ts_s - last > self.ttl_s:
-                last = ts_s
-                out.append((key[0], request_id, ts_s))
-        if late:
-            self.pending.put(late)
-        elif self.pending.exists():
-            self.pending.clear()
-        if last is not None and watermark >= self._forgotten_at(last):
-            last = None
-        if last is None and known is not None:
-            self.last.clear()
-        elif last != known:
-            self.last.update((last,))
-        if late:
-            self.handle.registerTimer(late[0][1] // 1000 + 1)
-        if last is not None:
-            self.handle.registerTimer(self._forgotten_at(last))
+        timer = self.timer.get()
+        known = timer is not None  # a group without a timer has no state
+        last = dict(map(tuple, self.fetched.get())) if known else {}
+        first = {(r[0], r[1]): tuple(r) for r in self.pending.get()} if known else {}
+        had = bool(last), bool(first)
+        for r in rows:
+            have = first.get(r[:2])
+            if have is None or r[2:] < have[2:]:
+                first[r[:2]] = r
+        out, late = [], []
+        for r in sorted(first.values(), key=lambda r: r[2:]):
+            path, ts_s, ts_us, request_id = r
+            if ts_us // 1000 > watermark:
+                late.append(r)
+            elif path not in last or ts_s - last[path] > self.ttl_s:
+                last[path] = ts_s
+                out.append((path, request_id, ts_s))
+        last = {path: ts_s for path, ts_s in last.items() if watermark < self._forgotten_at(ts_s)}
+        for state, rows_, before in ((self.fetched, list(last.items()), had[0]), (self.pending, late, had[1])):
+            if rows_:
+                state.put(rows_)
+            elif before:
+                state.clear()
+        ends = [self._forgotten_at(min(last.values()))] if last else []
+        ends += [late[0][2] // 1000 + 1] if late else []
+        if known and (not ends or timer[0] != min(ends)):
+            if timer[0] > watermark:  # else it has expired
+                self.handle.deleteTimer(timer[0])
+            if not ends:
+                self.timer.clear()
+        if ends and (not known or timer[0] != min(ends)):
+            self.handle.registerTimer(min(ends))
+            self.timer.update((min(ends),))
         if out:
             yield pd.DataFrame(out, columns=["save_path", "request_id", "ts_s"])
 
-    def _waiting(self) -> list[tuple[int, int, int]]:
-        return [tuple(int(v) for v in r) for r in self.pending.get()] if self.pending.exists() else []
-
     def handleInputRows(self, key, rows, timerValues):
-        first, watermark = {r[0]: r for r in self._waiting()}, timerValues.getCurrentWatermarkInMs()
+        watermark, some = timerValues.getCurrentWatermarkInMs(), []
         for pdf in rows:
-            pdf = pdf[pdf["request_id"].notna() & (pdf["ts_us"] // 1000 > watermark)]  # else too late
-            pdf = pdf.sort_values(["ts_us", "request_id"]).drop_duplicates("ts_s")
-            for ts_s, ts_us, request_id in zip(pdf["ts_s"], pdf["ts_us"], pdf["request_id"]):
-                row = (int(ts_s), int(ts_us), int(request_id))
-                first[row[0]] = min(first.get(row[0], row), row, key=lambda r: r[1:])
-        yield from self._decide(key, sorted(first.values(), key=lambda r: r[1:]), watermark)
+            pdf = pdf[pdf["asked"] & (pdf["ts_us"] // 1000 > watermark)]  # else too late
+            some += zip(pdf["save_path"].tolist(), pdf["ts_s"].tolist(), pdf["ts_us"].tolist(), pdf["request_id"].tolist())
+        if some:
+            yield from self._decide(some, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._decide(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+        yield from self._decide([], timerValues.getCurrentWatermarkInMs())
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         pass
@@ -174,7 +183,8 @@ class _FetchRule:
         pass
 
 
-def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts", late: str = "1 hour") -> DataFrame:
+def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str = "ts", late: str = "1 hour",
+                        groups: int = 1024) -> DataFrame:
     """STR3, exact: the requests that trigger a network fetch when a copy is reused
     while ``ttl*60 >= now - fetched`` (whole seconds), i.e. a key is fetched again only
     once its last copy is older than the TTL.
@@ -183,17 +193,25 @@ def stream_fetch_events(requests_stream: DataFrame, ttl_min: int, ts_col: str =
     comes later is dropped.  A request is decided once the watermark has passed it, so
     the result is that of the requests in the order of time.  State (RocksDB, with
     event-time timers) holds a path's undecided requests, one for each second, and the
-    time of its last fetch until the copy is too old for any request to come.  A row without
-    a request id (a heartbeat) only moves the watermark on.
+    time of its last fetch until the copy is too old for any request to come.  Paths are dealt
+    by their hash into so many ``groups``, whose state is read and written together: a call
+    to the state store costs far more than a path's row, so with a group for each path these
+    calls are nearly all of the time.  More groups suit more paths or smaller micro-batches.
+    A row without a request id (a heartbeat) only moves the watermark on.
     Output: (save_path, request_id, ts_s) of the fetching requests."""
     from pyspark.sql.streaming import StatefulProcessor
 
     rule = type("FetchRule", (_FetchRule, StatefulProcessor), {})
     ts_us = _epoch(F.col(ts_col), "MICROSECOND")
-    r = requests_stream.select(F.timestamp_micros(ts_us).alias("event_time"),
-                               U.save_path("url", F.col("link_type")).alias("save_path"), "request_id",
-                               _epoch(F.col(ts_col), "SECOND").alias("ts_s"), ts_us.alias("ts_us"))
-    return r.withWatermark("event_time", late).groupBy("save_path").transformWithStateInPandas(
+    path = U.save_path("url", F.col("link_type"))
+    # no nulls among the numbers, which pandas would take for floats: a request without time is too late
+    r = requests_stream.select(F.timestamp_micros(ts_us).alias("event_time"), path.alias("save_path"),
+                               F.col("request_id").isNotNull().alias("asked"),
+                               F.coalesce(F.col("request_id").cast("long"), F.lit(0)).alias("request_id"),
+                               F.coalesce(_epoch(F.col(ts_col), "SECOND"), F.lit(-1 << 62)).alias("ts_s"),
+                               F.coalesce(ts_us, F.lit(-1 << 62)).alias("ts_us"))
+    r = r.withColumn("path_group", F.pmod(F.xxhash64("save_path"), F.lit(groups)))
+    return r.withWatermark("event_time", late).groupBy("path_group").transformWithStateInPandas(
         rule(int(ttl_min) * 60), "save_path string, request_id long, ts_s long", "Append", "EventTime")
 
 
@@ -201,9 +219,10 @@ _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
 
 
 class _ResponseRule:
-    """State of one response: ``pieces``, its bytes without a gap so far; ``ahead``, the
-    chunks behind a gap by their number; ``at``, how far it has come.  A chunk is stored once
-    and read once, whatever the number of batches."""
+    """State of one response: ``pieces``, its chunks by number as they came; ``at``, how far it
+    has come without a gap and the sizes of the chunks ahead of the gap.  A chunk is stored
+    once and read when the response is complete, and before only where the head still goes on
+    in it; a micro-batch takes a few calls to the state store, whatever the number of chunks."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms  # None: nothing is given up
@@ -211,44 +230,45 @@ class _ResponseRule:
     def init(self, handle) -> None:
         self.handle = handle
         self.at = handle.getValueState(
-            "at", "next long, last long, ended boolean, head binary, wanted long, have long, until long")
-        self.pieces = handle.getListState("pieces", "piece binary")
-        self.ahead = handle.getMapState("ahead", "seq long", "chunk binary")
+            "at", "next long, last long, ended boolean, head binary, wanted long, have long, until long, ahead binary")
+        self.pieces = handle.getListState("pieces", "seq long, piece binary")
 
     def _forget(self) -> None:
-        for state in (self.at, self.pieces, self.ahead):
+        for state in (self.at, self.pieces):
             state.clear()
 
     def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
-        next_, last, ended, head, wanted, have, until = tuple(self.at.get()) if self.at.exists() else (
-            0, -1, False, b"", -1, 0, None)
+        at = self.at.get()
+        known = at is not None
+        next_, last, ended, head, wanted, have, until, ahead = tuple(at) if known else (0, -1, False, b"", -1, 0, None, b"")
+        sizes: dict[int, int] = dict(np.frombuffer(bytes(ahead), dtype=np.int64).reshape(-1, 2).tolist())
         new: dict[int, bytes] = {}
         newest = 0
         for pdf in rows:
             newest = max(newest, int(pdf["ts_ms"].max()))
-            for seq, chunk, end in zip(pdf["seq"], pdf["chunk"], pdf["last"]):
+            for seq, chunk, end in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), pdf["last"].tolist()):
                 if end:
-                    last = int(seq)
-                new.setdefault(int(seq), bytes(chunk) if chunk is not None else b"")
-        held, pieces = self.ahead.exists(), []
+                    last = seq
+                if seq >= next_ and seq not in sizes and seq not in new:
+                    new[seq] = bytes(chunk) if chunk is not None else b""
+        sizes.update((seq, len(chunk)) for seq, chunk in new.items())
+        held = None
 
         def complete() -> bool:
             return 0 <= last < next_ or (ended and 0 <= wanted <= have)
 
-        while not complete():
-            if next_ in new:
-                chunk = new.pop(next_)
-            elif held and self.ahead.containsKey((next_,)):
-                chunk = bytes(self.ahead.getValue((next_,))[0])
-                self.ahead.removeKey((next_,))
-            else:
-                break
+        while not complete() and next_ in sizes:
+            size = sizes.pop(next_)
             next_ += 1
-            pieces.append(chunk)
             if ended:
-                have += len(chunk)
+                have += size
                 continue
+            chunk = new.get(next_ - 1)
+            if chunk is None:
+                held = held or {seq: bytes(piece) for seq, piece in self.pieces.get()}
+                chunk = held[next_ - 1]
             start = max(0, len(head) - 3)  # a separator may lie across chunks
             head = bytes(head) + chunk
             cut = head.find(b"\r\n\r\n", start)
@@ -259,23 +279,23 @@ class _ResponseRule:
         if complete():
             if until is not None:
                 self.handle.deleteTimer(until)
-            raw = b"".join([bytes(p[0]) for p in self.pieces.get()] if self.pieces.exists() else []) + b"".join(pieces)
+            if known:
+                new.update(held or {seq: bytes(piece) for seq, piece in self.pieces.get()})
+                self._forget()
+            raw = b"".join(new[seq] for seq in range(next_))
             if ended and 0 <= wanted < have:
                 raw = raw[:len(raw) - (have - wanted)]
-            self._forget()
             yield pd.DataFrame({"response_id": [key[0]], "raw": [raw]})
             return
-        if pieces:
-            self.pieces.appendList([(p,) for p in pieces])
-        for seq, chunk in new.items():
-            if seq > next_:
-                self.ahead.updateValue((seq,), (chunk,))
+        if new:
+            self.pieces.appendList(list(new.items()))
         if self.idle_ms is not None and (until is None or newest + self.idle_ms > until):
             if until is not None:
                 self.handle.deleteTimer(until)
             until = newest + self.idle_ms
             self.handle.registerTimer(until)
-        self.at.update((next_, last, ended, bytes(head), wanted, have, until))
+        ahead = np.array(sorted(sizes.items()), dtype=np.int64).tobytes()
+        self.at.update((next_, last, ended, bytes(head), wanted, have, until, ahead))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._forget()
