@@ -7,6 +7,10 @@ part files), the archive is a snapshot table in hash buckets of the save path.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,43 @@ def read_saved(spark: SparkSession, root: str) -> DataFrame:
     return S.read(spark, root)
 
 
+def write_tree(rows: DataFrame, root: str, folder: str = "folder", body: str = "body", end: bytes = b"") -> int:
+    """A saved tree: the file ``part-0`` in every ``folder`` below ``root``, with the bodies of the rows
+    of that folder one after the other, each followed by ``end`` (a null body is empty).  Returns
+    the number of files.
+
+    A job of a file a page is bound by what a file costs: Spark's file writers make, rename
+    twice and check a file and its folders, and the driver takes part in each.  Here the tasks write the
+    files themselves, in parallel, through pyarrow's file systems.  A file gets its name when it is
+    whole, so a repeated or speculative attempt replaces it by the same bytes."""
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        at = "/" + root[len("file:"):].lstrip("/") if root.startswith("file:") else root
+        files, base = fs.FileSystem.from_uri(at)
+        attempt, done, held, out = uuid.uuid4().hex, 0, None, None
+
+        def close() -> None:
+            out.close()
+            files.move(f"{base}/{held}/.{attempt}", f"{base}/{held}/part-0")
+
+        for part in parts:
+            for name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if name != held:
+                    if out is not None:
+                        close()
+                    files.create_dir(f"{base}/{name}")
+                    held, done = name, done + 1
+                    out = files.open_output_stream(f"{base}/{name}/.{attempt}")
+                out.write((data or b"") + end)
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], type=pa.int64())], names=["files"])
+
+    bodies = rows.select(F.col(folder).alias("folder"), F.col(body).cast("binary").alias("body"))
+    written = bodies.repartition("folder").sortWithinPartitions("folder").mapInArrow(write, "files bigint")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def failures(parsed: DataFrame) -> DataFrame:
     """SNK4: the responses kept for inspection: every bad status, throttled
     ones (429) included."""
