@@ -46,11 +46,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import LOWER, Scratch, fresh, mix64, read, release, slices, utf8
+from sitegraph.llm.common import LOWER, Scratch, fresh, mix64, read, release, slices
 from sitegraph.llm.components import connected_components
 
 SIZE, PERCENT = 5, 75
@@ -93,6 +94,37 @@ def ngram_set(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def ngram_sets(texts: pa.Array, size: int = SIZE, most: int = 4 << 20) -> Iterator[np.ndarray]:
+    """``ngram_set`` of each text (a null text is empty), for a whole column: the words of texts of
+    about ``most`` bytes together are found by Arrow, and each distinct one is hashed once."""
+    length = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    piece = np.flatnonzero(np.diff(length // most, prepend=0))
+    for low, high in zip([0, *piece], [*piece, len(texts)]):
+        if low == high:
+            continue
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(low, high - low), "")))
+        words = lists.flatten()
+        real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # blanks at the ends give empty words
+        end = np.append(0, np.cumsum(real))[np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))]
+        coded = words.dictionary_encode()
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()),
+                            dtype=np.uint64, count=len(coded.dictionary))
+        ids = known[coded.indices.to_numpy()][real]
+        total = np.full(max(len(ids) - size + 1, 0), size, dtype=np.uint64)
+        for j in range(size if len(total) else 0):
+            total += ids[j:len(ids) - size + 1 + j] * _POWERS[size - j]
+        total = mix64(total)
+        for start, stop in zip(end[:-1], end[1:]):
+            if stop - start >= size:
+                grams = np.sort(total[start:stop - size + 1])
+            else:
+                n = stop - start
+                grams = mix64(np.array([n], dtype=np.uint64) + (ids[start:stop] * _POWERS[n:0:-1]).sum(dtype=np.uint64)) \
+                    if n else ids[:0]
+            again = grams[1:] == grams[:-1]
+            yield grams[np.append(True, ~again)] if again.any() else grams
+
+
 def demanded(n, percent: int = PERCENT):
     """Smallest overlap that a set of size n needs with any set (ceil of percent)."""
     return -(-n * percent // 100)
@@ -128,7 +160,7 @@ def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
     several documents of a batch; at most ``most`` rows are gathered."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in (s for part in parts for s in slices(part)):
-            grams = np.sort(np.concatenate([ngram_set(b, size) for b in utf8(some.column(0))]))
+            grams = np.sort(np.concatenate(list(ngram_sets(some.column(0), size))))
             first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[:len(grams)])
             n = np.diff(np.append(first, len(grams)))
             first, n = first[n >= 3], n[n >= 3]
@@ -152,8 +184,7 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
         seen: set[int] = set()
         for part in (s for whole in parts for s in slices(whole)):
             sizes, nodes, offsets, values, odd = [], [], [0], [], []
-            for body in utf8(part.column(1)):
-                grams = ngram_set(body, size)
+            for grams in ngram_sets(part.column(1), size):
                 n, node = len(grams), node_of(grams)
                 sizes.append(n)
                 nodes.append(node)
@@ -407,8 +438,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int)
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (s for whole in parts for s in slices(whole, 512)):
             nodes, grams = [], []
-            for node, body in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                own = ngram_set(body, size)
+            for node, own in zip(part.column(0).to_pylist(), ngram_sets(part.column(1), size)):
                 if node_of(own) == node:  # an id may stand on several rows
                     nodes.append(node)
                     grams.append(own.tobytes())
@@ -521,8 +551,7 @@ def set_node(text, size: int = SIZE):
     """Column: the node of the text's set, null if it is empty."""
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
-        sets = (ngram_set(body, size) for body in utf8(texts))
-        return pa.array([node_of(own) if len(own) else None for own in sets], type=pa.int64())
+        return pa.array([node_of(own) if len(own) else None for own in ngram_sets(texts, size)], type=pa.int64())
 
     return run.asNondeterministic()(text)  # evaluated once, also under a filter
 

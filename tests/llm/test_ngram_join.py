@@ -150,3 +150,15 @@ def test_common_passages_make_no_pairs(spark):
         "node", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("early", J.early(75)), often, 50_000)
     assert table.count() < 300
     assert J.jaccard_components(docs).where("component_id != doc_id").count() == 0
+
+
+def test_sets_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+    texts = [None, "", " ", "a", " A b\tc\n", "\x0b a\x0cb c d e f g a b c d e", "é É x y z   w", "a b c d", "a " * 9,
+             "x\x00y z\x1fq r s t u v", "one two three four five"]
+    for column in (pa.array(texts), pa.array(texts).slice(3, 6), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        for size in (1, 3, 5, 8):
+            for most in (1, 9, 1 << 22):
+                own = [J.ngram_set((t or "").encode(), size) for t in column.to_pylist()]
+                got = list(J.ngram_sets(column, size, most))
+                assert [g.tolist() for g in got] == [o.tolist() for o in own]
