@@ -21,10 +21,11 @@ sets; the result is the component of the links.
   contracted; pivots are first the nodes that share most of their columns, such as
   the text that others were copied from, then hashed ones.
 * What is left are the columns with several components.  A node takes along the
-  parities of how many of its n-grams fall on each of ``64 * WORDS`` places: two
+  parities of how many of its n-grams fall on each of some places: two
   nodes whose parities differ in k places have at least k n-grams that only one of
   them has, so a pair is discarded inside the product if that is more than the
-  sizes allow.  In rounds each node is first paired with the nearest node of another
+  sizes allow.  A larger set has more places (about one for each n-gram), because sets
+  of more n-grams than places may link and differ in all of them.  In rounds each node is first paired with the nearest node of another
   component (by parities) and links are contracted, while that finds many; the last,
   complete product leaves out pairs inside a component only.  No link between
   components can be lost, because it looks at every pair of different components.
@@ -56,7 +57,11 @@ from sitegraph.llm.components import connected_components
 
 SIZE, PERCENT = 5, 75
 FREQUENT, BLOCK_ROWS = 65_536, 50_000
-WORDS = 8
+#: words of parities that a set has: these at least, a power of two with 0.7 places for each n-gram, so
+#: that unlike sets differ in more places than linked ones may; at most 2 KB, which bounds a task's memory
+WORDS, MOST_WORDS = 8, 256
+#: pairs that a task holds before it passes on what it has found
+HELD = 1 << 18
 #: rounds of nearest pairs go on while one finds a link for so large a share of the nodes left; it
 #: decides the order of the work only
 WORTH = 0.02
@@ -139,9 +144,15 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """Whether each of the places (by the n-gram's upper bits) has an odd number of n-grams, as words."""
-    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+def parity_words(n: int) -> int:
+    """How many words of parities a set of n n-grams has."""
+    return min(max(WORDS, 1 << (-(-7 * n // 640) - 1).bit_length()), MOST_WORDS)
+
+
+def parities(grams: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Whether each of the places (by the n-gram's lower bits) has an odd number of n-grams, as
+    words, a power of two; half as many words are those of both halves, one upon the other."""
+    odd = np.bincount((grams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -151,7 +162,33 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
-PLACES = [f"s{k}" for k in range(WORDS)]
+def _word_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a column of parities, where each row's begin and how many they are."""
+    whole = column.cast(pa.large_binary()).combine_chunks()
+    ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], dtype=np.uint8)[:ends[-1]].view(np.int64), ends[:-1] // 8, np.diff(ends) // 8
+
+
+def _folded(odd: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, words: int) -> np.ndarray:
+    """The parities of the rows ``at``, on so many words."""
+    flat, start, width = odd
+    out = flat[start[at][:, None] + np.arange(words)]
+    for k in range(1, int(width[at].max()) // words):
+        more = np.flatnonzero(width[at] > k * words)
+        out[more] ^= flat[start[at[more]][:, None] + np.arange(k * words, (k + 1) * words)]
+    return out
+
+
+def differing(odd: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many places the parities of each pair of rows (i, j) differ, on the words that the smaller set has."""
+    k = np.empty(len(i), dtype=np.int64)
+    common = np.minimum(odd[2][i], odd[2][j])
+    for words in np.unique(common).tolist():
+        rows = np.flatnonzero(common == words)
+        for part in np.array_split(rows, (len(rows) * words >> 17) + 1):  # about 1 MB at a time
+            if len(part):
+                k[part] = apart(_folded(odd, i[part], words), _folded(odd, j[part], words))
+    return k
 
 
 def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
@@ -173,7 +210,7 @@ def frequent_ngrams(docs: DataFrame, size: int, most: int) -> dict[int, int]:
 
 
 def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix, s0, ...): the n-grams of the row that enter the product, and
+    """(doc_id, n, node, prefix, odd): the n-grams of the row that enter the product, and
     its parities; none where the partition had this node before."""
     hot = np.array(sorted(frequent), dtype=np.int64)
     df = np.array([frequent[int(h)] for h in hot], dtype=np.int64)
@@ -191,7 +228,7 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
                 first, own = grams.view(np.int64)[:0], None
                 if n and node not in seen:
                     seen.add(node)
-                    own = parities(grams)
+                    own = parities(grams, parity_words(n)).tobytes()
                     grams = grams.view(np.int64)
                     count = n - int(demanded(n, percent)) + 1
                     if len(hot):
@@ -206,16 +243,11 @@ def prefixes(docs: DataFrame, frequent: dict[int, int], size: int, percent: int)
                                              pa.array(np.concatenate(values) if values else [], type=pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), lists,
-                 *[pa.array([None if x is None else x[k] for x in odd], type=pa.int64()) for k in range(WORDS)]],
-                names=["doc_id", "n", "node", "prefix", *PLACES])
+                 pa.array(odd, type=pa.binary())], names=["doc_id", "n", "node", "prefix", "odd"])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>, "
-                                                    + ", ".join(f"{s} bigint" for s in PLACES))
-
-
-def _numpy(part: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in part.columns]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, "
+                                                    "prefix array<bigint>, odd binary")
 
 
 def shared_columns(postings: DataFrame, frequent: dict[int, int], block_rows: int) -> DataFrame:
@@ -320,8 +352,8 @@ def _early_of_smaller(node, n, early, node2, n2, early2) -> np.ndarray:
     return np.where((n < n2) | ((n == n2) & (node < node2)), early, early2)
 
 
-def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.ndarray, odd: np.ndarray, percent: int):
-    """Pairs of a column's nodes in different components that may link."""
+def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.ndarray, percent: int):
+    """Pairs (i, j) of a column's rows in different components that may link by their sizes."""
     roots, counts = np.unique(root, return_counts=True)
     largest = roots[np.argmax(counts)]
     rest = np.flatnonzero(root != largest)
@@ -330,14 +362,16 @@ def _block_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, early: np.nd
     for k, i in enumerate(rest):
         good = (root != root[i]) & (rank < k) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
         good &= _early_of_smaller(node, n, early, node[i], n[i], early[i])
-        yield _near(np.full(np.count_nonzero(good), i), np.flatnonzero(good), node, n, odd, percent)
+        j = np.flatnonzero(good)
+        if len(j):
+            yield np.full(len(j), i), j
 
 
-def _near(i: np.ndarray, j: np.ndarray, node: np.ndarray, n: np.ndarray, odd: np.ndarray, percent: int):
+def _near(i: np.ndarray, j: np.ndarray, node: np.ndarray, n: np.ndarray, odd: tuple, percent: int):
     """node, n, node, n and the differing places of the pairs of rows (i, j) whose
     parities permit a link: linked sets differ in a (100 - percent) / (100 + percent)
     of the sum of their sizes at most."""
-    k = apart(odd[i], odd[j])
+    k = differing(odd, i, j)
     good = k * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
     i, j = i[good], j[good]
     return node[i], n[i], node[j], n[j], k[good]
@@ -360,57 +394,75 @@ def mixed_columns(columns: DataFrame) -> DataFrame:
 
 def _products(columns: DataFrame, percent: int, emit, ddl: str) -> DataFrame:
     """``emit`` of all pairs in different components (column ``root``) whose sizes and parities
-    permit a link.  A task holds one block of a column (or a pair of blocks)."""
+    permit a link.  A task holds one block of a column (or a pair of blocks), and what it has found
+    in its columns up to ``HELD`` pairs, so that ``emit`` sees the columns of a pair together."""
     dealt = columns.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root", "early",
-        *PLACES)
+        "odd")
 
-    def products(h, one, two, node, n, root, early, *places) -> Iterator[pa.RecordBatch]:
-        odd = np.stack(places, axis=1)
+    def sized(h, one, two, node, n, root, early) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of rows that differ in their components and may link by their sizes."""
         new = np.append(True, (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
         start = np.flatnonzero(new)
         ends = np.append(start[1:], len(h))
         mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
         mixed &= np.logical_or.reduceat(early, start)
         size = ends - start
-        found: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        small = np.repeat(mixed & (size <= 16), size)
+        small = np.repeat(mixed & (size <= 64), size)
         column = np.cumsum(new) - 1
-        for lag in range(1, 16):
-            if len(h) <= lag:
-                break
+        for lag in range(1, min(64, size.max())):
             good = small[lag:] & (column[lag:] == column[:-lag]) & (root[lag:] != root[:-lag])
             good &= np.minimum(n[lag:], n[:-lag]) * 100 >= np.maximum(n[lag:], n[:-lag]) * percent
             good &= _early_of_smaller(node[lag:], n[lag:], early[lag:], node[:-lag], n[:-lag], early[:-lag])
             at = np.flatnonzero(good)
-            found.append(_near(at + lag, at, node, n, odd, percent))
-        for k in np.flatnonzero(mixed & (size > 16)):
+            yield at + lag, at
+        for k in np.flatnonzero(mixed & (size > 64)):
             at = slice(start[k], ends[k])
-            for pairs in _block_pairs(node[at], n[at], root[at], early[at], odd[at], percent):
-                found.append(pairs)
-                held += len(pairs[0])
-                if held >= 1 << 20:
-                    yield emit(*map(np.concatenate, zip(*found)))
-                    found, held = [], 0
-        if found:
-            yield emit(*map(np.concatenate, zip(*found)))
+            for i, j in _block_pairs(node[at], n[at], root[at], early[at], percent):
+                yield start[k] + i, start[k] + j
+
+    def products(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        *plain, odd = rows.columns
+        plain, odd = [c.to_numpy() for c in plain], _word_rows(odd)
+        found, n_found = [], 0
+        for pairs in sized(*plain):
+            found.append(pairs)
+            n_found += len(pairs[0])
+            if n_found >= HELD:
+                yield _near(*map(np.concatenate, zip(*found)), plain[3], plain[4], odd, percent)
+                found, n_found = [], 0
+        if n_found:
+            yield _near(*map(np.concatenate, zip(*found)), plain[3], plain[4], odd, percent)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    def columns_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows, whole columns (or pairs of blocks) together."""
+        held: list[pa.RecordBatch] = []
         for part in parts:
-            rows = _numpy(part)
-            if not len(rows[0]):
+            if not part.num_rows:
                 continue
-            if held:
-                rows = [np.concatenate([a, b]) for a, b in zip(held, rows)]
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            key = [part.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in key]))
             cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield from products(*[r[:cut] for r in rows])
-            held = [r[cut:] for r in rows]
-        if held and len(held[0]):
-            yield from products(*held)
+            if held and (cut or any(x[0] != held[-1].column(k)[-1].as_py() for k, x in enumerate(key))):
+                yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([part.slice(0, cut)])
+            held.append(part.slice(cut))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        n_found = 0
+        for pairs in (p for rows in columns_of(parts) for p in products(rows)):
+            found.append(pairs)
+            n_found += len(pairs[0])
+            if n_found >= HELD:
+                yield emit(*map(np.concatenate, zip(*found)))
+                found, n_found = [], 0
+        if n_found:
+            yield emit(*map(np.concatenate, zip(*found)))
         release()
 
     return (dealt.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two", "node").mapInArrow(run, ddl))
@@ -485,7 +537,7 @@ def _placed(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int
     rows = scratch.save(prefixes(docs, often, size, percent), "rows")
     members = scratch.save(rows.select("doc_id", "node", "n"), "members")
     nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.max(s).alias(s) for s in PLACES]), "nodes")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("odd").alias("odd")), "nodes")
     postings = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("early", early(percent))
     columns = scratch.save(shared_columns(postings, often, block_rows), "columns")
     scratch.drop("rows")
@@ -511,7 +563,7 @@ def _placed(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int
 
     left = scratch.save(mixed_columns(_with_root(columns, roots)), "mixed")
     scratch.drop("columns", "stars0", "stars1", "star-pairs0", "star-pairs1")
-    own = nodes.select("node", *PLACES)
+    own = nodes.select("node", "odd")
     n_left = left.select("node").distinct().count()
     k = 0
     while True:  # every round but the last joins components, so it ends

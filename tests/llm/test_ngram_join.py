@@ -101,6 +101,58 @@ def test_groups_of_near_copies_with_and_without_a_centre(spark, centre, monkeypa
     assert rows[600] <= 6 * rows[150] + 600
 
 
+def test_long_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """The parities of large sets too discard unlike pairs inside the product."""
+    made = []
+
+    def run(*args):
+        out = Scratch(spark, "t").save(plain(*args), "t")
+        made.append(out.count())
+        return out
+    plain = J._products
+    monkeypatch.setattr(J, "_products", run)
+    passage = prose(97, 60)
+    docs = [(k, prose(2000 + k, 1500 + 40 * (k % 3)) + " " + passage) for k in range(60)]
+    docs += [(100 + k, edited(docs[k][1], random.Random(k), 20)) for k in range(3)]
+    out = rows_of(J.jaccard_components(frame(spark, docs).repartition(3), frequent=1), "doc_id", "n_shingles", "component_id")
+    assert out == brute(docs)
+    assert made and max(made) <= 2 * len(docs)
+
+
+def test_folded_parities_never_differ_in_more_places_than_the_sets():
+    import pyarrow as pa
+    r = random.Random(6)
+    sets = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], dtype=np.uint64)) for n in (1, 700, 740, 2000, 3000, 6000)]
+    sets += [np.unique(np.append(x[r.randrange(len(x) // 8 + 1):], np.array([r.getrandbits(64)], dtype=np.uint64))) for x in sets]
+    words = [J.parity_words(len(x)) for x in sets]
+    assert all(w == J.WORDS or w * 64 >= 0.7 * len(x) for w, x in zip(words, sets)) and len(set(words)) > 3
+    assert J.parity_words(10 ** 7) == J.MOST_WORDS
+    odd = J._word_rows(pa.chunked_array([pa.array([J.parities(x, w).tobytes() for x, w in zip(sets, words)], type=pa.binary())]))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    k = J.differing(odd, i, j)
+    assert (k <= differ).all() and ((differ - k) % 2 == 0).all() and (k[i == j] == 0).all()
+
+
+def test_a_task_passes_a_pair_on_once_whatever_the_batches(spark):
+    """The n-grams that two sets share in columns of several Arrow batches are counted together."""
+    rows = [(h, 0, 1, node, 100, node, True, J.parities(np.array([], dtype=np.uint64)).tobytes())
+            for h in range(40) for node in range(3 if h % 2 else 70)]
+    columns = spark.createDataFrame(rows, "h bigint, block int, blocks int, node bigint, n bigint, root bigint, early boolean, "
+                                    "odd binary")
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "50", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        made = J._products(columns, 75, lambda a, na, b, nb, k: J._counted(a, na, b, nb), J.PRODUCT)
+        got = rows_of(made, "a", "b", "shared")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(((a, b, 40 if b < 3 else 20) for b in range(70) for a in range(b)), key=repr)
+
+
 def test_one_of_each_stays(spark):
     docs = frame(spark, extra=CLASHES)
     out = J.one_of_each(docs)
