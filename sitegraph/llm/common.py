@@ -1,11 +1,9 @@
-"""Helpers shared by the text operators: tables, scratch tables, Arrow columns."""
+"""Helpers shared by the text operators: tables, Arrow columns."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.session import ensure_checkpoint_dir
+from sitegraph.session import Scratch  # noqa: F401 - its users import it from here
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,43 +30,6 @@ def importable_on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-class Scratch:
-    """Intermediate tables in the shared folder ``spark.checkpoint.dir``.
-
-    A table written here cuts the lineage: what follows reads files that every
-    executor sees, so a lost executor only repeats its own tasks.  ``drop``
-    deletes a table that no later step reads; the tables behind a returned
-    DataFrame stay until ``purge``, at the latest until the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._purge_at_exit)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a table of this name and read it back."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.base}/{name}")
-
-    def purge(self) -> None:
-        self._delete(self.base)
-
-    def _purge_at_exit(self) -> None:
-        if self.spark.sparkContext._jsc is not None:  # else the session has been stopped
-            self.purge()
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (case-insensitively)."""
     have = {c.lower() for c in df.columns}

@@ -310,3 +310,14 @@ def test_packed_seeds_reach_the_same_and_share_rows(spark):
     held = []
     bits = C._crawl_bits(C.numbered_seeds(seeds), C.page_link_table(pages), 4, "none", None, 2, held).where("url LIKE '%home'")
     assert bits.where("level = 1").count() <= 150 // 64 + 2 < n
+
+
+def test_planner_estimates_of_redirects_stay_small(spark):
+    """A join is estimated as the product of its sides.  Squared by every round of doubling, the
+    estimate would have as many digits as there are URLs, in every plan that reads the result."""
+    rows = [(f"r{k}", "redirect", f"r{(k + 1) % 300}") for k in range(300)] + [("t", "redirect", "r7"), ("a", "redirect", "b"), ("b", "ok", None)]
+    df = spark.createDataFrame(rows, "request_url string, outcome string, location string")
+    found = R.resolve_redirects(df)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+    assert {r.url: (r.effective_url, r.hops, r.outcome) for r in found.where("url IN ('r0', 't', 'a', 'b')").collect()} == {
+        "r0": ("r299", 299, "loop"), "t": ("r6", 300, "loop"), "a": ("b", 1, "ok"), "b": ("b", 0, "ok")}
