@@ -19,7 +19,10 @@ there:
    alone (the leftmost smallest hash of 8 bytes in them), so equal prefixes meet.
    Neighbours with one anchor travel as one stretch of text.
 4. *Compare.*  A task sorts its suffixes by the (128-bit hashed) prefix, then place;
-   of neighbours with equal prefixes all but the first are repeats.
+   of neighbours with equal prefixes all but the first are repeats.  The edges of a
+   frequent passage share an anchor and differ in text, so their bucket grows with the
+   corpus: the suffixes of buckets over ``HEAVY_BYTES`` are dealt out once more, by the
+   hash of the whole prefix, each distinct prefix of a chunk once.
 
 Documents travel in compressed chunks of ``CHUNK_BYTES``; what a chunk repeats
 within itself is found there, and of equal stretches only the first leaves it, so
@@ -44,11 +47,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import Scratch, mix64, read, utf8
+from sitegraph.llm.common import Scratch, mix64, read, release, utf8
 
 LENGTH, PERIOD = 100, 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # a perfect difference set modulo 57
 CHUNK_BYTES, BUCKET_NAMES, ANCHOR = 4 << 20, 1 << 21, 8
+BUCKET_BYTES, HEAVY_BYTES, PART_BYTES = 8 << 20, 12 << 20, 4 << 20
+SLICE = 1 << 19  # positions that are hashed or sorted at a time: what a worker holds is a few bytes a position beside
 LAST_ID = (1 << 63) - 1
 BROADCAST_ROWS = 1_000_000
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -85,6 +90,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base]
 
 
+def window_hashes(data: np.ndarray, at: np.ndarray, sizes: np.ndarray | int, seed: int = 1) -> np.ndarray:
+    """Hashes of ``sizes`` bytes at each of the ascending positions, a slice of the data after the other."""
+    out = np.empty(len(at), dtype=np.uint64)
+    for a, b in blocks(at):
+        low, size = at[a], sizes if isinstance(sizes, int) else sizes[a:b]
+        piece = data[low:int((at[a:b] + size).max())]
+        out[a:b] = Hashes(piece, seed).windows(at[a:b] - low, size)
+    return out
+
+
+def blocks(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of ascending positions within one SLICE."""
+    if len(at):
+        edges = np.append(np.searchsorted(at, np.arange(0, int(at[-1]) + 1, SLICE)), len(at))
+        yield from ((int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if b > a)
+
+
 class Chunk:
     """Documents of a chunk: ids, places and bytes, a separator after each text."""
 
@@ -100,14 +122,16 @@ class Chunk:
         long = self.sizes >= size
         np.add.at(ok, self.starts[long], 1)
         np.add.at(ok, self.starts[long] + self.sizes[long] - size + 1, -1)
-        return np.cumsum(ok[:-1]) > 0
+        return np.cumsum(ok[:-1], dtype=np.int32) > 0
 
     def samples(self, size: int) -> np.ndarray:
         """Positions of the difference cover with ``size`` bytes of their document ahead."""
-        offset = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes + 1)
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+        offset = np.arange(len(self.data), dtype=kind) - np.repeat(self.starts.astype(kind), self.sizes + 1)
+        offset %= PERIOD
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
-        return np.flatnonzero(cover[offset % PERIOD] & self.inside(size))
+        return np.flatnonzero(cover[offset] & self.inside(size))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -168,29 +192,38 @@ def repeated_names(chunks: DataFrame, bits: int, buckets: int, size: int) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(which[a])], type=pa.int32()), pa.array([number]), pa.array([packed(names[a:b])], type=pa.binary())],
                     names=["bucket", "chunk", "names"])
+            release()
 
     def meet(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk").to_numpy()
         sets = [unpacked(x) for x in group.column("names").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        names = np.sort(np.concatenate(sets))
+        names = np.concatenate(sets)
+        names.sort()
         twice = np.unique(names[1:][names[1:] == names[:-1]])
         del names
         out_chunk, out = [], []
         for c, s in zip(chunk.tolist(), sets):
-            own = s[np.isin(s, twice, assume_unique=True)]
+            own = s[among(s, twice)]
             if len(own):
                 out_chunk.append(c)
                 out.append(packed(own))
+        release()
         return pa.table({"chunk": pa.array(out_chunk, type=pa.int64()), "names": pa.array(out, type=pa.binary())})
 
     return (chunks.mapInArrow(name, "bucket int, chunk bigint, names binary").groupBy("bucket")
             .applyInArrow(meet, "chunk bigint, names binary"))
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def sample_names(chunk: Chunk, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = chunk.samples(size)
-    return at, Hashes(chunk.data).windows(at, size) >> np.uint64(64 - bits)
+    return at, window_hashes(chunk.data, at, size) >> np.uint64(64 - bits)
 
 
 def candidates(chunk: Chunk, names: np.ndarray, bits: int, size: int, length: int) -> np.ndarray:
@@ -205,7 +238,7 @@ def candidates(chunk: Chunk, names: np.ndarray, bits: int, size: int, length: in
     marks = np.zeros(len(chunk.data) + 1, dtype=np.int32)
     np.add.at(marks, np.maximum(hit - PERIOD + 1, 0), 1)
     np.add.at(marks, hit + 1, -1)
-    return (np.cumsum(marks[:-1]) > 0) & chunk.inside(length)
+    return (np.cumsum(marks[:-1], dtype=np.int32) > 0) & chunk.inside(length)
 
 
 def anchors(data: np.ndarray, length: int) -> np.ndarray:
@@ -226,9 +259,18 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-STRETCHES_DDL = "bucket int, chunk bigint, ids binary, starts binary, sizes binary, body binary, runs binary"
-STRETCHES = pa.schema([("bucket", pa.int32()), *[(n, pa.int64() if n == "chunk" else pa.binary())
-                                                  for n in ("chunk", "ids", "starts", "sizes", "body", "runs")]])
+def anchors_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The anchors of ascending positions, a slice of the data after the other."""
+    out = np.empty(len(at), dtype=np.int64)
+    for a, b in blocks(at):
+        low = at[a]
+        out[a:b] = anchors(data[low:at[b - 1] + length], length)[at[a:b] - low] + low
+    return out
+
+
+STRETCHES_DDL = "bucket int, chunk bigint, bytes bigint, ids binary, starts binary, sizes binary, body binary, runs binary"
+STRETCHES = pa.schema([("bucket", pa.int32()), *[(n, pa.int64() if n in ("chunk", "bytes") else pa.binary())
+                                                  for n in ("chunk", "bytes", "ids", "starts", "sizes", "body", "runs")]])
 
 
 def runs_of(flags: np.ndarray) -> np.ndarray:
@@ -245,15 +287,13 @@ def stretches(number: int, chunk: Chunk, names: np.ndarray, bits: int, size: int
     at = np.flatnonzero(marked)
     if not len(at):
         return
-    anchor = anchors(chunk.data, length)[at]
+    anchor = anchors_at(chunk.data, at, length)
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])))
     start = at[first]
     end = at[np.append(first[1:], len(at)) - 1] + length  # of the stretch's bytes
     doc = np.searchsorted(chunk.starts, start, side="right") - 1
-    one, two = Hashes(chunk.data, 1), Hashes(chunk.data, 2)
     sizes = end - start
-    name = (one.sums[end] - one.sums[start]) * one.inverse[start]
-    other = (two.sums[end] - two.sums[start]) * two.inverse[start]
+    name, other = window_hashes(chunk.data, start, sizes, 1), window_hashes(chunk.data, start, sizes, 2)
     order = np.lexsort((start - chunk.starts[doc], chunk.ids[doc], sizes, other, name))
     same = np.append(False, (name[order][1:] == name[order][:-1]) & (other[order][1:] == other[order][:-1])
                      & (sizes[order][1:] == sizes[order][:-1]))
@@ -263,7 +303,7 @@ def stretches(number: int, chunk: Chunk, names: np.ndarray, bits: int, size: int
         flags[a:b] = True
     empty = b""
     yield pa.RecordBatch.from_arrays(
-        [pa.array([x], type=f.type) for x, f in zip((-1, number, empty, empty, empty, empty,
+        [pa.array([x], type=f.type) for x, f in zip((-1, number, 0, empty, empty, empty, empty,
                                                      runs_of(flags).astype(np.int64).tobytes()), STRETCHES)], schema=STRETCHES)
     sent = np.sort(order[~same])
     gram = np.zeros(len(sent), dtype=np.uint64)
@@ -278,51 +318,135 @@ def stretches(number: int, chunk: Chunk, names: np.ndarray, bits: int, size: int
         own = sent[a:b]
         body = zstandard.compress(b"".join(text[x:y] for x, y in zip(start[own].tolist(), end[own].tolist())), 3)
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(
-            (int(bucket[a]), number, chunk.ids[doc[own]].tobytes(),
+            (int(bucket[a]), number, int(sizes[own].sum()), chunk.ids[doc[own]].tobytes(),
              np.stack([start[own], start[own] - chunk.starts[doc[own]]]).astype(np.int64).tobytes(),
              sizes[own].astype(np.int64).tobytes(), body, empty), STRETCHES)], schema=STRETCHES)
 
 
-def repeats(group: pa.Table, length: int) -> pa.Table:
-    """(chunk, runs): which of a bucket's positions start a string that starts earlier too."""
-    rows = group.to_pylist()
-    sizes = [np.frombuffer(r["sizes"], dtype=np.int64) for r in rows]
-    places = [np.frombuffer(r["starts"], dtype=np.int64).reshape(2, -1) for r in rows]
-    chunk = np.repeat([r["chunk"] for r in rows], [len(s) for s in sizes])
-    ids = np.concatenate([np.frombuffer(r["ids"], dtype=np.int64) for r in rows])
-    size, start, offset = np.concatenate(sizes), np.concatenate([p[0] for p in places]), np.concatenate([p[1] for p in places])
-    data = np.frombuffer(b"".join(zstandard.decompress(r["body"]) for r in rows), dtype=np.uint8)
-    del rows
-    begin = np.cumsum(size) - size
+class Suffixes:
+    """Suffixes: chunk, place in it, document id and place in the document, and the
+    128-bit hash of their prefix."""
+
+    FIELDS = ("chunk", "place", "ids", "offset", "one", "two")
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = dict(zip(self.FIELDS, columns))
+
+    def __len__(self) -> int:
+        return len(self.columns["one"])
+
+    def take(self, which: np.ndarray) -> Suffixes:
+        return Suffixes(*[c[which] for c in self.columns.values()])
+
+    def ordered(self) -> tuple[Suffixes, np.ndarray, np.ndarray]:
+        """The suffixes by prefix and place; which of them repeat the first with their prefix, and which
+        are that first.  A string of the same document and start is the same string."""
+        c = self.columns
+        own = self.take(np.lexsort((c["offset"], c["ids"], c["two"], c["one"])))
+        c = own.columns
+        new = np.append(True, (c["one"][1:] != c["one"][:-1]) | (c["two"][1:] != c["two"][:-1]))[:len(own)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        leads = (c["ids"] == c["ids"][first]) & (c["offset"] == c["offset"][first])
+        return own, ~leads, leads
+
+    def parts(self, n: int) -> Iterator[tuple[int, Suffixes]]:
+        """The suffixes by ``n`` ranges of the hash of their prefix."""
+        which = (self.columns["one"] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        for k in range(n):
+            if len(at := np.flatnonzero(which == k)):
+                yield k, self.take(at)
+
+
+def suffixes(chunk: int, ids: bytes, starts: bytes, sizes: bytes, body: bytes, length: int) -> Suffixes:
+    """The suffixes of a row of stretches."""
+    ids, size = np.frombuffer(ids, dtype=np.int64), np.frombuffer(sizes, dtype=np.int64)
+    start, offset = np.frombuffer(starts, dtype=np.int64).reshape(2, -1)
+    data = np.frombuffer(zstandard.decompress(body), dtype=np.uint8)
     count = size - length + 1
     stretch = np.repeat(np.arange(len(size)), count)
     inner = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[stretch] + inner
-    one = Hashes(data, 1).windows(at, length)
-    two = Hashes(data, 2).windows(at, length)
-    order = np.lexsort((offset[stretch] + inner, ids[stretch], two, one))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    flags = np.zeros(len(at), dtype=bool)
-    # a string of the same document and start is the same string
-    moved = (ids[stretch][order][1:] != ids[stretch][order][:-1]) | ((offset[stretch] + inner)[order][1:] != (offset[stretch] + inner)[order][:-1])
-    first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))
-    key = np.cumsum(np.append(True, moved))
-    flags[order] = np.append(False, same) & (key != key[first])
-    place = start[stretch] + inner
-    found = np.flatnonzero(flags)
-    by = np.lexsort((place[found], chunk[stretch][found]))
-    found = found[by]
-    chunk, place = chunk[stretch][found], place[found]
-    out_chunk, out = [], []
-    if len(found):
-        cuts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1])))
-        for a, b in zip(cuts, np.append(cuts[1:], len(found))):
-            p = place[a:b]
-            new = np.flatnonzero(np.append(True, p[1:] > p[:-1] + 1))
-            ends = np.append(p[new[1:] - 1], p[-1]) + 1
-            out_chunk.append(int(chunk[a]))
-            out.append(np.stack([p[new], ends], axis=1).astype(np.int64).tobytes())
-    return pa.table({"chunk": pa.array(out_chunk, type=pa.int64()), "runs": pa.array(out, type=pa.binary())})
+    at = (np.cumsum(size) - size)[stretch] + inner
+    return Suffixes(np.full(len(at), chunk, dtype=np.int64), start[stretch] + inner, ids[stretch], offset[stretch] + inner,
+                    window_hashes(data, at, length, 1), window_hashes(data, at, length, 2))
+
+
+def runs_by_chunk(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+    """(chunk, runs) of (chunk, place) of repeats."""
+    if not sum(len(c) for c, _ in found):
+        return
+    chunk, place = np.concatenate([c for c, _ in found]), np.concatenate([p for _, p in found])
+    by = np.lexsort((place, chunk))
+    chunk, place = chunk[by], place[by]
+    cuts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1])))
+    for a, b in zip(cuts, np.append(cuts[1:], len(chunk))):
+        p = place[a:b]
+        new = np.flatnonzero(np.append(True, p[1:] > p[:-1] + 1))
+        ends = np.append(p[new[1:] - 1], p[-1]) + 1
+        yield int(chunk[a]), np.stack([p[new], ends], axis=1).astype(np.int64).tobytes()
+
+
+def repeated(rows: list[Suffixes]) -> pa.Table:
+    """(chunk, runs): which of these suffixes start a string that starts earlier too.  They are sorted
+    by ranges of their hashes, so that the copies of a sort are small."""
+    n = sum(len(r) for r in rows) // SLICE + 1
+    columns = [np.concatenate([r.columns[f] for r in rows]) for f in Suffixes.FIELDS]
+    rows.clear()
+    found = []
+    for _, part in Suffixes(*columns).parts(n):
+        own, later, _ = part.ordered()
+        found.append((own.columns["chunk"][later], own.columns["place"][later]))
+    del columns
+    out = list(runs_by_chunk(found))
+    return pa.table({"chunk": pa.array([c for c, _ in out], type=pa.int64()), "runs": pa.array([r for _, r in out], type=pa.binary())})
+
+
+def repeats(group: pa.Table, length: int) -> pa.Table:
+    """(chunk, runs): the repeats in a bucket of stretches."""
+    columns = [group.column(n).to_pylist() for n in ("chunk", "ids", "starts", "sizes", "body")]
+    out = repeated([suffixes(*row, length) for row in zip(*columns)])
+    release()
+    return out
+
+
+PARTS_DDL = "bucket int, part int, chunk bigint, suffixes binary, runs binary"
+
+
+def dealt_again(rows: DataFrame, length: int) -> DataFrame:
+    """PARTS_DDL of the rows (bucket, chunk, ids, starts, sizes, body, parts) of heavy buckets: their
+    suffixes by ranges of the hash of the prefix, and (part -1) the runs of positions whose prefix
+    the row has at an earlier place.  Of equal prefixes only the first leaves it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(
+                values, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "part", "chunk", "suffixes", "runs"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bucket, chunk, *data, parts = (c[k].as_py() for c in batch.columns)
+                found = []
+                for part, some in suffixes(chunk, *data, length).parts(parts):
+                    own, later, leads = some.ordered()
+                    found.append((own.columns["chunk"][later], own.columns["place"][later]))
+                    sent = own.take(np.flatnonzero(leads)).columns
+                    yield row(bucket, part, chunk, zstandard.compress(b"".join(
+                        np.ascontiguousarray(sent[f].view(np.uint8).reshape(-1, 8).T).tobytes() for f in Suffixes.FIELDS[1:]), 1), b"")
+                for number, runs in runs_by_chunk(found):
+                    yield row(bucket, -1, number, b"", runs)
+            release()
+
+    return rows.select("bucket", "chunk", "ids", "starts", "sizes", "body", "parts").mapInArrow(run, PARTS_DDL)
+
+
+def repeats_of_part(group: pa.Table) -> pa.Table:
+    """(chunk, runs): the repeats in a part of a heavy bucket."""
+    rows = []
+    for chunk, data in zip(group.column("chunk").to_pylist(), group.column("suffixes").to_pylist()):
+        planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(len(Suffixes.FIELDS) - 1, 8, -1)
+        values = [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+        rows.append(Suffixes(np.full(len(values[0]), chunk, dtype=np.int64), *values[:3], *[v.view(np.uint64) for v in values[3:]]))
+    out = repeated(rows)
+    release()
+    return out
 
 
 SPANS = "array<struct<first:bigint,end:bigint>>"
@@ -340,7 +464,7 @@ def cut_documents(chunk: Chunk, runs: list[bytes], length: int) -> pa.Table:
         pairs = np.frombuffer(r, dtype=np.int64).reshape(-1, 2)
         np.add.at(marks, pairs[:, 0], 1)
         np.add.at(marks, pairs[:, 1] - 1 + length, -1)
-    gone = np.cumsum(marks[:-1]) > 0
+    gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
     rows = []
     for own, start, size in zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.sizes.tolist()):
         removed, body = gone[start:start + size], chunk.data[start:start + size]
@@ -353,7 +477,8 @@ def cut_documents(chunk: Chunk, runs: list[bytes], length: int) -> pa.Table:
 
 
 def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES,
-                     bucket_names: int = BUCKET_NAMES) -> DataFrame:
+                     bucket_names: int = BUCKET_NAMES, bucket_bytes: int = BUCKET_BYTES, heavy_bytes: int = HEAVY_BYTES,
+                     part_bytes: int = PART_BYTES) -> DataFrame:
     """RESULT_DDL of the documents (doc_id, text), which are distinct."""
     size = length - PERIOD + 1
     chunks = scratch.save(to_chunks(docs, chunk_bytes), "chunks")
@@ -361,23 +486,34 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH, ch
     n_samples = total * len(COVER) // PERIOD + 1
     bits = min(64, n_samples.bit_length() + 13)  # a name's chance of a false partner is about 2^-13
     names = repeated_names(chunks, bits, max(1, n_samples // bucket_names), size)
-    buckets = max(1, total // (8 << 20))
+    buckets = max(1, total // bucket_bytes)
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [unpacked(x) for x in right.column("names").to_pylist()] if right.num_rows else []
         known = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
         out = [b for number, chunk in each_chunk(left.to_batches()) for b in
                stretches(number, chunk, known, bits, size, length, buckets)]
+        release()
         return pa.Table.from_batches(out, schema=STRETCHES)
 
     merged = scratch.save(chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(merge, STRETCHES_DDL), "stretches")
-    found = (merged.where("bucket >= 0").drop("runs").groupBy("bucket")
+    sent = merged.where("bucket >= 0").drop("runs")
+    # a row for each heavy bucket: at most a small number for each 8 MB of text
+    heavy = scratch.save(sent.groupBy("bucket").agg(F.sum("bytes").alias("load")).where(F.col("load") > heavy_bytes).select(
+        "bucket", (F.floor(F.col("load") / part_bytes) + 1).cast("int").alias("parts")), "heavy")
+    found = (sent.join(F.broadcast(heavy), "bucket", "left_anti").groupBy("bucket")
              .applyInArrow(lambda group: repeats(group, length), "chunk bigint, runs binary"))
     runs = merged.where("bucket = -1").select("chunk", "runs").unionAll(found)
+    if not heavy.isEmpty():
+        again = scratch.save(dealt_again(sent.join(F.broadcast(heavy), "bucket"), length), "parts")
+        runs = runs.unionAll(again.where("part = -1").select("chunk", "runs")).unionAll(
+            again.where("part >= 0").groupBy("bucket", "part").applyInArrow(repeats_of_part, "chunk bigint, runs binary"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         own = right.column("runs").to_pylist() if right.num_rows else []
-        return pa.concat_tables([cut_documents(chunk, own, length) for _, chunk in each_chunk(left.to_batches())])
+        out = pa.concat_tables([cut_documents(chunk, own, length) for _, chunk in each_chunk(left.to_batches())])
+        release()
+        return out
 
     return chunks.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(cut, RESULT_DDL)
 
