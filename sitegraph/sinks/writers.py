@@ -10,8 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.sinks import snapshots as S
@@ -72,7 +71,7 @@ def write_tree(rows: DataFrame, root: str, folder: str = "folder", body: str = "
     twice and check a file and its folders, and the driver takes part in each.  Here the tasks write the
     files themselves, in parallel, through pyarrow's file systems.  A file gets its name when it is
     whole, so a repeated or speculative attempt replaces it by the same bytes."""
-    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(part: Iterator[Row]) -> Iterator[int]:
         from pyarrow import fs
         at = "/" + root[len("file:"):].lstrip("/") if root.startswith("file:") else root
         files, base = fs.FileSystem.from_uri(at)
@@ -82,22 +81,20 @@ def write_tree(rows: DataFrame, root: str, folder: str = "folder", body: str = "
             out.close()
             files.move(f"{base}/{held}/.{attempt}", f"{base}/{held}/part-0")
 
-        for part in parts:
-            for name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if name != held:
-                    if out is not None:
-                        close()
-                    files.create_dir(f"{base}/{name}")
-                    held, done = name, done + 1
-                    out = files.open_output_stream(f"{base}/{name}/.{attempt}")
-                out.write((data or b"") + end)
+        for name, data in part:
+            if name != held:
+                if out is not None:
+                    close()
+                files.create_dir(f"{base}/{name}")
+                held, done = name, done + 1
+                out = files.open_output_stream(f"{base}/{name}/.{attempt}")
+            out.write(bytes(data or b"") + end)
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([done], type=pa.int64())], names=["files"])
+        yield done
 
     bodies = rows.select(F.col(folder).alias("folder"), F.col(body).cast("binary").alias("body"))
-    written = bodies.repartition("folder").sortWithinPartitions("folder").mapInArrow(write, "files bigint")
-    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    return bodies.repartition("folder").sortWithinPartitions("folder").rdd.mapPartitions(write).sum()
 
 
 def failures(parsed: DataFrame) -> DataFrame:
